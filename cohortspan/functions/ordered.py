@@ -84,42 +84,28 @@ def running_totals(
     )
 
 
-def first_n(
-    df: DataFrame,
-    keys: list[str],
-    draw: str,
-    tie: str,
-    quota: str,
-    *,
-    digits: int = 3,
-) -> DataFrame:
-    """Rows whose place by ``(draw, tie)`` inside ``keys`` is at most ``quota``, exactly.
+def rank_cut(df: DataFrame, keys: list[str], draw: str, tie: str, quota: str, *, digits: int = 3) -> DataFrame:
+    """Per key, the ``(draw, tie)`` of the row whose place is ``quota``: (keys, cut_draw, cut_tie).
 
-    ``draw`` is a hexadecimal digest, so its leading digits cut a group into equal shares. Only the
-    one share that holds the quota boundary is sorted; all others are decided by their counts.
+    ``draw`` is a hexadecimal digest, so its leading digits cut a group into even shares. Shares are
+    only counted; the one share that holds the quota boundary is the only one that is sorted.
     """
     tagged = df.withColumn("_share", F.substring(draw, 1, digits))
-    counts = tagged.groupBy(*keys, "_share").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_quota")
-    )
+    counts = tagged.groupBy(*keys, "_share").agg(F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_quota"))
     w = Window.partitionBy(*keys).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    state = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        .withColumn("_left", F.col("_quota") - F.col("_before"))
-        .filter(F.col("_left") > 0)
-        .select(*keys, "_share", "_left", (F.col("_n") <= F.col("_left")).alias("_whole"))
+    edge = (
+        counts.withColumn("_left", F.col("_quota") - F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        .filter((F.col("_left") > 0) & (F.col("_left") <= F.col("_n")))
+        .select(*keys, "_share", "_left")
     )
-    picked = (
-        tagged.alias("l").join(state.alias("r"), _same("l", "r", keys + ["_share"]), "inner")
-        .select("l.*", "r._left", "r._whole")
+    inside = (
+        tagged.alias("l").join(edge.alias("r"), _same("l", "r", keys + ["_share"]), "inner").select("l.*", "r._left")
     )
-    whole = picked.filter("_whole")
-    edge = Window.partitionBy(*keys, "_share").orderBy(draw, tie)
-    part = (
-        picked.filter("NOT _whole").withColumn("_place", F.row_number().over(edge))
-        .filter(F.col("_place") <= F.col("_left")).drop("_place")
+    place = Window.partitionBy(*keys, "_share").orderBy(draw, tie)
+    return (
+        inside.withColumn("_place", F.row_number().over(place)).filter("_place = _left")
+        .select(*keys, F.col(draw).alias("cut_draw"), F.col(tie).alias("cut_tie"))
     )
-    return whole.unionByName(part).drop("_share", "_left", "_whole")
 
 
 def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, *, limit: int = WINDOW_LIMIT) -> DataFrame:

@@ -46,6 +46,9 @@ STUDY = Roles(
 )
 
 
+REGISTRY_FEATURES = ("view", "click", "signup", "purchase", "error")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
