@@ -25,9 +25,14 @@ FLUSH_BYTES = 64 << 20
 
 # --- candidate models --------------------------------------------------------------------------------
 def abundance(rows: DataFrame, columns) -> DataFrame:
-    """Share of the most frequent value per (stratum, feature), nulls left out."""
+    """Share of the most frequent value per (stratum, feature), nulls left out.
+
+    Doubles count as one value when they agree to nine decimals (sums differ in the last bits).
+    """
+    kinds = dict(rows.dtypes)
+    value = lambda c: (F.round(c, 9) if kinds[c] == "double" else F.col(c)).cast("string")
     cells = rows.filter(F.col("cluster").isNotNull()).select("cluster", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns
+        F.struct(F.lit(c).alias("feature"), value(c).alias("v")) for c in columns
     ])).alias("s")).select("cluster", "s.*").filter(F.col("v").isNotNull())
     counts = cells.groupBy("cluster", "feature", "v").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("cluster", "feature").agg((F.max("n") / F.sum("n")).alias("abundance"))
@@ -138,11 +143,29 @@ def _sums(rows: DataFrame, plans: dict[int, _Plan]) -> DataFrame:
     )
 
 
+def _centre(rows: DataFrame, plans: dict[int, _Plan], y: str) -> None:
+    """Centre and scale every design column inside its stratum.
+
+    Every model has an intercept, so residuals do not change, but cross products stay well
+    conditioned. One aggregate; two numbers per column come back.
+    """
+    aggs = []
+    for c, plan in plans.items():
+        for i, e in enumerate([*[dz.expression(d) for d in plan.columns], F.col(y)]):
+            mine = F.when(F.col("cluster") == F.lit(c), e)
+            aggs += [F.avg(mine).alias(f"m_{c}_{i}"), F.stddev_pop(mine).alias(f"s_{c}_{i}")]
+    row = rows.agg(*aggs).first()
+    for c, plan in plans.items():
+        plan.mean = [row[f"m_{c}_{i}"] or 0.0 for i in range(len(plan.columns) + 1)]
+        plan.sd = [row[f"s_{c}_{i}"] if (row[f"s_{c}_{i}"] or 0.0) > 1e-12 else 1.0 for i in range(len(plan.columns))]
+
+
 def _design_rows(rows: DataFrame, plans: dict[int, _Plan], y: str) -> DataFrame:
     """Rows with their stratum's design vector [1, columns..., y]; rows with a missing cell drop out."""
     out = None
     for c, plan in plans.items():
-        cells = [F.lit(1.0), *[dz.expression(d) for d in plan.columns], F.col(y)]
+        scaled = [(dz.expression(d) - F.lit(plan.mean[i])) / F.lit(plan.sd[i]) for i, d in enumerate(plan.columns)]
+        cells = [F.lit(1.0), *scaled, F.col(y) - F.lit(plan.mean[-1])]
         arr = F.when(F.forall(F.array(*cells), lambda v: v.isNotNull()), F.array(*cells))
         hit = F.col("cluster") == F.lit(c)
         out = F.when(hit, arr) if out is None else out.when(hit, arr)
@@ -161,6 +184,7 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
     plans = {c: _Plan(m, level_map) for c, m in models.items()}
     columns = sorted({a for p in plans.values() for c in p.columns for a, _ in c} | set(support))
     base = rows.filter(F.col("cluster").isin(*plans) & F.col(y).isNotNull()).select("subject_id", "cluster", y, *columns)
+    _centre(base, plans, y)
     cuts = materialize(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
     flagged = resample.test_flags(_design_rows(base, plans, y).select("subject_id", "cluster", "x"), cuts, seed, block=block)
     flagged = flagged.withColumn("whole", (F.col("rep_block") == 0).cast("double")).drop("subject_id")
@@ -251,3 +275,46 @@ def top_models(summary: DataFrame, metric: str, k: int = 20, *, largest: bool =
     order = F.col(metric).desc_nulls_last() if largest else F.col(metric).asc_nulls_last()
     w = Window.partitionBy("cluster").orderBy(order, "model_id")
     return summary.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+# --- survival search -------------------------------------------------------------------------------------
+FIT_KEYS = ["cluster", "model_id", "rep"]
+
+
+def cv_survival(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level_map: dict[str, list[str]], *,
+                reps: int, seed: int, share: float = 0.333334) -> DataFrame:
+    """Hold-out concordance and AUCs per (cluster, model_id, rep); every Cox fit advances in the same job."""
+    from . import metrics, survival
+
+    models = {c: m for c, m in models.items() if m}
+    designs = {c: {m: dz.design(t, level_map) for m, t in ms.items()} for c, ms in models.items()}
+    width = max(1, max(len(d) for ms in designs.values() for d in ms.values()))
+    columns = sorted({a for ms in designs.values() for d in ms.values() for c in d for a, _ in c})
+    base = materialize(
+        rows.filter(F.col("cluster").isin(*models) & F.col("time_event").isNotNull() & F.col("status").isNotNull())
+        .select("subject_id", "cluster", "time_event", "status", *columns), "cv-rows",
+    )
+    cuts = materialize(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
+    cells = None
+    for c, ms in designs.items():
+        arr = F.array(*[
+            F.struct(F.lit(m).alias("model_id"), F.array(*[dz.expression(x) for x in d], *[F.lit(0.0)] * (width - len(d))).alias("x"))
+            for m, d in ms.items()
+        ])
+        hit = F.col("cluster") == F.lit(c)
+        cells = F.when(hit, arr) if cells is None else cells.when(hit, arr)
+    split = base.join(cuts, "cluster").withColumn(
+        "is_test", resample.is_test(seed, F.col("rep"), "subject_id", F.col("cut_draw"), F.col("cut_tie"))
+    )
+    long = split.select("cluster", "rep", "is_test", F.col("time_event").alias("time"), "status", F.explode(cells).alias("m")).select(
+        "cluster", F.col("m.model_id").alias("model_id"), "rep", "is_test", "time", "status", F.col("m.x").alias("x")
+    ).filter(~F.exists("x", lambda v: v.isNull()))
+    train = long.filter(~F.col("is_test")).drop("is_test")
+    fits = materialize(survival.fit_cox(train, FIT_KEYS, width), "cv-fits")
+    test = long.filter("is_test").drop("is_test").join(fits.select(*FIT_KEYS, "beta"), FIT_KEYS)
+    # a constant factor per fit changes no ranking, so the training mean need not be taken out
+    scored = test.withColumn("risk", survival.linear_predictor(width)).select(*FIT_KEYS, "time", "status", "risk")
+    return metrics.scorecard(materialize(scored, "cv-scored"), FIT_KEYS, score="risk", time="time", status="status")
+
+
+SURVIVAL_METRICS = ("c_index", "auc12", "auc18", "auc24", "iauc")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.scalar import lenient_double, normalise_name_column, rounded
-from ..operators import clean, collapse, design, impute, linear, metrics, resample, select, strata, transform
-from ..session import materialize
-from ..sources import bridge
+from ..operators import (
+    clean, collapse, design, impute, linear, metrics, resample, select, strata, survival, transform, tree,
+)
+from ..session import materialize, scratch_path
+from ..sources import bridge, files
 from ..sources.bridge import STUDY
-from . import prepare
+from . import prepare, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,6 +213,9 @@ ROLE_COLUMNS = {
 }
 
 
+STRATA = fixed.RULES_REGISTRY_SURVIVAL
+
+
 def _classified(spark, sf, rules):
     study = prepare.feature_table(spark, sf)
     return strata.classify(study.table, rules, ROLE_COLUMNS), study
@@ -255,7 +260,7 @@ SLOPE_MODELS = {
 PAIR_MODELS = {1: ("quantity", "price"), 2: ("discount", "onset_age"), 3: ("tax", "age")}
 
 
-def _slope_fits(spark, sf, models=None, rules=fixed.RULES_REGISTRY_SLOPE):
+def _slope_fits(spark, sf, models=None, rules=STRATA):
     table, study = _classified(spark, sf, rules)
     parsed = {c: design.terms(m) for c, m in (models or SLOPE_MODELS).items()}
     fits, designs = linear.fit_ols(table, parsed, study.model.level_map)
@@ -314,7 +319,7 @@ REPS, SEED = 6, 20
 SLOPE_START = {1: ("quantity", "price"), 2: ("discount", "onset"), 3: ("tax", "onset_age", "tax*onset_age")}
 
 
-def _train_rows(spark, sf, rules=fixed.RULES_REGISTRY_SLOPE):
+def _train_rows(spark, sf, rules=STRATA):
     table, study = _classified(spark, sf, rules)
     return table.filter(F.col("slope").isNotNull() & F.col("cluster").isNotNull()), study
 
@@ -329,7 +334,7 @@ def holdout_split(spark, sf):
 @query
 def holdout_pool(spark, sf):
     """Test part per repetition plus 25 rows drawn from subjects without a survival response."""
-    table, _ = _classified(spark, sf, fixed.RULES_REGISTRY_SLOPE)
+    table, _ = _classified(spark, sf, STRATA)
     rows = table.filter(F.col("slope").isNotNull() & F.col("cluster").isNotNull())
     own = resample.holdout_split(rows.select("subject_id", "cluster"), reps=REPS, seed=SEED).filter("is_test")
     outside = table.filter(F.col("time_event").isNull()).select("subject_id", F.lit(0).alias("cluster"))
@@ -427,3 +432,290 @@ def rmse(spark, sf):
     table, _, fits, designs = _slope_fits(spark, sf)
     scored = linear.predict_ols(table.filter(F.col("slope").isNotNull()), fits, designs)
     return rounded(metrics.rmse(scored, "slope", "fit", ["cluster"]), 3)
+
+
+# --- trees -------------------------------------------------------------------------------------------
+TREE_OPTIONS = {"minsplit": 60, "cp": fixed.TREE_CP, "max_depth": 2}
+
+
+@query
+def tree_best_split(spark, sf):
+    """Best cut of every feature at the root, squared-error gain."""
+    rows = prepare.feature_table(spark, sf).table
+    data = materialize(tree.response_rows(rows, "anova").withColumn("node", F.lit(1).cast("bigint")), "root")
+    best = tree.best_splits(data, STUDY.numerics, STUDY.categorical, kind="anova", minbucket=20, by=("node", "feature"))
+    return rounded(best.select("feature", "gain", F.col("ln").alias("n_left"), "threshold"), 4, gain=0)
+
+
+@query
+def surv_tree_best_split(spark, sf):
+    """Best cut of every feature at the root, exponential-survival gain."""
+    rows = prepare.feature_table(spark, sf).table
+    data = materialize(tree.response_rows(rows, "survival").withColumn("node", F.lit(1).cast("bigint")), "root")
+    best = tree.best_splits(data, STUDY.numerics, STUDY.categorical, kind="survival", minbucket=20, by=("node", "feature"))
+    return rounded(best.select("feature", "gain", F.col("ln").alias("n_left"), "threshold"), 4)
+
+
+def _slope_tree(spark, sf):
+    rows = prepare.feature_table(spark, sf).table
+    return rows, tree.grow(rows, STUDY.numerics, STUDY.categorical, kind="anova", **TREE_OPTIONS)
+
+
+@query
+def tree_fit(spark, sf):
+    _, nodes = _slope_tree(spark, sf)
+    return rounded(tree.node_table(spark, nodes), 3, threshold=4, gain=0)
+
+
+@query
+def tree_to_rules(spark, sf):
+    """Grow, freeze to rules, classify by the rules: size and mean response of each leaf."""
+    rows, nodes = _slope_tree(spark, sf)
+    labelled = strata.classify(rows.filter(F.col("slope").isNotNull()), tree.rules(nodes), name="leaf")
+    return rounded(labelled.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("mean_slope")), 3)
+
+
+@query
+def surv_tree_fit(spark, sf):
+    rows = prepare.feature_table(spark, sf).table
+    nodes = tree.grow(rows, STUDY.numerics, STUDY.categorical, kind="survival", minsplit=60, cp=fixed.TREE_CP)
+    return rounded(tree.node_table(spark, nodes), 3)
+
+
+# --- survival ----------------------------------------------------------------------------------------
+COX_PAIRS = {1: ("price", "onset_age"), 2: ("discount", "prior_slope"), 3: ("tax", "quantity")}
+COX_MODELS = {
+    1: ("price", "onset_age", "quantity", "price*quantity"), 2: ("discount", "prior_slope", "segment"), 3: ("tax", "quantity"),
+}
+
+
+def _surv_rows(spark, sf):
+    table, study = _classified(spark, sf, STRATA)
+    return table.filter(F.col("time_event").isNotNull() & F.col("cluster").isNotNull()), study
+
+
+@query
+def km_curve(spark, sf):
+    rows, _ = _surv_rows(spark, sf)
+    return rounded(survival.km_curve(rows, ["cluster"]).select("cluster", "time", "events", "at_risk", "survival"))
+
+
+@query
+def cox_risk_sets(spark, sf):
+    """Risk-set sums per event time at fixed coefficients (0.2, -0.1)."""
+    rows, study = _surv_rows(spark, sf)
+    designs = {c: design.design(design.terms(m), study.model.level_map) for c, m in COX_PAIRS.items()}
+    x, p = design.vector(designs, intercept=False)
+    data = materialize(survival.prepare_rows(rows, ["cluster"], x), "cox-rows")
+    per = survival._per_time(data.withColumn("beta", F.array(F.lit(0.2), F.lit(-0.1))), ["cluster"], p, None)
+    return rounded(per.select("cluster", "time", F.col("d").alias("events"), F.col("r0").alias("sum_risk"), F.col("r1_0").alias("sum_x1")))
+
+
+@query
+def cox_score_at_zero(spark, sf):
+    rows, study = _surv_rows(spark, sf)
+    designs = {c: design.design(design.terms(m), study.model.level_map) for c, m in COX_PAIRS.items()}
+    x, p = design.vector(designs, intercept=False)
+    data = materialize(survival.prepare_rows(rows, ["cluster"], x), "cox-rows")
+    at_zero = survival.score_at(data, ["cluster"], p, F.array(F.lit(0.0), F.lit(0.0)))
+    return rounded(at_zero.select(
+        "cluster", "loglik", F.col("gradient")[0].alias("u1"), F.col("gradient")[1].alias("u2"), F.col("info")[0].alias("i11"),
+        F.col("info")[1].alias("i12"), F.col("info")[2].alias("i22"),
+    ), 5)
+
+
+def _cox(spark, sf, models):
+    rows, study = _surv_rows(spark, sf)
+    return rows, *score.fit_survival(rows, models, study.model.level_map)
+
+
+@query
+def cox_fit(spark, sf):
+    _, _, fits, designs, p = _cox(spark, sf, COX_PAIRS)
+    return rounded(score.survival_registry(spark, fits, designs, p).drop("position"), 4)
+
+
+@query
+def cox_fit_full(spark, sf):
+    _, _, fits, designs, p = _cox(spark, sf, COX_MODELS)
+    return rounded(score.survival_registry(spark, fits, designs, p).drop("position"), 4)
+
+
+@query
+def cox_risk(spark, sf):
+    rows, _, fits, designs, p = _cox(spark, sf, COX_PAIRS)
+    x, _ = design.vector(designs, intercept=False)
+    return rounded(survival.centred_risk(rows.withColumn("x", x), fits, ["cluster"], p).select("subject_id", "cluster", "risk"), 4)
+
+
+@query
+def surv_prob(spark, sf):
+    rows, data, fits, designs, p = _cox(spark, sf, COX_PAIRS)
+    levels = score.survival_levels(data, fits, p)
+    return rounded(score.predict_survival(rows, levels, designs, p).select("subject_id", "cluster", *score.PROBABILITIES), 4)
+
+
+# --- survival metrics: the marker is the standardised onset age --------------------------------------
+MONTHS = tuple(m * 30.5 for m in range(31))
+
+
+def _marked(spark, sf):
+    rows, _ = _surv_rows(spark, sf)
+    return rows.withColumn("risk", F.round(F.col("onset_age"), 6))
+
+
+@query
+def c_index(spark, sf):
+    return rounded(metrics.concordance(_marked(spark, sf), ["cluster"]))
+
+
+@query
+def auc_t(spark, sf):
+    return rounded(metrics.auc_table(_marked(spark, sf), ["cluster"], MONTHS))
+
+
+@query
+def iauc(spark, sf):
+    return rounded(metrics.scorecard(_marked(spark, sf), ["cluster"]).select("cluster", "iauc"))
+
+
+@query
+def survival_scorecard(spark, sf):
+    return rounded(metrics.scorecard(_marked(spark, sf), ["cluster"]))
+
+
+# --- survival selection ------------------------------------------------------------------------------
+SURV_REPS = 3
+SURV_START = {1: ("price",), 2: ("discount",), 3: ("tax",)}
+SURV_CANDIDATES = ("onset_age", "quantity", "linestatus")
+
+
+def _surv_search(spark, sf, build):
+    rows, study = _surv_rows(spark, sf)
+    rows = materialize(rows, "train")
+    return select.cv_survival(rows, build(rows), study.model.level_map, reps=SURV_REPS, seed=SEED)
+
+
+def _surv_additions(rows):
+    return select.addition_models(SURV_START, SURV_CANDIDATES, _rates(rows, SURV_CANDIDATES), fixed.ABUNDANCE_LIMIT)
+
+
+@query
+def forward_step_surv(spark, sf):
+    return rounded(_surv_search(spark, sf, _surv_additions), 4)
+
+
+@query
+def backward_step_surv(spark, sf):
+    return rounded(_surv_search(spark, sf, lambda rows: select.removal_models(COX_PAIRS)), 4)
+
+
+@query
+def cross_validate_surv(spark, sf):
+    models = {c: {" + ".join(m): design.terms(m)} for c, m in COX_PAIRS.items()}
+    return rounded(_surv_search(spark, sf, lambda rows: models), 4)
+
+
+@query
+def top_models_surv(spark, sf):
+    scored = _surv_search(spark, sf, _surv_additions)
+    summary = select.summarise(scored, select.SURVIVAL_METRICS, skip_missing=True)
+    top = select.top_models(summary, "mean_c_index", fixed.TOP_MODELS, largest=True)
+    return rounded(top.select("cluster", "place", "model_id", "mean_c_index", "mean_iauc"), 4)
+
+
+# --- scoring -----------------------------------------------------------------------------------------
+def _known_and_new(spark, sf, response):
+    """Training subjects have the response; the others are new and are scored."""
+    forms = bridge.forms(spark, sf)
+    known = response.select("subject_id")
+    return forms.join(known, "subject_id", "left_semi"), forms.join(known, "subject_id", "left_anti")
+
+
+@query
+def union_train_score(spark, sf):
+    wide = prepare.wide_table(spark, sf)
+    response = bridge.slope_response(spark, sf)
+    both = score.union_training(wide.join(response, "subject_id"), wide.join(response, "subject_id", "left_anti"))
+    return rounded(both.select("subject_id", F.col("is_scoring").cast("int").alias("is_scoring"), "price", "segment", "slope"), 5)
+
+
+@query
+def score_prepare(spark, sf):
+    known, new = _known_and_new(spark, sf, bridge.slope_response(spark, sf))
+    trained = score.train(known, bridge.slope_response(spark, sf), STUDY)
+    ready = score.prepare_new(new, trained, STUDY)
+    return rounded(ready.select("subject_id", *STUDY.numerics, *STUDY.categorical), 5)
+
+
+@query
+def score_batch_slope(spark, sf):
+    known, new = _known_and_new(spark, sf, bridge.slope_response(spark, sf))
+    trained = score.train(known, bridge.slope_response(spark, sf), STUDY)
+    return rounded(score.score_slope(new, trained, STUDY, STRATA, SLOPE_MODELS, ROLE_COLUMNS), 3)
+
+
+@query
+def score_batch_survival(spark, sf):
+    known, new = _known_and_new(spark, sf, bridge.survival_response(spark, sf))
+    trained = score.train(known, bridge.survival_response(spark, sf), STUDY)
+    return rounded(score.score_survival(new, trained, STUDY, STRATA, COX_PAIRS, ROLE_COLUMNS), 4)
+
+
+NEEDED_FROM = {"prior_slope": ("onset", "quantity"), "onset_age": ("onset", "age")}
+
+
+def _selected(spark, sf):
+    labels = _labels(spark, sf, STRATA).filter(F.col("cluster").isNotNull())
+    needed = score.stratum_features(COX_PAIRS, NEEDED_FROM)
+    return score.select_rows(bridge.forms(spark, sf), labels, needed)
+
+
+@query
+def select_rows(spark, sf):
+    return _selected(spark, sf).select("subject_id", "cluster", "feature_name", "feature_value", "feature_delta", "row_seq")
+
+
+@query
+def parse_cluster_tag(spark, sf):
+    """Write the tagged request lines as text, read them back and parse the stratum."""
+    path = scratch_path(spark, "requests")
+    files.tag_lines(_selected(spark, sf)).select("line").write.text(path)
+    parsed = files.parse_cluster_tag(spark.read.text(path).withColumnRenamed("value", "line"))
+    return parsed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query
+def format_predictions(spark, sf):
+    table, _, fits, designs = _slope_fits(spark, sf)
+    scored = linear.predict_ols(table, fits, designs)
+    scored = scored.withColumns({c: F.round(c, 2).cast("decimal(18,2)") for c in ("fit", "se")})
+    return files.format_predictions(scored, ["fit", "se"])
+
+
+@query
+def model_registry(spark, sf):
+    """Fitted models saved by stratum, loaded again and listed term by term."""
+    _, _, fits, designs = _slope_fits(spark, sf)
+    path = scratch_path(spark, "registry")
+    files.save_table(linear.term_table(fits, designs), path, by="cluster")
+    return rounded(files.load_table(spark, path).select("cluster", "term", "coef", "std_error", "n"), 4)
+
+
+@query
+def roundtrip_wide(spark, sf):
+    path = scratch_path(spark, "wide")
+    files.save_table(collapse.collapse(bridge.forms(spark, sf), STUDY, OUT), path)
+    return rounded(files.load_table(spark, path), 5, discount=8, tax=8)
+
+
+@query
+def read_forms_text(spark, sf):
+    """Long forms written as bar-separated text without header, read back with the schema."""
+    path = scratch_path(spark, "forms")
+    files.write_forms(bridge.forms(spark, sf), path, header=False)
+    rows = clean.with_number(clean.with_delta(files.read_forms(spark, path, header=False)))
+    return rounded(rows.groupBy("feature_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count("feature_value").alias("n_value"), F.avg("value").alias("mean_value"),
+        F.sum("delta").alias("sum_delta"),
+    ))

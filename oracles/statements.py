@@ -88,7 +88,7 @@ def names_cte(models, name="nm"):
     return [(name, f"SELECT * FROM (VALUES {vals}) t(cluster, position, term)")]
 
 
-LAB3 = [PREPARED, classify("prepared", "lab", C3)]
+LAB3 = [PREPARED, classify("prepared", "lab", C4)]
 PAIR = {1: [("quantity", "quantity"), ("price", "price")], 2: [("discount", "discount"), ("onset_age", "onset_age")], 3: [("tax", "tax"), ("age", "age")]}
 FULL = {1: [("quantity", "quantity"), ("price", "price"), ("quantity:price", "quantity*price")],
         2: [("discount", "discount")] + dummies("segment"),
@@ -128,6 +128,10 @@ def split_cte(src="tr", reps=REPS, seed=SEED, name="split", quota="q"):
     ]
 
 
+def key15(c):
+    return c if c in CATEGORICALS else f"round({c}, 9)"
+
+
 TRAIN3 = LAB3 + [[("tr", "SELECT * FROM lab WHERE slope IS NOT NULL AND cluster IS NOT NULL")]]
 S["holdout_split"] = with_(*TRAIN3, split_cte()) + "SELECT cluster, rep, subject_id, CAST(is_test AS INT) AS is_test FROM split"
 S["holdout_pool"] = with_(*TRAIN3, split_cte()) + f"""SELECT cluster, rep, subject_id, 'own' AS source FROM split WHERE is_test UNION ALL
@@ -150,7 +154,7 @@ COMBO = [PREPARED, classify("prepared", "lab", C1), [("tr", "SELECT subject_id,
 S["missing_levels"] = with_(*COMBO, split_cte(), void_cte(["linestatus", "combo"])) + "SELECT cluster, rep, feature, level FROM void_miss"
 S["void_levels"] = with_(*COMBO, split_cte(), void_cte(["linestatus", "combo"])) + "SELECT cluster, rep, feature, level, subject_id, CASE WHEN feature='combo' THEN level ELSE combo END AS combo, round(slope,4) AS slope FROM void"
 S["abundance_rate"] = with_(*TRAIN3) + "SELECT cluster, feature, round(max(n)/CAST(sum(n) AS DOUBLE),6) AS abundance FROM (" + " UNION ALL ".join(
-    f"SELECT cluster, '{c}' AS feature, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2"
+    f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2"
 S["rmse"] = with_(*LAB3, FITF, PRED) + "SELECT cluster, round(sqrt(avg((slope-fit)*(slope-fit))),3) AS rmse, count(slope-fit) AS n FROM pred WHERE slope IS NOT NULL GROUP BY 1"
 
 START = {1: ["quantity", "price"], 2: ["discount", "onset"], 3: ["tax", "onset_age", "tax*onset_age"]}
@@ -200,12 +204,14 @@ def cv_sql(candidates, tail):
         gate = f" AND (SELECT abundance FROM ab WHERE cluster={c} AND feature='{f}') < 0.77" if gated else ""
         rows.append(f"SELECT {c} AS cluster, '{mid}' AS model_id, rep, is_test, [{', '.join(e)}, slope] AS x FROM allrows WHERE cluster={c}{gate}")
     gated_src = [("ab", "SELECT cluster, feature, max(n)/CAST(sum(n) AS DOUBLE) AS abundance FROM (" + " UNION ALL ".join(
-        f"SELECT cluster, '{c}' AS feature, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2")]
+        f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2")]
     cols = "subject_id, cluster, rep, is_test, slope, " + ", ".join(NUMERICS)
     allrows = [("allrows", f"SELECT {cols}, returnflag, linestatus, segment FROM split UNION ALL SELECT {cols}, "
                 + ", ".join(f"CASE WHEN feature='{c}' THEN level ELSE {c} END" for c in CATEGORICALS) + " FROM void")]
     return with_(*TRAIN3, split_cte(), void_cte(CATEGORICALS), gated_src, allrows, [
-        ("mx", " UNION ALL ".join(rows)),
+        ("mr", " UNION ALL ".join(rows)),
+        ("mm", f"SELECT cluster, model_id, list(CASE WHEN i=0 THEN 0 ELSE m END ORDER BY i) AS m, list(CASE WHEN i=0 OR i={width} OR s<1e-12 THEN 1 ELSE s END ORDER BY i) AS s FROM (SELECT cluster, model_id, CAST(i AS BIGINT) AS i, avg(x[i+1]) AS m, stddev_pop(x[i+1]) AS s FROM mr, range({width + 1}) a(i) GROUP BY ALL) GROUP BY ALL"),
+        ("mx", "SELECT r.cluster, r.model_id, r.rep, r.is_test, list_transform(list_zip(r.x, mm.m, mm.s), lambda z: (z[1]-z[2])/z[3]) AS x FROM mr r JOIN mm USING (cluster, model_id)"),
         ("mg", f"SELECT cluster, model_id, rep, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, sum(x[i+1]*x[j+1]) AS v FROM mx, range({width + 1}) a(i), range({width + 1}) b(j) WHERE NOT is_test GROUP BY ALL"),
     ], gauss("mg", "ms", width, ["cluster", "model_id", "rep"]), [
         ("beta", f"SELECT cluster, model_id, rep, list(v ORDER BY i) AS b FROM ms WHERE j={width} AND i<{width} GROUP BY ALL"),
@@ -217,7 +223,7 @@ def cv_sql(candidates, tail):
 ADD = [(c, f, mid, names, gated) for c in START for f, mid, names, gated in additions(c)]
 DROP = [(c, "", " + ".join(k), k, False) for c, base in START.items() for d in base for k in [[b for b in base if b != d]]]
 S["interaction_candidates"] = with_(*TRAIN3, [("ab", "SELECT cluster, feature, max(n)/CAST(sum(n) AS DOUBLE) AS abundance FROM (" + " UNION ALL ".join(
-    f"SELECT cluster, '{c}' AS feature, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2")]) + (
+    f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2")]) + (
     "SELECT c.cluster, c.model_id, c.n_terms FROM (VALUES " + ", ".join(
         f"({c}, '{f}', '{mid}', {len({frozenset(p for i, p in enumerate(n.split('*')) if m >> i & 1) for n in names for m in range(1, 2 ** len(n.split('*')))})}, {str(g).lower()})" for c, f, mid, names, g in ADD)
     + ") c(cluster, feature, model_id, n_terms, gated) JOIN ab USING (cluster, feature) WHERE NOT c.gated OR ab.abundance < 0.77")
