@@ -115,11 +115,10 @@ def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, *, li
     part = keys or ["_all"]
     if not keys:
         marked = marked.withColumn("_all", F.lit(1))
-    counts = marked.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = materialize(
-        running_totals(counts, part, value, {"_upto": "_n"}, limit=limit), "median"
-    )
-    size = run.groupBy(*part).agg(F.max("_upto").alias("_size"))
+    counts = materialize(marked.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n")), "median")
+    size = counts.groupBy(*part).agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_values"))
+    longest = int(size.agg(F.max("_values")).first()[0] or 0)
+    run = running_totals(counts, part, value, {"_upto": "_n"}, longest=longest, limit=limit)
     both = run.alias("l").join(size.alias("r"), _same("l", "r", part), "inner").select("l.*", "r._size")
     low = F.floor((F.col("_size") + 1) / 2)
     high = F.floor(F.col("_size") / 2) + 1

@@ -22,16 +22,21 @@ def _earliest(when: Column, *payload: Column) -> Column:
     return F.min(F.when(when, F.struct(*payload)))
 
 
-def cells(rows: DataFrame, roles: Roles, days: int = 92) -> DataFrame:
-    """Partial results per (subject, feature, category value)."""
+def cells(rows: DataFrame, roles: Roles, days: int = 92, mark: str = "-") -> DataFrame:
+    """Partial results per (subject, feature, category value).
+
+    Rows that carry the missing mark add nothing but keep their subject in the result, so the
+    universe of subjects needs no second scan.
+    """
+    real = clean.keep_measured(F.col("feature_value"), mark)
     named = rows.select(
-        "subject_id", "feature_name", "feature_value", "row_seq", *([] if "delta" not in rows.columns else ["delta"])
+        "subject_id", "feature_name", "row_seq", "delta", real.alias("_real"), F.when(real, F.col("feature_value")).alias("feature_value")
     )
     is_cat = F.col("feature_name").isin(*roles.categorical)
-    inside = F.col("delta") < days
+    inside = (F.col("delta") < days) & F.col("_real")
     number = F.when(~is_cat, lenient_double("feature_value"))
     latest = (F.col("feature_name") == roles.total_score) & inside
-    static = F.col("feature_name").isin(roles.onset, roles.age)
+    static = F.col("feature_name").isin(roles.onset, roles.age) & F.col("_real")
     return (
         named.withColumn("_cat", F.when(is_cat, F.col("feature_value")))
         .withColumn("_x", number)
@@ -45,7 +50,7 @@ def cells(rows: DataFrame, roles: Roles, days: int = 92) -> DataFrame:
                 latest, (-F.col("delta")).alias("back"), F.col("row_seq").alias("seq"), F.col("feature_value").alias("text")
             ).alias("_latest"),
             _earliest(static, F.col("row_seq").alias("seq"), F.col("feature_value").alias("text")).alias("_first"),
-            F.max(F.when((F.col("feature_name") == roles.total_score) & F.col("delta").isNull(), 1).otherwise(0)).alias("_nodate"),
+            F.max(F.when(F.col("_real") & (F.col("feature_name") == roles.total_score) & F.col("delta").isNull(), 1).otherwise(0)).alias("_nodate"),
         )
     )
 
@@ -53,10 +58,10 @@ def cells(rows: DataFrame, roles: Roles, days: int = 92) -> DataFrame:
 def collapse(forms: DataFrame, roles: Roles, excluded, *, days: int = 92, mark: str = "-",
              median_onset: float | None = None, score_at_onset: float = 39.0) -> DataFrame:
     """Wide table: one row per subject, numerics by mean or min, categoricals by mode, derived columns."""
-    rows = clean.with_delta(clean.measured(forms, roles.features, excluded, mark))
+    rows = clean.with_delta(clean.whitelist(clean.drop_forms(forms, excluded), roles.features))
     if median_onset is None:
         median_onset = onset_median_value(forms, roles, excluded, mark)
-    cut = cells(rows, roles, days)
+    cut = cells(rows, roles, days, mark)
     mine = lambda f: F.col("feature_name") == f
     aggs = [F.min(F.when(mine(f), F.col("_min"))).alias(f) for f in roles.numeric_min]
     aggs += [
@@ -80,9 +85,7 @@ def collapse(forms: DataFrame, roles: Roles, excluded, *, days: int = 92, mark:
         prior_slope(lenient_double(F.col("_latest.text")), -F.col("_latest.back"), onset, score_at_onset),
     )
     wide = wide.withColumn("prior_slope", slope).withColumn("onset_age", onset_age(age, onset, median_onset))
-    wide = wide.select("subject_id", *roles.numerics, *roles.categorical)
-    # subjects whose only rows carry the missing mark stay in the universe with an empty row
-    return clean.subjects(forms, roles.features, excluded).join(wide, "subject_id", "left")
+    return wide.select("subject_id", *roles.numerics, *roles.categorical)
 
 
 def onset_median(forms: DataFrame, roles: Roles, excluded, mark: str = "-") -> DataFrame:

@@ -75,12 +75,13 @@ def level_counts(split: DataFrame, columns) -> DataFrame:
 
 def missing_levels(split: DataFrame, level_map: dict[str, list[str]]) -> DataFrame:
     """Levels of the closed sets that a train part does not contain."""
-    groups = split.select("cluster", "rep").distinct()
+    counts = level_counts(split, list(level_map))
+    groups = counts.select("cluster", "rep").distinct()
     full = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(v).alias("level")) for c, lv in level_map.items() for v in lv
     ])
     grid = groups.select("cluster", "rep", F.explode(full).alias("s")).select("cluster", "rep", "s.*")
-    return grid.join(level_counts(split, list(level_map)), ["cluster", "rep", "feature", "level"], "left_anti")
+    return grid.join(counts, ["cluster", "rep", "feature", "level"], "left_anti")
 
 
 def void_donors(split: DataFrame, level_map: dict[str, list[str]], seed: int, id_column: str = "subject_id") -> DataFrame:

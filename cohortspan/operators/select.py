@@ -8,6 +8,8 @@ models are tried, and only sums are shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -97,9 +99,11 @@ class _Plan:
             self.maps[m] = grid
         self.left = np.array([i for i, _ in pairs], dtype=int)
         self.right = np.array([j for _, j in pairs], dtype=int)
+        self.mean = self.sd = None
 
 
 def _products(x: np.ndarray, plan: _Plan) -> np.ndarray:
+    x = (x - plan.mean) / plan.sd
     return x[:, plan.left] * x[:, plan.right]
 
 
@@ -120,7 +124,7 @@ def _sums(rows: DataFrame, plans: dict[int, _Plan]) -> DataFrame:
         for pdf in batches:
             for (cluster, _), part in pdf.groupby(["cluster", "rep_block"], sort=False):
                 plan = plans[int(cluster)]
-                z = _products(np.vstack(part["x"].to_numpy())[:, : plan.y + 1], plan)
+                z = _products(np.vstack(part["x"].to_numpy()), plan)
                 test = np.vstack(part["in_test"].to_numpy()).T @ z
                 reps = part["reps"].iloc[0]
                 for i, r in enumerate(reps):
@@ -143,33 +147,34 @@ def _sums(rows: DataFrame, plans: dict[int, _Plan]) -> DataFrame:
     )
 
 
-def _centre(rows: DataFrame, plans: dict[int, _Plan], y: str) -> None:
-    """Centre and scale every design column inside its stratum.
-
-    Every model has an intercept, so residuals do not change, but cross products stay well
-    conditioned. One aggregate; two numbers per column come back.
-    """
-    aggs = []
-    for c, plan in plans.items():
-        for i, e in enumerate([*[dz.expression(d) for d in plan.columns], F.col(y)]):
-            mine = F.when(F.col("cluster") == F.lit(c), e)
-            aggs += [F.avg(mine).alias(f"m_{c}_{i}"), F.stddev_pop(mine).alias(f"s_{c}_{i}")]
-    row = rows.agg(*aggs).first()
-    for c, plan in plans.items():
-        plan.mean = [row[f"m_{c}_{i}"] or 0.0 for i in range(len(plan.columns) + 1)]
-        plan.sd = [row[f"s_{c}_{i}"] if (row[f"s_{c}_{i}"] or 0.0) > 1e-12 else 1.0 for i in range(len(plan.columns))]
-
-
 def _design_rows(rows: DataFrame, plans: dict[int, _Plan], y: str) -> DataFrame:
-    """Rows with their stratum's design vector [1, columns..., y]; rows with a missing cell drop out."""
-    out = None
+    """Complete rows with their stratum's design vector [1, columns..., y]."""
+    out, whole = None, None
     for c, plan in plans.items():
-        scaled = [(dz.expression(d) - F.lit(plan.mean[i])) / F.lit(plan.sd[i]) for i, d in enumerate(plan.columns)]
-        cells = [F.lit(1.0), *scaled, F.col(y) - F.lit(plan.mean[-1])]
-        arr = F.when(F.forall(F.array(*cells), lambda v: v.isNotNull()), F.array(*cells))
+        cells = F.array(F.lit(1.0), *[dz.expression(d) for d in plan.columns], F.col(y).cast("double"))
+        used = sorted({a for d in plan.columns for a, _ in d} | {y})
+        full = reduce(lambda p, q: p & q, [F.col(u).isNotNull() for u in used])
         hit = F.col("cluster") == F.lit(c)
-        out = F.when(hit, arr) if out is None else out.when(hit, arr)
-    return rows.withColumn("x", out).filter(F.col("x").isNotNull())
+        out = F.when(hit, cells) if out is None else out.when(hit, cells)
+        whole = F.when(hit, full) if whole is None else whole.when(hit, full)
+    return rows.filter(whole).withColumn("x", out)
+
+
+def _centre(design_rows: DataFrame, plans: dict[int, _Plan]) -> None:
+    """Mean and spread of every design column inside its stratum; one vector per stratum comes back.
+
+    Every model has an intercept, so centring changes no residual, but cross products stay well
+    conditioned.
+    """
+    stats = design_rows.select("cluster", array_to_vector("x").alias("v")).groupBy("cluster").agg(
+        Summarizer.mean(F.col("v")).alias("mean"), Summarizer.std(F.col("v")).alias("sd")
+    ).collect()
+    for r in stats:
+        plan = plans[r["cluster"]]
+        plan.mean, plan.sd = np.array(r["mean"]), np.array(r["sd"])
+        plan.mean[0] = 0.0
+        plan.sd[plan.sd < 1e-12] = 1.0
+        plan.sd[[0, -1]] = 1.0
 
 
 def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level_map: dict[str, list[str]], *,
@@ -184,9 +189,10 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
     plans = {c: _Plan(m, level_map) for c, m in models.items()}
     columns = sorted({a for p in plans.values() for c in p.columns for a, _ in c} | set(support))
     base = rows.filter(F.col("cluster").isin(*plans) & F.col(y).isNotNull()).select("subject_id", "cluster", y, *columns)
-    _centre(base, plans, y)
+    rows_x = materialize(_design_rows(base, plans, y).select("subject_id", "cluster", "x"), "design")
+    _centre(rows_x, plans)
     cuts = materialize(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
-    flagged = resample.test_flags(_design_rows(base, plans, y).select("subject_id", "cluster", "x"), cuts, seed, block=block)
+    flagged = resample.test_flags(rows_x, cuts, seed, block=block)
     flagged = flagged.withColumn("whole", (F.col("rep_block") == 0).cast("double")).drop("subject_id")
     if pool is not None and pool_size:
         spread = pool.filter(F.col(y).isNotNull()).drop("cluster").withColumn(
@@ -204,12 +210,13 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
         split = base.join(cuts, "cluster").withColumn(
             "is_test", resample.is_test(seed, F.col("rep"), "subject_id", F.col("cut_draw"), F.col("cut_tie"))
         ).drop("cut_draw", "cut_tie")
-        donors = resample.override(resample.void_donors(split, {c: level_map[c] for c in support}, seed), support)
+        donors = resample.void_donors(split, {c: level_map[c] for c in support}, seed)
+        donors = materialize(resample.override(donors, support), "donors")
         extra = _design_rows(donors, plans, y).select(
             "cluster", F.lit(0).alias("rep_block"), F.array("rep").alias("reps"), F.array(F.lit(1.0)).alias("in_test"),
             F.lit(0.0).alias("whole"), "x", "rep",
         )
-        added = _sums(extra.withColumn("rep_block", F.col("rep")).drop("rep"), plans)
+        added = materialize(_sums(extra.withColumn("rep_block", F.col("rep")).drop("rep"), plans), "added")
         both = both.join(added.withColumnRenamed("sums", "added"), ["cluster", "rep"], "left")
     else:
         both = both.withColumn("added", F.lit(None).cast("array<double>"))
@@ -218,7 +225,7 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
     if pooled:
         # pool rows sit in the test sums but never in the whole sums
         own = materialize(_sums(
-            resample.test_flags(_design_rows(base, plans, y).select("subject_id", "cluster", "x"), cuts, seed, block=block)
+            resample.test_flags(rows_x, cuts, seed, block=block)
             .withColumn("whole", F.lit(0.0)).drop("subject_id"), plans), "own")
         both = both.join(own.withColumnRenamed("sums", "own"), ["cluster", "rep"])
     else:

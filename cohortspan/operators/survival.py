@@ -19,26 +19,30 @@ DIRECT_TIES = 64
 
 
 # --- counts per time, Kaplan-Meier, Nelson-Aalen -----------------------------------------------------
-def risk_table(rows: DataFrame, keys: list[str], time: str = "time_event", status: str = "status") -> DataFrame:
-    """Events, censored and at-risk counts per (key, distinct time)."""
-    per = rows.filter(F.col(time).isNotNull() & F.col(status).isNotNull()).groupBy(*keys, F.col(time).alias("time")).agg(
-        F.sum(status).cast("bigint").alias("events"), F.count(F.lit(1)).alias("_n")
+def risk_table(rows: DataFrame, keys: list[str], time: str = "time_event", status: str = "status") -> tuple[DataFrame, int]:
+    """Events, censored and at-risk counts per (key, distinct time), and the longest key's length."""
+    per = materialize(
+        rows.filter(F.col(time).isNotNull() & F.col(status).isNotNull()).groupBy(*keys, F.col(time).alias("time")).agg(
+            F.sum(status).cast("bigint").alias("events"), F.count(F.lit(1)).alias("_n")
+        ), "times",
     )
-    out = running_totals(per, keys, "time", {"at_risk": "_n"}, descending=True)
-    return out.withColumn("censored", F.col("_n") - F.col("events")).drop("_n")
+    longest = longest_group(per, keys)
+    out = running_totals(per, keys, "time", {"at_risk": "_n"}, descending=True, longest=longest)
+    return out.withColumn("censored", F.col("_n") - F.col("events")).drop("_n"), longest
 
 
 def km_curve(rows: DataFrame, keys: list[str], time: str = "time_event", status: str = "status") -> DataFrame:
     """Survival after each distinct time; exact zero once everyone at risk has had the event."""
-    return _product_limit(risk_table(rows, keys, time, status), keys, F.col("events"), F.col("at_risk"), "survival")
+    table, longest = risk_table(rows, keys, time, status)
+    return _product_limit(table, keys, F.col("events"), F.col("at_risk"), "survival", longest)
 
 
-def _product_limit(table: DataFrame, keys, drop: Column, base: Column, name: str) -> DataFrame:
+def _product_limit(table: DataFrame, keys, drop: Column, base: Column, name: str, longest: int) -> DataFrame:
     whole = (base > 0) & (drop >= base)
     logs = table.withColumn("_log", F.when(whole | (base <= 0), 0.0).otherwise(F.log1p(-drop / base))).withColumn(
         "_end", whole.cast("int")
     )
-    run = running_totals(logs, keys, "time", {"_slog": "_log", "_send": "_end"})
+    run = running_totals(logs, keys, "time", {"_slog": "_log", "_send": "_end"}, longest=longest)
     value = F.when(F.col("_send") > 0, 0.0).otherwise(F.exp("_slog"))
     before = F.when(F.col("_send") - F.col("_end") > 0, 0.0).otherwise(F.exp(F.col("_slog") - F.col("_log")))
     return run.withColumns({name: value, f"{name}_before": before}).drop("_log", "_end", "_slog", "_send")
@@ -46,13 +50,14 @@ def _product_limit(table: DataFrame, keys, drop: Column, base: Column, name: str
 
 def censoring_curve(rows: DataFrame, keys: list[str], time: str = "time_event", status: str = "status") -> DataFrame:
     """Probability of staying uncensored; events at a time leave the risk set before censorings."""
-    table = risk_table(rows, keys, time, status)
-    return _product_limit(table, keys, F.col("censored"), F.col("at_risk") - F.col("events"), "g")
+    table, longest = risk_table(rows, keys, time, status)
+    return _product_limit(table, keys, F.col("censored"), F.col("at_risk") - F.col("events"), "g", longest)
 
 
 def nelson_aalen(rows: DataFrame, keys: list[str], time: str = "time_event", status: str = "status") -> DataFrame:
-    table = risk_table(rows, keys, time, status).withColumn("_h", F.col("events") / F.col("at_risk"))
-    return running_totals(table, keys, "time", {"cumulative_hazard": "_h"}).drop("_h")
+    table, longest = risk_table(rows, keys, time, status)
+    steps = table.withColumn("_h", F.col("events") / F.col("at_risk"))
+    return running_totals(steps, keys, "time", {"cumulative_hazard": "_h"}, longest=longest).drop("_h")
 
 
 # --- Cox regression ----------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import impute
 
 LEVEL_LIMIT = 1000
@@ -157,19 +158,29 @@ def apply_scale_joint(df: DataFrame, model: ScaleModel, train: DataFrame) -> Dat
     return result.withColumns(out).select(*df.columns)
 
 
-def levels(df: DataFrame, columns) -> dict[str, list[str]]:
-    """Sorted level list per categorical column; refuses columns that are not closed sets."""
+def level_counts(df: DataFrame, columns) -> dict[str, dict[str, int]]:
+    """Rows per level of each categorical column; refuses columns that are not closed sets."""
     cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns
-    ])).alias("s")).select("s.*").filter(F.col("v").isNotNull()).distinct()
+    ])).alias("s")).select("s.*").filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     cap = LEVEL_LIMIT * len(columns)
     rows = cells.limit(cap + 1).collect()
-    out: dict[str, list[str]] = {c: [] for c in columns}
+    out: dict[str, dict[str, int]] = {c: {} for c in columns}
     for r in rows:
-        out[r["c"]].append(r["v"])
+        out[r["c"]][r["v"]] = r["n"]
     if len(rows) > cap or any(len(v) > LEVEL_LIMIT for v in out.values()):
         raise ValueError(f"a categorical column has more than {LEVEL_LIMIT} levels")
-    return {c: sorted(v) for c, v in out.items()}
+    return out
+
+
+def levels(df: DataFrame, columns) -> dict[str, list[str]]:
+    """Sorted level list per categorical column."""
+    return {c: sorted(v) for c, v in level_counts(df, columns).items()}
+
+
+def modes(counts: dict[str, dict[str, int]]) -> dict[str, str | None]:
+    """Most frequent level per column, smallest on ties."""
+    return {c: min(v, key=lambda x: (-v[x], x)) if v else None for c, v in counts.items()}
 
 
 def dummy_code(df: DataFrame, columns, level_map: dict[str, list[str]]) -> DataFrame:
@@ -208,17 +219,23 @@ class Preparation:
     level_map: dict[str, list[str]]
 
 
-def prepare_training(wide: DataFrame, numerics, categoricals, kinds: dict[str, str], **limits) -> tuple[DataFrame, Preparation]:
-    """Impute, de-skew, standardise and mode-fill the training table; returns it with its model."""
-    from ..session import materialize
+@dataclass(frozen=True)
+class Prepared:
+    filled: DataFrame
+    table: DataFrame
+    model: Preparation
+
 
+def prepare_training(wide: DataFrame, numerics, categoricals, kinds: dict[str, str], **limits) -> Prepared:
+    """Impute, de-skew, standardise and mode-fill the training table."""
     knn = impute.fit(wide, numerics, **limits)
     filled = materialize(impute.knn_impute(wide, numerics, model=knn), "imputed")
     scale = fit_scale(filled, kinds)
-    modes = impute.mode_values(filled, categoricals)
-    level_map = levels(filled, categoricals)
-    done = impute.mode_impute(apply_scale(filled, scale), categoricals, modes)
-    return done, Preparation(tuple(numerics), tuple(categoricals), knn, scale, modes, level_map)
+    counts = level_counts(filled, categoricals)
+    prep = Preparation(
+        tuple(numerics), tuple(categoricals), knn, scale, modes(counts), {c: sorted(v) for c, v in counts.items()}
+    )
+    return Prepared(filled, impute.mode_impute(apply_scale(filled, scale), categoricals, prep.modes), prep)
 
 
 def prepare_scoring(new_wide: DataFrame, train_wide: DataFrame, train_filled: DataFrame, prep: Preparation) -> DataFrame:

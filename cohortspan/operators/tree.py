@@ -61,8 +61,11 @@ def node_loss(kind: str, n: float, s1: float, s2: float) -> float:
 
 
 def value_counts(rows: DataFrame, numerics, categoricals, kind: str) -> DataFrame:
-    """(node, feature, key, levels) with n, s1, s2; categories are keyed by their mean response."""
-    num = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("key")) for c in numerics]))
+    """(node, feature, key) with n, s1, s2; categories are keyed by their mean response.
+
+    Numbers that agree to nine decimals are one value, so last-bit noise makes no cut points.
+    """
+    num = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c).cast("double"), 9).alias("key")) for c in numerics]))
     by_number = (
         rows.select("node", "_a", "_b", num.alias("c")).select("node", "_a", "_b", "c.*").filter(F.col("key").isNotNull())
         .groupBy("node", "feature", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s1"), F.sum("_b").alias("s2"))

@@ -100,7 +100,7 @@ def subject_universe(spark, sf):
 # --- collapse --------------------------------------------------------------------------------------
 @query
 def collapse_wide(spark, sf):
-    return rounded(collapse.collapse(bridge.forms(spark, sf), STUDY, OUT), 5, discount=8, tax=8)
+    return rounded(prepare.wide_plan(spark, sf), 5, discount=8, tax=8)
 
 
 @query
@@ -141,23 +141,23 @@ def prior_slope(spark, sf):
 
 @query
 def onset_median(spark, sf):
-    return collapse.onset_median(bridge.forms(spark, sf), STUDY, OUT)
+    return collapse.onset_median(bridge.forms(spark, sf, ("onset",)), STUDY, OUT)
 
 
 @query
 def onset_age(spark, sf):
-    return rounded(collapse.onset_age_table(bridge.forms(spark, sf), STUDY, OUT))
+    return rounded(prepare.wide_plan(spark, sf).select("subject_id", "onset_age"))
 
 
 @query
 def attach_slope(spark, sf):
-    wide = collapse.collapse(bridge.forms(spark, sf), STUDY, OUT)
+    wide = prepare.wide_plan(spark, sf)
     return rounded(collapse.attach_response(wide.select("subject_id", "price", "segment"), bridge.slope_response(spark, sf)), 5)
 
 
 @query
 def attach_survival(spark, sf):
-    wide = collapse.collapse(bridge.forms(spark, sf), STUDY, OUT)
+    wide = prepare.wide_plan(spark, sf)
     return rounded(collapse.attach_response(wide.select("subject_id", "price", "segment"), bridge.survival_response(spark, sf)), 5)
 
 
@@ -435,7 +435,7 @@ def rmse(spark, sf):
 
 
 # --- trees -------------------------------------------------------------------------------------------
-TREE_OPTIONS = {"minsplit": 60, "cp": fixed.TREE_CP, "max_depth": 2}
+TREE_OPTIONS = {"minsplit": 60, "cp": 0.001, "max_depth": 2}
 
 
 @query
@@ -705,7 +705,7 @@ def model_registry(spark, sf):
 @query
 def roundtrip_wide(spark, sf):
     path = scratch_path(spark, "wide")
-    files.save_table(collapse.collapse(bridge.forms(spark, sf), STUDY, OUT), path)
+    files.save_table(prepare.wide_plan(spark, sf), path)
     return rounded(files.load_table(spark, path), 5, discount=8, tax=8)
 
 

@@ -20,15 +20,24 @@ class Study:
     model: transform.Preparation
 
 
+def onset_median(spark: SparkSession, sf: str, roles: Roles = STUDY) -> float | None:
+    """Needs the onset rows only, so the visit tables are not read."""
+    return collapse.onset_median_value(bridge.forms(spark, sf, (roles.onset,)), roles, fixed.INTERVAL_FORMS)
+
+
+def wide_plan(spark: SparkSession, sf: str, roles: Roles = STUDY) -> DataFrame:
+    median = onset_median(spark, sf, roles)
+    return collapse.collapse(bridge.forms(spark, sf), roles, fixed.INTERVAL_FORMS, median_onset=median)
+
+
 def wide_table(spark: SparkSession, sf: str, roles: Roles = STUDY) -> DataFrame:
-    return materialize(collapse.collapse(bridge.forms(spark, sf), roles, fixed.INTERVAL_FORMS), "wide")
+    return materialize(wide_plan(spark, sf, roles), "wide")
 
 
 def feature_table(spark: SparkSession, sf: str, roles: Roles = STUDY) -> Study:
     """Prepared numerics and categoricals with both responses; one row per subject."""
-    wide = wide_table(spark, sf, roles)
     kinds = transform.kinds_of(roles.numerics, roles.right_skewed, roles.left_skewed)
-    base = collapse.attach_response(wide, bridge.slope_response(spark, sf))
-    ready, model = transform.prepare_training(materialize(base, "base"), roles.numerics, roles.categorical, kinds)
-    table = materialize(collapse.attach_response(ready, bridge.survival_response(spark, sf)), "features")
-    return Study(wide, table, model)
+    base = materialize(collapse.attach_response(wide_plan(spark, sf, roles), bridge.slope_response(spark, sf)), "wide")
+    ready = transform.prepare_training(base, roles.numerics, roles.categorical, kinds)
+    table = materialize(collapse.attach_response(ready.table, bridge.survival_response(spark, sf)), "features")
+    return Study(base.drop("slope"), table, ready.model)

@@ -40,22 +40,15 @@ class Trained:
     median_onset: float | None
 
 
-def train(forms: DataFrame, response: DataFrame, roles: Roles) -> Trained:
+def train(forms: DataFrame, response: DataFrame, roles: Roles, median: float | None = None) -> Trained:
     """Prepare the subjects that have a response."""
-    median = collapse.onset_median_value(forms, roles, fixed.INTERVAL_FORMS)
+    if median is None:
+        median = collapse.onset_median_value(forms, roles, fixed.INTERVAL_FORMS)
     wide = collapse.collapse(forms, roles, fixed.INTERVAL_FORMS, median_onset=median)
     known = materialize(wide.join(response, "subject_id"), "train-wide")
     kinds = transform.kinds_of(roles.numerics, roles.right_skewed, roles.left_skewed)
-    from ..operators import impute
-
-    knn = impute.fit(known, roles.numerics)
-    filled = materialize(impute.knn_impute(known, roles.numerics, model=knn), "train-filled")
-    scale = transform.fit_scale(filled, kinds)
-    modes = impute.mode_values(filled, roles.categorical)
-    level_map = transform.levels(filled, roles.categorical)
-    prep = transform.Preparation(roles.numerics, roles.categorical, knn, scale, modes, level_map)
-    table = materialize(impute.mode_impute(transform.apply_scale(filled, scale), roles.categorical, modes), "train-table")
-    return Trained(known, filled, table, prep, median)
+    ready = transform.prepare_training(known, roles.numerics, roles.categorical, kinds)
+    return Trained(known, ready.filled, materialize(ready.table, "train-table"), ready.model, median)
 
 
 def prepare_new(forms: DataFrame, trained: Trained, roles: Roles) -> DataFrame:

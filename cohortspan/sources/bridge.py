@@ -64,8 +64,20 @@ def orders_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(first_order(spark, sf_dir), "o_custkey")
 
 
-def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long entity-attribute-value rows: one scan of line items, unpivoted in place."""
+def forms(spark: SparkSession, sf_dir: str, features: tuple[str, ...] | None = None) -> DataFrame:
+    """Long entity-attribute-value rows: one scan of line items, unpivoted in place.
+
+    With ``features`` only their cells are built, and a table none of them needs is not read.
+    """
+    wanted = lambda name: features is None or name in features
+    static = _static_forms(spark, sf_dir, wanted)
+    measured = _visit_forms(spark, sf_dir, wanted)
+    if measured is None or static is None:
+        return static if measured is None else measured
+    return measured.unionByName(static)
+
+
+def _visit_forms(spark: SparkSession, sf_dir: str, wanted) -> DataFrame | None:
     orders = orders_since(spark, sf_dir).select(
         "o_orderkey",
         F.col("o_custkey").alias("subject_id"),
@@ -86,31 +98,37 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("discount", marked("l_discount")), ("tax", tax),
         ("returnflag", marked("l_returnflag")), ("linestatus", marked("l_linestatus")),
     ]
-    measured = visit.select(
+    if not any(wanted(n) for n, _ in cells):
+        return None
+    return visit.select(
         "subject_id", "form_name", F.date_diff("l_shipdate", "d0").alias("feature_delta"), base.alias("_base"),
         F.explode(F.array(*[
             F.struct(F.lit(n).alias("feature_name"), v.alias("feature_value"), F.lit(i).alias("_pos"))
-            for i, (n, v) in enumerate(cells)
+            for i, (n, v) in enumerate(cells) if wanted(n)
         ])).alias("_cell"),
     ).select(
         "subject_id", "form_name", "_cell.feature_name", "_cell.feature_value",
         F.lit("u").alias("feature_unit"), "feature_delta", (F.col("_base") + F.col("_cell._pos")).alias("row_seq"),
     )
+
+
+def _static_forms(spark: SparkSession, sf_dir: str, wanted) -> DataFrame | None:
     onset = F.when(F.col("c_acctbal") >= 0, (-(30 + F.floor(F.col("c_acctbal") / 5))).cast("string"))
     age = F.when(F.col("c_acctbal") < 9000, (30 + 2 * F.col("c_nationkey")).cast("string"))
-    static = table(spark, sf_dir, "customer").select(
+    cells = [("onset", onset, "days", 2), ("age", age, "years", 3), ("segment", F.col("c_mktsegment"), "", 4)]
+    if not any(wanted(n) for n, *_ in cells):
+        return None
+    return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("subject_id"),
-        F.explode(F.array(
-            F.struct(F.lit("onset").alias("feature_name"), onset.alias("feature_value"), F.lit("days").alias("feature_unit"), F.lit(2).alias("_pos")),
-            F.struct(F.lit("age").alias("feature_name"), age.alias("feature_value"), F.lit("years").alias("feature_unit"), F.lit(3).alias("_pos")),
-            F.struct(F.lit("segment").alias("feature_name"), F.col("c_mktsegment").alias("feature_value"), F.lit("").alias("feature_unit"), F.lit(4).alias("_pos")),
-        )).alias("_cell"),
+        F.explode(F.array(*[
+            F.struct(F.lit(n).alias("feature_name"), v.alias("feature_value"), F.lit(u).alias("feature_unit"), F.lit(p).alias("_pos"))
+            for n, v, u, p in cells if wanted(n)
+        ])).alias("_cell"),
     ).filter(F.col("_cell.feature_value").isNotNull()).select(
         "subject_id", F.lit("Clinic").alias("form_name"), "_cell.feature_name", "_cell.feature_value",
         "_cell.feature_unit", F.lit(0).alias("feature_delta"),
         (F.col("subject_id") * 1000 - F.col("_cell._pos")).alias("row_seq"),
     )
-    return measured.unionByName(static)
 
 
 def slope_response(spark: SparkSession, sf_dir: str) -> DataFrame:

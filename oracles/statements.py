@@ -232,3 +232,149 @@ S["backward_step_slope"] = cv_sql(DROP, "SELECT cluster, model_id, rep, round(rm
 S["cv_summary"] = cv_sql(ADD, "SELECT cluster, model_id, n_reps, round(mean_rmse,3) AS mean_rmse, failed_rmse FROM summ")
 S["best_model"] = cv_sql(ADD, "SELECT cluster, model_id, round(mean_rmse,3) AS mean_rmse FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY mean_rmse, model_id) AS place FROM summ) WHERE place=1")
 S["top_models"] = cv_sql(ADD, "SELECT cluster, place, model_id, round(mean_rmse,3) AS mean_rmse FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY mean_rmse, model_id) AS INT) AS place FROM summ) WHERE place<=20")
+
+# --- trees -----------------------------------------------------------------------------------------------
+from .survival import assign, card, hazard, km, newton, score, splits  # noqa: E402
+
+ROOT = [("rt", "SELECT *, CAST(1 AS BIGINT) AS node, slope AS a, slope*slope AS b FROM prepared WHERE slope IS NOT NULL")]
+SROOT = [
+    ("na_t", "SELECT time_event, sum(status) AS d, count(*) AS n FROM prepared WHERE time_event IS NOT NULL GROUP BY 1"),
+    ("na_r", "SELECT *, sum(n) OVER (ORDER BY time_event DESC) AS r FROM na_t"),
+    ("na", "SELECT time_event, sum(d/r) OVER (ORDER BY time_event) AS h FROM na_r"),
+    ("rt", "SELECT p.*, CAST(1 AS BIGINT) AS node, CAST(status AS DOUBLE) AS a, h AS b FROM prepared p JOIN na USING (time_event)"),
+]
+S["tree_best_split"] = with_(PREPARED, ROOT, splits("rt", "bs", 20, "anova", "node, feature")) + "SELECT feature, round(gain,0) AS gain, CAST(ln_ AS BIGINT) AS n_left, round(threshold,4) AS threshold FROM bs"
+S["surv_tree_best_split"] = with_(PREPARED, SROOT, splits("rt", "bs", 20, "exp", "node, feature")) + "SELECT feature, round(gain,4) AS gain, CAST(ln_ AS BIGINT) AS n_left, round(threshold,4) AS threshold FROM bs"
+OK = lambda b, src: [(f"{b}_ok", f"SELECT * FROM {b} WHERE gain >= 0.001*(SELECT sum(b)-sum(a)*sum(a)/count(*) FROM rt) AND node IN (SELECT node FROM {src} GROUP BY node HAVING count(*)>=60)")]
+TREE = [PREPARED, ROOT, splits("rt", "b1", 20, "anova", "node"), OK("b1", "rt"), assign("rt", "b1", "r1"),
+        splits("r1", "b2", 20, "anova", "node"), OK("b2", "r1"), assign("r1", "b2", "r2"), [
+    ("cuts", "SELECT * FROM b1_ok UNION ALL SELECT * FROM b2_ok"), ("levs", "SELECT * FROM b1_lev UNION ALL SELECT * FROM b2_lev WHERE node > 1"),
+    ("members", "SELECT DISTINCT subject_id, node, a FROM (SELECT subject_id, node, a FROM rt UNION ALL SELECT subject_id, node, a FROM r1 UNION ALL SELECT subject_id, node, a FROM r2)"),
+]]
+S["tree_fit"] = with_(*TREE) + """SELECT m.node, m.n, round(m.mean,3) AS mean, c.feature, round(c.threshold,4) AS threshold, l.left_levels, round(c.gain,0) AS gain
+FROM (SELECT node, count(*) AS n, avg(a) AS mean FROM members GROUP BY 1) m LEFT JOIN (SELECT DISTINCT node, feature, threshold, gain, key FROM cuts) c USING (node)
+LEFT JOIN (SELECT l.node, string_agg(DISTINCT l.level, ',' ORDER BY l.level) AS left_levels FROM levs l JOIN cuts c ON c.node=l.node AND c.feature=l.feature AND l.key<=c.key+1e-12*abs(c.key) GROUP BY 1) l USING (node)"""
+S["tree_to_rules"] = with_(*TREE) + "SELECT CAST(node AS INT) AS leaf, count(*) AS n, round(avg(a),3) AS mean_slope FROM r2 GROUP BY 1"
+
+# --- survival ----------------------------------------------------------------------------------------------
+XS = {1: ("price", "onset_age"), 2: ("discount", "prior_slope"), 3: ("tax", "quantity")}
+
+
+def xcase(i, models, extra="cluster"):
+    return "CASE cluster " + " ".join(f"WHEN {c} THEN ({m[i] if i < len(m) else '0.0'})::DOUBLE" for c, m in models.items()) + " END"
+
+
+def cox_rows(models, src="lab", name="cx"):
+    return [(name, f"SELECT subject_id, cluster, time_event AS time, status, {xcase(0, models)} AS x1, {xcase(1, models)} AS x2, {xcase(2, models)} AS x3 FROM {src} WHERE time_event IS NOT NULL AND cluster IS NOT NULL")]
+
+
+CX = [*LAB3, cox_rows(XS)]
+COX = [*CX, newton("cx", "nb", ["cluster"])]
+S["km_curve"] = with_(*CX, km("cx", "k", ["cluster"])) + "SELECT cluster, time, events, at_risk, round(survival,6) AS survival FROM k"
+S["cox_risk_sets"] = with_(*CX, [("b0", "SELECT DISTINCT cluster, 0.2 AS b1, -0.1 AS b2, 0.0 AS b3 FROM cx")], score("cx", "b0", "z", ["cluster"])) + \
+    "SELECT cluster, time, CAST(d AS BIGINT) AS events, round(r0,6) AS sum_risk, round(r1,6) AS sum_x1 FROM z_r WHERE d>0"
+S["cox_score_at_zero"] = with_(*CX, [("b0", "SELECT DISTINCT cluster, 0.0 AS b1, 0.0 AS b2, 0.0 AS b3 FROM cx")], score("cx", "b0", "z", ["cluster"])) + \
+    "SELECT cluster, round(loglik,5) AS loglik, round(u1,5) AS u1, round(u2,5) AS u2, round(i11,5) AS i11, round(i12,5) AS i12, round(i22,5) AS i22 FROM z"
+_terms = " UNION ALL ".join(
+    f"SELECT {c} AS cluster, '{m[i]}' AS term, b{i + 1} AS coef, sqrt({'i22' if i == 0 else 'i11'}/(i11*i22-i12*i12)) AS se FROM nb JOIN nb_s9 USING (cluster) WHERE cluster={c}" for c, m in XS.items() for i in (0, 1))
+S["cox_fit"] = with_(*COX) + f"SELECT t.cluster, t.term, round(t.coef,4) AS coef, round(t.se,4) AS std_error, CAST(e.n AS BIGINT) AS events, 1 AS converged FROM ({_terms}) t JOIN (SELECT cluster, sum(status) AS n FROM cx GROUP BY 1) e USING (cluster)"
+S["cox_risk"] = with_(*COX) + "SELECT subject_id, cluster, round(exp(eta - avg(eta) OVER (PARTITION BY cluster)),4) AS risk FROM (SELECT cx.*, b1*x1+b2*x2+b3*x3 AS eta FROM cx JOIN nb USING (cluster))"
+
+
+def probs(rows, name="pr"):
+    """Survival probabilities at the three horizons of ``rows(subject_id, cluster, x1..x3)``."""
+    return hazard("hz", "nb_s9", ["cluster"]) + [
+        ("lt", "SELECT cluster, max(time) AS last FROM cx GROUP BY 1"),
+        ("hh", "SELECT l.cluster, " + ", ".join(f"CASE WHEN any_value(l.last) >= {m}*30.5 THEN coalesce(max(h.h) FILTER (h.time <= {m}*30.5), 0) END AS h{m}" for m in (12, 18, 24)) + " FROM lt l LEFT JOIN hz h USING (cluster) GROUP BY 1"),
+        (name, "SELECT x.subject_id, x.cluster, " + ", ".join(f"exp(-h{m}*exp(b1*x1+b2*x2+b3*x3)) AS p{m}" for m in (12, 18, 24)) + f" FROM {rows} x LEFT JOIN nb USING (cluster) LEFT JOIN hh USING (cluster)"),
+    ]
+
+
+S["surv_prob"] = with_(*COX, probs("cx")) + "SELECT subject_id, cluster, round(p12,4) AS p12, round(p18,4) AS p18, round(p24,4) AS p24 FROM pr"
+MARK = [*LAB3, [("mk", "SELECT cluster, time_event AS time, status, round(onset_age,6) AS risk FROM lab WHERE time_event IS NOT NULL AND cluster IS NOT NULL")], card("mk", "cd", ["cluster"])]
+S["c_index"] = with_(*MARK) + "SELECT cluster, comparable, concordant, tied, round(c_index,6) AS c_index FROM cd_ci"
+S["auc_t"] = with_(*MARK) + "SELECT c.cluster, m*30.5::DOUBLE AS horizon, round(auc,6) AS auc FROM (SELECT DISTINCT cluster FROM mk) c CROSS JOIN range(31) t(m) LEFT JOIN cd_a USING (cluster, m)"
+S["iauc"] = with_(*MARK) + "SELECT cluster, round(iauc,6) AS iauc FROM cd"
+S["survival_scorecard"] = with_(*MARK) + "SELECT cluster, round(c_index,6) AS c_index, round(auc12,6) AS auc12, round(auc18,6) AS auc18, round(auc24,6) AS auc24, round(iauc,6) AS iauc FROM cd"
+
+FK = ["cluster", "model_id", "rep"]
+
+
+def cv_surv(candidates, tail, reps=3):
+    """``candidates``: (cluster, feature, model_id, [x1, x2, x3], gated)."""
+    def sel(c, f, mid, xs, gated):
+        xs = [*xs, "0.0", "0.0"][:3]
+        gate = f" AND (SELECT abundance FROM ab WHERE cluster={c} AND feature='{f}') < 0.77" if gated else ""
+        return f"SELECT cluster, '{mid}' AS model_id, rep, is_test, time_event AS time, status, " + ", ".join(f"({x})::DOUBLE AS x{i + 1}" for i, x in enumerate(xs)) + f" FROM split WHERE cluster={c}{gate}"
+    ab = [("ab", "SELECT cluster, feature, max(n)/CAST(sum(n) AS DOUBLE) AS abundance FROM (" + " UNION ALL ".join(
+        f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("onset_age", "quantity", "linestatus")) + ") GROUP BY 1, 2")]
+    return with_(*LAB3, [("tr", "SELECT * FROM lab WHERE time_event IS NOT NULL AND cluster IS NOT NULL")], split_cte(reps=reps), ab, [
+        ("lg", " UNION ALL ".join(sel(*x) for x in candidates)), ("cxt", "SELECT * FROM lg WHERE NOT is_test"),
+    ], newton("cxt", "nb", FK), [
+        ("mk", "SELECT l.cluster, l.model_id, l.rep, l.time, l.status, b1*x1+b2*x2+b3*x3 AS risk FROM lg l JOIN nb USING (cluster, model_id, rep) WHERE l.is_test"),
+    ], card("mk", "cd", FK)) + tail
+
+
+CARD = "SELECT cluster, model_id, rep, round(c_index,4) AS c_index, round(auc12,4) AS auc12, round(auc18,4) AS auc18, round(auc24,4) AS auc24, round(iauc,4) AS iauc FROM cd"
+_dx = {"onset_age": "onset_age", "quantity": "quantity", "linestatus": "CAST(linestatus='O' AS INT)"}
+SADD = [x for c, b in ((1, "price"), (2, "discount"), (3, "tax")) for f in _dx for x in (
+    (c, f, f"{b} + {f}", [b, _dx[f]], False), (c, f, f"{b} + {f} + {b}*{f}", [b, _dx[f], f"{b}*{_dx[f]}"], True))]
+S["forward_step_surv"] = cv_surv(SADD, CARD)
+S["backward_step_surv"] = cv_surv([(c, "", k, [k], False) for c, m in XS.items() for k in m], CARD)
+S["cross_validate_surv"] = cv_surv([(c, "", " + ".join(m), list(m), False) for c, m in XS.items()], CARD)
+S["top_models_surv"] = cv_surv(SADD, """SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY ci DESC, model_id) AS INT) AS place, model_id, round(ci,4) AS mean_c_index, round(ia,4) AS mean_iauc
+FROM (SELECT cluster, model_id, avg(c_index) AS ci, avg(iauc) AS ia FROM cd GROUP BY 1,2)""")
+
+# --- scoring -------------------------------------------------------------------------------------------------
+S["union_train_score"] = with_(WIDE, SLOPE) + "SELECT w.subject_id, CAST(s.subject_id IS NULL AS INT) AS is_scoring, round(price,5) AS price, segment, round(slope,5) AS slope FROM wide w LEFT JOIN slope_resp s USING (subject_id)"
+
+
+def joint(resp, table):
+    """Train on subjects in ``table``; prepare each other subject against the training rows and itself."""
+    wide2 = [(n, b.replace("WHERE feature_name='onset'", f"WHERE feature_name='onset' AND subject_id IN (SELECT subject_id FROM {table})") if n == "med" else b) for n, b in WIDE]
+    first = [x for x in wide2 if x[0] in {n for n, _ in MEASURED}]
+    cols = ", ".join(NUMERICS)
+    out = first + [x for x in resp if x not in first] + [x for x in wide2 if x not in first] + [
+        ("known", f"SELECT wide.*, r.* EXCLUDE (subject_id) FROM wide JOIN {table} r USING (subject_id)"),
+        ("newc", f"SELECT * FROM wide WHERE subject_id NOT IN (SELECT subject_id FROM {table})"),
+    ] + knn("known", "kimp", NUMERICS) + [
+        ("newk", "SELECT subject_id, " + cols + ", " + ", ".join(f"CASE WHEN {c} IN (SELECT {c} FROM known) THEN {c} END AS {c}" for c in CATEGORICALS) + " FROM newc"),
+    ] + knn("newk", "nimp", NUMERICS, pool="known") + [("low", "SELECT min(price) AS low FROM kimp")]
+    from .prepared import mode, shaped
+    low = "(SELECT low FROM low)"
+    out += [
+        ("kshape", "SELECT * REPLACE (" + ", ".join(f"{shaped(c, low)} AS {c}" for c in ("price", "onset", "quantity")) + ") FROM kimp"),
+        ("kmom", "SELECT " + ", ".join(f"avg({c}) AS a_{c}, stddev_samp({c}) AS s_{c}" for c in NUMERICS) + " FROM kshape"),
+        ("prepared", "SELECT k.subject_id, k.* EXCLUDE (subject_id, " + cols + ", " + ", ".join(CATEGORICALS) + "), " + ", ".join(f"(k.{c}-m.a_{c})/nullif(m.s_{c},0) AS {c}" for c in NUMERICS) + ", "
+         + ", ".join(f"coalesce(k.{c}, {mode('kimp', c)}) AS {c}" for c in CATEGORICALS) + " FROM kshape k, kmom m"),
+        # brute force: the new subject's value next to every training value
+        ("cand", "SELECT subject_id AS sid, TRUE AS own, least(price, (SELECT low FROM low)) AS lo, " + cols + " FROM nimp UNION ALL SELECT n.subject_id, FALSE, least(n.price, (SELECT low FROM low)), "
+         + ", ".join(f"k.{c}" for c in NUMERICS) + " FROM nimp n, kimp k"),
+        ("cshape", "SELECT sid, own, " + ", ".join(f"{shaped(c, 'lo')} AS {c}" for c in NUMERICS) + " FROM cand"),
+        ("cmom", "SELECT sid, " + ", ".join(f"avg({c}) AS a_{c}, stddev_samp({c}) AS s_{c}" for c in NUMERICS) + " FROM cshape GROUP BY 1"),
+        ("ready", "SELECT c.sid AS subject_id, " + ", ".join(f"(c.{c}-m.a_{c})/nullif(m.s_{c},0) AS {c}" for c in NUMERICS) + ", " + ", ".join(f"coalesce(n.{c}, {mode('kimp', c)}) AS {c}" for c in CATEGORICALS)
+         + " FROM cshape c JOIN cmom m USING (sid) JOIN nimp n ON n.subject_id=c.sid WHERE c.own"),
+    ]
+    return out
+
+
+S["score_prepare"] = with_(joint(SLOPE, "slope_resp")) + "SELECT subject_id, " + ", ".join(r(c, 5) for c in NUMERICS) + ", returnflag, linestatus, segment FROM ready"
+SCORE_LAB = [joint(SLOPE, "slope_resp"), [("lab0", "SELECT subject_id, slope, " + ", ".join(NUMERICS + CATEGORICALS) + " FROM prepared UNION ALL SELECT subject_id, NULL, " + ", ".join(NUMERICS + CATEGORICALS) + " FROM ready")],
+             classify("lab0", "lab", C4)]
+S["score_batch_slope"] = with_(*SCORE_LAB, FITF, PRED) + """SELECT p.subject_id, p.cluster, round(coalesce(fit, mean_fit),3) AS fit, round(CASE WHEN fit IS NULL THEN 0 ELSE se END,3) AS se, CAST(fit IS NULL AS INT) AS replaced
+FROM pred p LEFT JOIN means USING (cluster) WHERE p.subject_id IN (SELECT subject_id FROM ready)"""
+_cols = ", ".join(NUMERICS + CATEGORICALS)
+SURV_LAB = [joint(SURV, "surv_resp"), [("lab0", f"SELECT subject_id, time_event, status, {_cols} FROM prepared UNION ALL SELECT subject_id, NULL, NULL, {_cols} FROM ready")], classify("lab0", "lab", C4),
+            cox_rows(XS), newton("cx", "nb", ["cluster"]),
+            [("allx", f"SELECT subject_id, cluster, time_event, {xcase(0, XS)} AS x1, {xcase(1, XS)} AS x2, {xcase(2, XS)} AS x3 FROM lab")], probs("allx"),
+            [("pm", "SELECT p.cluster, avg(p12) AS m12, avg(p18) AS m18, avg(p24) AS m24 FROM pr p JOIN allx a USING (subject_id) WHERE a.time_event IS NOT NULL GROUP BY 1")]]
+S["score_batch_survival"] = with_(*SURV_LAB) + "SELECT subject_id, cluster, " + ", ".join(f"round(coalesce(p{m}, m{m}),4) AS p{m}" for m in (12, 18, 24)) + ", CAST(p12 IS NULL AS INT) AS replaced FROM pr LEFT JOIN pm USING (cluster) WHERE subject_id IN (SELECT subject_id FROM ready)"
+SEL = [*LAB3, FORMS, [("need", "SELECT * FROM (VALUES (1,'price'),(1,'onset'),(1,'age'),(2,'discount'),(2,'onset'),(2,'quantity'),(3,'tax'),(3,'quantity')) t(cluster, feature_name)"),
+       ("picked", "SELECT f.*, l.cluster FROM forms f JOIN lab l USING (subject_id) JOIN need n ON n.cluster=l.cluster AND n.feature_name=f.feature_name")]]
+S["select_rows"] = with_(*SEL) + "SELECT subject_id, cluster, feature_name, feature_value, feature_delta, row_seq FROM picked"
+S["parse_cluster_tag"] = with_(*SEL) + "SELECT cluster, count(DISTINCT subject_id) AS n_lines FROM picked GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM picked"
+S["format_predictions"] = with_(*LAB3, FITF, PRED) + "SELECT subject_id, concat_ws('|', coalesce(CAST(CAST(round(fit,2) AS DECIMAL(18,2)) AS VARCHAR),'NA'), coalesce(CAST(CAST(round(se,2) AS DECIMAL(18,2)) AS VARCHAR),'NA')) AS line FROM pred"
+S["model_registry"] = with_(*LAB3, FITF, names_cte(FULL)) + f"""SELECT nm.cluster, term, round(f.v,4) AS coef, round(sqrt(s.sigma2*q.v),4) AS std_error, s.n
+FROM nm JOIN fit f ON f.cluster=nm.cluster AND f.i=nm.position AND f.j={PF} JOIN fit q ON q.cluster=nm.cluster AND q.i=nm.position AND q.j={PF}+1+nm.position JOIN fit_s s ON s.cluster=nm.cluster"""
+S["roundtrip_wide"] = S["collapse_wide"]
+S["read_forms_text"] = with_(FORMS) + f"SELECT feature_name, count(*) AS n, count(feature_value) AS n_value, round(avg({number('feature_value')}),6) AS mean_value, round(CAST(sum(feature_delta) AS DOUBLE),6) AS sum_delta FROM forms GROUP BY 1"
