@@ -8,7 +8,7 @@ aggregate turns those rows into columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_median
@@ -17,39 +17,35 @@ from ..sources.bridge import Roles
 from . import clean
 
 
-def _earliest(when: Column, *payload: Column) -> Column:
-    """Smallest struct among the rows that satisfy ``when`` (first in file order)."""
-    return F.min(F.when(when, F.struct(*payload)))
-
-
 def cells(rows: DataFrame, roles: Roles, days: int = 92, mark: str = "-") -> DataFrame:
-    """Partial results per (subject, feature, category value).
+    """Partial results per (subject, feature, text).
 
-    Rows that carry the missing mark add nothing but keep their subject in the result, so the
+    ``text`` is the category of categorical rows and null for plain numbers, which reduce to sums.
+    The few rows that must keep their order (total score inside the window, onset, age) also carry
+    their place in the key. All results are plain numbers, so this is a hash aggregate in generated
+    code. Rows with the missing mark add nothing but keep their subject in the result, so the
     universe of subjects needs no second scan.
     """
     real = clean.keep_measured(F.col("feature_value"), mark)
+    is_cat = F.col("feature_name").isin(*roles.categorical)
     named = rows.select(
-        "subject_id", "feature_name", "row_seq", "delta", real.alias("_real"), F.when(real, F.col("feature_value")).alias("feature_value")
+        "subject_id", "feature_name", "row_seq", "delta", is_cat.alias("_is_cat"), real.alias("_real"),
+        ((F.col("delta") < days) & real).alias("_inside"), F.when(real, F.col("feature_value")).alias("_value"),
     )
-    is_cat = F.col("feature_name").isin(*roles.categorical)
-    inside = (F.col("delta") < days) & F.col("_real")
-    number = F.when(~is_cat, lenient_double("feature_value"))
+    inside = F.col("_inside")
     latest = (F.col("feature_name") == roles.total_score) & inside
-    static = F.col("feature_name").isin(roles.onset, roles.age) & F.col("_real")
+    placed = latest | (F.col("feature_name").isin(roles.onset, roles.age) & F.col("_real"))
+    # numbers are parsed inside the window only, nothing else is summed
+    number = F.when(inside & ~F.col("_is_cat"), lenient_double("_value"))
     return (
-        named.withColumn("_cat", F.when(is_cat, F.col("feature_value")))
+        named.withColumn("_text", F.when(F.col("_is_cat") | placed, F.col("_value")))
+        .withColumn("_seq", F.when(placed, F.col("row_seq")))
+        .withColumn("_day", F.when(latest, F.col("delta")))
         .withColumn("_x", number)
-        .groupBy("subject_id", "feature_name", "_cat")
+        .groupBy("subject_id", "feature_name", "_text", "_seq", "_day")
         .agg(
-            F.sum(F.when(inside, F.col("_x"))).alias("_sum"),
-            F.count(F.when(inside, F.col("_x"))).alias("_n"),
-            F.min(F.when(inside, F.col("_x"))).alias("_min"),
-            F.count(F.when(inside & (F.col("_cat") != ""), F.lit(1))).alias("_seen"),
-            _earliest(
-                latest, (-F.col("delta")).alias("back"), F.col("row_seq").alias("seq"), F.col("feature_value").alias("text")
-            ).alias("_latest"),
-            _earliest(static, F.col("row_seq").alias("seq"), F.col("feature_value").alias("text")).alias("_first"),
+            F.sum("_x").alias("_sum"), F.count("_x").alias("_n"), F.min("_x").alias("_min"),
+            F.count(F.when(inside & F.col("_is_cat") & (F.col("_value") != ""), F.lit(1))).alias("_seen"),
             F.max(F.when(F.col("_real") & (F.col("feature_name") == roles.total_score) & F.col("delta").isNull(), 1).otherwise(0)).alias("_nodate"),
         )
     )
@@ -70,13 +66,15 @@ def collapse(forms: DataFrame, roles: Roles, excluded, *, days: int = 92, mark:
     ]
     # most frequent value, smallest on ties
     aggs += [
-        F.min(F.when(mine(f) & (F.col("_seen") > 0), F.struct((-F.col("_seen")).alias("n"), F.col("_cat").alias("v"))))["v"].alias(f)
+        F.min(F.when(mine(f) & (F.col("_seen") > 0), F.struct((-F.col("_seen")).alias("n"), F.col("_text").alias("v"))))["v"].alias(f)
         for f in roles.categorical
     ]
+    earliest = F.struct(F.col("_seq").alias("seq"), F.col("_text").alias("text"))
     aggs += [
-        F.min("_latest").alias("_latest"), F.max("_nodate").alias("_nodate"),
-        F.min(F.when(mine(roles.onset), F.col("_first")))["text"].alias("_onset_text"),
-        F.min(F.when(mine(roles.age), F.col("_first")))["text"].alias("_age_text"),
+        F.min(F.when(F.col("_day").isNotNull(), F.struct((-F.col("_day")).alias("back"), F.col("_seq").alias("seq"), F.col("_text").alias("text")))).alias("_latest"),
+        F.max("_nodate").alias("_nodate"),
+        F.min(F.when(mine(roles.onset) & F.col("_seq").isNotNull(), earliest))["text"].alias("_onset_text"),
+        F.min(F.when(mine(roles.age) & F.col("_seq").isNotNull(), earliest))["text"].alias("_age_text"),
     ]
     wide = cut.groupBy("subject_id").agg(*aggs)
     onset, age = lenient_double("_onset_text"), lenient_double("_age_text")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import from_rows
+from ..session import from_rows, small_or_stored
 from . import design as dz
 
 PIVOT_TOLERANCE = 1e-11
@@ -148,7 +148,7 @@ def term_table(fits: DataFrame, designs: dict[int, list[dz.DesignColumn]]) -> Da
 def predict_ols(rows: DataFrame, fits: DataFrame, designs: dict[int, list[dz.DesignColumn]]) -> DataFrame:
     """Add fit, standard error of the mean and the 95% prediction interval; null on missing terms."""
     x, width = dz.vector(designs)
-    model = fits.select("cluster", "coef", "inverse", "sigma2", "t975")
+    model = small_or_stored(fits.select("cluster", "coef", "inverse", "sigma2", "t975"), "models")
     both = rows.withColumn("_x", x).join(model, "cluster", "left")
     at = lambda i: F.col("_x")[i]
     fit = sum((at(i) * F.col("coef")[i] for i in range(width)), F.lit(0.0))
@@ -172,7 +172,7 @@ def stratum_means(predicted: DataFrame, columns) -> DataFrame:
 
 def fill_with_fallback(predicted: DataFrame, fallback: DataFrame, columns, zero=()) -> DataFrame:
     """Replace missing predictions by the stratum mean and flag them."""
-    both = predicted.join(fallback, "cluster", "left")
+    both = predicted.join(small_or_stored(fallback, "fallback"), "cluster", "left")
     out = {"replaced": F.when(F.col(columns[0]).isNull(), 1).otherwise(0)}
     out |= {c: F.coalesce(F.col(c), F.col(f"mean_{c}")) for c in columns}
     out |= {c: F.when(F.col(columns[0]).isNull(), F.lit(0.0)).otherwise(F.col(c)) for c in zero}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import rank_cut
 from ..functions.scalar import draw_key
+from ..session import small_or_stored
 
 
 def _repeated(rows: DataFrame, keys: list[str], reps: int, seed: int, id_column: str) -> DataFrame:
@@ -24,11 +25,11 @@ def holdout_cuts(rows: DataFrame, *, reps: int, seed: int, share: float | None =
                  keys: tuple[str, ...] = ("cluster",), id_column: str = "subject_id") -> DataFrame:
     """One row per (stratum, repetition): the last draw that still belongs to the test part."""
     keys = list(keys)
-    base = rows.dropna(subset=keys) if keys else rows
+    base = rows.dropna(subset=keys)
     if size is None:
         n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
         quota = n.withColumn("quota", F.round(F.col("_size") * F.lit(share)).cast("bigint")).drop("_size")
-        base = base.join(quota, keys) if keys else base.join(quota)
+        base = base.join(small_or_stored(quota, "quota"), keys)
     else:
         base = base.withColumn("quota", F.lit(size).cast("bigint"))
     drawn = _repeated(base, keys + ["quota"], reps, seed, id_column)
@@ -44,9 +45,8 @@ def holdout_split(rows: DataFrame, *, reps: int, seed: int, share: float | None
                   keys: tuple[str, ...] = ("cluster",), id_column: str = "subject_id") -> DataFrame:
     """All (stratum, repetition, subject) with the ``is_test`` flag."""
     cuts = holdout_cuts(rows, reps=reps, seed=seed, share=share, size=size, keys=keys, id_column=id_column)
-    both = rows.join(cuts, list(keys)) if keys else _repeated(rows, list(rows.columns[:0]), reps, seed, id_column).join(cuts, "rep")
-    return both.withColumn("is_test", is_test(seed, F.col("rep"), id_column, F.col("cut_draw"), F.col("cut_tie"))).drop(
-        "cut_draw", "cut_tie", "draw"
+    return rows.join(small_or_stored(cuts, "cuts"), list(keys)).withColumn("is_test", is_test(seed, F.col("rep"), id_column, F.col("cut_draw"), F.col("cut_tie"))).drop(
+        "cut_draw", "cut_tie"
     )
 
 

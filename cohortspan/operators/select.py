@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from . import design as dz
 from . import resample
 from .linear import solve
-from ..session import materialize
+from ..functions.ordered import longest_group
+from ..session import materialize, small_or_stored
 
 FLUSH_BYTES = 64 << 20
 
@@ -191,7 +192,7 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
     base = rows.filter(F.col("cluster").isin(*plans) & F.col(y).isNotNull()).select("subject_id", "cluster", y, *columns)
     rows_x = materialize(_design_rows(base, plans, y).select("subject_id", "cluster", "x"), "design")
     _centre(rows_x, plans)
-    cuts = materialize(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
+    cuts = small_or_stored(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
     flagged = resample.test_flags(rows_x, cuts, seed, block=block)
     flagged = flagged.withColumn("whole", (F.col("rep_block") == 0).cast("double")).drop("subject_id")
     if pool is not None and pool_size:
@@ -199,7 +200,7 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
             "cluster", F.explode(F.array(*[F.lit(c) for c in plans]))
         )
         spread = _design_rows(spread.select("subject_id", "cluster", y, *columns), plans, y).select("subject_id", "cluster", "x")
-        pool_cuts = resample.holdout_cuts(spread, reps=reps, seed=seed + 1, size=pool_size)
+        pool_cuts = small_or_stored(resample.holdout_cuts(spread, reps=reps, seed=seed + 1, size=pool_size), "cuts")
         drawn = resample.test_flags(spread, pool_cuts, seed + 1, block=block)
         flagged = flagged.unionByName(drawn.withColumn("whole", F.lit(0.0)).drop("subject_id"))
     sums = materialize(_sums(flagged, plans), "sums")
@@ -301,7 +302,7 @@ def cv_survival(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], le
         rows.filter(F.col("cluster").isin(*models) & F.col("time_event").isNotNull() & F.col("status").isNotNull())
         .select("subject_id", "cluster", "time_event", "status", *columns), "cv-rows",
     )
-    cuts = materialize(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
+    cuts = small_or_stored(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
     cells = None
     for c, ms in designs.items():
         arr = F.array(*[
@@ -317,10 +318,13 @@ def cv_survival(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], le
         "cluster", F.col("m.model_id").alias("model_id"), "rep", "is_test", "time", "status", F.col("m.x").alias("x")
     ).filter(~F.exists("x", lambda v: v.isNull()))
     train = long.filter(~F.col("is_test")).drop("is_test")
-    fits = materialize(survival.fit_cox(train, FIT_KEYS, width), "cv-fits")
+    longest = longest_group(base.select("cluster", "time_event").distinct(), ["cluster"])
+    # the exploded rows are rebuilt in each step; only the compact rows are stored
+    fits = materialize(survival.fit_cox(train, FIT_KEYS, width, stored=True, longest=longest), "cv-fits")
     test = long.filter("is_test").drop("is_test").join(fits.select(*FIT_KEYS, "beta"), FIT_KEYS)
-    # a constant factor per fit changes no ranking, so the training mean need not be taken out
-    scored = test.withColumn("risk", survival.linear_predictor(width)).select(*FIT_KEYS, "time", "status", "risk")
+    # a constant factor per fit changes no ranking, so the training mean need not be taken out;
+    # scores that agree to nine decimals count as tied
+    scored = test.withColumn("risk", F.round(survival.linear_predictor(width), 9)).select(*FIT_KEYS, "time", "status", "risk")
     return metrics.scorecard(materialize(scored, "cv-scored"), FIT_KEYS, score="risk", time="time", status="status")
 
 

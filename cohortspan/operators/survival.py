@@ -159,16 +159,21 @@ def _newton(info: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndar
     return coef, inverse
 
 
-def fit_cox(rows: DataFrame, keys: list[str], p: int, *, max_iter: int = 20, tol: float = 1e-9) -> DataFrame:
+def fit_cox(rows: DataFrame, keys: list[str], p: int, *, max_iter: int = 20, tol: float = 1e-9, stored: bool = False,
+            longest: int | None = None) -> DataFrame:
     """Fit one Cox model per key, all keys in the same job per Newton step.
 
     ``rows``: keys, time, status, x (array of width p). Returns keys, beta, inverse (flat), loglik,
     gradient_norm, events, iterations, converged. A step that lowers the likelihood is halved.
+    ``stored`` rows are cheap to read again and are not written; ``longest`` bounds the distinct
+    times of a key when it is known.
     """
-    rows = materialize(rows, "cox")
+    if not stored:
+        rows = materialize(rows, "cox")
     kinds = dict(rows.dtypes)
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    longest = longest_group(rows.select(*keys, "time").distinct(), keys)
+    if longest is None:
+        longest = longest_group(rows.select(*keys, "time").distinct(), keys)
     schema = (f"{key_schema}, beta array<double>, good array<double>, good_ll double, inverse array<double>, "
               "loglik double, gradient_norm double, events bigint, iterations int, active boolean, converged boolean")
     zero = F.array(*[F.lit(0.0)] * p)

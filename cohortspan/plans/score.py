@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.scalar import rounded  # noqa: F401  (re-exported for callers)
 from ..operators import clean, collapse, design, linear, strata, survival, transform
-from ..session import from_rows, materialize
+from ..session import from_rows, materialize, small_or_stored
 from ..sources.bridge import Roles
 
 
@@ -26,7 +26,7 @@ def stratum_features(models: dict[int, tuple[str, ...]], derived: dict[str, tupl
 def select_rows(forms: DataFrame, labels: DataFrame, needed: dict[int, list[str]]) -> DataFrame:
     """Raw rows of each labelled subject restricted to its stratum's features."""
     pairs = from_rows(forms.sparkSession, [(c, f) for c, fs in needed.items() for f in fs], "cluster int, feature_name string")
-    return forms.join(labels.select("subject_id", "cluster"), "subject_id").join(F.broadcast(pairs), ["cluster", "feature_name"])
+    return forms.join(labels.select("subject_id", "cluster"), "subject_id").join(pairs, ["cluster", "feature_name"])
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def fit_survival(rows: DataFrame, models: dict[int, tuple[str, ...]], level_map)
 
 def survival_levels(data: DataFrame, fits: DataFrame, width: int, horizons=fixed.HORIZON_DAYS) -> DataFrame:
     hazard = survival.baseline_hazard(data, fits, ["cluster"], width)
-    return materialize(survival.horizon_hazards(hazard, fits, horizons, ["cluster"]), "hazard")
+    return small_or_stored(survival.horizon_hazards(hazard, fits, horizons, ["cluster"]), "hazard")
 
 
 PROBABILITIES = ("p12", "p18", "p24")

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -39,6 +41,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of driver-held parameters (rules, terms, coefficients)."""
-    return spark.createDataFrame(rows, schema)
+SMALL_ROWS = 50_000
+
+
+def from_rows(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A table of driver-held parameters (rules, terms, coefficients); small by check, so broadcast."""
+    if len(rows) > SMALL_ROWS:
+        raise ValueError("parameter tables are small; write larger ones to storage")
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def small_or_stored(df: DataFrame, name: str = "small") -> DataFrame:
+    """Evaluate once: a table that proves small becomes a broadcast parameter table, others are written."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    if len(rows) <= SMALL_ROWS:
+        return from_rows(df.sparkSession, rows, df.schema)
+    return materialize(df, name)

@@ -53,6 +53,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores (one small file) one partition per core.
+
+    Large tables have far more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("d0"), F.max("o_orderdate").alias("d1")
@@ -86,7 +95,7 @@ def _visit_forms(spark: SparkSession, sf_dir: str, wanted) -> DataFrame | None:
         .otherwise("Clinic").alias("form_name"),
         "d0",
     )
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem").drop("l_partkey", "l_suppkey"), "l_orderkey")
     visit = items.join(orders, items.l_orderkey == orders.o_orderkey)
     base = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10
     marked = lambda c: F.when(F.col("l_linenumber") == 4, "-").otherwise(F.col(c).cast("string"))

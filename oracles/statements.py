@@ -311,7 +311,7 @@ def cv_surv(candidates, tail, reps=3):
     return with_(*LAB3, [("tr", "SELECT * FROM lab WHERE time_event IS NOT NULL AND cluster IS NOT NULL")], split_cte(reps=reps), ab, [
         ("lg", " UNION ALL ".join(sel(*x) for x in candidates)), ("cxt", "SELECT * FROM lg WHERE NOT is_test"),
     ], newton("cxt", "nb", FK), [
-        ("mk", "SELECT l.cluster, l.model_id, l.rep, l.time, l.status, b1*x1+b2*x2+b3*x3 AS risk FROM lg l JOIN nb USING (cluster, model_id, rep) WHERE l.is_test"),
+        ("mk", "SELECT l.cluster, l.model_id, l.rep, l.time, l.status, round(b1*x1+b2*x2+b3*x3, 9) AS risk FROM lg l JOIN nb USING (cluster, model_id, rep) WHERE l.is_test"),
     ], card("mk", "cd", FK)) + tail
 
 

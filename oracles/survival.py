@@ -83,7 +83,7 @@ def card(src, name, keys):
         (f"{name}_gd", f"SELECT {k}, x0, x1, last, CAST(q AS INT) AS q, x0+(x1-x0)*q/512.0 AS x FROM {name}_sp, range(513) t(q)"),
         (f"{name}_y", f"SELECT {pk('g')}, g.x0, g.x1, q, CASE WHEN q=512 THEN last ELSE s.auc+(s.auc2-s.auc)*(g.x-s.h)/(s.h2-s.h) END AS y FROM {name}_gd g LEFT JOIN {name}_sg s ON {eqk('g', 's', keys)} AND g.q<512 AND g.x>=s.h AND g.x<s.h2"),
         (f"{name}_i", f"SELECT {k}, sum(y*CASE WHEN q IN (0,512) THEN 1 WHEN q%2=1 THEN 4 ELSE 2 END)*(any_value(x1)-any_value(x0))/512/3/915.0 AS iauc FROM {name}_y GROUP BY {k}"),
-        (name, f"""SELECT {pk('c')}, c.c_index, i.iauc, a.auc12, a.auc18, a.auc24 FROM {name}_ci c JOIN (SELECT {k}, max(auc) FILTER (m=12) AS auc12, max(auc) FILTER (m=18) AS auc18,
+        (name, f"""SELECT {pk('c')}, c.c_index, i.iauc, a.auc12, a.auc18, a.auc24 FROM {name}_ci c LEFT JOIN (SELECT {k}, max(auc) FILTER (m=12) AS auc12, max(auc) FILTER (m=18) AS auc18,
           max(auc) FILTER (m=24) AS auc24 FROM {name}_a GROUP BY {k}) a ON {eqk('c', 'a', keys)} LEFT JOIN {name}_i i ON {eqk('c', 'i', keys)}"""),
     ]
 
