@@ -37,7 +37,7 @@ def running_totals(
     descending: bool = False,
     exclusive: bool = False,
     longest: int | None = None,
-    limit: int = WINDOW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``sums[out] = column`` as running totals of ``column`` over ``order`` inside ``keys``.
 
@@ -45,6 +45,7 @@ def running_totals(
     row out. ``longest`` is the known length of the longest group; when it is not given the input
     is written once and measured.
     """
+    limit = limit or WINDOW_LIMIT
     if longest is None:
         df = materialize(df, "ordered")
         longest = longest_group(df, keys)
@@ -108,7 +109,7 @@ def rank_cut(df: DataFrame, keys: list[str], draw: str, tie: str, quota: str, *,
     )
 
 
-def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, *, limit: int = WINDOW_LIMIT) -> DataFrame:
+def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, *, limit: int | None = None) -> DataFrame:
     """Exact interpolated median per group from counts per distinct value (nulls skipped)."""
     keys = list(keys or [])
     marked = df.filter(F.col(value).isNotNull())

@@ -204,32 +204,32 @@ def two_means_blocks(df: DataFrame, columns, id_column: str = "subject_id", *, m
     """
     columns = list(columns)
     x = [F.col(c) for c in columns]
-    state = materialize(df.withColumn("block", F.lit(0).cast("bigint")).withColumn("_done", F.lit(False)), "blocks")
+    state = materialize(df.withColumn("block", F.lit(0).cast("bigint")), "blocks")
     gap = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), (a - b) * (a - b)).otherwise(0.0)
     while True:
         sizes = state.groupBy("block").agg(
             F.count(F.lit(1)).alias("_n"),
-            *[F.min_by(c, F.xxhash64(F.col(id_column), F.lit(seed))).alias(f"a{i}") for i, c in enumerate(columns)],
-            *[F.max_by(c, F.xxhash64(F.col(id_column), F.lit(seed))).alias(f"b{i}") for i, c in enumerate(columns)],
+            *[F.min_by(c, F.xxhash64(F.col(id_column), F.lit(seed))).alias(f"_a{i}") for i, c in enumerate(columns)],
+            *[F.max_by(c, F.xxhash64(F.col(id_column), F.lit(seed))).alias(f"_b{i}") for i, c in enumerate(columns)],
         )
         big = materialize(sizes.filter(F.col("_n") > max_block), "centres")
         if big.isEmpty():
-            return state.drop("_done")
+            return state
         centres = big
         for _ in range(rounds):
             joined = state.join(centres, "block")
-            to_a = sum((gap(x[i], F.col(f"a{i}")) for i in range(len(x))), F.lit(0.0))
-            to_b = sum((gap(x[i], F.col(f"b{i}")) for i in range(len(x))), F.lit(0.0))
+            to_a = sum((gap(x[i], F.col(f"_a{i}")) for i in range(len(x))), F.lit(0.0))
+            to_b = sum((gap(x[i], F.col(f"_b{i}")) for i in range(len(x))), F.lit(0.0))
             side = joined.withColumn("_side", (to_b < to_a))
             centres = materialize(side.groupBy("block").agg(
                 F.max("_n").alias("_n"),
-                *[F.avg(F.when(~F.col("_side"), c)).alias(f"a{i}") for i, c in enumerate(columns)],
-                *[F.avg(F.when(F.col("_side"), c)).alias(f"b{i}") for i, c in enumerate(columns)],
+                *[F.avg(F.when(~F.col("_side"), F.col(c))).alias(f"_a{i}") for i, c in enumerate(columns)],
+                *[F.avg(F.when(F.col("_side"), F.col(c))).alias(f"_b{i}") for i, c in enumerate(columns)],
                 F.sum(F.col("_side").cast("bigint")).alias("_nb"),
             ), "centres")
         joined = state.join(centres, "block", "left")
-        to_a = sum((gap(x[i], F.col(f"a{i}")) for i in range(len(x))), F.lit(0.0))
-        to_b = sum((gap(x[i], F.col(f"b{i}")) for i in range(len(x))), F.lit(0.0))
+        to_a = sum((gap(x[i], F.col(f"_a{i}")) for i in range(len(x))), F.lit(0.0))
+        to_b = sum((gap(x[i], F.col(f"_b{i}")) for i in range(len(x))), F.lit(0.0))
         stuck = (F.coalesce(F.col("_nb"), F.lit(0)) == 0) | (F.col("_nb") == F.col("_n"))
         ways = F.ceil(2 * F.col("_n") / F.lit(max_block))
         dealt = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed + 7)), ways)
@@ -238,7 +238,7 @@ def two_means_blocks(df: DataFrame, columns, id_column: str = "subject_id", *, m
         state = materialize(
             joined.withColumn(
                 "block", F.when(F.col("_n").isNull(), F.col("block")).otherwise(F.xxhash64("block", part.cast("bigint")))
-            ).select(*df.columns, "block", "_done"), "blocks",
+            ).select(*df.columns, "block"), "blocks",
         )
 
 
