@@ -136,14 +136,17 @@ def _fill(x: np.ndarray, pool: np.ndarray, self_pos: np.ndarray, means: np.ndarr
 
 
 def knn_impute(df: DataFrame, columns, id_column: str = "subject_id", *, pool: DataFrame | None = None,
-               model: ImputeModel | None = None, **limits) -> DataFrame:
+               model: ImputeModel | None = None, blocks: str = "id", max_block: int = 1500, **limits) -> DataFrame:
     """Fill missing numerics with the mean of the k nearest rows, else with the column mean.
 
+    A table above ``max_block`` rows is cut first: by subject id (``blocks="id"``, also stated in
+    SQL) or by recursive 2-means (``blocks="two_means"``), which keeps similar rows together.
+
     Rows above the row limit get column means and never act as neighbours. With ``pool`` the
     neighbours come from those reference rows only, so new subjects cannot change one another.
     """
     columns = list(columns)
-    model = model or fit(pool if pool is not None else df, columns, **limits)
+    model = model or fit(pool if pool is not None else df, columns, max_block=max_block, **limits)
     means = np.array([np.nan if model.means[c] is None else model.means[c] for c in columns])
     few_missing = missing_cells(columns) <= model.row_limit * len(columns)
     searched = few_missing & (missing_cells(columns) > 0)
@@ -168,7 +171,10 @@ def knn_impute(df: DataFrame, columns, id_column: str = "subject_id", *, pool: D
                 out.loc[need, columns] = fill_block(pdf.iloc[need], x, need)[columns].to_numpy()
             return out
 
-        near = df.filter(few_missing).withColumn("_block", block_of(id_column, model.blocks))
+        if blocks == "two_means" and model.blocks > 1:
+            near = two_means_blocks(df.filter(few_missing), columns, id_column, max_block=max_block).withColumnRenamed("block", "_block")
+        else:
+            near = df.filter(few_missing).withColumn("_block", block_of(id_column, model.blocks))
         near = near.groupBy("_block").applyInPandas(within, schema)
         return near.unionByName(df.filter(~few_missing).withColumns(plain))
 

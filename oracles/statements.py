@@ -46,7 +46,7 @@ from .prepared import BASE, C1, C2, C3, C4, IMPUTED, PREPARED, SCALED, classify,
 
 NEIGH = WIDE + knn("wide", "near", NUMERICS)
 S["knn_neighbours"] = with_(NEIGH) + "SELECT subject_id, neighbour_id, CAST(place AS INT) AS place, round(distance,4) AS distance FROM near_near"
-S["knn_impute"] = with_(NEIGH) + "SELECT subject_id, " + ", ".join(r(c, DIGITS.get(c, 5)) for c in NUMERICS) + " FROM near"
+S["knn_impute"] = with_(NEIGH) + "SELECT subject_id, " + ", ".join(r(c if c != "price" else "price + 1e-7", DIGITS.get(c, 5), c) for c in NUMERICS) + " FROM near"
 S["mode_impute"] = with_(WIDE) + "SELECT subject_id, " + ", ".join(
     f"coalesce({c}, (SELECT {c} FROM wide WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in CATEGORICALS) + " FROM wide"
 S["column_stats"] = with_(WIDE) + " UNION ALL ".join(

@@ -55,6 +55,12 @@ def test_knn_against_a_pool_with_split_targets(spark, monkeypatch):
     assert np.allclose(got, _brute(x, pool=pool))
 
 
+def test_two_means_imputation_fills_every_cell(spark):
+    df, x = _table(spark, n=150, seed=4)
+    got = impute.knn_impute(df, COLS, blocks="two_means", max_block=40).orderBy("subject_id").select(*COLS).toPandas().to_numpy()
+    assert not np.isnan(got).any() and np.array_equal(got[~np.isnan(x)], x[~np.isnan(x)])
+
+
 def test_column_limit(spark):
     df = spark.createDataFrame([(i, 1.0, None if i else 2.0) for i in range(10)], "subject_id bigint, a double, b double")
     with pytest.raises(ValueError):
