@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.scalar import lenient_double, normalise_name_column, rounded
+from ..functions.scalar import normalise_name_column, rounded
 from ..operators import (
     clean, collapse, design, impute, linear, metrics, resample, select, strata, survival, transform, tree,
 )
@@ -346,9 +346,6 @@ def holdout_pool(spark, sf):
     )
 
 
-VOID_FACTORS = {"combo": ("segment", "returnflag", "linestatus")}
-
-
 def _void_split(spark, sf):
     rows, study = _train_rows(spark, sf, fixed.RULES_TRIAL_SLOPE)
     part = rows.withColumn("combo", F.concat_ws("-", "segment", "returnflag", "linestatus")).select(

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.scalar import rounded  # noqa: F401  (re-exported for callers)
 from ..operators import clean, collapse, design, linear, strata, survival, transform
 from ..session import from_rows, materialize, small_or_stored
 from ..sources.bridge import Roles
