@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, content_sort, line_windows, quality, warc
+from cohortspan.llm import bpe, content_sort, jaccard, line_windows, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.remove(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
@@ -37,4 +42,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.clean(table(spark, sf_dir, "documents"), details=True)
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_rules, op3_warc, op5_bpe, op7_exact_dedup, op8_line_dedup)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality_rules, op3_warc, op4_suffix_dedup, op5_bpe, op7_exact_dedup, op8_line_dedup, op9_jaccard_join)}
