@@ -19,6 +19,8 @@ from cohortspan.llm.common import given_id, materialize, numbered
 
 #: Sampled rows per partition; a text with this many sampled copies gets salted.
 SAMPLE_PER_PARTITION, HOT_COPIES = 64, 16
+#: Characters of a text that splitters compare.
+PREFIX_CHARS = 32
 
 
 def partitions_for(docs: DataFrame) -> int:
@@ -42,9 +44,14 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pick = F.max if keep == "largest" else F.min
     sha = F.sha2("_text", 256)
     salt = F.when(sha.isin(hot), F.pmod(F.xxhash64("_id"), F.lit(8 * parts))) if hot else F.lit(None)
-    # equal texts (and salts) lie in one range; the window needs no further exchange, only the sort inside the ranges
-    sorted_ = rows.withColumn("_salt", F.coalesce(salt, F.lit(-1)).cast("long")).repartitionByRange(parts, "_text", "_salt")
-    equal = Window.partitionBy("_text", "_salt")
+    # Ranges are cut by a prefix, and by a hash among texts with one prefix, so that the splitters that Spark samples stay
+    # short. Equal texts (and salts) lie in one range; the window needs no further exchange, only the sort in the ranges.
+    place = ["_prefix", "_hash", "_salt"]
+    sorted_ = rows.select(
+        "_id", "_text", F.substring("_text", 1, PREFIX_CHARS).alias("_prefix"), F.xxhash64("_text").alias("_hash"),
+        F.coalesce(salt, F.lit(-1)).cast("long").alias("_salt"),
+    ).repartitionByRange(parts, *place)
+    equal = Window.partitionBy("_text", *place)
     runs = sorted_.select("_id", "_salt", sha.alias("sha"), pick("_id").over(equal).alias("keep"), F.count("*").over(equal).alias("size"))
     if hot:
         runs = materialize(runs, "content-runs")  # identifiers and digests, no text
