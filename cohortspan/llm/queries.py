@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, content_sort, jaccard, line_windows, quality, suffixes, warc
+from cohortspan.llm import bpe, content_sort, jaccard, line_windows, passages, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,4 +46,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_rules, op3_warc, op4_suffix_dedup, op5_bpe, op7_exact_dedup, op8_line_dedup, op9_jaccard_join)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality_rules, op3_warc, op4_suffix_dedup, op5_bpe, op7_exact_dedup, op8_line_dedup, op9_jaccard_join, op10_substring_dedup)}
