@@ -8,6 +8,7 @@
    whatever their length, and no more than needed. A step is one aggregation over documents to as many sums as there are domains; a task works
    its rows' rates out from the steps so far.
 3. ``resample`` gives each document floor(rate) copies and one more with the probability of the rest, drawn from a hash of its identifier.
+   A document that most likely is of a domain whose target is no lower than its present total is never dropped by that draw.
 
 Defined results: a null text counts as empty, has no tokens and keeps rate 1; a null identifier stays null; every row gives one row
 (repeated rows have equal rates and draws); labels without a document, of null domain or of unknown documents are not used; without any
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from cohortspan.llm.common import NO_ID, given_id, materialize, numbered
 
 #: Labelled rows that the classifier is fitted on at most, word buckets, and penalty.
-TRAIN_ROWS, FEATURES, PENALTY = 20_000, 1 << 14, 0.01
+TRAIN_ROWS, FEATURES, PENALTY = 20_000, 1 << 18, 0.0005
 #: Steps at most; the relative error of every domain's total at which they end.
 STEPS, PRECISION = 60, 1e-4
 
@@ -86,8 +87,8 @@ def _posteriors(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(-1, k)
 
 
-def fit_rates(weighted: DataFrame, targets: dict[str, float], steps: int = STEPS, precision: float = PRECISION) -> tuple[list[list[float]], dict[str, float]]:
-    """The steps, and the totals that they reach. ``weighted``: ``tokens`` and ``p`` in the order of ``targets``.
+def fit_rates(weighted: DataFrame, targets: dict[str, float], steps: int = STEPS, precision: float = PRECISION) -> tuple[list[list[float]], dict[str, float], list[str]]:
+    """The steps, the totals that they reach, and the domains whose targets are no lower than their totals at rate 1. ``weighted``: ``tokens`` and ``p`` in the order of ``targets``.
 
     Targets are shares of the corpus' tokens (they need not sum to 1).
     """
@@ -111,21 +112,25 @@ def fit_rates(weighted: DataFrame, targets: dict[str, float], steps: int = STEPS
     total, gram = first[:k], first[k:].reshape(k, k)
     corpus = total.sum()
     target = np.array([targets[n] for n in names]) * corpus
+    raised = [n for n, now, then in zip(names, total, target) if then >= now]
     if not corpus:
-        return [], dict(zip(names, total.tolist()))
+        return [], dict(zip(names, total.tolist())), raised
     weight = np.linalg.pinv(gram, hermitian=True)
     done: list[np.ndarray] = []
-    while len(done) < steps and (np.abs(total - target) > precision * np.maximum(target, 1e-3 * corpus)).any():
+    error, last = float((target - total) @ weight @ (target - total)), np.inf
+    # ends when all totals match, or when steps no longer help, as with a target that no document can serve
+    while len(done) < steps and error < 0.99 * last and (np.abs(total - target) > precision * np.maximum(target, 1e-3 * corpus)).any():
         done.append(weight @ (target - total))
         total = sums(done, False)[:k]
-    return [s.tolist() for s in done], dict(zip(names, total.tolist()))
+        error, last = float((target - total) @ weight @ (target - total)), error
+    return [s.tolist() for s in done], dict(zip(names, total.tolist())), raised
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: identifier, ``tokens``, ``p`` (posteriors in the order of ``targets``) and ``rate``."""
+    """Per row: identifier, ``tokens``, ``p`` (posteriors in the order of ``targets``), ``rate``, ``domain`` (the likeliest) and ``copies``."""
     domains = list(targets)
     weighted = materialize(posteriors(docs, fit(docs, labelled, domains, id_col, text_col), domains, id_col, text_col), "posteriors")
-    steps, _ = fit_rates(weighted, targets)
+    steps, _, raised = fit_rates(weighted, targets)
     k = len(domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,23 +138,28 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(_posteriors(batch, k), list(map(np.array, steps))))], names=["_id", "tokens", "p", "rate"])
 
     found = weighted.mapInArrow(run, "_id long, tokens long, p array<double>, rate double")
-    return found.select(given_id("_id").alias(id_col), "tokens", "p", "rate")
-
-
-def copies(rate, identifier):
-    """Whole copies of a document with this rate: the fraction is drawn from a hash of the identifier."""
-    draw = F.pmod(F.xxhash64(identifier, F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    domain = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int"))
+    draw = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    least = F.when(F.col("domain").isin(raised), 1).otherwise(0)
+    return found.withColumn("domain", domain).select(given_id("_id").alias(id_col), "tokens", "p", "rate", "domain", F.greatest(drawn, least).alias("copies"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, each as often as its rate says."""
+    """The input's rows and columns, each as often as its ``copies`` say. Rows that share an identifier are dropped or kept together."""
     found = rates(docs, labelled, targets, id_col, text_col)
-    key = F.coalesce(F.col(id_col), F.lit(NO_ID))
-    # rows that repeat an identifier have one rate if their texts are equal; else the mean of theirs
-    per_id = found.groupBy(key.alias("_mix_id")).agg(F.avg("rate").alias("_mix_rate"))
+    per_id = found.groupBy(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_mix_id")).agg(F.max("copies").alias("_n"))
     mine = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], mine.alias("_mix_id"))
-    joined = inner.join(per_id, "_mix_id").withColumn("_n", copies(F.col("_mix_rate"), F.col("_mix_id"))).filter("_n > 0")
-    repeated = joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    repeated = inner.join(per_id.filter("_n > 0"), "_mix_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return repeated.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+#: Domains of the ``labels`` table, and their shares of the tokens before mixing: what is clean gains what the others lose.
+TARGETS = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and ``domain`` from quality and toxic; rows without either have none."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, content_sort, jaccard, line_windows, passages, quality, suffixes, warc
+from cohortspan.llm import bpe, content_sort, jaccard, line_windows, mixing, passages, quality, secrets, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages"))
     records = warc.read(index)
@@ -34,6 +38,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.rates(table(spark, sf_dir, "documents"), domains, mixing.TARGETS)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.mark_copies(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -50,4 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_rules, op3_warc, op4_suffix_dedup, op5_bpe, op7_exact_dedup, op8_line_dedup, op9_jaccard_join, op10_substring_dedup)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_quality_rules, op2_secret_scan, op3_warc, op4_suffix_dedup, op5_bpe, op6_source_mixing, op7_exact_dedup, op8_line_dedup,
+        op9_jaccard_join, op10_substring_dedup,
+    )
+}
