@@ -1,33 +1,41 @@
 """Nearest-neighbour and mode imputation.
 
-Neighbours are searched inside blocks of at most ``max_block`` reference rows, which is how the
-method is defined: the table is cut before any distance is taken, and a block is never larger than
-the bound. Distances stay inside one NumPy task per block; no pair ever becomes a row.
+The neighbours of a row are the k nearest of the whole table, whatever its size. Rows with gaps in the same columns that lie close
+together form blocks, and each block has a box: the range of every column. How far a row is from a box bounds how near any row in it can
+be, so a row is compared with the blocks nearest to it first, which bounds the distance of its k-th neighbour, and then only
+with blocks whose boxes are no further than that. Distances stay inside NumPy tasks of one block each; no pair becomes a row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Rows looking for neighbours that one task compares with a block; a block that more of them need is read by several tasks.
 TARGETS_PER_TASK = 5_000
+#: Blocks at most, so that their boxes (two numbers a column) stay small; blocks grow with the table beyond that.
+BOXES = 20_000
+#: Cuts of each column that decide which rows lie close together.
+CUTS = 15
 
 
 @dataclass(frozen=True)
 class ImputeModel:
-    """Column means and the number of blocks; p values on the driver."""
+    """Column means and the size of blocks; p values on the driver."""
 
     columns: tuple[str, ...]
     means: dict[str, float]
     n_rows: int
-    blocks: int
+    usable: int
+    block_rows: int
     k: int
     row_limit: float
 
@@ -36,7 +44,7 @@ def missing_cells(columns):
     return sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
 
 
-def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 1500, row_limit: float = 0.8, col_limit: float = 0.8) -> ImputeModel:
+def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 750, row_limit: float = 0.8, col_limit: float = 0.8) -> ImputeModel:
     columns = tuple(columns)
     usable = missing_cells(columns) <= row_limit * len(columns)
     row = df.agg(
@@ -49,19 +57,12 @@ def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 1500, row_limit
         if n - row[f"c{i}"] > col_limit * n:
             raise ValueError(f"column {c} is missing in more than {col_limit:.0%} of the rows")
     usable_rows = row["usable"] or 0
-    # one block up to the bound; beyond it blocks are filled to half the bound on average, so a
-    # block above the bound would be some twenty standard deviations out
-    blocks = 1 if usable_rows <= max_block else math.ceil(2 * usable_rows / max_block)
-    return ImputeModel(columns, {c: row[f"m{i}"] for i, c in enumerate(columns)}, n, blocks, k, row_limit)
+    block_rows = max(max_block, math.ceil(usable_rows / BOXES))
+    return ImputeModel(columns, {c: row[f"m{i}"] for i, c in enumerate(columns)}, n, usable_rows, block_rows, k, row_limit)
 
 
-def block_of(id_column: str, blocks: int):
-    """Even block number from the subject id; ids are unique, so no block can run hot."""
-    return F.conv(F.substring(F.md5(F.col(id_column).cast("string")), 1, 8), 16, 10).cast("bigint") % blocks
-
-
-def nearest(targets: np.ndarray, pool: np.ndarray, self_pos: np.ndarray, k: int):
-    """Distances (mean squared difference over shared columns) and the k nearest pool rows.
+def nearest(targets: np.ndarray, pool: np.ndarray, own: np.ndarray, k: int):
+    """Distances (mean squared difference over shared columns) and the k nearest pool rows; ``own`` marks pairs of a row with itself.
 
     Pool rows come sorted by id, and the sort is stable, so equal distances go to the smaller id.
     """
@@ -74,8 +75,7 @@ def nearest(targets: np.ndarray, pool: np.ndarray, self_pos: np.ndarray, k: int)
         shared += both
     with np.errstate(invalid="ignore", divide="ignore"):
         dist = np.where(shared > 0, total / shared, np.inf)
-    own = self_pos >= 0
-    dist[np.flatnonzero(own), self_pos[own]] = np.inf
+    dist[own] = np.inf
     order = np.argsort(dist, axis=1, kind="stable")[:, :k]
     return np.take_along_axis(dist, order, axis=1), order
 
@@ -84,168 +84,146 @@ def _chunks(n: int, size: int = 512):
     return (slice(a, min(a + size, n)) for a in range(0, n, size))
 
 
-def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int = 10, max_block: int = 1500,
-               row_limit: float = 0.8) -> DataFrame:
-    """The k nearest rows of every row that has a missing cell: (id, neighbour, place, distance)."""
-    columns = list(columns)
-    model = fit(df, columns, k=k, max_block=max_block, row_limit=row_limit, col_limit=1.0)
-    rows = (
-        df.select(id_column, *columns).filter(missing_cells(columns) <= row_limit * len(columns))
-        .withColumn("_block", block_of(id_column, model.blocks))
-    )
+@dataclass(frozen=True)
+class Boxes:
+    """Blocks of the reference rows: identifier, rows, which columns are present, and each column's range."""
+
+    block: np.ndarray
+    rows: np.ndarray
+    there: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """How near a row of a block can be, for every target and block; infinite if they share no column."""
+        total, shared = np.zeros((len(x), len(self.block))), np.zeros((len(x), len(self.block)))
+        for j in range(x.shape[1]):
+            at = x[:, j, None]
+            both = ~np.isnan(at) & self.there[None, :, j]
+            gap = np.maximum(np.maximum(self.low[None, :, j] - at, at - self.high[None, :, j]), 0.0)
+            total += np.where(both, gap * gap, 0.0)
+            shared += both
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(shared > 0, total / shared, np.inf)
+
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_column).reset_index(drop=True)
-        x = pdf[columns].to_numpy(dtype=float)
-        ids = pdf[id_column].to_numpy()
-        need = np.flatnonzero(np.isnan(x).any(axis=1))
-        out = []
-        for s in _chunks(len(need)):
-            part = need[s]
-            dist, order = nearest(x[part], x, part, k)
-            place = np.broadcast_to(np.arange(1, order.shape[1] + 1), order.shape)
+def blocked(pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel) -> tuple[DataFrame, Boxes]:
+    """The reference rows with ``_block``, and the blocks' boxes.
+
+    Rows are range-partitioned by which columns they have and by an interleaving of the columns' cuts, so that a partition holds
+    rows that are close in all columns. Which rows share a block decides how fast neighbours are found, never which.
+    """
+    marks = pool.agg(*[F.percentile_approx(c, [q / (CUTS + 1) for q in range(1, CUTS + 1)], 1000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    cut = [sum(((F.col(c) > F.lit(float(m))).cast("int") for m in marks[i] or []), F.lit(0)) for i, c in enumerate(columns)]
+    bits = max(1, min(4, 60 // max(len(columns), 1)))
+    key, place = F.lit(0).cast("long"), bits * len(columns)
+    for bit in range(3, 3 - bits, -1):
+        for i, c in enumerate(columns):
+            place -= 1
+            key = key + F.when(F.col(c).isNotNull(), F.shiftleft(F.shiftright(cut[i], bit).bitwiseAND(F.lit(1)).cast("long"), place)).otherwise(0)
+    gaps = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    parts = max(1, math.ceil(model.usable / model.block_rows))
+    ranged = pool.select(id_column, *columns).withColumns({"_gaps": gaps, "_key": key}).repartitionByRange(parts, "_gaps", "_key", id_column)
+    rows = materialize(ranged.withColumn("_block", F.xxhash64(F.spark_partition_id(), "_gaps")).drop("_key"), "blocks")
+    found = rows.groupBy("_block", "_gaps").agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))]
+    ).collect()  # at most BOXES and a few for partitions that hold several kinds of gaps
+    side = lambda n: np.array([[np.nan if r[f"{n}{i}"] is None else r[f"{n}{i}"] for i in range(len(columns))] for r in found], float).reshape(-1, len(columns))
+    low = side("a")
+    return rows.drop("_gaps"), Boxes(np.array([r["_block"] for r in found], np.int64), np.array([r["n"] for r in found]), ~np.isnan(low), low, side("b"))
+
+
+def _routed(targets: DataFrame, columns: list[str], boxes: Boxes, k: int, reach: str | None) -> DataFrame:
+    """A row for each target and block to search: the nearest that hold more than k rows, or all within ``reach``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in _chunks(len(pdf), max(1, 2_000_000 // max(len(boxes.block), 1))):
+                part = pdf.iloc[s]
+                bound = boxes.bounds(part[columns].to_numpy(dtype=float))
+                if reach:
+                    limit = part[reach].to_numpy(dtype=float)
+                    wanted = bound <= (limit * (1 + 1e-9))[:, None]
+                else:
+                    order = np.argsort(bound, axis=1, kind="stable")
+                    before = np.cumsum(boxes.rows[order], axis=1) - boxes.rows[order]
+                    wanted = np.zeros(bound.shape, bool)
+                    np.put_along_axis(wanted, order, before <= k, axis=1)
+                row, box = np.nonzero(wanted & np.isfinite(bound))
+                yield part.iloc[row].assign(_block=boxes.block[box])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema.fields)
+    return targets.mapInPandas(run, f"{fields}, _block long")
+
+
+def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column: str, k: int, own_table: bool) -> DataFrame:
+    """The k nearest rows of each block that a target was sent to: (id, neighbour_id, distance, v)."""
+    routed = materialize(routed, "routed")
+    counts = routed.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / TARGETS_PER_TASK).cast("int").alias("_ways"))
+    left = routed.join(F.broadcast(counts), "_block").withColumn("_way", F.pmod(F.xxhash64(id_column, F.lit(17)), F.col("_ways")).cast("int"))
+    ways = counts.toDF("_at", "_parts")
+    right = rows.join(F.broadcast(ways), F.col("_block") == F.col("_at")).withColumn("_way", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    left, right = left.drop("_ways"), right.drop("_at", "_parts")
+    kind = dict(rows.dtypes)[id_column]
+
+    def across(targets: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
+        reference = reference.sort_values(id_column)
+        pool, ids = reference[columns].to_numpy(dtype=float), reference[id_column].to_numpy()
+        x, own_ids, out = targets[columns].to_numpy(dtype=float), targets[id_column].to_numpy(), []
+        for s in _chunks(len(x)) if len(pool) else ():
+            own = (own_ids[s][:, None] == ids[None, :]) if own_table else np.zeros((len(x[s]), len(ids)), bool)
+            dist, order = nearest(x[s], pool, own, k)
             ok = np.isfinite(dist)
             out.append(pd.DataFrame({
-                id_column: np.repeat(ids[part], ok.sum(axis=1)), "neighbour_id": ids[order[ok]],
-                "place": place[ok], "distance": dist[ok],
+                id_column: np.repeat(own_ids[s], ok.sum(axis=1)), "neighbour_id": ids[order[ok]], "distance": dist[ok],
+                "v": [[None if np.isnan(c) else c for c in v] for v in pool[order[ok]].tolist()],
             }))
-        empty = pd.DataFrame({id_column: ids[:0], "neighbour_id": ids[:0], "place": [], "distance": []})
-        return pd.concat(out) if out else empty
+        return pd.concat(out) if out else pd.DataFrame({id_column: own_ids[:0], "neighbour_id": ids[:0], "distance": [], "v": []})
 
-    kind = dict(df.dtypes)[id_column]
-    return rows.groupBy("_block").applyInPandas(
-        search, f"{id_column} {kind}, neighbour_id {kind}, place int, distance double"
-    )
+    return left.groupBy("_block", "_way").cogroup(right.groupBy("_block", "_way")).applyInPandas(
+        across, f"{id_column} {kind}, neighbour_id {kind}, distance double, v array<double>")
 
 
-def _fill(x: np.ndarray, pool: np.ndarray, self_pos: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
-    out = x.copy()
-    for s in _chunks(len(x)):
-        dist, order = nearest(x[s], pool, self_pos[s], k)
-        values = pool[order]
-        values[~np.isfinite(dist)] = np.nan
-        present = (~np.isnan(values)).sum(axis=1)
-        # add one neighbour at a time, nearest first, as a plain running sum
-        total = np.zeros((values.shape[0], values.shape[2]))
-        for q in range(values.shape[1]):
-            total += np.nan_to_num(values[:, q, :])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            guess = np.where(present > 0, total / present, means)
-        out[s] = np.where(np.isnan(x[s]), guess, x[s])
-    return out
+def _neighbours(targets: DataFrame, pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel, own_table: bool) -> DataFrame:
+    """The k nearest reference rows of every target: (id, neighbour_id, place, distance, v); ties go to the smaller id."""
+    k = model.k
+    rows, boxes = blocked(pool, columns, id_column, model)
+    targets = targets.select(id_column, *columns)
+    near = _searched(_routed(targets, columns, boxes, k, None), rows, columns, id_column, k, own_table)
+    reach = near.groupBy(id_column).agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("_reach"))
+    wide = targets.join(reach, id_column, "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
+    found = _searched(_routed(wide, columns, boxes, k, "_reach"), rows, columns, id_column, k, own_table)
+    place = F.row_number().over(Window.partitionBy(id_column).orderBy("distance", "neighbour_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int = 10, max_block: int = 750,
+               row_limit: float = 0.8) -> DataFrame:
+    """The k nearest rows of every row that has a missing cell: (id, neighbour, place, distance)."""
+    columns = list(columns)
+    model = fit(df, columns, k=k, max_block=max_block, row_limit=row_limit, col_limit=1.0)
+    pool = df.filter(missing_cells(columns) <= row_limit * len(columns))
+    found = _neighbours(pool.filter(missing_cells(columns) > 0), pool, columns, id_column, model, True)
+    return found.select(id_column, "neighbour_id", "place", "distance")
 
 
 def knn_impute(df: DataFrame, columns, id_column: str = "subject_id", *, pool: DataFrame | None = None,
-               model: ImputeModel | None = None, blocks: str = "id", max_block: int = 1500, **limits) -> DataFrame:
+               model: ImputeModel | None = None, max_block: int = 750, **limits) -> DataFrame:
     """Fill missing numerics with the mean of the k nearest rows, else with the column mean.
 
-    A table above ``max_block`` rows is cut first: by subject id (``blocks="id"``, also stated in
-    SQL) or by recursive 2-means (``blocks="two_means"``), which keeps similar rows together.
-
     Rows above the row limit get column means and never act as neighbours. With ``pool`` the
     neighbours come from those reference rows only, so new subjects cannot change one another.
     """
     columns = list(columns)
-    model = model or fit(pool if pool is not None else df, columns, max_block=max_block, **limits)
-    means = np.array([np.nan if model.means[c] is None else model.means[c] for c in columns])
+    reference = df if pool is None else pool
+    model = model or fit(reference, columns, max_block=max_block, **limits)
     few_missing = missing_cells(columns) <= model.row_limit * len(columns)
-    searched = few_missing & (missing_cells(columns) > 0)
-    plain = {c: F.coalesce(F.col(c), F.lit(model.means[c])) for c in columns}
-    schema = df.schema
-    k = model.k
-
-    def fill_block(targets: pd.DataFrame, pool_x: np.ndarray, self_pos: np.ndarray) -> pd.DataFrame:
-        x = targets[columns].to_numpy(dtype=float)
-        out = targets.copy()
-        out[columns] = _fill(x, pool_x, self_pos, means, k)
-        return out
-
-    names = schema.fieldNames()
-    if pool is None:
-        def within(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(id_column).reset_index(drop=True)
-            x = pdf[columns].to_numpy(dtype=float)
-            need = np.flatnonzero(np.isnan(x).any(axis=1))
-            out = pdf[names].copy()
-            if len(need):
-                out.loc[need, columns] = fill_block(pdf.iloc[need], x, need)[columns].to_numpy()
-            return out
-
-        if blocks == "two_means" and model.blocks > 1:
-            near = two_means_blocks(df.filter(few_missing), columns, id_column, max_block=max_block).withColumnRenamed("block", "_block")
-        else:
-            near = df.filter(few_missing).withColumn("_block", block_of(id_column, model.blocks))
-        near = near.groupBy("_block").applyInPandas(within, schema)
-        return near.unionByName(df.filter(~few_missing).withColumns(plain))
-
-    # reference blocks are bounded; targets per block are not, so their blocks are split further
-    # and the (bounded) reference block travels to every split
-    wanted = df.filter(searched)
-    count = wanted.count()
-    splits = max(1, math.ceil(count / model.blocks / TARGETS_PER_TASK))
-    salt = F.pmod(F.xxhash64(F.col(id_column), F.lit(17)), F.lit(splits)).cast("int")
-    left = wanted.withColumn("_block", block_of(id_column, model.blocks)).withColumn("_salt", salt)
-    right = (
-        pool.select(id_column, *columns).filter(few_missing)
-        .withColumn("_block", block_of(id_column, model.blocks))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    )
-
-    def across(targets: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
-        reference = reference.sort_values(id_column)
-        nobody = np.full(len(targets), -1)
-        return fill_block(targets, reference[columns].to_numpy(dtype=float), nobody)[names]
-
-    near = left.groupBy("_block", "_salt").cogroup(right.groupBy("_block", "_salt")).applyInPandas(across, schema)
-    return near.unionByName(df.filter(~searched).withColumns(plain))
-
-
-def two_means_blocks(df: DataFrame, columns, id_column: str = "subject_id", *, max_block: int = 1500,
-                     rounds: int = 5, seed: int = 1) -> DataFrame:
-    """Add ``block``: recursive 2-means cuts until no block holds more than ``max_block`` rows.
-
-    All blocks above the bound are cut in the same pass. Cutting stops being useful when a block is
-    made of copies of one row; such a block is dealt out by id instead, which keeps the bound exact.
-    The per-block centres are a table joined on the block number, so they may grow with the data.
-    """
-    columns = list(columns)
-    x = [F.col(c) for c in columns]
-    state = materialize(df.withColumn("block", F.lit(0).cast("bigint")), "blocks")
-    gap = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), (a - b) * (a - b)).otherwise(0.0)
-    while True:
-        sizes = state.groupBy("block").agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.min_by(c, F.xxhash64(F.col(id_column), F.lit(seed))).alias(f"_a{i}") for i, c in enumerate(columns)],
-            *[F.max_by(c, F.xxhash64(F.col(id_column), F.lit(seed))).alias(f"_b{i}") for i, c in enumerate(columns)],
-        )
-        big = materialize(sizes.filter(F.col("_n") > max_block), "centres")
-        if big.isEmpty():
-            return state
-        centres = big
-        for _ in range(rounds):
-            joined = state.join(centres, "block")
-            to_a = sum((gap(x[i], F.col(f"_a{i}")) for i in range(len(x))), F.lit(0.0))
-            to_b = sum((gap(x[i], F.col(f"_b{i}")) for i in range(len(x))), F.lit(0.0))
-            side = joined.withColumn("_side", (to_b < to_a))
-            centres = materialize(side.groupBy("block").agg(
-                F.max("_n").alias("_n"),
-                *[F.avg(F.when(~F.col("_side"), F.col(c))).alias(f"_a{i}") for i, c in enumerate(columns)],
-                *[F.avg(F.when(F.col("_side"), F.col(c))).alias(f"_b{i}") for i, c in enumerate(columns)],
-                F.sum(F.col("_side").cast("bigint")).alias("_nb"),
-            ), "centres")
-        joined = state.join(centres, "block", "left")
-        to_a = sum((gap(x[i], F.col(f"_a{i}")) for i in range(len(x))), F.lit(0.0))
-        to_b = sum((gap(x[i], F.col(f"_b{i}")) for i in range(len(x))), F.lit(0.0))
-        stuck = (F.coalesce(F.col("_nb"), F.lit(0)) == 0) | (F.col("_nb") == F.col("_n"))
-        ways = F.ceil(2 * F.col("_n") / F.lit(max_block))
-        dealt = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed + 7)), ways)
-        part = F.when(stuck, dealt).otherwise((to_b < to_a).cast("bigint"))
-        # block numbers stay unique: parent hashed together with its part
-        state = materialize(
-            joined.withColumn(
-                "block", F.when(F.col("_n").isNull(), F.col("block")).otherwise(F.xxhash64("block", part.cast("bigint")))
-            ).select(*df.columns, "block"), "blocks",
-        )
+    near = _neighbours(df.filter(few_missing & (missing_cells(columns) > 0)), reference.filter(few_missing), columns, id_column, model, pool is None)
+    guess = near.groupBy(F.col(id_column).alias("_id")).agg(*[F.avg(F.get("v", F.lit(i))).alias(f"_f{i}") for i in range(len(columns))])
+    filled = df.join(guess, F.col(id_column) == F.col("_id"), "left")
+    return filled.select(*[
+        F.coalesce(F.col(c), F.col(f"_f{columns.index(c)}"), F.lit(model.means[c])).alias(c) if c in columns else F.col(c) for c in df.columns
+    ])
 
 
 def mode_values(df: DataFrame, columns) -> dict[str, str | None]:

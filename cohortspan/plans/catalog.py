@@ -165,13 +165,13 @@ def attach_survival(spark, sf):
 @query
 def knn_neighbours(spark, sf):
     wide = prepare.wide_table(spark, sf)
-    return rounded(impute.neighbours(wide, STUDY.numerics), 4)
+    return rounded(impute.neighbours(wide, STUDY.numerics, max_block=100), 4)
 
 
 @query
 def knn_impute(spark, sf):
     wide = prepare.wide_table(spark, sf)
-    filled = impute.knn_impute(wide, STUDY.numerics).select("subject_id", *STUDY.numerics)
+    filled = impute.knn_impute(wide, STUDY.numerics, max_block=100).select("subject_id", *STUDY.numerics)
     # prices are means of ten means of cents and often end in an exact 5; step off the rounding edge
     return rounded(filled.withColumn("price", F.col("price") + 1e-7), 5, discount=8, tax=8)
 

@@ -10,13 +10,11 @@ def knn(source, name, cols, pool=None, key="subject_id"):
     both = lambda c: f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)"
     total = " + ".join(f"CASE WHEN {both(c)} THEN (a.{c}-b.{c})*(a.{c}-b.{c}) ELSE 0 END" for c in cols)
     shared = " + ".join(f"CAST({both(c)} AS INT)" for c in cols)
-    blk = f"CAST('0x'||substr(md5(CAST({key} AS VARCHAR)),1,8) AS BIGINT) % (SELECT k FROM {name}_blocks)"
     n = len(cols)
     return [
-        (f"{name}_blocks", f"SELECT CASE WHEN count(*) <= 1500 THEN 1 ELSE CAST(ceil(2*count(*)/1500.0) AS BIGINT) END AS k FROM {pool_t} WHERE ({miss}) <= 0.8*{n}"),
-        (f"{name}_pool", f"SELECT *, {blk} AS blk FROM {pool_t} WHERE ({miss}) <= 0.8*{n}"),
-        (f"{name}_need", f"SELECT *, {blk} AS blk FROM {source} WHERE ({miss}) <= 0.8*{n} AND ({miss}) > 0"),
-        (f"{name}_pairs", f"SELECT a.{key}, b.{key} AS neighbour_id, (0.0 + {total}) / ({shared}) AS distance FROM {name}_need a JOIN {name}_pool b ON a.blk=b.blk AND a.{key}<>b.{key} WHERE ({shared}) > 0"),
+        (f"{name}_pool", f"SELECT * FROM {pool_t} WHERE ({miss}) <= 0.8*{n}"),
+        (f"{name}_need", f"SELECT * FROM {source} WHERE ({miss}) <= 0.8*{n} AND ({miss}) > 0"),
+        (f"{name}_pairs", f"SELECT a.{key}, b.{key} AS neighbour_id, (0.0 + {total}) / ({shared}) AS distance FROM {name}_need a JOIN {name}_pool b ON a.{key}<>b.{key} WHERE ({shared}) > 0"),
         (f"{name}_near", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY distance, neighbour_id) AS place FROM {name}_pairs) WHERE place <= 10"),
         (f"{name}_fill", f"SELECT n.{key}, " + ", ".join(f"avg(p.{c}) AS {c}" for c in cols) + f" FROM {name}_near n JOIN {name}_pool p ON p.{key}=n.neighbour_id GROUP BY n.{key}"),
         (f"{name}_mean", "SELECT " + ", ".join(f"avg({c}) AS {c}" for c in cols) + f" FROM {pool_t}"),

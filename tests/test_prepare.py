@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,10 +56,30 @@ def test_knn_against_a_pool_with_split_targets(spark, monkeypatch):
     assert np.allclose(got, _brute(x, pool=pool))
 
 
-def test_two_means_imputation_fills_every_cell(spark):
-    df, x = _table(spark, n=150, seed=4)
-    got = impute.knn_impute(df, COLS, blocks="two_means", max_block=40).orderBy("subject_id").select(*COLS).toPandas().to_numpy()
-    assert not np.isnan(got).any() and np.array_equal(got[~np.isnan(x)], x[~np.isnan(x)])
+def test_knn_is_the_same_for_any_blocks(spark):
+    df, x = _table(spark, n=300, seed=4)
+    for size in (20, 90):
+        got = impute.knn_impute(df, COLS, max_block=size).orderBy("subject_id").select(*COLS).toPandas().to_numpy()
+        assert np.allclose(got, _brute(x))
+
+
+def test_neighbours_of_many_blocks_are_the_true_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(15_000, 3))
+    x[:, 2] = x[:, 0] + x[:, 1] + rng.normal(scale=0.05, size=len(x))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(subject_id=np.arange(len(x)))
+    df = spark.createDataFrame(pdf.astype({"subject_id": "int64"})).replace(float("nan"), None)
+    got = impute.neighbours(df, ["a", "b", "c"], max_block=500).toPandas().groupby("subject_id").neighbour_id.apply(list)
+    asked = np.flatnonzero(np.isnan(x).any(axis=1) & ~np.isnan(x).all(axis=1))[::40]
+    usable = np.isnan(x).sum(axis=1) <= 0.8 * 3
+    for i in asked:
+        both = ~np.isnan(x) & ~np.isnan(x[i])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dist = np.where(both, (x - x[i]) ** 2, 0).sum(axis=1) / both.sum(axis=1)
+        dist[~usable | (both.sum(axis=1) == 0)] = np.inf
+        dist[i] = np.inf
+        assert got[i] == np.argsort(dist, kind="stable")[:10].tolist()
 
 
 def test_column_limit(spark):
@@ -67,13 +88,11 @@ def test_column_limit(spark):
         impute.fit(df, ["a", "b"])
 
 
-def test_two_means_blocks_respect_the_bound_with_copies(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, 1.0, 1.0) for i in range(120)] + [(200 + i, *map(float, rng.normal(size=2))) for i in range(180)]
+def test_knn_of_many_copies(spark):
+    rows = [(i, 1.0, 1.0 if i % 3 else None) for i in range(120)] + [(200 + i, float(i), None if i % 2 else 2.0) for i in range(60)]
     df = spark.createDataFrame(rows, "subject_id bigint, a double, b double")
-    blocks = impute.two_means_blocks(df, ["a", "b"], max_block=50, rounds=2)
-    sizes = [r["count"] for r in blocks.groupBy("block").count().collect()]
-    assert sum(sizes) == 300 and max(sizes) <= 50
+    got = impute.knn_impute(df, ["a", "b"], max_block=15)
+    assert got.filter("b IS NULL").count() == 0 and got.filter("subject_id < 120 AND b <> 1").count() == 0
 
 
 def test_joint_scaling_matches_direct_union(spark):
