@@ -171,9 +171,10 @@ def stratum_means(predicted: DataFrame, columns) -> DataFrame:
 
 
 def fill_with_fallback(predicted: DataFrame, fallback: DataFrame, columns, zero=()) -> DataFrame:
-    """Replace missing predictions by the stratum mean and flag them."""
+    """Replace missing predictions by the stratum mean and flag them: ``replaced``, or ``replaced_<column>`` each if there are several."""
     both = predicted.join(small_or_stored(fallback, "fallback"), "cluster", "left")
-    out = {"replaced": F.when(F.col(columns[0]).isNull(), 1).otherwise(0)}
+    flag = lambda c: "replaced" if len(columns) == 1 else f"replaced_{c}"
+    out = {flag(c): F.col(c).isNull().cast("int") for c in columns}
     out |= {c: F.coalesce(F.col(c), F.col(f"mean_{c}")) for c in columns}
     out |= {c: F.when(F.col(columns[0]).isNull(), F.lit(0.0)).otherwise(F.col(c)) for c in zero}
     return both.withColumns(out).drop(*[f"mean_{c}" for c in columns])

@@ -675,13 +675,47 @@ def select_rows(spark, sf):
     return _selected(spark, sf).select("subject_id", "cluster", "feature_name", "feature_value", "feature_delta", "row_seq")
 
 
+def _requests(spark, sf) -> DataFrame:
+    path = scratch_path(spark, "requests")
+    files.write_requests(_selected(spark, sf), path)
+    return files.read_request_lines(spark, path)
+
+
 @query
 def parse_cluster_tag(spark, sf):
-    """Write the tagged request lines as text, read them back and parse the stratum."""
-    path = scratch_path(spark, "requests")
-    files.tag_lines(_selected(spark, sf)).select("line").write.text(path)
-    parsed = files.parse_cluster_tag(spark.read.text(path).withColumnRenamed("value", "line"))
-    return parsed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_lines"))
+    """Tagged requests of all subjects written as text and read back: the stratum and the lines of each."""
+    return _requests(spark, sf).groupBy("subject_id", "cluster").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query
+def read_requests(spark, sf):
+    """The form rows of tagged requests, read back."""
+    return files.parse_request_rows(_requests(spark, sf)).groupBy("subject_id", "cluster", "feature_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def audit_copy(spark, sf):
+    """Requests appended to an audit table."""
+    path = scratch_path(spark, "audit")
+    files.append_audit(_selected(spark, sf), path, "request")
+    return files.load_table(spark, path).groupBy("stage", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_responses(spark, sf):
+    """Both response files, written with a header and read back."""
+    slope, survival = scratch_path(spark, "slope"), scratch_path(spark, "survival")
+    bridge.slope_response(spark, sf).write.options(sep="|", header=True, nullValue="NA").csv(slope)
+    bridge.survival_response(spark, sf).write.options(sep="|", header=True, nullValue="NA").csv(survival)
+    return rounded(files.read_slope(spark, slope).join(files.read_survival(spark, survival), "subject_id", "full"), 4)
+
+
+@query
+def read_forms_header(spark, sf):
+    """Long forms written with a header line and read back."""
+    path = scratch_path(spark, "forms")
+    files.write_forms(bridge.forms(spark, sf), path)
+    return files.read_forms(spark, path).groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"), F.count("feature_value").alias("n_value"))
 
 
 @query

@@ -107,7 +107,7 @@ def predict_survival(rows: DataFrame, levels: DataFrame, designs, width: int) ->
 
 
 def score_survival(forms: DataFrame, trained: Trained, roles: Roles, rule_set, models, columns=None) -> DataFrame:
-    """(subject, cluster, p12, p18, p24, replaced); missing probabilities take the stratum mean one by one."""
+    """(subject, cluster, p12, p18, p24 and a flag each); missing probabilities take the stratum mean one by one."""
     train_rows = strata.classify(trained.table, rule_set, columns)
     data, fits, designs, width = fit_survival(train_rows, models, trained.model.level_map)
     levels = survival_levels(data, fits, width)
@@ -115,7 +115,7 @@ def score_survival(forms: DataFrame, trained: Trained, roles: Roles, rule_set, m
     ready = materialize(strata.classify(prepare_new(forms, trained, roles), rule_set, columns), "new-table")
     scored = predict_survival(ready, levels, designs, width)
     return linear.fill_with_fallback(scored, means, list(PROBABILITIES)).select(
-        "subject_id", "cluster", *PROBABILITIES, "replaced"
+        "subject_id", "cluster", *PROBABILITIES, *[f"replaced_{c}" for c in PROBABILITIES]
     )
 
 

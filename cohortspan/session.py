@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a private one only on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
+    """This application's folder under ``spark.checkpoint.dir``; where that is unset, under the warehouse, which executors share too.
+
+    The folder goes when the application ends.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="cohortspan-")
-    return _LOCAL_ROOTS[app]
+    if app not in _ROOTS:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        _ROOTS[app] = f"{shared.rstrip('/')}/cohortspan-{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/cohortspan/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

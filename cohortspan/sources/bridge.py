@@ -53,15 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer splits than cores (one small file) one partition per core.
-
-    Large tables have far more splits than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("d0"), F.max("o_orderdate").alias("d1")
@@ -95,7 +86,7 @@ def _visit_forms(spark: SparkSession, sf_dir: str, wanted) -> DataFrame | None:
         .otherwise("Clinic").alias("form_name"),
         "d0",
     )
-    items = spread(table(spark, sf_dir, "lineitem").drop("l_partkey", "l_suppkey"), "l_orderkey")
+    items = table(spark, sf_dir, "lineitem").drop("l_partkey", "l_suppkey")
     visit = items.join(orders, items.l_orderkey == orders.o_orderkey)
     base = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10
     marked = lambda c: F.when(F.col("l_linenumber") == 4, "-").otherwise(F.col(c).cast("string"))
@@ -141,10 +132,13 @@ def _static_forms(spark: SparkSession, sf_dir: str, wanted) -> DataFrame | None:
 
 
 def slope_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly slope of order value for subjects with at least seven order days."""
-    days = F.date_diff("o_orderdate", "d0").cast("double")
+    """Monthly slope of order value for subjects with at least seven order days.
+
+    A slope does not depend on where days are counted from, so one aggregate of the orders is enough.
+    """
+    days = F.unix_date(F.to_date("o_orderdate")).cast("double")
     return (
-        orders_since(spark, sf_dir).groupBy(F.col("o_custkey").alias("subject_id"))
+        table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject_id"))
         .agg(
             (F.regr_slope("o_totalprice", days) * 365 / 12).alias("slope"),
             F.count_distinct("o_orderdate").alias("_days"),
@@ -153,15 +147,16 @@ def slope_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survival_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Follow-up in days and event flag; subjects whose last order is pending have no response."""
-    last = orders_since(spark, sf_dir).filter(F.col("o_orderdate") == F.col("d1"))
+    """Follow-up in days and event flag; subjects whose last order is pending have no response.
+
+    The flag of the last day is the largest of day * 2 + flag: one aggregate, no join.
+    """
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    last = lambda status: F.max(day * 2 + (F.col("o_orderstatus") == status).cast("long"))
     return (
-        last.groupBy(F.col("o_custkey").alias("subject_id"))
-        .agg(
-            F.max(F.date_diff("d1", "d0")).cast("double").alias("time_event"),
-            F.max(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("status"),
-            F.max(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("_pending"),
-        ).filter("_pending = 0").drop("_pending")
+        table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject_id"))
+        .agg((F.max(day) - F.min(day)).cast("double").alias("time_event"), F.pmod(last("F"), F.lit(2)).cast("int").alias("status"), F.pmod(last("P"), F.lit(2)).alias("_pending"))
+        .filter("_pending = 0").drop("_pending")
     )
 
 

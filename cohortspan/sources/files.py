@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FORM_SCHEMA = (
@@ -18,9 +18,13 @@ def _delimited(spark: SparkSession, path: str, schema: str, header: bool) -> Dat
 
 
 def read_forms(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
-    """Long forms, with or without a header line; ``row_seq`` keeps file order, set before any shuffle."""
+    """Long forms, with or without a header line.
+
+    ``row_seq`` keeps the order of files by name and of the rows in a file, set before any shuffle. Spark packs files by size, so
+    its own row numbers order rows inside a file only.
+    """
     rows = _delimited(spark, path, FORM_SCHEMA, header)
-    return rows.withColumn("row_seq", F.monotonically_increasing_id())
+    return rows.withColumn("row_seq", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def read_slope(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +62,8 @@ def tag_lines(selected: DataFrame) -> DataFrame:
         "subject_id", F.lit(-1).cast("bigint").alias("line_no"),
         F.concat(F.lit("cluster: "), F.col("cluster").cast("string"), F.lit("|||||")).alias("line"),
     )
-    return head.unionByName(selected.select("subject_id", F.col("row_seq").cast("bigint").alias("line_no"), body.alias("line")))
+    place = F.row_number().over(Window.partitionBy("subject_id").orderBy("row_seq")).cast("bigint")
+    return head.unionByName(selected.select("subject_id", place.alias("line_no"), body.alias("line")))
 
 
 def parse_cluster_tag(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -67,12 +72,30 @@ def parse_cluster_tag(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.withColumn("cluster", F.when(tag != "", tag.cast("int")))
 
 
+def write_requests(selected: DataFrame, path: str) -> None:
+    """One folder per stratum; in its files each subject's tag line, then its rows in order."""
+    strata = selected.select("subject_id", "cluster").distinct()
+    lines = tag_lines(selected).join(strata, "subject_id").repartition("cluster", "subject_id").sortWithinPartitions("cluster", "subject_id", "line_no")
+    lines.select("cluster", "line").write.partitionBy("cluster").text(path)
+
+
 def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Legacy request files: one row per line with the stratum of its file."""
+    """Request lines with their subject (the first field) and the stratum that their file's tag lines name.
+
+    A file holds subjects of one stratum: those that ``write_requests`` writes many, a legacy file one.
+    """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
     tagged = parse_cluster_tag(lines)
     strata = tagged.filter(F.col("cluster").isNotNull()).groupBy("file").agg(F.max("cluster").alias("cluster"))
-    return tagged.drop("cluster").join(strata, "file").filter(~F.col("line").rlike(CLUSTER_TAG))
+    rows = tagged.drop("cluster").filter(~F.col("line").rlike(CLUSTER_TAG)).join(strata, "file")
+    return rows.select(F.split("line", r"\|")[0].alias("subject_id"), "cluster", "line")
+
+
+def parse_request_rows(lines: DataFrame) -> DataFrame:
+    """The form rows of request lines."""
+    fields = [c.split()[0] for c in FORM_SCHEMA.split(", ")]
+    parts = F.split("line", r"\|")
+    return lines.select("cluster", *[F.nullif(F.get(parts, F.lit(i)), F.lit("NA")).alias(c) for i, c in enumerate(fields)])
 
 
 def format_predictions(scored: DataFrame, columns) -> DataFrame:

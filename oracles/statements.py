@@ -368,13 +368,17 @@ SURV_LAB = [joint(SURV, "surv_resp"), [("lab0", f"SELECT subject_id, time_event,
             cox_rows(XS), newton("cx", "nb", ["cluster"]),
             [("allx", f"SELECT subject_id, cluster, time_event, {xcase(0, XS)} AS x1, {xcase(1, XS)} AS x2, {xcase(2, XS)} AS x3 FROM lab")], probs("allx"),
             [("pm", "SELECT p.cluster, avg(p12) AS m12, avg(p18) AS m18, avg(p24) AS m24 FROM pr p JOIN allx a USING (subject_id) WHERE a.time_event IS NOT NULL GROUP BY 1")]]
-S["score_batch_survival"] = with_(*SURV_LAB) + "SELECT subject_id, cluster, " + ", ".join(f"round(coalesce(p{m}, m{m}),4) AS p{m}" for m in (12, 18, 24)) + ", CAST(p12 IS NULL AS INT) AS replaced FROM pr LEFT JOIN pm USING (cluster) WHERE subject_id IN (SELECT subject_id FROM ready)"
+S["score_batch_survival"] = with_(*SURV_LAB) + "SELECT subject_id, cluster, " + ", ".join(f"round(coalesce(p{m}, m{m}),4) AS p{m}" for m in (12, 18, 24)) + ", " + ", ".join(f"CAST(p{m} IS NULL AS INT) AS replaced_p{m}" for m in (12, 18, 24)) + " FROM pr LEFT JOIN pm USING (cluster) WHERE subject_id IN (SELECT subject_id FROM ready)"
 SEL = [*LAB3, FORMS, [("need", "SELECT * FROM (VALUES (1,'price'),(1,'onset'),(1,'age'),(2,'discount'),(2,'onset'),(2,'quantity'),(3,'tax'),(3,'quantity')) t(cluster, feature_name)"),
        ("picked", "SELECT f.*, l.cluster FROM forms f JOIN lab l USING (subject_id) JOIN need n ON n.cluster=l.cluster AND n.feature_name=f.feature_name")]]
 S["select_rows"] = with_(*SEL) + "SELECT subject_id, cluster, feature_name, feature_value, feature_delta, row_seq FROM picked"
-S["parse_cluster_tag"] = with_(*SEL) + "SELECT cluster, count(DISTINCT subject_id) AS n_lines FROM picked GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM picked"
+S["parse_cluster_tag"] = with_(*SEL) + "SELECT CAST(subject_id AS VARCHAR) AS subject_id, cluster, count(*) AS n_lines FROM picked GROUP BY 1, 2"
 S["format_predictions"] = with_(*LAB3, FITF, PRED) + "SELECT subject_id, concat_ws('|', coalesce(CAST(CAST(round(fit,2) AS DECIMAL(18,2)) AS VARCHAR),'NA'), coalesce(CAST(CAST(round(se,2) AS DECIMAL(18,2)) AS VARCHAR),'NA')) AS line FROM pred"
 S["model_registry"] = with_(*LAB3, FITF, names_cte(FULL)) + f"""SELECT nm.cluster, term, round(f.v,4) AS coef, round(sqrt(s.sigma2*q.v),4) AS std_error, s.n
 FROM nm JOIN fit f ON f.cluster=nm.cluster AND f.i=nm.position AND f.j={PF} JOIN fit q ON q.cluster=nm.cluster AND q.i=nm.position AND q.j={PF}+1+nm.position JOIN fit_s s ON s.cluster=nm.cluster"""
 S["roundtrip_wide"] = S["collapse_wide"]
+S["read_requests"] = with_(*SEL) + "SELECT CAST(subject_id AS VARCHAR) AS subject_id, cluster, feature_name, count(*) AS n FROM picked GROUP BY ALL"
+S["read_forms_header"] = with_(FORMS) + "SELECT feature_name, count(*) AS n, count(feature_value) AS n_value FROM forms GROUP BY 1"
+S["read_responses"] = with_(SLOPE, SURV) + "SELECT CAST(subject_id AS VARCHAR) AS subject_id, round(slope, 4) AS slope, time_event, status FROM slope_resp FULL JOIN surv_resp USING (subject_id)"
+S["audit_copy"] = with_(*SEL) + "SELECT 'request' AS stage, cluster, count(*) AS n FROM picked GROUP BY 2"
 S["read_forms_text"] = with_(FORMS) + f"SELECT feature_name, count(*) AS n, count(feature_value) AS n_value, round(avg({number('feature_value')}),6) AS mean_value, round(CAST(sum(feature_delta) AS DOUBLE),6) AS sum_delta FROM forms GROUP BY 1"

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import tempfile
 
 from pyspark.sql import functions as F
@@ -22,17 +25,43 @@ def test_forms_text_round_trip(spark):
         assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
 
 
+REQUEST = "subject_id string, cluster int, form_name string, feature_name string, feature_value string, feature_unit string, feature_delta int, row_seq long"
+
+
 def test_request_files(spark):
     rows = spark.createDataFrame(
-        [("7", 3, "Clinic", "trunk", "5", "u", 4, 10), ("7", 3, "Clinic", "fvc", "2", "u", 9, 11)],
-        "subject_id string, cluster int, form_name string, feature_name string, feature_value string, feature_unit string, "
-        "feature_delta int, row_seq long",
+        [("7", 3, "Clinic", "trunk", "5", "u", 4, 10), ("7", 3, "Clinic", "fvc", None, "u", 9, 11), ("8", 1, "Clinic", "fvc", "1", "u", 2, 1), ("9", 2, "Clinic", "leg", "1", "u", 2, 1)],
+        REQUEST,
     )
     path = _path()
+    files.write_requests(rows, path)
+    back = {(r["subject_id"], r["cluster"], r["line"]) for r in files.read_request_lines(spark, path).collect()}
+    assert back == {("7", 3, "7|Clinic|trunk|5|u|4"), ("7", 3, "7|Clinic|fvc|NA|u|9"), ("8", 1, "8|Clinic|fvc|1|u|2"), ("9", 2, "9|Clinic|leg|1|u|2")}
+    lines = [r["value"] for r in spark.read.text(f"{path}/cluster=3").collect()]
+    assert lines == ["cluster: 3|||||", "7|Clinic|trunk|5|u|4", "7|Clinic|fvc|NA|u|9"]
+    got = files.parse_request_rows(files.read_request_lines(spark, path)).filter("feature_name = 'fvc'").collect()
+    assert {(r["subject_id"], r["feature_value"]) for r in got} == {("7", None), ("8", "1")}
+
+
+def test_legacy_request_file(spark):
+    rows = spark.createDataFrame([("7", 3, "Clinic", "trunk", "5", "u", 4, 10)], REQUEST)
+    path = _path()
     files.tag_lines(rows).orderBy("line_no").coalesce(1).select("line").write.text(path)
-    back = files.read_request_lines(spark, path).collect()
-    assert [r["cluster"] for r in back] == [3, 3]
-    assert {r["line"] for r in back} == {"7|Clinic|trunk|5|u|4", "7|Clinic|fvc|2|u|9"}
+    assert [(r["subject_id"], r["cluster"]) for r in files.read_request_lines(spark, path).collect()] == [("7", 3)]
+
+
+def test_functions_reach_executors_without_the_package(tmp_path):
+    """Task functions travel by value: a worker that cannot import the package runs them."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark import cloudpickle\nimport cohortspan\nfrom cohortspan.operators import impute\n"
+        "sys.stdout.buffer.write(cloudpickle.dumps(impute.nearest))"
+    )
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, capture_output=True, check=True).stdout
+    run = "import sys, pickle, numpy as np; f = pickle.loads(sys.stdin.buffer.read()); print(f(np.zeros((1, 1)), np.ones((2, 1)), np.zeros((1, 2), bool), 1)[0][0, 0])"
+    out = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, input=data, capture_output=True, check=True, env={**os.environ, "PYTHONPATH": ""})
+    assert out.stdout.split()[-1] == b"1.0"
 
 
 def test_prediction_lines(spark):
