@@ -9,7 +9,8 @@ ROWS_ONLY = {"cox_fit_full", "surv_tree_fit"}
 
 
 def test_every_query_has_sql_but_the_iterative_ones():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == ROWS_ONLY
+    own = {q for q in entry_points.queries() if q != "pipeline" and not q.startswith("op")}
+    assert own - set(entry_points.oracle_sql()) == ROWS_ONLY
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
