@@ -64,4 +64,49 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed_li
 FROM edge GROUP BY doc_id
 """
 
-S = {"op1_quality_rules": _QUALITY, "op3_warc": _WARC, "op7_exact_dedup": _EXACT, "op8_line_dedup": _LINES}
+_SUFFIX = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+part AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2198) AS h FROM (SELECT doc_id, h, unnest(range(0, n // 1000 + 1)) AS c FROM d)),
+start AS (
+  SELECT doc_id, 1000 * c + i AS p, md5_number(substr(h, 2 * i - 1, 200)) AS x
+  FROM (SELECT doc_id, c, h, unnest(range(1, least(1001, len(h) // 2 - 98))) AS i FROM part)),
+first AS (SELECT x, min({'d': doc_id, 'p': p}) AS f FROM start GROUP BY x HAVING count(*) > 1),
+later AS (SELECT doc_id, p FROM start JOIN first USING (x) WHERE {'d': doc_id, 'p': p} > f),
+island AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER o <= 100 THEN 0 ELSE 1 END AS opens FROM later WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+span AS (
+  SELECT doc_id, min(p) AS a, max(p) + 99 AS z
+  FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM island) GROUP BY doc_id, g),
+edge AS (SELECT doc_id, a AS stop, z + 1 AS go FROM span UNION ALL SELECT doc_id, n + 1, NULL FROM d),
+piece AS (
+  SELECT doc_id, stop, coalesce(lag(go) OVER (PARTITION BY doc_id ORDER BY stop, go NULLS LAST), 1) AS go FROM edge),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * go - 1, 2 * (stop - go)), '' ORDER BY stop, go) AS h
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(z - a + 1) AS c, count(*) AS s FROM span GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(c, 0)::BIGINT AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+_JOIN = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w) + 1, 2)))) AS i FROM d)),
+sets AS (SELECT d.doc_id, coalesce(s.k, '') AS k, coalesce(s.n, 0) AS n
+         FROM d LEFT JOIN (SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY x)) AS k, count(*) AS n FROM sh GROUP BY doc_id) s USING (doc_id)),
+class AS (SELECT k, min(doc_id) AS class_id, count(*) AS class_size, max(n) AS n FROM sets GROUP BY k),
+own AS (SELECT class_id, x, n FROM class JOIN sh ON sh.doc_id = class_id),
+link AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM own a JOIN own b ON a.x = b.x AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id HAVING 5 * count(*) >= 4 * (max(a.n) + max(b.n) - count(*))),
+reach AS (SELECT a AS id, a AS r FROM link UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a),
+grp AS (SELECT id, min(r) AS g FROM reach GROUP BY id),
+links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT doc_id, class_id, class_size, coalesce(links.n, 0) AS n_links, coalesce(g, class_id) AS group_id
+FROM sets JOIN class USING (k) LEFT JOIN links ON links.a = class_id LEFT JOIN grp ON grp.id = class_id
+"""
+
+S = {
+    "op1_quality_rules": _QUALITY, "op3_warc": _WARC, "op4_suffix_dedup": _SUFFIX, "op7_exact_dedup": _EXACT, "op8_line_dedup": _LINES,
+    "op9_jaccard_join": _JOIN,
+}

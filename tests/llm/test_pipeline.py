@@ -9,6 +9,9 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 import __spark_entry__ as entry_points
 
 from tests.llm.test_operators import WORDS, prose
+from tools.check import compare, connect
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark, tmp_path):
@@ -39,6 +42,20 @@ def test_stages(spark, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+SQL = ["op1_quality_rules", "op3_warc", "op4_suffix_dedup", "op7_exact_dedup", "op8_line_dedup", "op9_jaccard_join"]
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_query_matches_sql(spark, name):
+    line, ok = compare(spark, connect(SF), SF, name)
+    assert ok, line
+
+
+def test_queries_without_sql():
+    ours = {q for q in entry_points.queries() if q == "pipeline" or q.startswith("op")}
+    assert ours - set(entry_points.oracle_sql()) == {"op2_secret_scan", "op5_bpe", "op6_source_mixing", "op10_substring_dedup", "pipeline"}
+
+
 def test_queries_are_registered():
     names = list(entry_points.queries())
     assert "pipeline" in names and [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
