@@ -7,12 +7,14 @@ and the split table is never shuffled as N x repetitions rows.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import rank_cut
 from ..functions.scalar import draw_key
-from ..session import small_or_stored
+from ..session import materialize, small_or_stored
 
 
 def _repeated(rows: DataFrame, keys: list[str], reps: int, seed: int, id_column: str) -> DataFrame:
@@ -64,35 +66,44 @@ def test_flags(rows: DataFrame, cuts: DataFrame, seed: int, id_column: str = "su
     return rows.join(blocks, "cluster").withColumn("in_test", flags).withColumn("reps", F.col("cuts.rep")).drop("cuts")
 
 
-def level_counts(split: DataFrame, columns) -> DataFrame:
-    """Train-part rows per (stratum, repetition, feature, level)."""
-    train = split.filter(~F.col("is_test"))
-    cells = train.select("cluster", "rep", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in columns
-    ])).alias("s")).select("cluster", "rep", "s.*")
-    return cells.groupBy("cluster", "rep", "feature", "level").agg(F.count(F.lit(1)).alias("n"))
+def level_counts(rows: DataFrame, cuts: DataFrame, columns, seed: int, id_column: str = "subject_id") -> DataFrame:
+    """Train-part rows per (stratum, repetition, feature, level), where there are any.
 
+    Each row carries its test membership in a block of repetitions as one 0/1 vector; vectors are summed per level, and
+    train = all - test. Only sums are shuffled, and repetitions become rows after that.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in columns])
+    flagged = test_flags(rows.select("cluster", id_column, *columns), cuts, seed, id_column)
+    sums = flagged.select("cluster", "rep_block", "reps", array_to_vector("in_test").alias("v"), F.explode(cells).alias("s")).groupBy(
+        "cluster", "rep_block", "reps", "s.feature", "s.level"
+    ).agg(Summarizer.sum(F.col("v")).alias("v"), F.count(F.lit(1)).alias("whole"))
+    each = sums.select("cluster", "feature", "level", "whole", F.explode(F.arrays_zip("reps", vector_to_array("v").alias("test"))).alias("s"))
+    return each.select("cluster", F.col("s.reps").alias("rep"), "feature", "level", (F.col("whole") - F.col("s.test")).cast("bigint").alias("n")).filter("n > 0")
 
-def missing_levels(split: DataFrame, level_map: dict[str, list[str]]) -> DataFrame:
+
+def missing_levels(rows: DataFrame, cuts: DataFrame, level_map: dict[str, list[str]], seed: int, id_column: str = "subject_id") -> DataFrame:
     """Levels of the closed sets that a train part does not contain."""
-    counts = level_counts(split, list(level_map))
-    groups = counts.select("cluster", "rep").distinct()
+    counts = level_counts(rows, cuts, list(level_map), seed, id_column)
     full = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(v).alias("level")) for c, lv in level_map.items() for v in lv
     ])
-    grid = groups.select("cluster", "rep", F.explode(full).alias("s")).select("cluster", "rep", "s.*")
+    grid = cuts.select("cluster", "rep", F.explode(full).alias("s")).select("cluster", "rep", "s.*")
     return grid.join(counts, ["cluster", "rep", "feature", "level"], "left_anti")
 
 
-def void_donors(split: DataFrame, level_map: dict[str, list[str]], seed: int, id_column: str = "subject_id") -> DataFrame:
-    """One train-part donor row per missing level: all columns, with ``feature``/``level`` to override."""
-    missing = missing_levels(split, level_map)
-    keep = [c for c in split.columns if c not in ("cluster", "rep", "is_test")]
-    train = split.filter(~F.col("is_test")).select("cluster", "rep", F.struct(*keep).alias("row"))
-    picked = train.join(missing, ["cluster", "rep"]).groupBy("cluster", "rep", "feature", "level").agg(
+def void_donors(rows: DataFrame, cuts: DataFrame, level_map: dict[str, list[str]], seed: int, id_column: str = "subject_id") -> DataFrame:
+    """One train-part donor row per missing level: all columns, with ``feature``/``level`` to override.
+
+    Rows meet only the repetitions that miss a level in their stratum.
+    """
+    missing = materialize(missing_levels(rows, cuts, level_map, seed, id_column).join(cuts, ["cluster", "rep"]), "missing")
+    keep = [c for c in rows.columns if c != "cluster"]
+    train = rows.select("cluster", F.col(id_column), F.struct(*keep).alias("row")).join(missing, "cluster").filter(
+        ~is_test(seed, F.col("rep"), id_column, F.col("cut_draw"), F.col("cut_tie")))
+    picked = train.groupBy("cluster", "rep", "feature", "level").agg(
         F.min(F.struct(
-            draw_key(seed, F.col("rep"), F.col("feature"), F.col("level"), F.col(f"row.{id_column}")).alias("d"),
-            F.col(f"row.{id_column}").alias("i"), F.col("row"),
+            draw_key(seed, F.col("rep"), F.col("feature"), F.col("level"), F.col(id_column)).alias("d"),
+            F.col(id_column).alias("i"), F.col("row"),
         )).alias("b")
     )
     return picked.select("cluster", "rep", "feature", "level", *[F.col(f"b.row.{c}").alias(c) for c in keep])

@@ -208,10 +208,7 @@ def cv_slope(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level
     whole = sums.filter("rep = 0").select("cluster", F.col("sums").alias("whole"))
     both = test.join(whole, "cluster")
     if support:
-        split = base.join(cuts, "cluster").withColumn(
-            "is_test", resample.is_test(seed, F.col("rep"), "subject_id", F.col("cut_draw"), F.col("cut_tie"))
-        ).drop("cut_draw", "cut_tie")
-        donors = resample.void_donors(split, {c: level_map[c] for c in support}, seed)
+        donors = resample.void_donors(base, cuts, {c: level_map[c] for c in support}, seed)
         donors = materialize(resample.override(donors, support), "donors")
         extra = _design_rows(donors, plans, y).select(
             "cluster", F.lit(0).alias("rep_block"), F.array("rep").alias("reps"), F.array(F.lit(1.0)).alias("in_test"),

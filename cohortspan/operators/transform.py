@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import impute
 
-LEVEL_LIMIT = 1000
+#: Text of all levels of a fit at most; their names are columns and parameters, so the driver holds them.
+LEVEL_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -163,13 +164,13 @@ def level_counts(df: DataFrame, columns) -> dict[str, dict[str, int]]:
     cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns
     ])).alias("s")).select("s.*").filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    cap = LEVEL_LIMIT * len(columns)
-    rows = cells.limit(cap + 1).collect()
+    cells = materialize(cells, "levels")
+    size = cells.agg(F.sum(F.octet_length("v") + 16)).first()[0] or 0
+    if size > LEVEL_BYTES:
+        raise ValueError(f"the categorical columns' levels take {size} bytes; at most {LEVEL_BYTES} are held")
     out: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for r in rows:
+    for r in cells.collect():
         out[r["c"]][r["v"]] = r["n"]
-    if len(rows) > cap or any(len(v) > LEVEL_LIMIT for v in out.values()):
-        raise ValueError(f"a categorical column has more than {LEVEL_LIMIT} levels")
     return out
 
 

@@ -12,7 +12,7 @@ from ..functions.scalar import normalise_name_column, rounded
 from ..operators import (
     clean, collapse, design, impute, linear, metrics, resample, select, strata, survival, transform, tree,
 )
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, small_or_stored
 from ..sources import bridge, files
 from ..sources.bridge import STUDY
 from . import prepare, score
@@ -346,25 +346,26 @@ def holdout_pool(spark, sf):
     )
 
 
-def _void_split(spark, sf):
+def _void_rows(spark, sf):
     rows, study = _train_rows(spark, sf, fixed.RULES_TRIAL_SLOPE)
     part = rows.withColumn("combo", F.concat_ws("-", "segment", "returnflag", "linestatus")).select(
         "subject_id", "cluster", "combo", "linestatus", "slope"
     )
-    level_map = transform.levels(part, ["linestatus", "combo"])
-    return resample.holdout_split(part, reps=REPS, seed=SEED), level_map
+    part = materialize(part, "void-rows")
+    cuts = small_or_stored(resample.holdout_cuts(part, reps=REPS, seed=SEED), "cuts")
+    return part, cuts, transform.levels(part, ["linestatus", "combo"])
 
 
 @query
 def missing_levels(spark, sf):
-    split, level_map = _void_split(spark, sf)
-    return resample.missing_levels(split, level_map)
+    rows, cuts, level_map = _void_rows(spark, sf)
+    return resample.missing_levels(rows, cuts, level_map, SEED)
 
 
 @query
 def void_levels(spark, sf):
-    split, level_map = _void_split(spark, sf)
-    donors = resample.override(resample.void_donors(split, level_map, SEED), list(level_map))
+    rows, cuts, level_map = _void_rows(spark, sf)
+    donors = resample.override(resample.void_donors(rows, cuts, level_map, SEED), list(level_map))
     return rounded(donors.select("cluster", "rep", "feature", "level", "subject_id", "combo", "slope"), 4)
 
 

@@ -81,6 +81,26 @@ def test_support_rows_and_missing_levels(spark):
     assert [(r["cluster"], r["g"]) for r in extra] == [(2, "r")]
 
 
+def test_train_level_counts_by_sums_equal_direct_counts(spark):
+    df, data = _rows(spark)
+    cuts = resample.holdout_cuts(df, reps=70, seed=4)  # more than one block of repetitions
+    split = resample.holdout_split(df, reps=70, seed=4).filter("NOT is_test").groupBy("cluster", "rep", "g").count()
+    want = {(r["cluster"], r["rep"], r["g"]): r["count"] for r in split.collect()}
+    got = {(r["cluster"], r["rep"], r["level"]): r["n"] for r in resample.level_counts(df, cuts, ["g"], 4).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("ties", [3, 64, 65, 1000, 1_000_000])
+def test_tie_sums_are_exact_for_any_number_of_ties(spark, ties):
+    """Sums over very many ties by the Euler-Maclaurin formula agree with adding them one by one."""
+    a, b = 3.0 * ties, 2.5
+    row = spark.createDataFrame([(a, b, ties)], "a double, b double, d long")
+    tail, sums = survival._tie_sums(F.col("a"), F.col("b"), F.col("d"))
+    got = row.withColumn("_tail", tail).select(*sums).first()
+    terms = a - np.arange(ties) * b
+    assert np.allclose(list(got), [np.log(terms).sum(), (1 / terms).sum(), (1 / terms**2).sum()], rtol=1e-12)
+
+
 def test_cross_product_search_equals_direct_fits(spark):
     df, data = _rows(spark)
     models = {1: {"a": design.terms(["a"]), "a*b + g": design.terms(["a*b", "g"])}, 2: {"b": design.terms(["b"])}}
@@ -88,7 +108,7 @@ def test_cross_product_search_equals_direct_fits(spark):
     got = {(r["cluster"], r["model_id"], r["rep"]): r["rmse"] for r in got.collect()}
     split = resample.holdout_split(df, reps=3, seed=9)
     test = {(r["cluster"], r["rep"], r["subject_id"]) for r in split.filter("is_test").collect()}
-    donors = resample.override(resample.void_donors(split, LEVELS, 9), ["g"]).collect()
+    donors = resample.override(resample.void_donors(df, resample.holdout_cuts(df, reps=3, seed=9), LEVELS, 9), ["g"]).collect()
     for (c, m, rep), value in got.items():
         names = {"a": ["1", "a"], "a*b + g": ["1", "a", "b", "ab", "q", "r"], "b": ["1", "b"]}[m]
         mine = [d for d in data if d[1] == c]
