@@ -14,8 +14,8 @@ same one. Every byte that a repeated string covers is removed.
    bytes or more make groups of equal strings, of which the earliest stays.
 4. All repeated starts come together per document; the union of what they cover is removed.
 
-An anchor shared by more than ``HOT_RUNS`` different runs is not one task's work: the strings of such runs are cut out and
-grouped by their bytes, pre-aggregated before the shuffle. The result is the same.
+An anchor shared by more than ``HOT_RUNS`` different runs is not one task's work: the strings of such runs are compared by two 64-bit
+hashes of each, pre-aggregated before the shuffle. The result is the same.
 
 Defined results: a null text counts as empty; a text of fewer than ``LENGTH`` bytes loses nothing; a null identifier sorts before
 every other one and stays null; rows that repeat an identifier and text have the same starts, so neither is earlier, and get
@@ -118,14 +118,14 @@ def _merged(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.
     return ids[first], starts[first], np.maximum.reduceat(stops, first)
 
 
-RUNS = "anchor long, whole long, _id long, start long, n int, twice boolean, known boolean"
-
-
+#: ``place``: start * 4096 + number of starts * 2 - 2 + whether the anchor occurs twice. ``known``: an earlier run of the same slice
+#: has the same bytes; such rows have no hashes, ``whole`` is the number of starts and ``place`` the start.
+RUNS = "anchor long, whole long, _id long, place long, known boolean"
 RUN_NAMES = [c.split()[0] for c in RUNS.split(", ")]
 
 
 def document_runs(rows: DataFrame) -> DataFrame:
-    """All runs (``RUNS``). ``known``: an earlier run of the same slice has the same bytes; such rows have no hashes."""
+    """All runs (``RUNS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -146,16 +146,11 @@ def document_runs(rows: DataFrame) -> DataFrame:
             repeats = same & ((ids != ids[first]) | (start != start[first]))
             fresh = ~same  # a repeated row has the same start again and is neither
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[fresh]) for c in (anchor, whole, ids, start)] + [
-                    pa.array(size[fresh].astype(np.int32)), pa.array(twice[fresh]), pa.array(np.zeros(fresh.sum(), bool))],
-                names=RUN_NAMES)
+                [pa.array(c[fresh]) for c in (anchor, whole, ids, start * 4096 + size * 2 - 2 + twice, same)], names=RUN_NAMES)
             ids, start, stop = _merged(ids[repeats], start[repeats], (start + size)[repeats])
             if len(ids):
                 spread = mixed(ids.astype(np.uint64)).view(np.int64)  # where such a row goes does not matter: evenly
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids), pa.array(start), pa.array((stop - start).astype(np.int32)),
-                     pa.array(np.zeros(len(ids), bool)), pa.array(np.ones(len(ids), bool))],
-                    names=RUN_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (spread, stop - start, ids, start, np.ones(len(ids), bool))], names=RUN_NAMES)
 
     return rows.mapInArrow(run, RUNS)
 
@@ -166,24 +161,26 @@ REPEATED, TO_SORT, HOT = 0, 1, 2
 
 def judged_runs(runs: DataFrame) -> DataFrame:
     """``kind``, ``anchor``, ``_id``, ``start``, ``n`` of every run that is repeated or shares its anchor with other bytes."""
-    fresh = runs.repartition("anchor").sortWithinPartitions("anchor", "known", "whole", "n", "_id", "start")
+    fresh = runs.repartition("anchor").sortWithinPartitions("anchor", "known", "whole", "_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["anchor"]):
-            anchor, whole, ids, start, size = (table.column(c).to_numpy() for c in ("anchor", "whole", "_id", "start", "n"))
-            known, twice = (table.column(c).to_numpy() for c in ("known", "twice"))
+            anchor, whole, ids, place, known = (table.column(c).to_numpy() for c in RUN_NAMES)
+            start, size = np.where(known, place, place >> 12), np.where(known, whole, (place >> 1 & 2047) + 1)
+            twice = ~known & (place & 1 == 1)
+            order = np.lexsort((start, ids, size, whole, known, anchor))
+            anchor, whole, ids, start, size, known, twice = (c[order] for c in (anchor, whole, ids, start, size, known, twice))
             bounds = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
             opens = np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]) | (size[1:] != size[:-1]) | (known[1:] != known[:-1])]
             first = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
             repeated = known | (~opens & ((ids != ids[first]) | (start != start[first])))
             lead = opens & ~known
-            different = np.add.reduceat(lead.astype(np.int64), bounds)
-            different = np.repeat(different, np.diff(np.r_[bounds, len(anchor)]))
+            different = np.repeat(np.add.reduceat(lead.astype(np.int64), bounds), np.diff(np.r_[bounds, len(anchor)]))
             kind = np.where(repeated, REPEATED, np.where(lead & ((different > 1) | twice), np.where(different > HOT_RUNS, HOT, TO_SORT), -1))
             keep = kind >= 0
             if keep.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind[keep].astype(np.int32)), pa.array(anchor[keep]), pa.array(ids[keep]), pa.array(start[keep]), pa.array(size[keep])],
+                    [pa.array(kind[keep].astype(np.int32)), pa.array(anchor[keep]), pa.array(ids[keep]), pa.array(start[keep]), pa.array(size[keep].astype(np.int32))],
                     names=["kind", "anchor", "_id", "start", "n"])
 
     return fresh.mapInArrow(run, "kind int, anchor long, _id long, start long, n int")
@@ -269,48 +266,91 @@ def repeated_starts(blocks: list[bytes], ids: np.ndarray, starts: np.ndarray) ->
     return doc[later], at[later]
 
 
+PIECES = "kind int, anchor long, _id long, start long, data binary"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
+PIECE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
 def run_bytes(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """The bytes of runs to sort: ``kind``, ``anchor``, ``_id``, ``start``, ``data``."""
+    """``PIECES``: the bytes of runs to sort; of runs with a hot anchor a row for each string, with two hashes of it as ``anchor`` and
+    ``data``. Of equal strings of a slice only the earliest goes on; the others are repeated (no ``data``)."""
     asked = judged.filter(F.col("kind") != REPEATED).groupBy("_id").agg(F.collect_list(F.struct("kind", "anchor", "start", "n")).alias("asked"))
     joined = rows.join(asked, "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(RUN + 2 * LENGTH)
         for batch in slices(batches):
-            out = []
+            out, hot = [], []
             for id_, text, asked_ in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "asked"))):
                 raw = text.encode()
                 for a in asked_:
                     data = raw[a["start"] : a["start"] + a["n"] + LENGTH - 1]
-                    if len(data) == a["n"] + LENGTH - 1:
-                        out.append((a["kind"], a["anchor"], id_, a["start"], data))
+                    if len(data) != a["n"] + LENGTH - 1:
+                        continue
+                    if a["kind"] == TO_SORT:
+                        out.append((TO_SORT, a["anchor"], id_, a["start"], data))
+                    else:
+                        letters = np.frombuffer(data, np.uint8)
+                        one, two = (powers.hashes(powers.sums(letters, k), slice(0, a["n"]), slice(LENGTH, None), k) for k in (0, 1))
+                        hot.append((one, two, np.full(a["n"], id_), a["start"] + np.arange(a["n"])))
             for k in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000]), PIECE_TYPES)], names=PIECE_NAMES)
+            if hot:
+                one, two, ids, start = (np.concatenate(c) for c in zip(*hot))
+                order = np.lexsort((start, ids, two, one))
+                one, two, ids, start = one[order], two[order], ids[order], start[order]
+                again = np.r_[False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])]
+                kind = np.where(again, REPEATED, HOT).astype(np.int32)
+                first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+                real = ~again | (ids != ids[first]) | (start != start[first])  # not the same start of a repeated row
+                data = [None if r else x.tobytes() for r, x in zip(again[real].tolist(), two[real])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000]), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    names=["kind", "anchor", "_id", "start", "data"])
+                    [pa.array(kind[real]), pa.array(one[real].view(np.int64)), pa.array(ids[real]), pa.array(start[real]), pa.array(data, pa.binary())], names=PIECE_NAMES)
 
-    return joined.mapInArrow(run, "kind int, anchor long, _id long, start long, data binary")
+    return joined.mapInArrow(run, PIECES)
 
 
 def sorted_repeats(pieces: DataFrame) -> DataFrame:
-    """``_id``, ``start``, ``stop``: starts found to be repeated by suffix sorting the runs of each anchor."""
-    wanted = pieces.filter(F.col("kind") == TO_SORT).drop("kind").repartition("anchor").sortWithinPartitions("anchor")
+    """``_id``, ``start``, ``stop``: repeated starts among the pieces, by suffix sorting the runs of each anchor; strings of hot anchors by
+    their hashes."""
+    keys = ["kind", "anchor"]
+    wanted = pieces.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(doc, at, at + 1)], names=["_id", "start", "stop"])
+
         def settle(tables: list[pa.Table]) -> pa.RecordBatch:
             table = pa.concat_tables(tables)
-            doc, at = repeated_starts(table.column("data").to_pylist(), table.column("_id").to_numpy(), table.column("start").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(doc, at, at + 1)], names=["_id", "start", "stop"])
+            return told(*repeated_starts(table.column("data").to_pylist(), table.column("_id").to_numpy(), table.column("start").to_numpy()))
 
         held, size = [], 0
-        for table in runs_of(batches, ["anchor"]):
-            bounds = run_bounds(table, ["anchor"])
-            ends = np.cumsum(pa.compute.binary_length(table.column("data")).to_numpy())
+        for table in runs_of(batches, keys):
+            kind = table.column("kind").to_numpy()
+            done = table.filter(pa.array(kind == REPEATED))
+            if done.num_rows:
+                yield told(done.column("_id").to_numpy(), done.column("start").to_numpy())
+            hot = table.filter(pa.array(kind == HOT))
+            if hot.num_rows:
+                two = np.frombuffer(b"".join(hot.column("data").to_pylist()), np.uint64)
+                one, ids, start = (hot.column(c).to_numpy() for c in ("anchor", "_id", "start"))
+                order = np.lexsort((start, ids, two, one))
+                one, two, ids, start = one[order], two[order], ids[order], start[order]
+                again = np.r_[False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])]
+                first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+                later = again & ((ids != ids[first]) | (start != start[first]))
+                yield told(ids[later], start[later])
+            rest = table.filter(pa.array(kind == TO_SORT))
+            if not rest.num_rows:
+                continue
+            bounds = run_bounds(rest, ["anchor"])
+            ends = np.cumsum(pa.compute.binary_length(rest.column("data")).to_numpy())
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 more = int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
                 if held and size + more > SORT_BYTES:
                     yield settle(held)
                     held, size = [], 0
-                held.append(table.slice(lo, hi - lo))
+                held.append(rest.slice(lo, hi - lo))
                 size += more
         if held:
             yield settle(held)
@@ -318,27 +358,11 @@ def sorted_repeats(pieces: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "_id long, start long, stop long")
 
 
-def hot_repeats(pieces: DataFrame) -> DataFrame:
-    """The same for the anchors that very many different runs share: every string by its bytes."""
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("data") - LENGTH))
-    strings = pieces.filter(F.col("kind") == HOT).select("_id", "start", "data", at.alias("k"))
-    strings = strings.select("_id", (F.col("start") + F.col("k")).alias("start"), F.substring("data", F.col("k") + 1, F.lit(LENGTH)).alias("string"))
-    first = strings.groupBy("string").agg(F.min(F.struct("_id", "start")).alias("first"))
-    later = strings.join(first, "string").filter(F.struct("_id", "start") > F.col("first"))
-    return later.select("_id", "start", (F.col("start") + 1).alias("stop"))
-
-
 def repeated(rows: DataFrame) -> DataFrame:
-    """``_id`` and ``spans``, the byte intervals (``start``, ``stop``) of a document that repeated strings cover, merged and sorted."""
+    """``_id`` and ``spans``, the intervals (``start``, ``stop``) of repeated starts of a document, in no order."""
     judged = materialize(judged_runs(document_runs(rows)), "runs")
-    pieces = run_bytes(rows, judged)
-    hot = bool(judged.filter(F.col("kind") == HOT).head(1))
-    if hot:
-        pieces = materialize(pieces, "run-bytes")
     starts = judged.filter(F.col("kind") == REPEATED).select("_id", "start", (F.col("start") + F.col("n")).alias("stop"))
-    starts = starts.unionByName(sorted_repeats(pieces))
-    if hot:
-        starts = starts.unionByName(hot_repeats(pieces))
+    starts = starts.unionByName(sorted_repeats(run_bytes(rows, judged)))
     return starts.groupBy("_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
