@@ -44,7 +44,7 @@ def missing_cells(columns):
     return sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
 
 
-def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 750, row_limit: float = 0.8, col_limit: float = 0.8) -> ImputeModel:
+def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 1500, row_limit: float = 0.8, col_limit: float = 0.8) -> ImputeModel:
     columns = tuple(columns)
     usable = missing_cells(columns) <= row_limit * len(columns)
     row = df.agg(
@@ -61,23 +61,25 @@ def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 750, row_limit:
     return ImputeModel(columns, {c: row[f"m{i}"] for i, c in enumerate(columns)}, n, usable_rows, block_rows, k, row_limit)
 
 
-def nearest(targets: np.ndarray, pool: np.ndarray, own: np.ndarray, k: int):
-    """Distances (mean squared difference over shared columns) and the k nearest pool rows; ``own`` marks pairs of a row with itself.
-
-    Pool rows come sorted by id, and the sort is stable, so equal distances go to the smaller id.
-    """
+def distances(targets: np.ndarray, pool: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Mean squared difference over shared columns; infinite without any, and where ``own`` marks a row and itself."""
+    here, there = ~np.isnan(targets), ~np.isnan(pool)
+    a, b = np.where(here, targets, 0.0), np.where(there, pool, 0.0)
     total = np.zeros((len(targets), len(pool)))
-    shared = np.zeros((len(targets), len(pool)))
     for j in range(targets.shape[1]):
-        d = targets[:, j, None] - pool[None, :, j]
-        both = ~np.isnan(d)
-        total += np.where(both, d * d, 0.0)
-        shared += both
+        if here[:, j].any() and there[:, j].any():
+            d = a[:, j, None] - b[None, :, j]
+            d *= d
+            if not here[:, j].all():
+                d *= here[:, j, None]
+            if not there[:, j].all():
+                d *= there[None, :, j]
+            total += d
+    shared = here.astype(float) @ there.T.astype(float)
     with np.errstate(invalid="ignore", divide="ignore"):
         dist = np.where(shared > 0, total / shared, np.inf)
     dist[own] = np.inf
-    order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(dist, order, axis=1), order
+    return dist
 
 
 def _chunks(n: int, size: int = 512):
@@ -110,20 +112,24 @@ class Boxes:
 def blocked(pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel) -> tuple[DataFrame, Boxes]:
     """The reference rows with ``_block``, and the blocks' boxes.
 
-    Rows are range-partitioned by which columns they have and by an interleaving of the columns' cuts, so that a partition holds
-    rows that are close in all columns. Which rows share a block decides how fast neighbours are found, never which.
+    Rows are range-partitioned by which columns they have and by an interleaving of the cuts of the columns that spread most, so that a
+    partition holds rows that are close to each other. Which rows share a block decides how fast neighbours are found, never which.
     """
-    marks = pool.agg(*[F.percentile_approx(c, [q / (CUTS + 1) for q in range(1, CUTS + 1)], 1000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    cut = [sum(((F.col(c) > F.lit(float(m))).cast("int") for m in marks[i] or []), F.lit(0)) for i, c in enumerate(columns)]
-    bits = max(1, min(4, 60 // max(len(columns), 1)))
-    key, place = F.lit(0).cast("long"), bits * len(columns)
-    for bit in range(3, 3 - bits, -1):
-        for i, c in enumerate(columns):
+    share = [q / (CUTS + 1) for q in range(1, CUTS + 1)]
+    stats = pool.agg(
+        *[F.percentile_approx(c, share, 1000).alias(f"q{i}") for i, c in enumerate(columns)], *[F.stddev(c).alias(f"s{i}") for i, c in enumerate(columns)]
+    ).first()
+    spread = [stats[f"s{i}"] or 0.0 for i in range(len(columns))]
+    leading = [i for i in sorted(range(len(columns)), key=lambda i: -spread[i])[:15] if spread[i] >= max(spread) / 10]
+    key, place = F.lit(0).cast("long"), 4 * len(leading)
+    for bit in range(3, -1, -1):
+        for i in leading:
             place -= 1
-            key = key + F.when(F.col(c).isNotNull(), F.shiftleft(F.shiftright(cut[i], bit).bitwiseAND(F.lit(1)).cast("long"), place)).otherwise(0)
+            cut = sum(((F.col(columns[i]) > F.lit(float(m))).cast("int") for m in stats[f"q{i}"] or []), F.lit(0))
+            key = key + F.when(F.col(columns[i]).isNotNull(), F.shiftleft(F.shiftright(cut, bit).bitwiseAND(F.lit(1)).cast("long"), place)).otherwise(0)
     gaps = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
     parts = max(1, math.ceil(model.usable / model.block_rows))
-    ranged = pool.select(id_column, *columns).withColumns({"_gaps": gaps, "_key": key}).repartitionByRange(parts, "_gaps", "_key", id_column)
+    ranged = pool.select(id_column, *columns).withColumns({"_gaps": gaps, "_key": key}).repartitionByRange(parts, "_gaps", "_key", *[columns[i] for i in leading[:1]], id_column)
     rows = materialize(ranged.withColumn("_block", F.xxhash64(F.spark_partition_id(), "_gaps")).drop("_key"), "blocks")
     found = rows.groupBy("_block", "_gaps").agg(
         F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))]
@@ -156,48 +162,57 @@ def _routed(targets: DataFrame, columns: list[str], boxes: Boxes, k: int, reach:
     return targets.mapInPandas(run, f"{fields}, _block long")
 
 
-def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column: str, k: int, own_table: bool) -> DataFrame:
-    """The k nearest rows of each block that a target was sent to: (id, neighbour_id, distance, v)."""
+def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column: str, own_table: bool, pick, schema: str) -> DataFrame:
+    """``pick`` applied to every target and block that meet: it gets target ids, targets, block ids, block rows and distances."""
     routed = materialize(routed, "routed")
     counts = routed.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / TARGETS_PER_TASK).cast("int").alias("_ways"))
     left = routed.join(F.broadcast(counts), "_block").withColumn("_way", F.pmod(F.xxhash64(id_column, F.lit(17)), F.col("_ways")).cast("int"))
     ways = counts.toDF("_at", "_parts")
     right = rows.join(F.broadcast(ways), F.col("_block") == F.col("_at")).withColumn("_way", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     left, right = left.drop("_ways"), right.drop("_at", "_parts")
-    kind = dict(rows.dtypes)[id_column]
 
     def across(targets: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
-        reference = reference.sort_values(id_column)
         pool, ids = reference[columns].to_numpy(dtype=float), reference[id_column].to_numpy()
-        x, own_ids, out = targets[columns].to_numpy(dtype=float), targets[id_column].to_numpy(), []
-        for s in _chunks(len(x)) if len(pool) else ():
-            own = (own_ids[s][:, None] == ids[None, :]) if own_table else np.zeros((len(x[s]), len(ids)), bool)
-            dist, order = nearest(x[s], pool, own, k)
-            ok = np.isfinite(dist)
-            out.append(pd.DataFrame({
-                id_column: np.repeat(own_ids[s], ok.sum(axis=1)), "neighbour_id": ids[order[ok]], "distance": dist[ok],
-                "v": [[None if np.isnan(c) else c for c in v] for v in pool[order[ok]].tolist()],
-            }))
-        return pd.concat(out) if out else pd.DataFrame({id_column: own_ids[:0], "neighbour_id": ids[:0], "distance": [], "v": []})
+        out = []
+        for s in _chunks(len(targets) if len(pool) else 0):
+            part = targets.iloc[s]
+            own = part[id_column].to_numpy()[:, None] == ids[None, :] if own_table else np.zeros((len(part), len(ids)), bool)
+            out.append(pick(part, ids, pool, distances(part[columns].to_numpy(dtype=float), pool, own)))
+        return pd.concat(out) if out else pick(targets.iloc[:0], ids, pool, np.zeros((0, len(ids))))
 
-    return left.groupBy("_block", "_way").cogroup(right.groupBy("_block", "_way")).applyInPandas(
-        across, f"{id_column} {kind}, neighbour_id {kind}, distance double, v array<double>")
+    return left.groupBy("_block", "_way").cogroup(right.groupBy("_block", "_way")).applyInPandas(across, schema)
 
 
 def _neighbours(targets: DataFrame, pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel, own_table: bool) -> DataFrame:
     """The k nearest reference rows of every target: (id, neighbour_id, place, distance, v); ties go to the smaller id."""
-    k = model.k
+    k, kind = model.k, dict(targets.dtypes)[id_column]
     rows, boxes = blocked(pool, columns, id_column, model)
     targets = targets.select(id_column, *columns)
-    near = _searched(_routed(targets, columns, boxes, k, None), rows, columns, id_column, k, own_table)
-    reach = near.groupBy(id_column).agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("_reach"))
+
+    def nearest(part, ids, values, dist):
+        least = np.partition(dist, k - 1, axis=1)[:, :k] if dist.shape[1] > k else dist
+        return pd.DataFrame({id_column: part[id_column].to_numpy(), "least": pd.Series(list(least), dtype=object)})
+
+    def within(part, ids, values, dist):
+        limit = part["_reach"].to_numpy(dtype=float) * (1 + 1e-9)
+        if dist.shape[1] > k:
+            limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
+        row, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        cells = [[None if np.isnan(c) else c for c in v] for v in values[at].tolist()]
+        return pd.DataFrame({
+            id_column: part[id_column].to_numpy()[row], "neighbour_id": ids[at], "distance": dist[row, at], "v": pd.Series(cells, dtype=object),
+        })
+
+    near = _searched(_routed(targets, columns, boxes, k, None), rows, columns, id_column, own_table, nearest, f"{id_column} {kind}, least array<double>")
+    reach = near.groupBy(id_column).agg(F.get(F.sort_array(F.flatten(F.collect_list("least"))), F.lit(k - 1)).alias("_reach"))
     wide = targets.join(reach, id_column, "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
-    found = _searched(_routed(wide, columns, boxes, k, "_reach"), rows, columns, id_column, k, own_table)
+    found = _searched(_routed(wide, columns, boxes, k, "_reach"), rows, columns, id_column, own_table, within,
+                      f"{id_column} {kind}, neighbour_id {kind}, distance double, v array<double>")
     place = F.row_number().over(Window.partitionBy(id_column).orderBy("distance", "neighbour_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int = 10, max_block: int = 750,
+def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int = 10, max_block: int = 1500,
                row_limit: float = 0.8) -> DataFrame:
     """The k nearest rows of every row that has a missing cell: (id, neighbour, place, distance)."""
     columns = list(columns)
@@ -208,7 +223,7 @@ def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int
 
 
 def knn_impute(df: DataFrame, columns, id_column: str = "subject_id", *, pool: DataFrame | None = None,
-               model: ImputeModel | None = None, max_block: int = 750, **limits) -> DataFrame:
+               model: ImputeModel | None = None, max_block: int = 1500, **limits) -> DataFrame:
     """Fill missing numerics with the mean of the k nearest rows, else with the column mean.
 
     Rows above the row limit get column means and never act as neighbours. With ``pool`` the

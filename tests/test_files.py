@@ -55,11 +55,11 @@ def test_functions_reach_executors_without_the_package(tmp_path):
     code = (
         "import sys; sys.path.insert(0, sys.argv[1])\n"
         "from pyspark import cloudpickle\nimport cohortspan\nfrom cohortspan.operators import impute\n"
-        "sys.stdout.buffer.write(cloudpickle.dumps(impute.nearest))"
+        "sys.stdout.buffer.write(cloudpickle.dumps(impute.distances))"
     )
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     data = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, capture_output=True, check=True).stdout
-    run = "import sys, pickle, numpy as np; f = pickle.loads(sys.stdin.buffer.read()); print(f(np.zeros((1, 1)), np.ones((2, 1)), np.zeros((1, 2), bool), 1)[0][0, 0])"
+    run = "import sys, pickle, numpy as np; f = pickle.loads(sys.stdin.buffer.read()); print(f(np.zeros((1, 1)), np.ones((2, 1)), np.zeros((1, 2), bool))[0, 0])"
     out = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, input=data, capture_output=True, check=True, env={**os.environ, "PYTHONPATH": ""})
     assert out.stdout.split()[-1] == b"1.0"
 

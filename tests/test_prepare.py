@@ -88,6 +88,13 @@ def test_column_limit(spark):
         impute.fit(df, ["a", "b"])
 
 
+def test_rows_without_shared_columns_have_no_neighbours(spark):
+    rows = [(i, float(i), None) for i in range(6)] + [(10 + i, None, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "subject_id bigint, a double, b double")
+    got = {r["subject_id"]: (r["a"], r["b"]) for r in impute.knn_impute(df, ["a", "b"], max_block=4).collect()}
+    assert got[0] == (0.0, 1.0) and got[10] == (2.5, 0.0)  # column means
+
+
 def test_knn_of_many_copies(spark):
     rows = [(i, 1.0, 1.0 if i % 3 else None) for i in range(120)] + [(200 + i, float(i), None if i % 2 else 2.0) for i in range(60)]
     df = spark.createDataFrame(rows, "subject_id bigint, a double, b double")
