@@ -169,7 +169,9 @@ def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column:
     left = routed.join(F.broadcast(counts), "_block").withColumn("_way", F.pmod(F.xxhash64(id_column, F.lit(17)), F.col("_ways")).cast("int"))
     ways = counts.toDF("_at", "_parts")
     right = rows.join(F.broadcast(ways), F.col("_block") == F.col("_at")).withColumn("_way", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    left, right = left.drop("_ways"), right.drop("_at", "_parts")
+    # little data, much work: as many tasks as the session has partitions, not as few as the bytes would fit
+    parts, meet = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["_block", "_way"]
+    left, right = left.drop("_ways").repartition(parts, *meet), right.drop("_at", "_parts").repartition(parts, *meet)
 
     def across(targets: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
         pool, ids = reference[columns].to_numpy(dtype=float), reference[id_column].to_numpy()
@@ -180,7 +182,7 @@ def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column:
             out.append(pick(part, ids, pool, distances(part[columns].to_numpy(dtype=float), pool, own)))
         return pd.concat(out) if out else pick(targets.iloc[:0], ids, pool, np.zeros((0, len(ids))))
 
-    return left.groupBy("_block", "_way").cogroup(right.groupBy("_block", "_way")).applyInPandas(across, schema)
+    return left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(across, schema)
 
 
 def _neighbours(targets: DataFrame, pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel, own_table: bool) -> DataFrame:
