@@ -1,7 +1,7 @@
 """Mixing documents to target token weights of domains that a classifier assigns softly.
 
-1. A multinomial logistic regression on hashed word counts is fitted on a bounded sample of the labelled rows and gives every document
-   posteriors over the domains.
+1. A multinomial logistic regression on the presence of words, the most frequent of a bounded sample of the labelled rows, is fitted on that
+   sample and gives every document posteriors over the domains.
 2. Nonnegative document rates r_i are sought whose expected totals sum(r_i * tokens_i * posterior_i) match the targets. Projected
    gradient steps on the least squares of the totals start from rate 1 for all. Rates are measured per token, and the totals' errors by the
    inverse of sum(tokens_i * posterior_i * posterior_i'), so a step moves a rate by posterior_i * step: documents of one domain move alike
@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.llm.common import NO_ID, given_id, materialize, numbered
 
-#: Labelled rows that the classifier is fitted on at most, word buckets, and penalty.
-TRAIN_ROWS, FEATURES, PENALTY = 20_000, 1 << 18, 0.0005
+#: Labelled rows that the classifier is fitted on at most, words that it knows at most, labelled rows that a word is in at least, and penalty.
+TRAIN_ROWS, FEATURES, LEAST_ROWS, PENALTY = 20_000, 20_000, 5, 0.0005
 #: Steps at most; the relative error of every domain's total at which they end.
 STEPS, PRECISION = 60, 1e-4
 
@@ -41,10 +42,6 @@ def _words(table: DataFrame) -> DataFrame:
     return table.withColumn("_words", words)
 
 
-def _features(table: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, inputCol="_words", outputCol="_counts", binary=True).transform(_words(table))
-
-
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text",
         train_rows: int = TRAIN_ROWS):
     """A classifier of the domains, or None without labels. ``labelled``: ``id_col`` and ``domain``.
@@ -59,9 +56,13 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str =
         known = known.filter(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 20)) < int(train_rows / count * (1 << 20)))
     at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
     train = materialize(numbered(docs, id_col, text_col).join(known, "_id").select("_text", at.cast("double").alias("label")), "mixing-train")
-    if not train.head(1):
-        return None
-    return LogisticRegression(featuresCol="_counts", regParam=PENALTY, maxIter=40, family="multinomial", standardization=False).fit(_features(train))
+    steps = [
+        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=FEATURES, minDF=LEAST_ROWS, binary=True),
+        LogisticRegression(featuresCol="_counts", regParam=PENALTY, maxIter=40, family="multinomial", standardization=False),
+    ]
+    rows = _words(train)
+    words = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_ROWS)
+    return Pipeline(stages=steps).fit(rows) if words.head(1) else None
 
 
 def posteriors(docs: DataFrame, model, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,8 +71,8 @@ def posteriors(docs: DataFrame, model, domains: list[str], id_col: str = "doc_id
     if model is None:
         even = F.array(*[F.lit(1.0 / len(domains))] * len(domains))
         return _words(rows).select("_id", F.size("_words").cast("long").alias("tokens"), even.alias("p"))
-    found = model.transform(_features(rows)).select("_id", F.size("_words").cast("long").alias("tokens"), vector_to_array("probability").alias("p"))
-    short = len(domains) - model.numClasses  # domains after the last one that has labels
+    found = model.transform(_words(rows)).select("_id", F.size("_words").cast("long").alias("tokens"), vector_to_array("probability").alias("p"))
+    short = len(domains) - model.stages[-1].numClasses  # domains after the last one that has labels
     return found.withColumn("p", F.concat("p", F.array(*[F.lit(0.0)] * short))) if short > 0 else found
 
 
