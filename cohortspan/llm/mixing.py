@@ -5,7 +5,8 @@
 2. Nonnegative document rates r_i are sought whose expected totals sum(r_i * tokens_i * posterior_i) match the targets. Projected
    gradient steps on the least squares of the totals start from rate 1 for all. Rates are measured per token, and the totals' errors by the
    inverse of sum(tokens_i * posterior_i * posterior_i'), so a step moves a rate by posterior_i * step: documents of one domain move alike
-   whatever their length, and no more than needed. A step is one aggregation over documents to as many sums as there are domains; a task works
+   whatever their length, and no more than needed. Rates stay between 0 and ``MOST_RATE``, so a domain that hardly any
+   document serves is not filled by endless copies. A step is one aggregation over documents to as many sums as there are domains; a task works
    its rows' rates out from the steps so far.
 3. ``resample`` gives each document floor(rate) copies and one more with the probability of the rest, drawn from a hash of its identifier.
    A document that most likely is of a domain whose target is no lower than its present total is never dropped by that draw.
@@ -33,8 +34,9 @@ from cohortspan.llm.common import NO_ID, given_id, materialize, numbered
 
 #: Labelled rows that the classifier is fitted on at most, words that it knows at most, labelled rows that a word is in at least, and penalty.
 TRAIN_ROWS, FEATURES, LEAST_ROWS, PENALTY = 20_000, 20_000, 5, 0.0005
-#: Steps at most; the relative error of every domain's total at which they end.
-STEPS, PRECISION = 60, 1e-4
+#: Steps at most; the relative error of every domain's total at which they end; the highest rate; damping of steps for domains that
+#: hardly any document serves, as a share of all tokens.
+STEPS, PRECISION, MOST_RATE, DAMPING = 60, 1e-3, 2.0, 0.003
 
 
 def _words(table: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     """Rates of rows with these posteriors after the steps."""
     rate = np.ones(len(p))
     for step in steps:
-        rate = np.maximum(rate + p @ step, 0.0)
+        rate = np.clip(rate + p @ step, 0.0, MOST_RATE)
     return rate
 
 
@@ -116,7 +118,7 @@ def fit_rates(weighted: DataFrame, targets: dict[str, float], steps: int = STEPS
     raised = [n for n, now, then in zip(names, total, target) if then >= now]
     if not corpus:
         return [], dict(zip(names, total.tolist())), raised
-    weight = np.linalg.pinv(gram, hermitian=True)
+    weight = np.linalg.inv(gram + DAMPING * corpus * np.eye(k))
     done: list[np.ndarray] = []
     error, last = float((target - total) @ weight @ (target - total)), np.inf
     # ends when all totals match, or when steps no longer help, as with a target that no document can serve
@@ -157,7 +159,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id
 
 
 #: Domains of the ``labels`` table, and their shares of the tokens before mixing: what is clean gains what the others lose.
-TARGETS = {"clean": 1.0, "low": 0.03, "toxic": 0.02}
+TARGETS = {"clean": 1.0, "low": 0.02, "toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
