@@ -14,7 +14,7 @@ same one. Every byte that a repeated string covers is removed.
    bytes or more make groups of equal strings, of which the earliest stays.
 4. All repeated starts come together per document; the union of what they cover is removed.
 
-An anchor shared by more than ``HOT_RUNS`` different runs is not one task's work: the strings of such runs are compared by two 64-bit
+An anchor shared by more than ``HOT_RUNS`` different runs, or ``SORT_BYTES`` of them, is not one task's work: the strings of such runs are compared by two 64-bit
 hashes of each, pre-aggregated before the shuffle. The result is the same.
 
 Defined results: a null text counts as empty; a text of fewer than ``LENGTH`` bytes loses nothing; a null identifier sorts before
@@ -39,7 +39,7 @@ LENGTH, GRAM = 100, 24
 #: Starts in a run at most; starts that a task looks at together.
 RUN, PIECE = 2048, 1 << 20
 #: Different runs of one anchor, and bytes, that one suffix sort takes.
-HOT_RUNS, SORT_BYTES = 20_000, 4 << 20
+HOT_RUNS, SORT_BYTES = 10_000, 1 << 20
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -176,7 +176,9 @@ def judged_runs(runs: DataFrame) -> DataFrame:
             repeated = known | (~opens & ((ids != ids[first]) | (start != start[first])))
             lead = opens & ~known
             different = np.repeat(np.add.reduceat(lead.astype(np.int64), bounds), np.diff(np.r_[bounds, len(anchor)]))
-            kind = np.where(repeated, REPEATED, np.where(lead & ((different > 1) | twice), np.where(different > HOT_RUNS, HOT, TO_SORT), -1))
+            size_of = np.repeat(np.add.reduceat(np.where(lead, size + LENGTH, 0), bounds), np.diff(np.r_[bounds, len(anchor)]))
+            hot = (different > HOT_RUNS) | (size_of > SORT_BYTES)
+            kind = np.where(repeated, REPEATED, np.where(lead & ((different > 1) | twice), np.where(hot, HOT, TO_SORT), -1))
             keep = kind >= 0
             if keep.any():
                 yield pa.RecordBatch.from_arrays(
