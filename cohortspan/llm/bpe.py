@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from cohortspan.llm.common import NO_ID, given_id, numbered, slices
 
 #: Bytes of text encoded together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Longest piece (characters) whose ids a task remembers, and how many it remembers.
-MEMO_BYTES, MEMO_LIMIT = 64, 600_000
+MEMO_BYTES, MEMO_LIMIT = 64, 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
