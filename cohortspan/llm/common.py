@@ -50,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "_text", most: int =
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for the frequent words of a task."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -39,7 +39,7 @@ BANDS, BAND_ROWS, STEP = 32, 4, 16
 VALUES = BANDS * BAND_ROWS
 TOLERANCE = 1e-6
 #: Texts of a bucket or component that one task compares, half of them per block when there are more; bytes per block.
-BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_BYTES = 4096, 2048, 4 << 20
+BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_BYTES = 4096, 1024, 2 << 20
 
 
 def least_matches(threshold: float = NUMERATOR / DENOMINATOR, tolerance: float = TOLERANCE, values: int = VALUES, step: int = STEP) -> list[int]:
