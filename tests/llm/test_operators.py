@@ -420,6 +420,38 @@ def test_passage_blocks_give_the_same(spark, monkeypatch):
     assert whole[0] == [] and all(sum(s["stop"] - s["start"] for s in whole[i]) >= 70 for i in range(1, 30))
 
 
+def test_passages_keep_every_match_and_span(spark):
+    rnd = random.Random(14)
+    core, head, tail = prose(rnd, 100).split(), prose(rnd, 60).split(), prose(rnd, 60).split()
+    a, b = list(core), list(core)
+    for k in range(20, 100, 40):
+        a[k], b[k + 8] = "left", "right"
+    texts = [a, b, core, [*head, *core[:30]], [*core[:30], *tail], [*head, *core[:30], *tail]]
+    texts += [[*prose(rnd, 30).split(), *head, *core[:30], *prose(rnd, 30).split()] for _ in range(8)]
+    got = as_dict(passages.near_passages(docs(spark, [" ".join(w) for w in texts])))
+    assert {0, 1} <= set(got[2].matches)  # though 0 settles what they share
+    covered = {w for s in got[5].spans for w in range(s["start"], s["stop"])}
+    assert covered == set(range(150)) and {3, 4} <= set(got[5].matches)
+    assert all({3, 5} <= set(got[i].matches) for i in range(6, 14))
+
+
+def test_bucket_matches_compare_every_two():
+    draw = np.random.default_rng(3)
+    base = draw.integers(1, 2**16, passages.WIDTH).astype(np.uint16)
+    around = np.repeat(base[None], 40, axis=0)
+    for r in range(40):
+        around[r, draw.integers(0, passages.WIDTH, r % 9)] = 7
+        if r % 4 == 0:
+            around[r, : r // 2], around[r, passages.WIDTH - r // 3 :] = 0, 0
+    around[10:13] = around[9]
+    ids = np.sort(draw.integers(0, 30, 40))
+    got = {r: (set(m.tolist()), a, b) for r, m, a, b in passages.bucket_matches(ids, around)}
+    for r in range(40):
+        hits = [(y, *(int(c[0]) for c in (a, b))) for y in range(40) if ids[y] < ids[r] for ok, a, b in [passages.alike(around[r : r + 1], around[y : y + 1])] if ok[0]]
+        leads = {int(ids[min(z for z in range(40) if (around[z] == around[y]).all())]) for y, _, _ in hits}
+        assert got.get(r) == ((leads, min(h[1] for h in hits), max(h[2] for h in hits)) if hits else None)
+
+
 def test_compact_windows_are_where_a_token_is_least():
     draw = np.random.default_rng(2)
     for _ in range(30):
