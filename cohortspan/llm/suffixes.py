@@ -86,7 +86,7 @@ def anchored_runs(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     width = LENGTH - GRAM + 1
     padding = np.zeros(width - 1, np.uint64)
     places = np.flatnonzero(~sliding_min(~np.r_[padding, anchors, padding], width) == grams)  # where anchors are
-    near = np.flatnonzero((np.diff(places) < width) & (grams[places[1:]] == grams[places[:-1]]))
+    near = np.flatnonzero((np.diff(places) <= width) & (grams[places[1:]] == grams[places[:-1]]))
     if len(near):
         lo = np.searchsorted(at, np.maximum(places[near + 1] - width + 1, 0), side="right") - 1
         hi = np.searchsorted(at, places[near], side="right") - 1

@@ -159,6 +159,18 @@ def test_suffix_removal_is_exact(spark, monkeypatch, hot):
         assert r.n_bytes == len(raw) and r.n_removed == len(raw) - len(want[i]) and r.n_spans == len(r.spans)
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_removal_of_repeated_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_RUNS", hot)
+    rnd = random.Random(6)
+    texts = [(prose(rnd, 20)[: size - 1] + "\n") * times for size in (76, 77, 78, 100) for times in (3, 10, 40)]
+    texts += [prose(rnd, 15) + (prose(rnd, 20)[:76] + "\n") * 3 + prose(rnd, 15)]
+    want = brute_removed(list(enumerate(texts)))
+    got = as_dict(suffixes.remove(docs(spark, texts).repartition(3)))
+    assert {i: bytes(r.kept) for i, r in got.items()} == want
+    assert all(r.n_removed > 0 for r in got.values())
+
+
 def test_suffix_pieces_and_edges(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 512)
     rnd = random.Random(5)
