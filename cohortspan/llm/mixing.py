@@ -5,20 +5,22 @@
 2. Nonnegative document rates r_i are sought whose expected totals sum(r_i * tokens_i * posterior_i) match the targets. Projected
    gradient steps on the least squares of the totals start from rate 1 for all. Rates are measured per token, and the totals' errors by the
    inverse of sum(tokens_i * posterior_i * posterior_i'), so a step moves a rate by posterior_i * step: documents of one domain move alike
-   whatever their length, and no more than needed. Rates stay between 0 and ``MOST_RATE``, so a domain that hardly any
-   document serves is not filled by endless copies. A step is one aggregation over documents to as many sums as there are domains; a task works
-   its rows' rates out from the steps so far.
+   whatever their length, and no more than needed. A domain that no document is most likely of is not served and left out: other
+   domains' documents would be copied without end for their small posteriors of it. A step is one aggregation over documents to as many
+   sums as there are domains; a task works its rows' rates out from the steps so far. Steps end when every served domain has its
+   target or no longer comes nearer; ``totals`` gives what is reached beside the targets, ``rates`` logs what is missed.
 3. ``resample`` gives each document floor(rate) copies and one more with the probability of the rest, drawn from a hash of its identifier.
    A document that most likely is of a domain whose target is no lower than its present total is never dropped by that draw.
 
 Defined results: a null text counts as empty, has no tokens and keeps rate 1; a null identifier stays null; every row gives one row
 (repeated rows have equal rates and draws); labels without a document, of null domain or of unknown documents are not used; without any
 usable label, or with an empty table, posteriors are equal for all domains; a target that no rates reach is approached as far as nonnegative
-rates do; extra columns are kept by ``resample`` and not read elsewhere.
+rates do; a rate has no upper bound; extra columns are kept by ``resample`` and not read elsewhere.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +36,10 @@ from cohortspan.llm.common import NO_ID, given_id, materialize, numbered
 
 #: Labelled rows that the classifier is fitted on at most, words that it knows at most, labelled rows that a word is in at least, and penalty.
 TRAIN_ROWS, FEATURES, LEAST_ROWS, PENALTY = 20_000, 20_000, 5, 0.0005
-#: Steps at most; the relative error of every domain's total at which they end; the highest rate; damping of steps for domains that
-#: hardly any document serves, as a share of all tokens.
-STEPS, PRECISION, MOST_RATE, DAMPING = 60, 1e-3, 2.0, 0.003
+#: Steps at most; the relative error of every domain's total at which they end.
+STEPS, PRECISION = 60, 1e-4
+
+_log = logging.getLogger(__name__)
 
 
 def _words(table: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     """Rates of rows with these posteriors after the steps."""
     rate = np.ones(len(p))
     for step in steps:
-        rate = np.clip(rate + p @ step, 0.0, MOST_RATE)
+        rate = np.maximum(rate + p @ step, 0.0)
     return rate
 
 
@@ -90,50 +93,70 @@ def _posteriors(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(-1, k)
 
 
+def _missed(total: np.ndarray, target: np.ndarray, corpus: float, precision: float) -> np.ndarray:
+    return np.abs(total - target) > precision * np.maximum(target, 1e-3 * corpus)
+
+
 def fit_rates(weighted: DataFrame, targets: dict[str, float], steps: int = STEPS, precision: float = PRECISION) -> tuple[list[list[float]], dict[str, float], list[str]]:
     """The steps, the totals that they reach, and the domains whose targets are no lower than their totals at rate 1. ``weighted``: ``tokens`` and ``p`` in the order of ``targets``.
 
     Targets are shares of the corpus' tokens (they need not sum to 1).
     """
     k, names = len(targets), list(targets)
-    schema = ", ".join(f"s{i} double" for i in range(k + k * k))
+    schema = ", ".join(f"s{i} double" for i in range(2 * k + k * k))
 
-    def sums(done: list[np.ndarray], gram: bool) -> np.ndarray:
+    def sums(done: list[np.ndarray], first: bool) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, square = np.zeros(k), np.zeros((k, k))
+            total, likeliest, square = np.zeros(k), np.zeros(k), np.zeros((k, k))
             for batch in batches:
                 p, tokens = _posteriors(batch, k), batch.column("tokens").to_numpy()
                 total += (_rates(p, done) * tokens) @ p
-                if gram:
+                if first:
+                    likeliest += tokens @ (p >= p.max(axis=1, keepdims=True) - 1e-9)
                     square += (p * tokens[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in [*total, *square.ravel()]], names=[f"s{i}" for i in range(k + k * k)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in [*total, *likeliest, *square.ravel()]], names=[f"s{i}" for i in range(2 * k + k * k)])
 
-        row = weighted.select("tokens", "p").mapInArrow(run, schema).agg(*[F.sum(f"s{i}") for i in range(k + k * k)]).first()
+        row = weighted.select("tokens", "p").mapInArrow(run, schema).agg(*[F.sum(f"s{i}") for i in range(2 * k + k * k)]).first()
         return np.array([x or 0.0 for x in row])
 
-    first = sums([], True)
-    total, gram = first[:k], first[k:].reshape(k, k)
+    start = sums([], True)
+    total, served, gram = start[:k], np.flatnonzero(start[k : 2 * k] > 0), start[2 * k :].reshape(k, k)
     corpus = total.sum()
     target = np.array([targets[n] for n in names]) * corpus
     raised = [n for n, now, then in zip(names, total, target) if then >= now]
     if not corpus:
         return [], dict(zip(names, total.tolist())), raised
-    weight = np.linalg.inv(gram + DAMPING * corpus * np.eye(k))
+    weight = np.zeros((k, k))
+    weight[np.ix_(served, served)] = np.linalg.pinv(gram[np.ix_(served, served)], rcond=1e-9, hermitian=True)
     done: list[np.ndarray] = []
-    error, last = float((target - total) @ weight @ (target - total)), np.inf
-    # ends when all totals match, or when steps no longer help, as with a target that no document can serve
-    while len(done) < steps and error < 0.99 * last and (np.abs(total - target) > precision * np.maximum(target, 1e-3 * corpus)).any():
+    open_ = _missed(total, target, corpus, precision)[served]
+    while len(done) < steps and open_.any():
+        last = total
         done.append(weight @ (target - total))
         total = sums(done, False)[:k]
-        error, last = float((target - total) @ weight @ (target - total)), error
+        # a domain's steps end when it has its target or no longer comes nearer, as with one that no rates can reach
+        moves = np.abs(total - last) > 0.01 * np.abs(target - last)
+        open_ = (_missed(total, target, corpus, precision) & moves)[served]
     return [s.tolist() for s in done], dict(zip(names, total.tolist())), raised
 
 
+def totals(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> dict[str, tuple[float, float]]:
+    """Per domain the target and the expected total that ``rates`` reaches, both as shares of the corpus' tokens."""
+    domains = list(targets)
+    weighted = materialize(posteriors(docs, fit(docs, labelled, domains, id_col, text_col), domains, id_col, text_col), "posteriors")
+    corpus = weighted.agg(F.sum("tokens")).first()[0] or 1
+    return {n: (targets[n], t / corpus) for n, t in fit_rates(weighted, targets)[1].items()}
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: identifier, ``tokens``, ``p`` (posteriors in the order of ``targets``), ``rate``, ``domain`` (the likeliest) and ``copies``."""
     domains = list(targets)
     weighted = materialize(posteriors(docs, fit(docs, labelled, domains, id_col, text_col), domains, id_col, text_col), "posteriors")
-    steps, _, raised = fit_rates(weighted, targets)
+    steps, reached, raised = fit_rates(weighted, targets)
+    corpus = weighted.agg(F.sum("tokens")).first()[0] or 0
+    want = np.array(list(targets.values())) * corpus
+    for n in np.flatnonzero(_missed(np.array(list(reached.values())), want, corpus, PRECISION)) if corpus else ():
+        _log.warning("mixing: %s has %.5f of the tokens after %d steps, its target is %.5f", domains[n], reached[domains[n]] / corpus, len(steps), targets[domains[n]])
     k = len(domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +182,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id
 
 
 #: Domains of the ``labels`` table, and their shares of the tokens before mixing: what is clean gains what the others lose.
-TARGETS = {"clean": 1.0, "low": 0.02, "toxic": 0.02}
+TARGETS = {"clean": 1.0, "low": 0.03, "toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

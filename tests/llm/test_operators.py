@@ -260,6 +260,24 @@ def test_mixing_reaches_targets_and_classifies(spark, edge, empty):
     assert mixing.resample(edge, none, {"clean": 0.5, "toxic": 0.5}).count() == edge.count()
 
 
+def test_mixing_has_no_highest_rate(spark, edge):
+    draw = np.random.default_rng(5)
+    rows = [(int(draw.integers(20, 90)), [0.9, 0.08, 0.02] if k < 30 else [0.05, 0.85, 0.1] if k < 270 else [0.1, 0.2, 0.7]) for k in range(300)]
+    table = spark.createDataFrame(rows, "tokens long, p array<double>")
+    targets = {"clean": 0.9, "low": 0.2, "toxic": 0.06}  # clean has under a fifth of what it shall have
+    steps, reached, raised = mixing.fit_rates(table, targets)
+    corpus = sum(n for n, _ in rows)
+    rate = mixing._rates(np.array([p for _, p in rows]), list(map(np.array, steps)))
+    assert np.allclose(np.array(list(reached.values())) / corpus, [0.9, 0.2, 0.06], rtol=1e-3) and rate.min() >= 0 and rate.max() > 2
+    # nobody is most likely toxic: the others reach their targets and nothing is copied for the missing one
+    two = spark.createDataFrame([(n, [p[0], p[1] + p[2] - 1e-4, 1e-4]) for n, p in rows], "tokens long, p array<double>")
+    steps, reached, _ = mixing.fit_rates(two, targets)
+    assert np.allclose([reached["clean"] / corpus, reached["low"] / corpus], [0.9, 0.2], rtol=1e-3) and reached["toxic"] / corpus < 0.001
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    assert {round(r.rate, 6) for r in mixing.rates(edge, none, {"clean": 0.9, "toxic": 0.05}).collect()} == {0.95}
+    assert mixing.totals(edge, none, {"clean": 0.9, "toxic": 0.05}) == {"clean": (0.9, pytest.approx(0.475)), "toxic": (0.05, pytest.approx(0.475))}
+
+
 # -- 7 content sort ----------------------------------------------------------------------------------------------------------------------
 
 
