@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, content_sort, jaccard, line_windows, mixing, passages, quality, secrets, suffixes, warc
+from cohortspan.llm import bpe, content_sort, jaccard, line_windows, mixing, passages, quality, secrets, suffixes, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_quality_rules, op2_secret_scan, op3_warc, op4_suffix_dedup, op5_bpe, op6_source_mixing, op7_exact_dedup, op8_line_dedup,
-        op9_jaccard_join, op10_substring_dedup,
+        op9_jaccard_join, op10_substring_dedup, op11_embedding_whitening,
     )
 }

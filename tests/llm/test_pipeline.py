@@ -53,9 +53,9 @@ def test_query_matches_sql(spark, name):
 
 def test_queries_without_sql():
     ours = {q for q in entry_points.queries() if q == "pipeline" or q.startswith("op")}
-    assert ours - set(entry_points.oracle_sql()) == {"op2_secret_scan", "op5_bpe", "op6_source_mixing", "op10_substring_dedup", "pipeline"}
+    assert ours - set(entry_points.oracle_sql()) == {"op2_secret_scan", "op5_bpe", "op6_source_mixing", "op10_substring_dedup", "op11_embedding_whitening", "pipeline"}
 
 
 def test_queries_are_registered():
     names = list(entry_points.queries())
-    assert "pipeline" in names and [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
+    assert "pipeline" in names and [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == [n for n in names if n.startswith("op")]
