@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import bpe, content_sort, jaccard, line_windows, mixing, passages, quality, secrets, suffixes, warc, whitening
+from cohortspan.llm import (
+    bpe, content_sort, conversations, jaccard, line_windows, mixing, passages, quality, secrets, suffixes, warc, whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +65,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(rows), rows)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_quality_rules, op2_secret_scan, op3_warc, op4_suffix_dedup, op5_bpe, op6_source_mixing, op7_exact_dedup, op8_line_dedup,
-        op9_jaccard_join, op10_substring_dedup, op11_embedding_whitening,
+        op9_jaccard_join, op10_substring_dedup, op11_embedding_whitening, op13_conversation_repair,
     )
 }

@@ -106,7 +106,68 @@ SELECT doc_id, class_id, class_size, coalesce(links.n, 0) AS n_links, coalesce(g
 FROM sets JOIN class USING (k) LEFT JOIN links ON links.a = class_id LEFT JOIN grp ON grp.id = class_id
 """
 
+_REPAIR = rf"""
+WITH RECURSIVE
+bits AS (SELECT range AS n, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM src WHERE kind <> 0),
+placed AS (SELECT *, coalesce(conv_id, -1) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha1(role || chr(0) || text)) AS i,
+                  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM hurt),
+marked AS (
+  SELECT *, left(role, 1) AS r,
+         CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+-- [cost, edits] for nothing yet, after system, after user, after assistant
+walk AS (
+  SELECT g, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS n, {{'c': 99999999, 'a': ''}} AS s, {{'c': 2, 'a': 'I'}} AS u, {{'c': 4, 'a': 'II'}} AS h
+  FROM (SELECT DISTINCT g FROM marked)
+  UNION ALL
+  SELECT g, i, n, s, least(u, {{'c': h.c + 2, 'a': h.a || 'I'}}, {{'c': n.c + 2, 'a': n.a || 'I'}}, {{'c': s.c + 2, 'a': s.a || 'I'}}),
+         least(h, {{'c': u.c + 2, 'a': u.a || 'I'}}, {{'c': n.c + 4, 'a': n.a || 'II'}}, {{'c': s.c + 4, 'a': s.a || 'II'}}) FROM (
+    SELECT w.g, m.i, {{'c': n.c + 3, 'a': n.a || 'D'}} AS n,
+      least({{'c': s.c + 3, 'a': s.a || 'D'}}, {{'c': CASE WHEN m.r = 's' AND live THEN n.c + x ELSE 99999999 END, 'a': n.a || 'K'}}) AS s,
+      least({{'c': u.c + 3, 'a': u.a || 'D'}},
+            {{'c': CASE WHEN m.r = 'u' AND live THEN n.c + x ELSE 99999999 END, 'a': n.a || 'K'}}, {{'c': CASE WHEN live THEN n.c + x + 2 ELSE 99999999 END, 'a': n.a || 'R'}},
+            {{'c': CASE WHEN m.r = 'u' AND live THEN s.c + x ELSE 99999999 END, 'a': s.a || 'K'}}, {{'c': CASE WHEN live THEN s.c + x + 2 ELSE 99999999 END, 'a': s.a || 'R'}},
+            {{'c': CASE WHEN m.r = 'u' AND live THEN h.c + x ELSE 99999999 END, 'a': h.a || 'K'}}, {{'c': CASE WHEN live THEN h.c + x + 2 ELSE 99999999 END, 'a': h.a || 'R'}}) AS u,
+      least({{'c': h.c + 3, 'a': h.a || 'D'}},
+            {{'c': CASE WHEN m.r = 'a' AND live THEN u.c + x ELSE 99999999 END, 'a': u.a || 'K'}}, {{'c': CASE WHEN live THEN u.c + x + 2 ELSE 99999999 END, 'a': u.a || 'R'}}) AS h
+    FROM walk w JOIN (SELECT *, fault IN ('k', 't') AS live, CASE fault WHEN 't' THEN 1 ELSE 0 END AS x FROM marked) m ON m.g = w.g AND m.i = w.i + 1) stepped),
+best AS (SELECT walk.g, least(n, h) AS b FROM walk JOIN (SELECT g, max(i) AS i FROM marked GROUP BY g) e ON e.g = walk.g AND e.i = walk.i),
+letter AS (SELECT g, unnest(string_split(b.a, '')) AS x, generate_subscripts(string_split(b.a, ''), 1) AS p FROM best WHERE b.a <> ''),
+edit AS (SELECT *, count(*) FILTER (WHERE x <> 'I') OVER (PARTITION BY g ORDER BY p) AS i FROM letter),
+turned AS (
+  SELECT e.g, e.x, m.r, m.role, CASE WHEN e.x = 'I' THEN '' ELSE m.text END AS text, row_number() OVER (PARTITION BY e.g ORDER BY e.p) AS j
+  FROM edit e LEFT JOIN marked m ON m.g = e.g AND m.i = e.i WHERE e.x <> 'D'),
+lead_in AS (SELECT g, max(CASE WHEN j = 1 AND x = 'K' AND r = 's' THEN 1 ELSE 0 END) AS k FROM turned GROUP BY g),
+told AS (
+  SELECT g, string_agg((CASE WHEN x = 'K' THEN role WHEN (j - k) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j) AS t
+  FROM turned JOIN lead_in USING (g) GROUP BY g),
+stat AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit,
+       sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id, -1) AS g FROM conversations) o
+LEFT JOIN stat USING (g) LEFT JOIN best USING (g) LEFT JOIN told USING (g)
+"""
+
 S = {
     "op1_quality_rules": _QUALITY, "op3_warc": _WARC, "op4_suffix_dedup": _SUFFIX, "op7_exact_dedup": _EXACT, "op8_line_dedup": _LINES,
-    "op9_jaccard_join": _JOIN,
+    "op9_jaccard_join": _JOIN, "op13_conversation_repair": _REPAIR,
 }

@@ -42,7 +42,7 @@ def test_stages(spark, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
-SQL = ["op1_quality_rules", "op3_warc", "op4_suffix_dedup", "op7_exact_dedup", "op8_line_dedup", "op9_jaccard_join"]
+SQL = ["op1_quality_rules", "op3_warc", "op4_suffix_dedup", "op7_exact_dedup", "op8_line_dedup", "op9_jaccard_join", "op13_conversation_repair"]
 
 
 @pytest.mark.parametrize("name", SQL)
