@@ -185,10 +185,17 @@ def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column:
     return left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(across, schema)
 
 
-def _neighbours(targets: DataFrame, pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel, own_table: bool) -> DataFrame:
+def reference(train: DataFrame, columns, model: ImputeModel, id_column: str = "subject_id") -> tuple[DataFrame, Boxes]:
+    """The rows that may be neighbours, in blocks, and the blocks' boxes: all that new rows need of the training table."""
+    columns = list(columns)
+    return blocked(train.filter(missing_cells(columns) <= model.row_limit * len(columns)), columns, id_column, model)
+
+
+def _neighbours(targets: DataFrame, pool: DataFrame | None, columns: list[str], id_column: str, model: ImputeModel, own_table: bool,
+                index: tuple[DataFrame, Boxes] | None = None) -> DataFrame:
     """The k nearest reference rows of every target: (id, neighbour_id, place, distance, v); ties go to the smaller id."""
     k, kind = model.k, dict(targets.dtypes)[id_column]
-    rows, boxes = blocked(pool, columns, id_column, model)
+    rows, boxes = index or blocked(pool, columns, id_column, model)
     targets = targets.select(id_column, *columns)
 
     def nearest(part, ids, values, dist):
@@ -225,17 +232,18 @@ def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int
 
 
 def knn_impute(df: DataFrame, columns, id_column: str = "subject_id", *, pool: DataFrame | None = None,
-               model: ImputeModel | None = None, max_block: int = 1500, **limits) -> DataFrame:
+               model: ImputeModel | None = None, index: tuple[DataFrame, Boxes] | None = None, max_block: int = 1500, **limits) -> DataFrame:
     """Fill missing numerics with the mean of the k nearest rows, else with the column mean.
 
-    Rows above the row limit get column means and never act as neighbours. With ``pool`` the
-    neighbours come from those reference rows only, so new subjects cannot change one another.
+    Rows above the row limit get column means and never act as neighbours. With ``pool``, or its blocks as ``index`` (and the model fitted on
+    them), the neighbours come from those reference rows only, so new subjects cannot change one another.
     """
     columns = list(columns)
-    reference = df if pool is None else pool
-    model = model or fit(reference, columns, max_block=max_block, **limits)
+    whole = df if pool is None else pool
+    model = model or fit(whole, columns, max_block=max_block, **limits)
     few_missing = missing_cells(columns) <= model.row_limit * len(columns)
-    near = _neighbours(df.filter(few_missing & (missing_cells(columns) > 0)), reference.filter(few_missing), columns, id_column, model, pool is None)
+    targets = df.filter(few_missing & (missing_cells(columns) > 0))
+    near = _neighbours(targets, None if index else whole.filter(few_missing), columns, id_column, model, pool is None and index is None, index)
     guess = near.groupBy(F.col(id_column).alias("_id")).agg(*[F.avg(F.get("v", F.lit(i))).alias(f"_f{i}") for i in range(len(columns))])
     filled = df.join(guess, F.col(id_column) == F.col("_id"), "left")
     return filled.select(*[

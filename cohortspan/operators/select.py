@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from . import design as dz
 from . import resample
 from .linear import solve
-from ..functions.ordered import longest_group
 from ..session import materialize, small_or_stored
 
 FLUSH_BYTES = 64 << 20
@@ -284,45 +283,74 @@ def top_models(summary: DataFrame, metric: str, k: int = 20, *, largest: bool =
 
 # --- survival search -------------------------------------------------------------------------------------
 FIT_KEYS = ["cluster", "model_id", "rep"]
+SURVIVAL_METRICS = ("c_index", "auc12", "auc18", "auc24", "iauc")
 
 
 def cv_survival(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], level_map: dict[str, list[str]], *,
-                reps: int, seed: int, share: float = 0.333334) -> DataFrame:
-    """Hold-out concordance and AUCs per (cluster, model_id, rep); every Cox fit advances in the same job."""
-    from . import metrics, survival
+                reps: int, seed: int, share: float = 0.333334, bin_rows: int | None = None) -> DataFrame:
+    """Hold-out concordance and AUCs per (cluster, model_id, rep).
+
+    All fits advance together over compact rows (see ``risksets``). Strata of one bin are scored there, too; test parts of larger ones go
+    through the row-wise metrics, which serve any size.
+    """
+    from . import risksets
 
     models = {c: m for c, m in models.items() if m}
     designs = {c: {m: dz.design(t, level_map) for m, t in ms.items()} for c, ms in models.items()}
-    width = max(1, max(len(d) for ms in designs.values() for d in ms.values()))
-    columns = sorted({a for ms in designs.values() for d in ms.values() for c in d for a, _ in c})
+    columns = {c: list(dict.fromkeys(x for d in ds.values() for x in d)) for c, ds in designs.items()}
+    place = {c: {x: i for i, x in enumerate(found)} for c, found in columns.items()}
+    names = {c: list(ds) for c, ds in designs.items()}
+    used = sorted({a for found in columns.values() for x in found for a, _ in x})
     base = materialize(
         rows.filter(F.col("cluster").isin(*models) & F.col("time_event").isNotNull() & F.col("status").isNotNull())
-        .select("subject_id", "cluster", "time_event", "status", *columns), "cv-rows",
+        .select("subject_id", "cluster", "time_event", "status", *used), "cv-rows",
     )
     cuts = small_or_stored(resample.holdout_cuts(base, reps=reps, seed=seed, share=share), "cuts")
+    x = None
+    for c, found in columns.items():
+        cells = F.array(*[F.coalesce(dz.expression(d), F.lit(float("nan"))) for d in found] or [F.lit(0.0)])
+        hit = F.col("cluster") == F.lit(c)
+        x = F.when(hit, cells) if x is None else x.when(hit, cells)
+    compact = base.select("subject_id", "cluster", F.col("time_event").cast("double").alias("time"), F.col("status").cast("int").alias("status"), x.alias("x"))
+    table, bins_of = risksets.stored_bins(compact, cuts, seed, bin_rows)
+    spark, parts = rows.sparkSession, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = {c: [[place[c][x] for x in d] for d in ds.values()] for c, ds in designs.items()}
+    single = {c: m for c, m in wanted.items() if len(bins_of.get(c, ())) == 1 and bins_of[c][0] % 2 == 0}
+    scored = [materialize(risksets.search_bins(table, single, reps, parts), "cv-scored")] if single else []
+    larger = []
+    for units in risksets.turns({c: m for c, m in wanted.items() if c not in single}, reps, bins_of):
+        for u, beta in zip(units, risksets.fit(table, units, bins_of, parts=parts)):
+            larger += [(u.cluster, names[u.cluster][u.model], int(r), b.tolist()) for r, b in zip(u.reps, beta)]
+    labels = spark.createDataFrame([(c, i, m) for c, ms in names.items() for i, m in enumerate(ms)], "cluster int, model int, model_id string")
+    out = [df.join(F.broadcast(labels), ["cluster", "model"]).select(*FIT_KEYS, *SURVIVAL_METRICS) for df in scored]
+    if larger:
+        out.append(_large_scored(base, cuts, designs, larger, seed))
+    if not out:
+        return spark.createDataFrame([], "cluster int, model_id string, rep int, " + ", ".join(f"{m} double" for m in SURVIVAL_METRICS))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _large_scored(base: DataFrame, cuts: DataFrame, designs, fits: list[tuple], seed: int) -> DataFrame:
+    """Metrics of test parts as rows: for strata beyond one bin, whose running counts are spread over tasks."""
+    from . import metrics, survival
+
+    spark = base.sparkSession
+    width = max(1, max(len(d) for ms in designs.values() for d in ms.values()))
+    betas = spark.createDataFrame([(c, m, r, b + [0.0] * (width - len(b))) for c, m, r, b in fits], "cluster int, model_id string, rep int, beta array<double>")
     cells = None
-    for c, ms in designs.items():
+    for c in {f[0] for f in fits}:
         arr = F.array(*[
             F.struct(F.lit(m).alias("model_id"), F.array(*[dz.expression(x) for x in d], *[F.lit(0.0)] * (width - len(d))).alias("x"))
-            for m, d in ms.items()
+            for m, d in designs[c].items()
         ])
         hit = F.col("cluster") == F.lit(c)
         cells = F.when(hit, arr) if cells is None else cells.when(hit, arr)
-    split = base.join(cuts, "cluster").withColumn(
-        "is_test", resample.is_test(seed, F.col("rep"), "subject_id", F.col("cut_draw"), F.col("cut_tie"))
-    )
-    long = split.select("cluster", "rep", "is_test", F.col("time_event").alias("time"), "status", F.explode(cells).alias("m")).select(
-        "cluster", F.col("m.model_id").alias("model_id"), "rep", "is_test", "time", "status", F.col("m.x").alias("x")
+    tested = base.join(cuts, "cluster").filter(resample.is_test(seed, F.col("rep"), "subject_id", F.col("cut_draw"), F.col("cut_tie")))
+    long = tested.select("cluster", "rep", F.col("time_event").alias("time"), "status", F.explode(cells).alias("m")).select(
+        "cluster", F.col("m.model_id").alias("model_id"), "rep", "time", "status", F.col("m.x").alias("x")
     ).filter(~F.exists("x", lambda v: v.isNull()))
-    train = long.filter(~F.col("is_test")).drop("is_test")
-    longest = longest_group(base.select("cluster", "time_event").distinct(), ["cluster"])
-    # the exploded rows are rebuilt in each step; only the compact rows are stored
-    fits = materialize(survival.fit_cox(train, FIT_KEYS, width, stored=True, longest=longest), "cv-fits")
-    test = long.filter("is_test").drop("is_test").join(fits.select(*FIT_KEYS, "beta"), FIT_KEYS)
     # a constant factor per fit changes no ranking, so the training mean need not be taken out;
     # scores that agree to nine decimals count as tied
-    scored = test.withColumn("risk", F.round(survival.linear_predictor(width), 9)).select(*FIT_KEYS, "time", "status", "risk")
-    return metrics.scorecard(materialize(scored, "cv-scored"), FIT_KEYS, score="risk", time="time", status="status")
-
-
-SURVIVAL_METRICS = ("c_index", "auc12", "auc18", "auc24", "iauc")
+    risk = F.round(survival.linear_predictor(width), 9)
+    scored = long.join(betas, FIT_KEYS).withColumn("risk", risk).select(*FIT_KEYS, "time", "status", "risk")
+    return metrics.scorecard(materialize(scored, "cv-scored"), FIT_KEYS, score="risk", time="time", status="status").select(*FIT_KEYS, *SURVIVAL_METRICS)

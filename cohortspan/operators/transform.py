@@ -6,6 +6,7 @@ Fitting is one or two aggregates that end in a few numbers per column; applying
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,23 @@ def apply_scale(df: DataFrame, model: ScaleModel) -> DataFrame:
 SERIES = 24
 
 
+#: Octaves of offsets whose power sums a stored preparation keeps.
+OCTAVES = 64
+
+
+def offset_sums(train: DataFrame, model: ScaleModel) -> DataFrame:
+    """Power sums of every right-skewed column for all octaves below ``OCTAVES``: (feature, octave, n, l, ll, p, q)."""
+    parts = [
+        _offset_moments(train, c, model.minimum[c], list(range(OCTAVES))).select(
+            F.lit(c).alias("feature"), F.col("_octave").alias("octave"), F.col("_n").alias("n"), F.col("_l").alias("l"), F.col("_ll").alias("ll"),
+            F.col("_p").alias("p"), F.col("_q").alias("q"),
+        ) for c, kind in model.kinds.items() if kind == "right"
+    ]
+    if not parts:
+        return train.sparkSession.createDataFrame([], "feature string, octave int, n double, l double, ll double, p array<double>, q array<double>")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _offset_moments(train: DataFrame, column: str, minimum: float, octaves: list[int]) -> DataFrame:
     """Power sums that give mean and sd of ln(t + offset) for every offset, one row per octave.
 
@@ -114,12 +132,13 @@ def _series_moments(shift: Column) -> tuple[Column, Column]:
     return mean, F.sqrt((total2 - F.col("_n") * mean * mean) / (F.col("_n") - 1))
 
 
-def apply_scale_joint(df: DataFrame, model: ScaleModel, train: DataFrame) -> DataFrame:
+def apply_scale_joint(df: DataFrame, model: ScaleModel, train: DataFrame | None, offsets_of: DataFrame | None = None) -> DataFrame:
     """Standardise each new row against (training rows + that row) in closed form.
 
     Adding x to n values with mean m and squared deviations q gives mean m + d/(n+1) and
     q + d*d*n/(n+1) with d = x - m. A new minimum moves the log offset and with it every training
-    value; those rows take their training moments from the power sums of their offset's octave.
+    value; those rows take their training moments from the power sums of their offset's octave: computed from ``train``, or stored ones
+    (``offsets_of``, from ``offset_sums``).
     """
     rights = [c for c, k in model.kinds.items() if k == "right"]
     moments = {c: (F.lit(model.mean[c]), F.lit(model.sd[c])) for c in model.kinds}
@@ -134,8 +153,12 @@ def apply_scale_joint(df: DataFrame, model: ScaleModel, train: DataFrame) -> Dat
     for i, c in enumerate(rights):
         if span[f"lo{i}"] is None:
             continue
-        octaves = list(range(int(span[f"lo{i}"]), int(span[f"hi{i}"]) + 1))
-        sums = _offset_moments(train, c, model.minimum[c], octaves)
+        if offsets_of is None:
+            sums = _offset_moments(train, c, model.minimum[c], list(range(int(span[f"lo{i}"]), int(span[f"hi{i}"]) + 1)))
+        else:
+            if span[f"hi{i}"] >= OCTAVES:
+                raise ValueError(f"{c} holds a value below -2^{OCTAVES}; stored power sums do not reach that far")
+            sums = offsets_of.filter(F.col("feature") == c).select(F.col("octave").alias("_octave"), *[F.col(x).alias(f"_{x}") for x in ("n", "l", "ll", "p", "q")])
         base = F.lit(model.minimum[c] + 1.0) + F.abs(F.col(c))
         centre = F.lit(1.5) * F.pow(F.lit(2.0), F.col(f"_octave_{c}"))
         mean, sd = _series_moments((base - centre) / centre)
@@ -239,9 +262,13 @@ def prepare_training(wide: DataFrame, numerics, categoricals, kinds: dict[str, s
     return Prepared(filled, impute.mode_impute(apply_scale(filled, scale), categoricals, prep.modes), prep)
 
 
-def prepare_scoring(new_wide: DataFrame, train_wide: DataFrame, train_filled: DataFrame, prep: Preparation) -> DataFrame:
-    """Joint preparation of many new subjects, each against the training rows and itself."""
+def prepare_scoring(new_wide: DataFrame, train_wide: DataFrame | None, train_filled: DataFrame | None, prep: Preparation, *,
+                    index: tuple[DataFrame, impute.Boxes] | None = None, offsets_of: DataFrame | None = None) -> DataFrame:
+    """Joint preparation of many new subjects, each against the training rows and itself.
+
+    ``index`` and ``offsets_of`` stand for the training rows where only what was stored of them is at hand.
+    """
     known = unseen_to_null(new_wide, prep.level_map)
-    filled = impute.knn_impute(known, prep.numerics, pool=train_wide, model=prep.knn)
-    scaled = apply_scale_joint(filled, prep.scale, train_filled)
+    filled = impute.knn_impute(known, prep.numerics, pool=train_wide, model=prep.knn, index=index)
+    scaled = apply_scale_joint(filled, prep.scale, train_filled, offsets_of)
     return impute.mode_impute(scaled, prep.categoricals, prep.modes)

@@ -1,9 +1,10 @@
 """Regression and survival trees grown level by level, and their rule tables.
 
 One pass per level serves all open nodes: rows are combined per (node, feature, value), running
-totals over the values give the left side of every threshold, and the best gain per node wins. The
-tree itself stays on the driver: every split must gain at least cp of the root's loss, so there are
-at most 1/cp of them.
+totals over the values give the left side of every threshold, and the best gain per node wins. Of two
+children only the smaller is counted; the other is what is left of their parent's counts, so a level
+reads at most half of the rows of the nodes it splits. The tree itself stays on the driver: every split must
+gain at least cp of the root's loss, so there are at most 1/cp of them.
 """
 
 from __future__ import annotations
@@ -60,28 +61,47 @@ def node_loss(kind: str, n: float, s1: float, s2: float) -> float:
     return 2.0 * (-s1 * math.log(s1 / s2)) if s1 > 0 and s2 > 0 else 0.0
 
 
-def value_counts(rows: DataFrame, numerics, categoricals, kind: str) -> DataFrame:
-    """(node, feature, key) with n, s1, s2; categories are keyed by their mean response.
+def cell_counts(rows: DataFrame, numerics, categoricals) -> DataFrame:
+    """(node, feature, value or level) with n, s1, s2.
 
     Numbers that agree to nine decimals are one value, so last-bit noise makes no cut points.
     """
-    num = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c).cast("double"), 9).alias("key")) for c in numerics]))
-    by_number = (
-        rows.select("node", "_a", "_b", num.alias("c")).select("node", "_a", "_b", "c.*").filter(F.col("key").isNotNull())
-        .groupBy("node", "feature", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s1"), F.sum("_b").alias("s2"))
-    )
-    if not categoricals:
-        return by_number
-    cat = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in categoricals]))
-    by_level = (
-        rows.select("node", "_a", "_b", cat.alias("c")).select("node", "_a", "_b", "c.*").filter(F.col("level").isNotNull())
-        .groupBy("node", "feature", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s1"), F.sum("_b").alias("s2"))
+    nothing = F.lit(None)
+    cells = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c).cast("double"), 9).alias("value"), nothing.cast("string").alias("level")) for c in numerics]
+    cells += [F.struct(F.lit(c).alias("feature"), nothing.cast("double").alias("value"), F.col(c).alias("level")) for c in categoricals]
+    each = rows.select("node", "_a", "_b", F.explode(F.array(*cells)).alias("c")).select("node", "_a", "_b", "c.*")
+    return each.filter(F.col("value").isNotNull() | F.col("level").isNotNull()).groupBy("node", "feature", "value", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s1"), F.sum("_b").alias("s2")
     )
+
+
+def siblings(parents: DataFrame, small: DataFrame) -> DataFrame:
+    """Counts of the other child of each node in ``small``: the parent's less its own."""
+    heads = small.select(F.shiftright("node", 1).alias("_parent"), F.col("node").alias("_small")).distinct()
+    wanted = parents.join(F.broadcast(heads), parents["node"] == heads["_parent"]).drop("node", "_parent")
+    mine = small.select(F.col("node").alias("_small"), "feature", "value", "level", F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_small", "feature", "value", "level")]
+    left = lambda c: F.col(f"l.{c}") - F.coalesce(F.col(f"r._{c}"), F.lit(0))
+    return wanted.alias("l").join(mine.alias("r"), same[0] & same[1] & same[2] & same[3], "left").select(
+        F.col("l._small").bitwiseXOR(F.lit(1)).cast("bigint").alias("node"), "l.feature", "l.value", "l.level",
+        left("n").cast("bigint").alias("n"), left("s1").alias("s1"), left("s2").alias("s2"),
+    ).filter("n > 0")
+
+
+def _level_key(kind: str) -> Column:
+    """Categories are ordered by their mean response."""
     base = F.col("n") if kind == "anova" else F.col("s2")
-    keyed = by_level.withColumn("key", F.coalesce(F.try_divide(F.col("s1"), base.cast("double")), F.lit(0.0))).groupBy(
-        "node", "feature", "key"
-    ).agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-    return by_number.unionByName(keyed)
+    return F.coalesce(F.try_divide(F.col("s1"), base.cast("double")), F.lit(0.0))
+
+
+def keyed_counts(cells: DataFrame, kind: str) -> DataFrame:
+    """(node, feature, key) with n, s1, s2; levels of equal mean response are one key."""
+    key = F.when(F.col("level").isNull(), F.col("value")).otherwise(_level_key(kind))
+    return cells.withColumn("key", key).groupBy("node", "feature", "key").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+
+
+def value_counts(rows: DataFrame, numerics, categoricals, kind: str) -> DataFrame:
+    return keyed_counts(cell_counts(rows, numerics, categoricals), kind)
 
 
 def split_gains(counts: DataFrame, kind: str, minbucket: int) -> DataFrame:
@@ -95,9 +115,12 @@ def split_gains(counts: DataFrame, kind: str, minbucket: int) -> DataFrame:
     return both.withColumn("gain", gain * factor)
 
 
-def best_per(gains: DataFrame, keys: list[str]) -> DataFrame:
-    """Best split per key; equal gains go to the smaller (feature, key). Gains compare at 9 digits."""
-    scale = F.round(F.col("gain"), 6)
+def best_per(gains: DataFrame, keys: list[str], loss: float | None = None) -> DataFrame:
+    """Best split per key; equal gains go to the smaller (feature, key).
+
+    Gains count as equal when they agree to six decimals, or to nine of their share of ``loss``.
+    """
+    scale = F.round(F.col("gain"), 6) if not loss else F.round(F.col("gain") / F.lit(loss), 9)
     pick = F.min(F.struct((-scale).alias("g"), F.col("feature"), F.col("key"), F.col("gain"), F.col("ln"), F.col("l1"), F.col("l2"),
                           F.col("tn"), F.col("t1"), F.col("t2"))).alias("b")
     return gains.groupBy(*keys).agg(pick).select(*keys, *[
@@ -145,33 +168,43 @@ def best_splits(rows: DataFrame, numerics, categoricals, *, kind: str = "anova",
 
 
 def grow(rows: DataFrame, numerics, categoricals, *, kind: str = "anova", minsplit: int = 20, cp: float = 0.005,
-         max_depth: int = 30, **response) -> dict[int, Node]:
-    """Grow the tree; one job per level for all open nodes."""
+         max_depth: int = 30, counted: list[tuple[int, int]] | None = None, **response) -> dict[int, Node]:
+    """Grow the tree; one job per level for all open nodes.
+
+    ``counted`` gets, for each level, the rows that were counted and the rows of the nodes that were searched.
+    """
     data = materialize(
         response_rows(rows, kind, **response).select(*numerics, *categoricals, "_a", "_b"), "tree"
     )
     minbucket = max(1, round(minsplit / 3))
     first = data.agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("a"), F.sum("_b").alias("b")).first()
     nodes = {1: Node(1, first["n"], first["a"] or 0.0, first["b"] or 0.0)}
-    floor = cp * node_loss(kind, nodes[1].n, nodes[1].s1, nodes[1].s2)
+    loss = node_loss(kind, nodes[1].n, nodes[1].s1, nodes[1].s2)
     open_ids = [1] if nodes[1].n >= minsplit else []
+    cells: DataFrame | None = None
     for _ in range(max_depth):
         if not open_ids:
             break
-        here = data.withColumn("node", node_column(nodes)).filter(F.col("node").isin(*open_ids))
-        counts = materialize(value_counts(here, numerics, categoricals, kind), "splits")
-        best = best_per(split_gains(counts, kind, minbucket), ["node"]).filter(F.col("gain") >= floor)
+        smaller = [min((k, k ^ 1), key=lambda c: (nodes[c].n, c)) if k > 1 else 1 for k in open_ids]
+        here = data.withColumn("node", node_column(nodes)).filter(F.col("node").isin(*smaller))
+        if counted is not None:
+            counted.append((sum(nodes[k].n for k in set(smaller)), sum(nodes[k].n for k in open_ids)))
+        small = cell_counts(here, numerics, categoricals)
+        if cells is None:
+            cells = materialize(small, "cells")
+        else:
+            small = materialize(small, "cells-small")
+            both = small.unionByName(siblings(cells, small))
+            cells = materialize(both.filter(F.col("node").isin(*open_ids)), "cells")
+        counts = materialize(keyed_counts(cells, kind), "splits")
+        best = best_per(split_gains(counts, kind, minbucket), ["node"], loss).filter(F.col("gain") >= cp * loss)
         found = thresholds(best, counts, categoricals).collect()  # at most one row per open node
         chosen = [(r["node"], r["feature"], r["key"]) for r in found if r["feature"] in categoricals]
         left: dict[int, list[str]] = {}
         if chosen:
             marks = from_rows(data.sparkSession, chosen, "node bigint, feature string, _cut double")
-            cat = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in categoricals]))
-            stats = here.select("node", "_a", "_b", cat.alias("c")).select("node", "_a", "_b", "c.*").groupBy("node", "feature", "level").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s1"), F.sum("_b").alias("s2"))
-            base = F.col("n") if kind == "anova" else F.col("s2")
-            key = F.coalesce(F.try_divide(F.col("s1"), base.cast("double")), F.lit(0.0))
-            for r in stats.join(marks, ["node", "feature"]).filter(key <= F.col("_cut") + F.lit(1e-9) * F.greatest(F.abs("_cut"), F.lit(1e-3))).collect():
+            cut = F.col("_cut") + F.lit(1e-9) * F.greatest(F.abs("_cut"), F.lit(1e-3))
+            for r in cells.join(marks, ["node", "feature"]).filter(_level_key(kind) <= cut).select("node", "level").collect():
                 left.setdefault(r["node"], []).append(r["level"])
         open_ids = []
         for r in found:

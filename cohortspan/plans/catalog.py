@@ -15,7 +15,7 @@ from ..operators import (
 from ..session import materialize, scratch_path, small_or_stored
 from ..sources import bridge, files
 from ..sources.bridge import STUDY
-from . import prepare, score
+from . import bundle, prepare, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,7 +435,7 @@ def rmse(spark, sf):
 
 
 # --- trees -------------------------------------------------------------------------------------------
-TREE_OPTIONS = {"minsplit": 60, "cp": 0.001, "max_depth": 2}
+TREE_OPTIONS = {"minsplit": fixed.TREE_MINSPLIT["trial_slope"], "cp": fixed.TREE_CP}
 
 
 @query
@@ -467,6 +467,14 @@ def tree_fit(spark, sf):
     return rounded(tree.node_table(spark, nodes), 3, threshold=4, gain=0)
 
 
+@query
+def tree_fit_registry(spark, sf):
+    """The same tree with the registry's smaller nodes, so a much deeper one."""
+    rows = prepare.feature_table(spark, sf).table
+    nodes = tree.grow(rows, STUDY.numerics, STUDY.categorical, kind="anova", minsplit=fixed.TREE_MINSPLIT["registry_slope"], cp=fixed.TREE_CP)
+    return rounded(tree.node_table(spark, nodes), 3, threshold=4, gain=0)
+
+
 @query
 def tree_to_rules(spark, sf):
     """Grow, freeze to rules, classify by the rules: size and mean response of each leaf."""
@@ -478,7 +486,7 @@ def tree_to_rules(spark, sf):
 @query
 def surv_tree_fit(spark, sf):
     rows = prepare.feature_table(spark, sf).table
-    nodes = tree.grow(rows, STUDY.numerics, STUDY.categorical, kind="survival", minsplit=60, cp=fixed.TREE_CP)
+    nodes = tree.grow(rows, STUDY.numerics, STUDY.categorical, kind="survival", minsplit=fixed.TREE_MINSPLIT["registry_survival"], cp=fixed.TREE_CP)
     return rounded(tree.node_table(spark, nodes), 3)
 
 
@@ -585,9 +593,8 @@ def survival_scorecard(spark, sf):
 
 
 # --- survival selection ------------------------------------------------------------------------------
-SURV_REPS = 3
-SURV_START = {1: ("price",), 2: ("discount",), 3: ("tax",)}
-SURV_CANDIDATES = ("onset_age", "quantity", "linestatus")
+SURV_REPS = 5
+SURV_BACK = {1: ("price", "onset_age", "segment"), 2: ("discount", "prior_slope", "linestatus"), 3: ("tax", "quantity", "age")}
 
 
 def _surv_search(spark, sf, build):
@@ -597,7 +604,8 @@ def _surv_search(spark, sf, build):
 
 
 def _surv_additions(rows):
-    return select.addition_models(SURV_START, SURV_CANDIDATES, _rates(rows, SURV_CANDIDATES), fixed.ABUNDANCE_LIMIT)
+    candidates = STUDY.numerics + STUDY.categorical
+    return select.addition_models(COX_PAIRS, candidates, _rates(rows, candidates), fixed.ABUNDANCE_LIMIT)
 
 
 @query
@@ -607,12 +615,12 @@ def forward_step_surv(spark, sf):
 
 @query
 def backward_step_surv(spark, sf):
-    return rounded(_surv_search(spark, sf, lambda rows: select.removal_models(COX_PAIRS)), 4)
+    return rounded(_surv_search(spark, sf, lambda rows: select.removal_models(SURV_BACK)), 4)
 
 
 @query
 def cross_validate_surv(spark, sf):
-    models = {c: {" + ".join(m): design.terms(m)} for c, m in COX_PAIRS.items()}
+    models = {c: {" + ".join(m): design.terms(m)} for c, m in COX_MODELS.items()}
     return rounded(_surv_search(spark, sf, lambda rows: models), 4)
 
 
@@ -662,6 +670,27 @@ def score_batch_survival(spark, sf):
     return rounded(score.score_survival(new, trained, STUDY, STRATA, COX_PAIRS, ROLE_COLUMNS), 4)
 
 
+def _saved(spark, sf, response, save, models) -> tuple[str, DataFrame]:
+    """Train on the subjects with a response, save the bundle and forget the rest; the forms of the others are new."""
+    known, new = _known_and_new(spark, sf, response)
+    root = scratch_path(spark, "bundle")
+    save(spark, root, score.train(known, response, STUDY), STUDY, STRATA, models, ROLE_COLUMNS)
+    return root, new
+
+
+@query
+def score_bundle_slope(spark, sf):
+    """The new subjects scored from a saved bundle."""
+    root, new = _saved(spark, sf, bridge.slope_response(spark, sf), bundle.save_slope, SLOPE_MODELS)
+    return rounded(bundle.score_bundle_slope(spark, root, new), 3)
+
+
+@query
+def score_bundle_survival(spark, sf):
+    root, new = _saved(spark, sf, bridge.survival_response(spark, sf), bundle.save_survival, COX_PAIRS)
+    return rounded(bundle.score_bundle_survival(spark, root, new), 4)
+
+
 NEEDED_FROM = {"prior_slope": ("onset", "quantity"), "onset_age": ("onset", "age")}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import clean, collapse, design, linear, strata, survival, transform
+from ..operators import clean, collapse, design, impute, linear, strata, survival, transform
 from ..session import from_rows, materialize, small_or_stored
 from ..sources.bridge import Roles
 
@@ -30,13 +30,38 @@ def select_rows(forms: DataFrame, labels: DataFrame, needed: dict[int, list[str]
 
 @dataclass(frozen=True)
 class Trained:
-    """A training table with everything needed to score new subjects."""
+    """A training table with everything needed to score new subjects.
 
-    wide: DataFrame
-    filled: DataFrame
-    table: DataFrame
+    Read back from a bundle, it has no training rows: ``index`` and ``offsets_of`` stand for them.
+    """
+
+    wide: DataFrame | None
+    filled: DataFrame | None
+    table: DataFrame | None
     model: transform.Preparation
     median_onset: float | None
+    index: tuple[DataFrame, impute.Boxes] | None = None
+    offsets_of: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class SlopeModels:
+    """Least-squares models of the strata with what replaces predictions that are missing."""
+
+    fits: DataFrame
+    designs: dict[int, list[design.DesignColumn]]
+    means: DataFrame
+
+
+@dataclass(frozen=True)
+class SurvivalModels:
+    """Cox models of the strata: fits, steps of the baseline hazard, and mean probabilities."""
+
+    fits: DataFrame
+    hazard: DataFrame
+    designs: dict[int, list[design.DesignColumn]]
+    width: int
+    means: DataFrame
 
 
 def train(forms: DataFrame, response: DataFrame, roles: Roles, median: float | None = None) -> Trained:
@@ -53,7 +78,9 @@ def train(forms: DataFrame, response: DataFrame, roles: Roles, median: float | N
 def prepare_new(forms: DataFrame, trained: Trained, roles: Roles) -> DataFrame:
     """Wide, imputed and standardised rows of new subjects, each joined with the training set only."""
     wide = collapse.collapse(forms, roles, fixed.INTERVAL_FORMS, median_onset=trained.median_onset)
-    return transform.prepare_scoring(materialize(wide, "new-wide"), trained.wide, trained.filled, trained.model)
+    return transform.prepare_scoring(
+        materialize(wide, "new-wide"), trained.wide, trained.filled, trained.model, index=trained.index, offsets_of=trained.offsets_of
+    )
 
 
 def union_training(train_wide: DataFrame, new_wide: DataFrame) -> DataFrame:
@@ -63,26 +90,33 @@ def union_training(train_wide: DataFrame, new_wide: DataFrame) -> DataFrame:
     )
 
 
-def score_slope(forms: DataFrame, trained: Trained, roles: Roles, rule_set, models: dict[int, tuple[str, ...]], columns=None,
-                *, restrict: bool = False, derived=None) -> DataFrame:
+def train_slope(trained: Trained, rule_set, models: dict[int, tuple[str, ...]], columns=None) -> SlopeModels:
+    rows = strata.classify(trained.table, rule_set, columns)
+    fits, designs = linear.fit_ols(rows, {c: design.terms(m) for c, m in models.items()}, trained.model.level_map)
+    fits = materialize(fits, "models")
+    return SlopeModels(fits, designs, linear.stratum_means(linear.predict_ols(rows, fits, designs), ["fit"]))
+
+
+def predict_slope(forms: DataFrame, trained: Trained, roles: Roles, rule_set, fitted: SlopeModels, columns=None, *,
+                  needed: dict[int, list[str]] | None = None) -> DataFrame:
     """(subject, cluster, fit, se, replaced) for every new subject; missing predictions take the stratum mean.
 
-    ``restrict`` scores from the stratum's own features only, the way a two-step request does.
+    With ``needed`` a stratum is scored from its own features only, the way a two-step request does.
     """
-    train_rows = strata.classify(trained.table, rule_set, columns)
-    parsed = {c: design.terms(m) for c, m in models.items()}
-    fits, designs = linear.fit_ols(train_rows, parsed, trained.model.level_map)
-    fits = materialize(fits, "models")
-    means = linear.stratum_means(linear.predict_ols(train_rows, fits, designs), ["fit"])
     ready = materialize(strata.classify(prepare_new(forms, trained, roles), rule_set, columns), "new-table")
-    if restrict:
+    if needed is not None:
         labels = ready.select("subject_id", "cluster")
-        needed = stratum_features(models, derived or fixed.DERIVED_FROM)
-        reduced = select_rows(forms, labels, needed).drop("cluster")
-        again = prepare_new(reduced, trained, roles)
+        again = prepare_new(select_rows(forms, labels, needed).drop("cluster"), trained, roles)
         ready = materialize(again.join(labels, "subject_id"), "new-table")
-    scored = linear.predict_ols(ready, fits, designs)
-    return linear.fill_with_fallback(scored, means, ["fit"], ["se"]).select("subject_id", "cluster", "fit", "se", "replaced")
+    scored = linear.predict_ols(ready, fitted.fits, fitted.designs)
+    return linear.fill_with_fallback(scored, fitted.means, ["fit"], ["se"]).select("subject_id", "cluster", "fit", "se", "replaced")
+
+
+def score_slope(forms: DataFrame, trained: Trained, roles: Roles, rule_set, models: dict[int, tuple[str, ...]], columns=None,
+                *, restrict: bool = False, derived=None) -> DataFrame:
+    """Fit the strata's models and score new subjects with them."""
+    needed = stratum_features(models, derived or fixed.DERIVED_FROM) if restrict else None
+    return predict_slope(forms, trained, roles, rule_set, train_slope(trained, rule_set, models, columns), columns, needed=needed)
 
 
 def fit_survival(rows: DataFrame, models: dict[int, tuple[str, ...]], level_map) -> tuple[DataFrame, DataFrame, dict, int]:
@@ -94,7 +128,11 @@ def fit_survival(rows: DataFrame, models: dict[int, tuple[str, ...]], level_map)
 
 
 def survival_levels(data: DataFrame, fits: DataFrame, width: int, horizons=fixed.HORIZON_DAYS) -> DataFrame:
-    hazard = survival.baseline_hazard(data, fits, ["cluster"], width)
+    return levels_of(survival.baseline_hazard(data, fits, ["cluster"], width), fits, horizons)
+
+
+def levels_of(hazard: DataFrame, fits: DataFrame, horizons=fixed.HORIZON_DAYS) -> DataFrame:
+    """Hazards at the horizons, one row a stratum."""
     return small_or_stored(survival.horizon_hazards(hazard, fits, horizons, ["cluster"]), "hazard")
 
 
@@ -106,19 +144,28 @@ def predict_survival(rows: DataFrame, levels: DataFrame, designs, width: int) ->
     return survival.survival_probability(rows.withColumn("x", x), levels, ["cluster"], width, 3, PROBABILITIES).drop("x")
 
 
-def score_survival(forms: DataFrame, trained: Trained, roles: Roles, rule_set, models, columns=None) -> DataFrame:
+def train_survival(trained: Trained, rule_set, models, columns=None) -> SurvivalModels:
+    rows = strata.classify(trained.table, rule_set, columns)
+    data, fits, designs, width = fit_survival(rows, models, trained.model.level_map)
+    hazard = materialize(survival.baseline_hazard(data, fits, ["cluster"], width), "hazard-steps")
+    scored = predict_survival(rows, levels_of(hazard, fits), designs, width)
+    return SurvivalModels(fits, hazard, designs, width, linear.stratum_means(scored, PROBABILITIES))
+
+
+def predict_probabilities(forms: DataFrame, trained: Trained, roles: Roles, rule_set, fitted: SurvivalModels, columns=None) -> DataFrame:
     """(subject, cluster, p12, p18, p24 and a flag each); missing probabilities take the stratum mean one by one."""
-    train_rows = strata.classify(trained.table, rule_set, columns)
-    data, fits, designs, width = fit_survival(train_rows, models, trained.model.level_map)
-    levels = survival_levels(data, fits, width)
-    means = linear.stratum_means(predict_survival(train_rows, levels, designs, width), PROBABILITIES)
     ready = materialize(strata.classify(prepare_new(forms, trained, roles), rule_set, columns), "new-table")
-    scored = predict_survival(ready, levels, designs, width)
-    return linear.fill_with_fallback(scored, means, list(PROBABILITIES)).select(
+    scored = predict_survival(ready, levels_of(fitted.hazard, fitted.fits), fitted.designs, fitted.width)
+    return linear.fill_with_fallback(scored, fitted.means, list(PROBABILITIES)).select(
         "subject_id", "cluster", *PROBABILITIES, *[f"replaced_{c}" for c in PROBABILITIES]
     )
 
 
+def score_survival(forms: DataFrame, trained: Trained, roles: Roles, rule_set, models, columns=None) -> DataFrame:
+    """Fit the strata's Cox models and score new subjects with them."""
+    return predict_probabilities(forms, trained, roles, rule_set, train_survival(trained, rule_set, models, columns), columns)
+
+
 def slope_registry(spark: SparkSession, fits: DataFrame, designs) -> DataFrame:
     return linear.term_table(fits, designs)
 

@@ -183,8 +183,7 @@ def expand(names):
     return [e for t in out for e in columns_of(t)]
 
 
-def additions(cluster):
-    base = START[cluster]
+def additions(base):
     inside = {p for b in base for p in b.split("*")}
     for f in NUMERICS + CATEGORICALS:
         if f in inside:
@@ -220,7 +219,7 @@ def cv_sql(candidates, tail):
     ]) + tail
 
 
-ADD = [(c, f, mid, names, gated) for c in START for f, mid, names, gated in additions(c)]
+ADD = [(c, f, mid, names, gated) for c in START for f, mid, names, gated in additions(START[c])]
 DROP = [(c, "", " + ".join(k), k, False) for c, base in START.items() for d in base for k in [[b for b in base if b != d]]]
 S["interaction_candidates"] = with_(*TRAIN3, [("ab", "SELECT cluster, feature, max(n)/CAST(sum(n) AS DOUBLE) AS abundance FROM (" + " UNION ALL ".join(
     f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2")]) + (
@@ -234,7 +233,7 @@ S["best_model"] = cv_sql(ADD, "SELECT cluster, model_id, round(mean_rmse,3) AS m
 S["top_models"] = cv_sql(ADD, "SELECT cluster, place, model_id, round(mean_rmse,3) AS mean_rmse FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY mean_rmse, model_id) AS INT) AS place FROM summ) WHERE place<=20")
 
 # --- trees -----------------------------------------------------------------------------------------------
-from .survival import assign, card, hazard, km, newton, score, splits  # noqa: E402
+from .survival import card, grown, hazard, km, linear, newton, newton_halving, node_rows, score, splits  # noqa: E402
 
 ROOT = [("rt", "SELECT *, CAST(1 AS BIGINT) AS node, slope AS a, slope*slope AS b FROM prepared WHERE slope IS NOT NULL")]
 SROOT = [
@@ -245,16 +244,10 @@ SROOT = [
 ]
 S["tree_best_split"] = with_(PREPARED, ROOT, splits("rt", "bs", 20, "anova", "node, feature")) + "SELECT feature, round(gain,0) AS gain, CAST(ln_ AS BIGINT) AS n_left, round(threshold,4) AS threshold FROM bs"
 S["surv_tree_best_split"] = with_(PREPARED, SROOT, splits("rt", "bs", 20, "exp", "node, feature")) + "SELECT feature, round(gain,4) AS gain, CAST(ln_ AS BIGINT) AS n_left, round(threshold,4) AS threshold FROM bs"
-OK = lambda b, src: [(f"{b}_ok", f"SELECT * FROM {b} WHERE gain >= 0.001*(SELECT sum(b)-sum(a)*sum(a)/count(*) FROM rt) AND node IN (SELECT node FROM {src} GROUP BY node HAVING count(*)>=60)")]
-TREE = [PREPARED, ROOT, splits("rt", "b1", 20, "anova", "node"), OK("b1", "rt"), assign("rt", "b1", "r1"),
-        splits("r1", "b2", 20, "anova", "node"), OK("b2", "r1"), assign("r1", "b2", "r2"), [
-    ("cuts", "SELECT * FROM b1_ok UNION ALL SELECT * FROM b2_ok"), ("levs", "SELECT * FROM b1_lev UNION ALL SELECT * FROM b2_lev WHERE node > 1"),
-    ("members", "SELECT DISTINCT subject_id, node, a FROM (SELECT subject_id, node, a FROM rt UNION ALL SELECT subject_id, node, a FROM r1 UNION ALL SELECT subject_id, node, a FROM r2)"),
-]]
-S["tree_fit"] = with_(*TREE) + """SELECT m.node, m.n, round(m.mean,3) AS mean, c.feature, round(c.threshold,4) AS threshold, l.left_levels, round(c.gain,0) AS gain
-FROM (SELECT node, count(*) AS n, avg(a) AS mean FROM members GROUP BY 1) m LEFT JOIN (SELECT DISTINCT node, feature, threshold, gain, key FROM cuts) c USING (node)
-LEFT JOIN (SELECT l.node, string_agg(DISTINCT l.level, ',' ORDER BY l.level) AS left_levels FROM levs l JOIN cuts c ON c.node=l.node AND c.feature=l.feature AND l.key<=c.key+1e-12*abs(c.key) GROUP BY 1) l USING (node)"""
-S["tree_to_rules"] = with_(*TREE) + "SELECT CAST(node AS INT) AS leaf, count(*) AS n, round(avg(a),3) AS mean_slope FROM r2 GROUP BY 1"
+S["tree_fit"] = with_(PREPARED, ROOT, grown("anova", 250, 0.005)) + node_rows(4, 0)
+S["tree_fit_registry"] = with_(PREPARED, ROOT, grown("anova", 25, 0.005)) + node_rows(4, 0)
+S["surv_tree_fit"] = with_(PREPARED, SROOT, grown("exp", 400, 0.005)) + node_rows(3, 3)
+S["tree_to_rules"] = with_(PREPARED, ROOT, grown("anova", 250, 0.005)) + "SELECT CAST(node AS INT) AS leaf, count(*) AS n, round(avg(a),3) AS mean_slope FROM leaves GROUP BY 1"
 
 # --- survival ----------------------------------------------------------------------------------------------
 XS = {1: ("price", "onset_age"), 2: ("discount", "prior_slope"), 3: ("tax", "quantity")}
@@ -274,10 +267,21 @@ S["km_curve"] = with_(*CX, km("cx", "k", ["cluster"])) + "SELECT cluster, time,
 S["cox_risk_sets"] = with_(*CX, [("b0", "SELECT DISTINCT cluster, 0.2 AS b1, -0.1 AS b2, 0.0 AS b3 FROM cx")], score("cx", "b0", "z", ["cluster"])) + \
     "SELECT cluster, time, CAST(d AS BIGINT) AS events, round(r0,6) AS sum_risk, round(r1,6) AS sum_x1 FROM z_r WHERE d>0"
 S["cox_score_at_zero"] = with_(*CX, [("b0", "SELECT DISTINCT cluster, 0.0 AS b1, 0.0 AS b2, 0.0 AS b3 FROM cx")], score("cx", "b0", "z", ["cluster"])) + \
-    "SELECT cluster, round(loglik,5) AS loglik, round(u1,5) AS u1, round(u2,5) AS u2, round(i11,5) AS i11, round(i12,5) AS i12, round(i22,5) AS i22 FROM z"
+    "SELECT cluster, round(loglik,5) AS loglik, round(u1,5) AS u1, round(u2,5) AS u2, round(i1_1,5) AS i11, round(i1_2,5) AS i12, round(i2_2,5) AS i22 FROM z"
 _terms = " UNION ALL ".join(
-    f"SELECT {c} AS cluster, '{m[i]}' AS term, b{i + 1} AS coef, sqrt({'i22' if i == 0 else 'i11'}/(i11*i22-i12*i12)) AS se FROM nb JOIN nb_s9 USING (cluster) WHERE cluster={c}" for c, m in XS.items() for i in (0, 1))
+    f"SELECT {c} AS cluster, '{m[i]}' AS term, b{i + 1} AS coef, sqrt({'i2_2' if i == 0 else 'i1_1'}/(i1_1*i2_2-i1_2*i1_2)) AS se FROM nb JOIN nb_s9 USING (cluster) WHERE cluster={c}" for c, m in XS.items() for i in (0, 1))
 S["cox_fit"] = with_(*COX) + f"SELECT t.cluster, t.term, round(t.coef,4) AS coef, round(t.se,4) AS std_error, CAST(e.n AS BIGINT) AS events, 1 AS converged FROM ({_terms}) t JOIN (SELECT cluster, sum(status) AS n FROM cx GROUP BY 1) e USING (cluster)"
+COX_FULL = {1: ["price", "onset_age", "quantity", "price*quantity"], 2: ["discount", "prior_slope", "segment"], 3: ["tax", "quantity"]}
+_wide = {c: expand(m) for c, m in COX_FULL.items()}
+_labels = {c: [t if t not in LEVELS else f"{t}={v}" for n in m for t in [n.replace("*", ":")] for v in (LEVELS[t][1:] if t in LEVELS else [""])] for c, m in COX_FULL.items()}
+_tri = [(i, j) for i in range(1, 7) for j in range(1, 7)]
+S["cox_fit_full"] = with_(*LAB3, [
+    ("cx", "SELECT cluster, time_event AS time, status, " + ", ".join(f"{xcase(i, _wide)} AS x{i + 1}" for i in range(6)) + " FROM lab WHERE time_event IS NOT NULL AND cluster IS NOT NULL"),
+], newton("cx", "nb", ["cluster"], p=6), [
+    ("info", " UNION ALL ".join(f"SELECT cluster, {i - 1} AS i, {j - 1} AS j, i{min(i, j)}_{max(i, j)} AS v FROM nb_s9" for i, j in _tri) + " UNION ALL " + " UNION ALL ".join(f"SELECT cluster, {i - 1}, 6, u{i} FROM nb_s9" for i in range(1, 7))),
+], gauss("info", "iv", 6, ["cluster"])) + "SELECT t.cluster, term, round(coef, 4) AS coef, round(sqrt(iv.v), 4) AS std_error, CAST(e.n AS BIGINT) AS events, 1 AS converged FROM (" + " UNION ALL ".join(
+    f"SELECT {c} AS cluster, {i} AS place, '{t}' AS term, b{i + 1} AS coef FROM nb WHERE cluster={c}" for c, ts in _labels.items() for i, t in enumerate(ts)
+) + ") t JOIN iv ON iv.cluster=t.cluster AND iv.i=place AND iv.j=7+place JOIN (SELECT cluster, sum(status) AS n FROM cx GROUP BY 1) e ON e.cluster=t.cluster"
 S["cox_risk"] = with_(*COX) + "SELECT subject_id, cluster, round(exp(eta - avg(eta) OVER (PARTITION BY cluster)),4) AS risk FROM (SELECT cx.*, b1*x1+b2*x2+b3*x3 AS eta FROM cx JOIN nb USING (cluster))"
 
 
@@ -298,32 +302,36 @@ S["iauc"] = with_(*MARK) + "SELECT cluster, round(iauc,6) AS iauc FROM cd"
 S["survival_scorecard"] = with_(*MARK) + "SELECT cluster, round(c_index,6) AS c_index, round(auc12,6) AS auc12, round(auc18,6) AS auc18, round(auc24,6) AS auc24, round(iauc,6) AS iauc FROM cd"
 
 FK = ["cluster", "model_id", "rep"]
+BACK = {1: ["price", "onset_age", "segment"], 2: ["discount", "prior_slope", "linestatus"], 3: ["tax", "quantity", "age"]}
 
 
-def cv_surv(candidates, tail, reps=3):
-    """``candidates``: (cluster, feature, model_id, [x1, x2, x3], gated)."""
+SURV_REPS = 5
+
+
+def cv_surv(candidates, tail, reps=SURV_REPS):
+    """``candidates``: (cluster, feature, model_id, design expressions, gated); all are padded to one width."""
+    p = max(len(x[3]) for x in candidates)
+    padded = [(*x[:3], [*x[3], *["0.0"] * (p - len(x[3]))], x[4]) for x in candidates]
+
     def sel(c, f, mid, xs, gated):
-        xs = [*xs, "0.0", "0.0"][:3]
         gate = f" AND (SELECT abundance FROM ab WHERE cluster={c} AND feature='{f}') < 0.77" if gated else ""
         return f"SELECT cluster, '{mid}' AS model_id, rep, is_test, time_event AS time, status, " + ", ".join(f"({x})::DOUBLE AS x{i + 1}" for i, x in enumerate(xs)) + f" FROM split WHERE cluster={c}{gate}"
     ab = [("ab", "SELECT cluster, feature, max(n)/CAST(sum(n) AS DOUBLE) AS abundance FROM (" + " UNION ALL ".join(
-        f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in ("onset_age", "quantity", "linestatus")) + ") GROUP BY 1, 2")]
+        f"SELECT cluster, '{c}' AS feature, CAST({key15(c)} AS VARCHAR) AS v, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL" for c in NUMERICS + CATEGORICALS) + ") GROUP BY 1, 2")]
     return with_(*LAB3, [("tr", "SELECT * FROM lab WHERE time_event IS NOT NULL AND cluster IS NOT NULL")], split_cte(reps=reps), ab, [
-        ("lg", " UNION ALL ".join(sel(*x) for x in candidates)), ("cxt", "SELECT * FROM lg WHERE NOT is_test"),
-    ], newton("cxt", "nb", FK), [
-        ("mk", "SELECT l.cluster, l.model_id, l.rep, l.time, l.status, round(b1*x1+b2*x2+b3*x3, 9) AS risk FROM lg l JOIN nb USING (cluster, model_id, rep) WHERE l.is_test"),
+        ("lg", " UNION ALL ".join(sel(*x) for x in padded)), ("cxt", "SELECT * FROM lg WHERE NOT is_test"),
+    ], newton_halving("cxt", "nb", FK, p), [
+        ("mk", f"SELECT l.cluster, l.model_id, l.rep, l.time, l.status, round({linear(p)}, 9) AS risk FROM lg l JOIN nb USING (cluster, model_id, rep) WHERE l.is_test"),
     ], card("mk", "cd", FK)) + tail
 
 
 CARD = "SELECT cluster, model_id, rep, round(c_index,4) AS c_index, round(auc12,4) AS auc12, round(auc18,4) AS auc18, round(auc24,4) AS auc24, round(iauc,4) AS iauc FROM cd"
-_dx = {"onset_age": "onset_age", "quantity": "quantity", "linestatus": "CAST(linestatus='O' AS INT)"}
-SADD = [x for c, b in ((1, "price"), (2, "discount"), (3, "tax")) for f in _dx for x in (
-    (c, f, f"{b} + {f}", [b, _dx[f]], False), (c, f, f"{b} + {f} + {b}*{f}", [b, _dx[f], f"{b}*{_dx[f]}"], True))]
+SADD = [(c, f, mid, expand(names), gated) for c, m in XS.items() for f, mid, names, gated in additions(list(m))]
 S["forward_step_surv"] = cv_surv(SADD, CARD)
-S["backward_step_surv"] = cv_surv([(c, "", k, [k], False) for c, m in XS.items() for k in m], CARD)
-S["cross_validate_surv"] = cv_surv([(c, "", " + ".join(m), list(m), False) for c, m in XS.items()], CARD)
-S["top_models_surv"] = cv_surv(SADD, """SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY ci DESC, model_id) AS INT) AS place, model_id, round(ci,4) AS mean_c_index, round(ia,4) AS mean_iauc
-FROM (SELECT cluster, model_id, avg(c_index) AS ci, avg(iauc) AS ia FROM cd GROUP BY 1,2)""")
+S["backward_step_surv"] = cv_surv([(c, "", " + ".join(k), expand(k), False) for c, m in BACK.items() for d in m for k in [[b for b in m if b != d]]], CARD)
+S["cross_validate_surv"] = cv_surv([(c, "", " + ".join(m), expand(m), False) for c, m in COX_FULL.items()], CARD)
+S["top_models_surv"] = cv_surv(SADD, """SELECT * FROM (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY ci DESC, model_id) AS INT) AS place, model_id, round(ci,4) AS mean_c_index, round(ia,4) AS mean_iauc
+FROM (SELECT cluster, model_id, avg(c_index) AS ci, avg(iauc) AS ia FROM cd GROUP BY 1,2)) WHERE place <= 20""")
 
 # --- scoring -------------------------------------------------------------------------------------------------
 S["union_train_score"] = with_(WIDE, SLOPE) + "SELECT w.subject_id, CAST(s.subject_id IS NULL AS INT) AS is_scoring, round(price,5) AS price, segment, round(slope,5) AS slope FROM wide w LEFT JOIN slope_resp s USING (subject_id)"
@@ -369,6 +377,7 @@ SURV_LAB = [joint(SURV, "surv_resp"), [("lab0", f"SELECT subject_id, time_event,
             [("allx", f"SELECT subject_id, cluster, time_event, {xcase(0, XS)} AS x1, {xcase(1, XS)} AS x2, {xcase(2, XS)} AS x3 FROM lab")], probs("allx"),
             [("pm", "SELECT p.cluster, avg(p12) AS m12, avg(p18) AS m18, avg(p24) AS m24 FROM pr p JOIN allx a USING (subject_id) WHERE a.time_event IS NOT NULL GROUP BY 1")]]
 S["score_batch_survival"] = with_(*SURV_LAB) + "SELECT subject_id, cluster, " + ", ".join(f"round(coalesce(p{m}, m{m}),4) AS p{m}" for m in (12, 18, 24)) + ", " + ", ".join(f"CAST(p{m} IS NULL AS INT) AS replaced_p{m}" for m in (12, 18, 24)) + " FROM pr LEFT JOIN pm USING (cluster) WHERE subject_id IN (SELECT subject_id FROM ready)"
+S["score_bundle_slope"], S["score_bundle_survival"] = S["score_batch_slope"], S["score_batch_survival"]
 SEL = [*LAB3, FORMS, [("need", "SELECT * FROM (VALUES (1,'price'),(1,'onset'),(1,'age'),(2,'discount'),(2,'onset'),(2,'quantity'),(3,'tax'),(3,'quantity')) t(cluster, feature_name)"),
        ("picked", "SELECT f.*, l.cluster FROM forms f JOIN lab l USING (subject_id) JOIN need n ON n.cluster=l.cluster AND n.feature_name=f.feature_name")]]
 S["select_rows"] = with_(*SEL) + "SELECT subject_id, cluster, feature_name, feature_value, feature_delta, row_seq FROM picked"
