@@ -10,9 +10,9 @@ the others revisit it. Equality is by SHA-1, SHA-256 and length together. Groups
 and only digests are grouped.
 
 Defined results: a null payload counts as empty, a null URL as an empty one; a null identifier sorts before every other
-one and stays null; rows that repeat an identifier each get a record, all responses if they carry the largest identifier
-of their payload; an empty table gives an empty index; other columns of the input are not read. Paths are opened with
-pyarrow's file systems, so the folder must be one that every executor reaches (``spark.checkpoint.dir`` by default).
+one and stays null; rows that share an identifier each get a record, judged by their own payload: a response if no row with
+that payload has a larger identifier; an empty table gives an empty index; other columns of the input are not read. Paths are
+opened with pyarrow's file systems, so the folder must be one that every executor reaches (``spark.checkpoint.dir`` by default).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspan.llm.common import NO_ID, given_id, materialize, slices
@@ -39,20 +39,28 @@ INDEX = (
 )
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark itself would use, so that archives and index lie in one store."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(made).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def _open_folder(path: str):
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
-def _record(kind: str, page: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def _record(kind: str, page: int, place: str, url: str, payload: bytes, refers_to: int | None) -> bytes:
+    """A record; its name holds page, digest and place, so pages that share an identifier differ, and equal rows, too."""
     digest = hashlib.sha1(payload).hexdigest()
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}:{digest}:{place}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
     ]
     body = payload
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
         body = b""
     return "\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -63,6 +71,11 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def _page(name: str) -> int:
+    """The page of a record's name."""
+    return int(name.split(":")[2])
+
+
 def _clean(url: str) -> str:
     """A URL on one header line."""
     return url.replace("\r", "%0D").replace("\n", "%0A")
@@ -77,16 +90,16 @@ def revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, leas
     key = [F.sha1("_payload").alias("_sha1"), F.sha2("_payload", 256).alias("_sha2"), F.octet_length("_payload").alias("_n")]
     keyed = rows.select("_id", *key).filter(F.col("_n") >= least)
     groups = keyed.groupBy("_sha1", "_sha2", "_n").agg(F.max("_id").alias("_keep"), F.min("_id").alias("_least")).filter("_keep > _least").drop("_least")
-    refers = keyed.join(groups, ["_sha1", "_sha2", "_n"]).filter(F.col("_id") < F.col("_keep")).select("_id", "_keep").distinct()
-    # joined by identifier, which groups of copies do not skew
-    return rows.join(refers.withColumnRenamed("_id", "_rid"), F.col("_id") == F.col("_rid"), "left").select(
+    refers = keyed.join(groups, ["_sha1", "_sha2", "_n"]).filter(F.col("_id") < F.col("_keep")).distinct()
+    # joined by identifier and payload: groups of copies do not skew it, and rows that share an identifier stay apart
+    return rows.withColumns({"_sha1": key[0], "_sha2": key[1], "_n": key[2]}).join(refers, ["_id", "_sha1", "_sha2", "_n"], "left").select(
         "_id", "_url", "_payload", F.col("_keep").alias("_refers"))
 
 
 def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
           archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives and return their index (columns ``INDEX``), stored beside them."""
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = _qualified(pages.sparkSession, folder or scratch_path(pages.sparkSession, "warc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open_folder(folder)
@@ -99,7 +112,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
                     store.create_dir(top, recursive=True)
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
                 kind = "response" if refers is None else "revisit"
-                data = gzip.compress(_record(kind, page, _clean(url), payload, refers), 6, mtime=0)
+                data = gzip.compress(_record(kind, page, f"{name[5:37]}-{at}", _clean(url), payload, refers), 6, mtime=0)
                 out.write(data)
                 rows.append((page, url, name, at, len(data), hashlib.sha1(payload).hexdigest(), len(payload), kind, refers))
                 at += len(data)
@@ -143,7 +156,7 @@ def read(index: DataFrame, parts: int | None = None, gap: int = GAP, read_bytes:
                 digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                 if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
                     raise ValueError(f"damaged record in {rows[0][1]} at {offset}")
-                found.append((int(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], kind, refers and int(refers[10:-1]), digest, size, payload))
+                found.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, refers and _page(refers), digest, size, payload))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), RECORD_TYPES)], names=RECORD_NAMES)
 
         for batch in batches:

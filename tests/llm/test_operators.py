@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 
@@ -120,6 +121,28 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.filter("false"))).count() == 0
 
 
+def test_warc_rows_that_share_an_identifier(spark):
+    """Each row is judged by its own payload: one record out per row in, no payload lost."""
+    x, y = "<p>x" * 300, "<i>y" * 300
+    rows = [(9, x), (None, x), (None, y), (None, "short"), (None, y), (8, y), (5, x), (5, y), (5, y), (7, "short")]
+    pages = spark.createDataFrame([(i, "http://u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    index = warc.write(pages)
+    got = sorted(((r.id, r.record_type, r.refers_to, r.payload_digest, bytes(r.payload)) for r in warc.read(index).collect()), key=repr)
+    want = []
+    for i, h in rows:
+        last = {x: 9, y: 8}.get(h)
+        revisit = last is not None and i != last
+        want.append((i, "revisit" if revisit else "response", last if revisit else None, hashlib.sha1(h.encode()).hexdigest(), b"" if revisit else h.encode()))
+    assert got == sorted(want, key=repr)
+    stored = {d for _, kind, _, d, _ in got if kind == "response"}
+    assert {d for *_, d, _ in got} == stored  # every payload can be read back
+    names = set()
+    for r in index.collect():
+        data = open(f"{r.folder.removeprefix('file://')}/{r.file}", "rb").read()[r.offset : r.offset + r.length]
+        names.add(warc._parse(gzip.decompress(data))[0]["WARC-Record-ID"])
+    assert len(names) == len(rows)
+
+
 # -- 4 suffixes --------------------------------------------------------------------------------------------------------------------------
 
 
