@@ -71,15 +71,13 @@ def score(src, beta, name, keys, p=3):
     sums += [f"sum(w*x{i}*x{j}) AS s{i}_{j}, sum(w*status*x{i}*x{j}) AS e{i}_{j}" for i, j in pairs]
     names = ["0"] + [str(i) for i in ids] + [f"{i}_{j}" for i, j in pairs]
     runs = ", ".join(f"sum(s{n}) OVER (PARTITION BY {k} ORDER BY time DESC) AS r{n}" for n in names)
-    z = lambda i: f"((r{i} - l/d*e{i})/(r0 - l/d*e0))"
     return [
         (f"{name}_p", f"SELECT {k}, time, {', '.join(sums)} FROM (SELECT x.*, {linear(p)} AS eta, exp({linear(p)}) AS w FROM {src} x JOIN {beta} b ON {eqk('x', 'b', keys)}) GROUP BY {k}, time"),
         (f"{name}_r", f"SELECT *, {runs} FROM {name}_p"),
-        (f"{name}_l", f"SELECT * FROM (SELECT r.*, unnest(range(CAST(d AS BIGINT)))::DOUBLE AS l FROM {name}_r r WHERE d > 0)"),
-        (name, f"SELECT {k}, sum(CASE WHEN l=0 THEN xb ELSE 0 END - ln(r0 - l/d*e0)) AS loglik, "
-         + ", ".join(f"sum(x{i}/d - {z(i)}) AS u{i}" for i in ids) + ", "
-         + ", ".join(f"sum((r{i}_{j} - l/d*e{i}_{j})/(r0 - l/d*e0) - {z(i)}*{z(j)}) AS i{i}_{j}" for i, j in pairs)
-         + f" FROM {name}_l GROUP BY {k}"),
+        (f"{name}_l", "SELECT *, " + ", ".join(f"(r{i} - f*e{i})*q AS z{i}" for i in ids)
+         + f" FROM (SELECT *, l/d AS f, 1.0/(r0 - l/d*e0) AS q FROM (SELECT r.*, unnest(range(CAST(d AS BIGINT)))::DOUBLE AS l FROM {name}_r r WHERE d > 0))"),
+        (name, f"SELECT {k}, sum(CASE WHEN l=0 THEN xb ELSE 0 END + ln(q)) AS loglik, " + ", ".join(f"sum(x{i}/d - z{i}) AS u{i}" for i in ids) + ", "
+         + ", ".join(f"sum((r{i}_{j} - f*e{i}_{j})*q - z{i}*z{j}) AS i{i}_{j}" for i, j in pairs) + f" FROM {name}_l GROUP BY {k}"),
     ]
 
 
