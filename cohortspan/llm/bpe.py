@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import NO_ID, given_id, numbered, slices
+from cohortspan.llm.common import NO_ID, given_back, given_id, numbered, slices
 
 #: Bytes of text encoded together.
 SLICE_BYTES = 2 << 20
-#: Longest piece (characters) whose ids a task remembers, and how many it remembers.
-MEMO_BYTES, MEMO_LIMIT = 64, 400_000
+#: Longest piece (characters) whose ids a task remembers, and how many it remembers between slices; it forgets them when it ends.
+MEMO_BYTES, MEMO_LIMIT = 64, 100_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -202,7 +202,7 @@ class Bpe:
 
 def shared(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[[], Bpe]:
     """Gives tasks their ``Bpe``. The vocabulary, a file of the driver and of fixed size, is broadcast; a Python worker
-    builds its encoder once, beside its copy of the vocabulary, and later tasks find it there with what it remembers."""
+    builds its encoder once, beside its copy of the vocabulary, and later tasks find it there."""
     with open(ranks_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast((f.read(), pattern, []))
 
@@ -227,8 +227,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 [batch.column("_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())],
                 names=["_id", "n_tokens", "ids"],
             )
+        bpe.memo.clear()
 
-    out = numbered(docs, id_col, text_col).mapInArrow(run, "_id long, n_tokens long, ids binary")
+    out = numbered(docs, id_col, text_col).mapInArrow(given_back(run), "_id long, n_tokens long, ids binary")
     return out.select(given_id("_id").alias(id_col), "n_tokens", "ids")
 
 
@@ -243,5 +244,5 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["_id", "n_tokens", "ids", "decoded"])
 
     rows = encoded.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)).alias("_id"), "n_tokens", "ids")
-    out = rows.mapInArrow(run, "_id long, n_tokens long, ids binary, decoded binary")
+    out = rows.mapInArrow(given_back(run), "_id long, n_tokens long, ids binary, decoded binary")
     return out.select(given_id("_id").alias(id_col), "n_tokens", "ids", "decoded")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ NO_ID = -(2**63)
 #: Bytes of text that a task looks at together; only a single longer text goes beyond it.
 SLICE_BYTES = 1 << 20
 
-__all__ = ["NO_ID", "numbered", "given_id", "slices", "WordHashes", "materialize", "mixed", "starts_of"]
+__all__ = ["NO_ID", "numbered", "given_id", "slices", "given_back", "WordHashes", "materialize", "mixed", "starts_of"]
 
 
 def numbered(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,6 +49,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "_text", most: int =
             start, total = stop, int(ends[stop - 1])
 
 
+def given_back(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; when a task ends, its worker, which lives on, hands what it freed back to the system."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for the frequent words of a task."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import WordHashes, given_id, materialize, mixed, numbered, slices, starts_of
+from cohortspan.llm.common import WordHashes, given_back, given_id, materialize, mixed, numbered, slices, starts_of
 from cohortspan.llm.components import components
 from cohortspan.llm.shingles import shingle_sets
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 pa.array([s.tobytes() for s in sig], pa.binary()),
             ], names=["_id", "key", "n_bytes", "bands", "sig"])
 
-    return numbered(docs, id_col, text_col).mapInArrow(run, "_id long, key binary, n_bytes long, bands array<long>, sig binary")
+    return numbered(docs, id_col, text_col).mapInArrow(given_back(run), "_id long, key binary, n_bytes long, bands array<long>, sig binary")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -197,7 +197,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(given_back(run), "a long, b long")
     return found.distinct()
 
 
@@ -278,7 +278,7 @@ def verified(docs: DataFrame, candidates: DataFrame, classes: DataFrame, id_col:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["class_id", "near", "links"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class_id long, near long, links long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(given_back(run), "class_id long, near long, links long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
