@@ -1,9 +1,10 @@
 """Nearest-neighbour and mode imputation.
 
 The neighbours of a row are the k nearest of the whole table, whatever its size. Rows with gaps in the same columns that lie close
-together form blocks, and each block has a box: the range of every column. How far a row is from a box bounds how near any row in it can
-be, so a row is compared with the blocks nearest to it first, which bounds the distance of its k-th neighbour, and then only
-with blocks whose boxes are no further than that. Distances stay inside NumPy tasks of one block each; no pair becomes a row.
+together form blocks, and each block has a box: the range of every column. Boxes of neighbouring blocks are joined to larger boxes,
+``FANOUT`` at a time, up to one: a tree, kept as a table. How far a row is from a box bounds how near any row in it can be. Rows go down
+the tree level by level as joins: first along the nearest boxes that hold more than k rows, which bounds the distance of the k-th neighbour,
+then into all boxes that are no further than that. Distances stay inside NumPy tasks of one block each; no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 #: Rows looking for neighbours that one task compares with a block; a block that more of them need is read by several tasks.
 TARGETS_PER_TASK = 5_000
-#: Blocks at most, so that their boxes (two numbers a column) stay small; blocks grow with the table beyond that.
-BOXES = 20_000
+#: Boxes that are joined to one of the next level.
+FANOUT = 16
 #: Cuts of each column that decide which rows lie close together.
 CUTS = 15
 
@@ -57,8 +60,7 @@ def fit(df: DataFrame, columns, *, k: int = 10, max_block: int = 1500, row_limit
         if n - row[f"c{i}"] > col_limit * n:
             raise ValueError(f"column {c} is missing in more than {col_limit:.0%} of the rows")
     usable_rows = row["usable"] or 0
-    block_rows = max(max_block, math.ceil(usable_rows / BOXES))
-    return ImputeModel(columns, {c: row[f"m{i}"] for i, c in enumerate(columns)}, n, usable_rows, block_rows, k, row_limit)
+    return ImputeModel(columns, {c: row[f"m{i}"] for i, c in enumerate(columns)}, n, usable_rows, max_block, k, row_limit)
 
 
 def distances(targets: np.ndarray, pool: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -87,33 +89,20 @@ def _chunks(n: int, size: int = 512):
 
 
 @dataclass(frozen=True)
-class Boxes:
-    """Blocks of the reference rows: identifier, rows, which columns are present, and each column's range."""
-
-    block: np.ndarray
-    rows: np.ndarray
-    there: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-
-    def bounds(self, x: np.ndarray) -> np.ndarray:
-        """How near a row of a block can be, for every target and block; infinite if they share no column."""
-        total, shared = np.zeros((len(x), len(self.block))), np.zeros((len(x), len(self.block)))
-        for j in range(x.shape[1]):
-            at = x[:, j, None]
-            both = ~np.isnan(at) & self.there[None, :, j]
-            gap = np.maximum(np.maximum(self.low[None, :, j] - at, at - self.high[None, :, j]), 0.0)
-            total += np.where(both, gap * gap, 0.0)
-            shared += both
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(shared > 0, total / shared, np.inf)
-
-
-def blocked(pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel) -> tuple[DataFrame, Boxes]:
-    """The reference rows with ``_block``, and the blocks' boxes.
-
-    Rows are range-partitioned by which columns they have and by an interleaving of the cuts of the columns that spread most, so that a
-    partition holds rows that are close to each other. Which rows share a block decides how fast neighbours are found, never which.
+class Tree:
+    """The reference rows with ``_block``, and the boxes: (level, node, parent, n, mixed, low0, high0, ...), blocks at level 0, one box at ``top``."""
+
+    rows: DataFrame
+    nodes: DataFrame
+    top: int
+
+
+def grown(pool: DataFrame, columns: list[str], id_column: str, model: ImputeModel) -> Tree:
+    """Blocks of the reference rows and the tree over their boxes.
+
+    Rows are range-partitioned by which columns they have and by an interleaving of the cuts of the columns that spread most, so that rows
+    that are close to each other lie together; a partition's rows of one kind are cut into blocks of ``block_rows``. Which rows share a block decides
+    how fast neighbours are found, never which.
     """
     share = [q / (CUTS + 1) for q in range(1, CUTS + 1)]
     stats = pool.agg(
@@ -128,38 +117,73 @@ def blocked(pool: DataFrame, columns: list[str], id_column: str, model: ImputeMo
             cut = sum(((F.col(columns[i]) > F.lit(float(m))).cast("int") for m in stats[f"q{i}"] or []), F.lit(0))
             key = key + F.when(F.col(columns[i]).isNotNull(), F.shiftleft(F.shiftright(cut, bit).bitwiseAND(F.lit(1)).cast("long"), place)).otherwise(0)
     gaps = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
-    parts = max(1, math.ceil(model.usable / model.block_rows))
-    ranged = pool.select(id_column, *columns).withColumns({"_gaps": gaps, "_key": key}).repartitionByRange(parts, "_gaps", "_key", *[columns[i] for i in leading[:1]], id_column)
-    rows = materialize(ranged.withColumn("_block", F.xxhash64(F.spark_partition_id(), "_gaps")).drop("_key"), "blocks")
-    found = rows.groupBy("_block", "_gaps").agg(
-        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))]
-    ).collect()  # at most BOXES and a few for partitions that hold several kinds of gaps
-    side = lambda n: np.array([[np.nan if r[f"{n}{i}"] is None else r[f"{n}{i}"] for i in range(len(columns))] for r in found], float).reshape(-1, len(columns))
-    low = side("a")
-    return rows.drop("_gaps"), Boxes(np.array([r["_block"] for r in found], np.int64), np.array([r["n"] for r in found]), ~np.isnan(low), low, side("b"))
-
-
-def _routed(targets: DataFrame, columns: list[str], boxes: Boxes, k: int, reach: str | None) -> DataFrame:
-    """A row for each target and block to search: the nearest that hold more than k rows, or all within ``reach``."""
+    parts = max(1, min(math.ceil(model.usable / model.block_rows), 4 * int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    order = ["_gaps", "_key", *[columns[i] for i in leading[:1]], id_column]
+    ranged = pool.select(id_column, *columns).withColumns({"_gaps": gaps, "_key": key}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    size = model.block_rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, kind, held, block = TaskContext.get().partitionId(), None, 0, -1
         for pdf in batches:
-            for s in _chunks(len(pdf), max(1, 2_000_000 // max(len(boxes.block), 1))):
-                part = pdf.iloc[s]
-                bound = boxes.bounds(part[columns].to_numpy(dtype=float))
-                if reach:
-                    limit = part[reach].to_numpy(dtype=float)
-                    wanted = bound <= (limit * (1 + 1e-9))[:, None]
-                else:
-                    order = np.argsort(bound, axis=1, kind="stable")
-                    before = np.cumsum(boxes.rows[order], axis=1) - boxes.rows[order]
-                    wanted = np.zeros(bound.shape, bool)
-                    np.put_along_axis(wanted, order, before <= k, axis=1)
-                row, box = np.nonzero(wanted & np.isfinite(bound))
-                yield part.iloc[row].assign(_block=boxes.block[box])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema.fields)
-    return targets.mapInPandas(run, f"{fields}, _block long")
+            blocks = []
+            for g in pdf["_gaps"]:
+                if g != kind or held == size:
+                    kind, held, block = g, 0, block + 1
+                held += 1
+                blocks.append((part << 32) + block)
+            yield pdf.drop(columns="_key").assign(_block=np.array(blocks, np.int64))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.select(id_column, *columns).schema.fields)
+    rows = materialize(ranged.mapInPandas(number, f"{fields}, _gaps string, _block long"), "blocks")
+    sides = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]
+    level = rows.groupBy(F.col("_block").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("_gaps").alias("first"), F.max("_gaps").alias("last"), *sides)
+    level, levels = materialize(level.withColumn("part", F.shiftright("node", 32)).withColumn("place", F.col("node").bitwiseAND(F.lit((1 << 32) - 1))), "boxes"), []
+    joined = [f(f"{n}{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("low", F.min), ("high", F.max))]
+    while True:
+        size_ = level.agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("part"), F.max("place").alias("place")).first()
+        last = size_["n"] <= 1
+        # blocks of a partition are joined first, then partitions
+        inside = (size_["place"] or 0) > 0
+        at = (F.col("part"), F.floor(F.col("place") / FANOUT)) if inside else (F.floor(F.col("part") / FANOUT), F.lit(0).cast("long"))
+        parent = F.shiftleft(at[0], 32) + at[1]
+        levels.append(level.select(F.lit(len(levels)).alias("level"), "node", parent.alias("parent"), "n", (F.col("first") != F.col("last")).alias("mixed"),
+                                   *[f"{s}{i}" for i in range(len(columns)) for s in ("low", "high")]))
+        if last:
+            break
+        level = materialize(level.groupBy(at[0].alias("part"), at[1].alias("place")).agg(
+            F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), *joined
+        ).withColumn("node", F.shiftleft("part", 32) + F.col("place")), "boxes")
+    return Tree(rows.drop("_gaps"), materialize(reduce(DataFrame.unionByName, levels), "tree"), len(levels) - 1)
+
+
+def bound(columns: list[str]) -> Column:
+    """How near a row of a box can be; null if they share no column. In a box of rows with different gaps, the nearest column decides."""
+    shared = [F.col(c).isNotNull() & F.col(f"low{i}").isNotNull() for i, c in enumerate(columns)]
+    gap = [F.greatest(F.col(f"low{i}") - F.col(c), F.col(c) - F.col(f"high{i}"), F.lit(0.0)) for i, c in enumerate(columns)]
+    total = sum((F.when(s, g * g).otherwise(0.0) for s, g in zip(shared, gap)), F.lit(0.0))
+    count = sum((s.cast("int") for s in shared), F.lit(0))
+    nearest = F.least(*[F.when(s, g * g) for s, g in zip(shared, gap)]) if len(columns) > 1 else F.when(shared[0], gap[0] * gap[0])
+    return F.when(count > 0, F.when(F.col("mixed"), nearest).otherwise(total / count))
+
+
+def _routed(targets: DataFrame, columns: list[str], tree: Tree, k: int, reach: str | None) -> DataFrame:
+    """A row for each target and block to search: the nearest that hold more than k rows, or all within ``reach``."""
+    names, key = targets.columns, targets.columns[0]
+    root = tree.nodes.filter(F.col("level") == tree.top).first()  # one box
+    if root is None:
+        return targets.withColumn("_block", F.lit(None).cast("long")).filter(F.lit(False))
+    front = targets.withColumn("_at", F.lit(root["node"]))
+    for level in range(tree.top - 1, -1, -1):
+        children = tree.nodes.filter(F.col("level") == level).drop("level")
+        met = front.join(children, F.col("_at") == F.col("parent"))
+        met = met.withColumn("_bound", bound(columns)).filter(F.col("_bound").isNotNull())
+        if reach:
+            met = met.filter(F.col("_bound") <= F.col(reach) * (1 + 1e-9))
+        else:
+            nearer = Window.partitionBy(key).orderBy("_bound", "node").rowsBetween(Window.unboundedPreceding, -1)
+            met = met.withColumn("_before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("_before") <= k)
+        front = met.select(*names, F.col("node").alias("_at"))
+    return front.withColumnRenamed("_at", "_block")
 
 
 def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column: str, own_table: bool, pick, schema: str) -> DataFrame:
@@ -185,17 +209,18 @@ def _searched(routed: DataFrame, rows: DataFrame, columns: list[str], id_column:
     return left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(across, schema)
 
 
-def reference(train: DataFrame, columns, model: ImputeModel, id_column: str = "subject_id") -> tuple[DataFrame, Boxes]:
-    """The rows that may be neighbours, in blocks, and the blocks' boxes: all that new rows need of the training table."""
+def reference(train: DataFrame, columns, model: ImputeModel, id_column: str = "subject_id") -> Tree:
+    """The rows that may be neighbours, in blocks, and the tree over them: all that new rows need of the training table."""
     columns = list(columns)
-    return blocked(train.filter(missing_cells(columns) <= model.row_limit * len(columns)), columns, id_column, model)
+    return grown(train.filter(missing_cells(columns) <= model.row_limit * len(columns)), columns, id_column, model)
 
 
 def _neighbours(targets: DataFrame, pool: DataFrame | None, columns: list[str], id_column: str, model: ImputeModel, own_table: bool,
-                index: tuple[DataFrame, Boxes] | None = None) -> DataFrame:
+                index: Tree | None = None) -> DataFrame:
     """The k nearest reference rows of every target: (id, neighbour_id, place, distance, v); ties go to the smaller id."""
     k, kind = model.k, dict(targets.dtypes)[id_column]
-    rows, boxes = index or blocked(pool, columns, id_column, model)
+    tree = index or grown(pool, columns, id_column, model)
+    rows = tree.rows
     targets = targets.select(id_column, *columns)
 
     def nearest(part, ids, values, dist):
@@ -212,10 +237,10 @@ def _neighbours(targets: DataFrame, pool: DataFrame | None, columns: list[str],
             id_column: part[id_column].to_numpy()[row], "neighbour_id": ids[at], "distance": dist[row, at], "v": pd.Series(cells, dtype=object),
         })
 
-    near = _searched(_routed(targets, columns, boxes, k, None), rows, columns, id_column, own_table, nearest, f"{id_column} {kind}, least array<double>")
+    near = _searched(_routed(targets, columns, tree, k, None), rows, columns, id_column, own_table, nearest, f"{id_column} {kind}, least array<double>")
     reach = near.groupBy(id_column).agg(F.get(F.sort_array(F.flatten(F.collect_list("least"))), F.lit(k - 1)).alias("_reach"))
     wide = targets.join(reach, id_column, "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
-    found = _searched(_routed(wide, columns, boxes, k, "_reach"), rows, columns, id_column, own_table, within,
+    found = _searched(_routed(wide, columns, tree, k, "_reach"), rows, columns, id_column, own_table, within,
                       f"{id_column} {kind}, neighbour_id {kind}, distance double, v array<double>")
     place = F.row_number().over(Window.partitionBy(id_column).orderBy("distance", "neighbour_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
@@ -232,10 +257,10 @@ def neighbours(df: DataFrame, columns, id_column: str = "subject_id", *, k: int
 
 
 def knn_impute(df: DataFrame, columns, id_column: str = "subject_id", *, pool: DataFrame | None = None,
-               model: ImputeModel | None = None, index: tuple[DataFrame, Boxes] | None = None, max_block: int = 1500, **limits) -> DataFrame:
+               model: ImputeModel | None = None, index: Tree | None = None, max_block: int = 1500, **limits) -> DataFrame:
     """Fill missing numerics with the mean of the k nearest rows, else with the column mean.
 
-    Rows above the row limit get column means and never act as neighbours. With ``pool``, or its blocks as ``index`` (and the model fitted on
+    Rows above the row limit get column means and never act as neighbours. With ``pool``, or its tree as ``index`` (and the model fitted on
     them), the neighbours come from those reference rows only, so new subjects cannot change one another.
     """
     columns = list(columns)

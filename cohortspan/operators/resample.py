@@ -2,24 +2,88 @@
 
 The k-th smallest digest of a (stratum, repetition) is found by counting digest prefixes; whether a
 row is in the test part is then a comparison with that cut. No stratum is ever sorted as a whole,
-and the split table is never shuffled as N x repetitions rows.
+and no row is repeated for each repetition: a row carries the prefixes of a block of repetitions as one array, tasks add
+them up as counts per prefix, and only rows in the one prefix that holds a cut are looked at again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import rank_cut
 from ..functions.scalar import draw_key
 from ..session import materialize, small_or_stored
 
 
-def _repeated(rows: DataFrame, keys: list[str], reps: int, seed: int, id_column: str) -> DataFrame:
-    return rows.select(*keys, id_column).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "draw", draw_key(seed, F.col("rep"), F.col(id_column))
+#: Leading hexadecimal digits that are counted, and repetitions counted together (a stratum's counts take 8 MB).
+DIGITS, REPS_TOGETHER = 3, 256
+#: Counts that a task holds before it hands them on.
+FLUSH_BYTES = 64 << 20
+
+
+def _prefix(seed: int, rep: Column, id_column: str) -> Column:
+    return F.conv(F.substring(draw_key(seed, rep, F.col(id_column)), 1, DIGITS), 16, 10).cast("int")
+
+
+def _edges(base: DataFrame, keys: list[str], first: int, last: int, seed: int, id_column: str) -> DataFrame:
+    """Per (key, repetition): the prefix that holds the quota's last row, and how many rows of it belong to the test part."""
+    kinds, size = dict(base.dtypes), 16**DIGITS
+    key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    shares = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda r: _prefix(seed, r, id_column))
+    reps = np.arange(first, last + 1, dtype=np.int32)
+
+    def count(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def given():
+            for key, counts in held.items():
+                out = pd.DataFrame({k: [v] * len(reps) for k, v in zip([*keys, "quota"], key)})
+                yield out.assign(rep=reps, counts=list(counts))
+            held.clear()
+
+        for pdf in batches:
+            for key, part in pdf.groupby([*keys, "quota"], sort=False):
+                cells = np.vstack(part["shares"].to_numpy()) + np.arange(len(reps)) * size
+                found = np.bincount(cells.ravel(), minlength=len(reps) * size).reshape(len(reps), size).astype(float)
+                held[key] = held[key] + found if key in held else found
+                if len(held) * found.nbytes > FLUSH_BYTES:
+                    yield from given()
+        yield from given()
+
+    counted = base.select(*keys, "quota", shares.alias("shares")).mapInPandas(count, f"{key_schema}, quota bigint, rep int, counts array<double>")
+    total = counted.withColumn("v", array_to_vector("counts")).groupBy(*keys, "quota", "rep").agg(Summarizer.sum(F.col("v")).alias("v"))
+
+    def edge(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            counts = np.vstack(pdf["counts"].to_numpy())
+            upto, quota = counts.cumsum(axis=1), pdf["quota"].to_numpy(dtype=float)
+            at = (upto < quota[:, None]).sum(axis=1)
+            some = (quota > 0) & (at < size)
+            at = np.minimum(at, size - 1)
+            left = quota - (upto[np.arange(len(at)), at] - counts[np.arange(len(at)), at])
+            yield pdf.loc[some, [*keys, "rep"]].assign(share=at[some].astype(np.int32), left=left[some].astype(np.int64))
+
+    return total.select(*keys, "quota", "rep", vector_to_array("v").alias("counts")).mapInPandas(edge, f"{key_schema}, rep int, share int, left bigint")
+
+
+def _cuts(base: DataFrame, keys: list[str], first: int, last: int, seed: int, id_column: str) -> DataFrame:
+    edges = materialize(_edges(base, keys, first, last, seed, id_column), "edges")
+    listed = edges.groupBy(*keys).agg(F.collect_list(F.struct("rep", "share", "left")).alias("_edges"))  # at most REPS_TOGETHER a key
+    near = F.filter("_edges", lambda e: _prefix(seed, e["rep"], id_column) == e["share"])
+    inside = base.select(*keys, id_column).join(listed, keys).select(*keys, id_column, F.explode(near).alias("e")).select(
+        *keys, F.col("e.rep").alias("rep"), F.col("e.left").alias("_left"), id_column, draw_key(seed, F.col("e.rep"), F.col(id_column)).alias("draw")
+    )
+    place = Window.partitionBy(*keys, "rep").orderBy("draw", id_column)
+    return inside.withColumn("_place", F.row_number().over(place)).filter("_place = _left").select(
+        *keys, "rep", F.col("draw").alias("cut_draw"), F.col(id_column).alias("cut_tie")
     )
 
 
@@ -34,8 +98,8 @@ def holdout_cuts(rows: DataFrame, *, reps: int, seed: int, share: float | None =
         base = base.join(small_or_stored(quota, "quota"), keys)
     else:
         base = base.withColumn("quota", F.lit(size).cast("bigint"))
-    drawn = _repeated(base, keys + ["quota"], reps, seed, id_column)
-    return rank_cut(drawn, keys + ["rep"], "draw", id_column, "quota")
+    blocks = [(at, min(at + REPS_TOGETHER - 1, reps)) for at in range(1, reps + 1, REPS_TOGETHER)]
+    return reduce(DataFrame.unionByName, [_cuts(base, keys, first, last, seed, id_column) for first, last in blocks])
 
 
 def is_test(seed: int, rep: Column, id_column: str, cut_draw: Column, cut_tie: Column) -> Column:

@@ -263,7 +263,7 @@ def prepare_training(wide: DataFrame, numerics, categoricals, kinds: dict[str, s
 
 
 def prepare_scoring(new_wide: DataFrame, train_wide: DataFrame | None, train_filled: DataFrame | None, prep: Preparation, *,
-                    index: tuple[DataFrame, impute.Boxes] | None = None, offsets_of: DataFrame | None = None) -> DataFrame:
+                    index: impute.Tree | None = None, offsets_of: DataFrame | None = None) -> DataFrame:
     """Joint preparation of many new subjects, each against the training rows and itself.
 
     ``index`` and ``offsets_of`` stand for the training rows where only what was stored of them is at hand.

@@ -1,6 +1,6 @@
 """A trained study as a stored bundle: one job trains and saves, later ones score new subjects from the bundle and their forms alone.
 
-Parts: levels and modes, moments and log offsets with their power sums, the rows that may be neighbours in their blocks with the blocks' boxes,
+Parts: levels and modes, moments and log offsets with their power sums, the rows that may be neighbours in their blocks with the tree of boxes,
 stratum rules, model terms, coefficients with the inverse cross products (or information), steps of the baseline hazard, stratum means.
 """
 
@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import design, impute, transform
 from ..session import from_rows
@@ -34,8 +34,7 @@ def _rule_rows(rule_set) -> list[tuple]:
 def _preparation_parts(spark: SparkSession, trained: Trained, rule_set, models) -> dict[str, DataFrame]:
     prep = trained.model
     scale, knn = prep.scale, prep.knn
-    rows, boxes = impute.reference(trained.wide, prep.numerics, knn)
-    side = lambda a: [[None if np.isnan(v) else float(v) for v in r] for r in a]
+    tree = impute.reference(trained.wide, prep.numerics, knn)
     levels = [(c, v, i, v == prep.modes[c]) for c, found in prep.level_map.items() for i, v in enumerate(found)]
     return {
         "levels": spark.createDataFrame(levels, _LEVELS),
@@ -43,10 +42,8 @@ def _preparation_parts(spark: SparkSession, trained: Trained, rule_set, models)
             (c, i, scale.kinds[c], scale.minimum[c], scale.count[c], scale.mean[c], scale.sd[c], knn.means[c]) for i, c in enumerate(prep.numerics)
         ], _COLUMNS),
         "offsets": transform.offset_sums(trained.filled, scale),
-        "reference": rows,
-        "boxes": spark.createDataFrame(
-            list(zip(boxes.block.tolist(), boxes.rows.tolist(), side(boxes.low), side(boxes.high))), "block bigint, n bigint, low array<double>, high array<double>"
-        ),
+        "reference": tree.rows,
+        "boxes": tree.nodes,
         "rules": from_rows(spark, _rule_rows(rule_set), _RULES),
         "terms": from_rows(spark, [(c, i, t) for c, names in models.items() for i, t in enumerate(names)], _TERMS),
     }
@@ -88,14 +85,9 @@ def _trained(bundle: Bundle) -> Trained:
             modes[r["feature"]] = r["level"]
     knn = impute.ImputeModel(names, pick("imputed"), **bundle.meta["knn"])
     scale = transform.ScaleModel(pick("kind"), pick("minimum"), pick("n"), pick("mean"), pick("sd"))
-    found = bundle.table("boxes").collect()  # at most impute.BOXES and a few
-    side = lambda name: np.array([[np.nan if v is None else v for v in r[name]] for r in found], float).reshape(-1, len(names))
-    low = side("low")
-    boxes = impute.Boxes(
-        np.array([r["block"] for r in found], np.int64), np.array([r["n"] for r in found]), ~np.isnan(low), low, side("high")
-    )
+    top = bundle.table("boxes").agg(F.max("level")).first()[0]
     prep = transform.Preparation(names, categoricals, knn, scale, modes, level_map)
-    return Trained(None, None, None, prep, bundle.meta["median_onset"], (bundle.table("reference"), boxes), bundle.table("offsets"))
+    return Trained(None, None, None, prep, bundle.meta["median_onset"], impute.Tree(bundle.table("reference"), bundle.table("boxes"), top), bundle.table("offsets"))
 
 
 def _roles(bundle: Bundle) -> Roles:

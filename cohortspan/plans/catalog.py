@@ -15,7 +15,7 @@ from ..operators import (
 from ..session import materialize, scratch_path, small_or_stored
 from ..sources import bridge, files
 from ..sources.bridge import STUDY
-from . import bundle, prepare, score
+from . import bundle, prepare, products, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -592,6 +592,13 @@ def survival_scorecard(spark, sf):
     return rounded(metrics.scorecard(_marked(spark, sf), ["cluster"]))
 
 
+@query
+def horizon_scorecard(spark, sf):
+    """A marker of its own for 12, 18 and 24 months; all else by the common one."""
+    rows = _marked(spark, sf).withColumns({"m12": F.round("price", 6), "m18": F.round("tax", 6), "m24": F.round("onset_age", 6)})
+    return rounded(metrics.scorecard(rows, ["cluster"], horizon_scores={12: "m12", 18: "m18", 24: "m24"}).select("cluster", "c_index", "auc12", "auc18", "auc24", "iauc"))
+
+
 # --- survival selection ------------------------------------------------------------------------------
 SURV_REPS = 5
 SURV_BACK = {1: ("price", "onset_age", "segment"), 2: ("discount", "prior_slope", "linestatus"), 3: ("tax", "quantity", "age")}
@@ -725,10 +732,45 @@ def read_requests(spark, sf):
 
 @query
 def audit_copy(spark, sf):
-    """Requests appended to an audit table."""
-    path = scratch_path(spark, "audit")
-    files.append_audit(_selected(spark, sf), path, "request")
-    return files.load_table(spark, path).groupBy("stage", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    """Requests appended to an audit table by a job that runs twice, and counts once."""
+    path, rows = scratch_path(spark, "audit"), _selected(spark, sf)
+    for _ in range(2):
+        files.append_audit(rows, path, "request", "run-1")
+    return files.read_audit(spark, path, rows.schema).groupBy("stage", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_forms_quarantine(spark, sf):
+    """Forms with damaged lines written as text and read back: what is kept, and what went to quarantine by reason."""
+    path, quarantine = scratch_path(spark, "forms"), scratch_path(spark, "quarantine")
+    columns = ["subject_id", "form_name", "feature_name", "feature_value", "feature_unit", "feature_delta"]
+    seq = F.col("row_seq")
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
+    damaged = (
+        F.when(seq % 97 == 0, F.concat_ws("|", "subject_id", "form_name", "feature_name")).when(seq % 89 == 0, F.concat(line, F.lit("|more")))
+        .when(seq % 83 == 0, F.concat(F.lit('"'), line)).when(seq % 79 == 0, F.concat(F.lit("NA|"), F.substring_index(line, "|", -5)))
+        .otherwise(line)
+    )
+    bridge.forms(spark, sf).select(damaged.alias("line")).write.text(path)
+    good = files.read_forms_checked(spark, path, quarantine, header=False)
+    kept = good.groupBy("feature_name").agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("kind"), F.col("feature_name").alias("name"), "n")
+    lost = files.load_table(spark, quarantine).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("quarantine").alias("kind"), F.col("reason").alias("name"), "n")
+    return kept.unionByName(lost)
+
+
+@query
+def save_feature_tables(spark, sf):
+    """The one-hot coded feature table built as a stored product and loaded again."""
+    products.feature_tables(spark, sf, STRATA, ROLE_COLUMNS)
+    stored = products.feature_tables(spark, sf, STRATA, ROLE_COLUMNS)
+    return rounded(stored.table("dummy").drop(*STUDY.numerics, "slope", "time_event", "status", "cluster"))
+
+
+@query
+def stratum_feature_table(spark, sf):
+    """The rows of two strata from the stored product: only their folders are read."""
+    product = products.feature_tables(spark, sf, STRATA, ROLE_COLUMNS)
+    return rounded(products.stratum_rows(product, "default", (1, 3)).select("subject_id", "cluster", "price", "tax", "segment"))
 
 
 @query
@@ -756,6 +798,17 @@ def format_predictions(spark, sf):
     return files.format_predictions(scored, ["fit", "se"])
 
 
+@query
+def format_probabilities(spark, sf):
+    """Survival probabilities as prediction lines, written as text and read back."""
+    rows, data, fits, designs, p = _cox(spark, sf, COX_PAIRS)
+    scored = score.predict_survival(rows, score.survival_levels(data, fits, p), designs, p)
+    scored = scored.withColumns({c: F.round(c, 3).cast("decimal(18,3)") for c in score.PROBABILITIES})
+    path = scratch_path(spark, "predictions")
+    files.write_predictions(files.format_predictions(scored, score.PROBABILITIES), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def model_registry(spark, sf):
     """Fitted models saved by stratum, loaded again and listed term by term."""

@@ -40,7 +40,7 @@ class Trained:
     table: DataFrame | None
     model: transform.Preparation
     median_onset: float | None
-    index: tuple[DataFrame, impute.Boxes] | None = None
+    index: impute.Tree | None = None
     offsets_of: DataFrame | None = None
 
 

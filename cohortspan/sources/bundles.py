@@ -54,6 +54,26 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(make(path)) if s.isDirectory())
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in ``path``, sorted."""
+    fs, make = _files(spark, path)
+    if not fs.exists(make(path)):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(make(path)) if not s.isDirectory())
+
+
+def file_marks(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of every file under ``path``: they change when the data do."""
+    fs, make = _files(spark, path)
+    if not fs.exists(make(path)):
+        return []
+    found, each = [], fs.listFiles(make(path), True)
+    while each.hasNext():
+        s = each.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
 def _measure(table: DataFrame) -> tuple[int, int]:
     """Rows, and a checksum that does not depend on their order."""
     row = table.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*table.columns)).alias("x")).first()
@@ -71,13 +91,14 @@ class Bundle:
         return self.spark.read.schema(StructType.fromJson(self.parts[name]["schema"])).parquet(f"{self.path}/{name}")
 
 
-def write_bundle(spark: SparkSession, root: str, parts: dict[str, DataFrame], meta: dict) -> str:
-    """Write a new version and return its folder."""
+def write_bundle(spark: SparkSession, root: str, parts: dict[str, DataFrame], meta: dict, by: dict[str, str] | None = None) -> str:
+    """Write a new version and return its folder; ``by`` names the column that a part's folders are cut by."""
     taken = [int(f[1:7]) for f in folders(spark, root) if f[:1] == "v" and f[1:7].isdigit()]
     path = f"{root.rstrip('/')}/v{max(taken, default=0) + 1:06d}-{uuid.uuid4().hex[:8]}"
     listed = {}
     for name, table in parts.items():
-        table.write.mode("error").parquet(f"{path}/{name}")
+        writer = table.write.mode("error")
+        (writer.partitionBy(by[name]) if by and name in by else writer).parquet(f"{path}/{name}")
         stored = spark.read.schema(table.schema).parquet(f"{path}/{name}")
         rows, checksum = _measure(stored)
         listed[name] = {"rows": rows, "checksum": checksum, "schema": stored.schema.jsonValue()}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bundles import file_names, read_text, write_text
+
 FORM_SCHEMA = (
     "subject_id string, form_name string, feature_name string, feature_value string, feature_unit string, feature_delta string"
 )
@@ -27,6 +31,36 @@ def read_forms(spark: SparkSession, path: str, *, header: bool = True) -> DataFr
     return rows.withColumn("row_seq", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
+def split_lines(spark: SparkSession, path: str, *, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Long forms, and the lines that do not fit: (file, line, reason).
+
+    A line fits if its quotes are paired, it has as many fields as the schema and names a subject; lines of blanks and headers are no rows. A bar inside
+    quotes separates nothing.
+    """
+    fields = [c.split()[0] for c in FORM_SCHEMA.split(", ")]
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_row"))
+    lines = lines.filter(F.trim("line") != "")
+    if header:
+        lines = lines.filter(F.col("line") != "|".join(fields))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    count = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), r"\|"))
+    reason = (
+        F.when(quotes % 2 == 1, "quote").when(count < len(fields), "short").when(count > len(fields), "long")
+        .when(F.trim(F.split("line", r"\|")[0]).isin("", "NA"), "subject")
+    )
+    judged = lines.withColumn("reason", reason)
+    row = F.from_csv("line", FORM_SCHEMA, {"sep": "|", "nullValue": "NA"})
+    good = judged.filter(F.col("reason").isNull()).select(row.alias("r"), F.struct("file", F.col("_row").alias("row")).alias("row_seq")).select("r.*", "row_seq")
+    return good, judged.filter(F.col("reason").isNotNull()).select("file", "line", "reason")
+
+
+def read_forms_checked(spark: SparkSession, path: str, quarantine: str, *, header: bool = True) -> DataFrame:
+    """Long forms; lines that do not fit go to the table ``quarantine`` with file and reason."""
+    good, bad = split_lines(spark, path, header=header)
+    save_table(bad, quarantine)
+    return good
+
+
 def read_slope(spark: SparkSession, path: str) -> DataFrame:
     return _delimited(spark, path, SLOPE_SCHEMA, True)
 
@@ -49,9 +83,31 @@ def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
-def append_audit(df: DataFrame, path: str, stage: str) -> None:
-    """Copy of requests or responses for later inspection."""
-    df.withColumn("stage", F.lit(stage)).write.mode("append").partitionBy("stage").parquet(path)
+def append_audit(df: DataFrame, path: str, stage: str, run: str) -> bool:
+    """Copy of requests or responses for later inspection, once per ``run``.
+
+    A run's rows count from the moment its commit record is there, which is written last. A run that is already recorded is left as it is
+    (False); what an attempt that died has left is written over.
+    """
+    spark = df.sparkSession
+    record = f"{path}/_commits/{stage}={run}"
+    if read_text(spark, record) is not None:
+        return False
+    df.write.mode("overwrite").parquet(f"{path}/stage={stage}/run={run}")
+    write_text(spark, record, f"{stage} {run}")
+    return True
+
+
+def read_audit(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all recorded runs with ``stage`` and ``run``."""
+    runs = [f for f in file_names(spark, f"{path}/_commits") if "=" in f]
+    tables = [
+        load_table(spark, f"{path}/stage={stage}/run={run}", schema).withColumns({"stage": F.lit(stage), "run": F.lit(run)})
+        for stage, run in (f.split("=", 1) for f in runs)
+    ]
+    if not tables:
+        return spark.createDataFrame([], schema).withColumns({"stage": F.lit(""), "run": F.lit("")})
+    return reduce(DataFrame.unionByName, tables)
 
 
 def tag_lines(selected: DataFrame) -> DataFrame:

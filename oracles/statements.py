@@ -391,3 +391,12 @@ S["read_forms_header"] = with_(FORMS) + "SELECT feature_name, count(*) AS n, cou
 S["read_responses"] = with_(SLOPE, SURV) + "SELECT CAST(subject_id AS VARCHAR) AS subject_id, round(slope, 4) AS slope, time_event, status FROM slope_resp FULL JOIN surv_resp USING (subject_id)"
 S["audit_copy"] = with_(*SEL) + "SELECT 'request' AS stage, cluster, count(*) AS n FROM picked GROUP BY 2"
 S["read_forms_text"] = with_(FORMS) + f"SELECT feature_name, count(*) AS n, count(feature_value) AS n_value, round(avg({number('feature_value')}),6) AS mean_value, round(CAST(sum(feature_delta) AS DOUBLE),6) AS sum_delta FROM forms GROUP BY 1"
+S["save_feature_tables"] = S["dummy_code"]
+S["stratum_feature_table"] = with_(*LAB3) + "SELECT subject_id, cluster, round(price,6) AS price, round(tax,6) AS tax, segment FROM lab WHERE cluster IN (1, 3)"
+S["read_forms_quarantine"] = with_(FORMS) + """, w AS (SELECT feature_name, CASE WHEN row_seq % 97 = 0 THEN 'short' WHEN row_seq % 89 = 0 THEN 'long' WHEN row_seq % 83 = 0 THEN 'quote' WHEN row_seq % 79 = 0 THEN 'subject' END AS reason FROM forms)
+SELECT CASE WHEN reason IS NULL THEN 'kept' ELSE 'quarantine' END AS kind, coalesce(reason, feature_name) AS name, count(*) AS n FROM w GROUP BY 1, 2"""
+_mark = lambda m: f"SELECT cluster, time_event AS time, status, round({m},6) AS risk FROM lab WHERE time_event IS NOT NULL AND cluster IS NOT NULL"
+S["horizon_scorecard"] = with_(*MARK, [("mk12", _mark("price"))], card("mk12", "cd12", ["cluster"]), [("mk18", _mark("tax"))], card("mk18", "cd18", ["cluster"])) + (
+    "SELECT cd.cluster, round(cd.c_index,6) AS c_index, round(cd12.auc12,6) AS auc12, round(cd18.auc18,6) AS auc18, round(cd.auc24,6) AS auc24, round(cd.iauc,6) AS iauc "
+    "FROM cd JOIN cd12 USING (cluster) JOIN cd18 USING (cluster)")
+S["format_probabilities"] = with_(*COX, probs("cx")) + "SELECT concat_ws('|', " + ", ".join(f"coalesce(CAST(CAST(round(p{m},3) AS DECIMAL(18,3)) AS VARCHAR),'NA')" for m in (12, 18, 24)) + ") AS line, count(*) AS n FROM pr GROUP BY 1"

@@ -5,7 +5,7 @@ from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["collapse_wide", "feature_missingness", "lenient_cast", "collapse_mode", "knn_impute", "classify_c1", "ols_fit_full"]
-ROWS_ONLY = {"cox_fit_full", "surv_tree_fit"}
+ROWS_ONLY = set()
 
 
 def test_every_query_has_sql_but_the_iterative_ones():
