@@ -275,7 +275,7 @@ PIECE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 def run_bytes(rows: DataFrame, judged: DataFrame) -> DataFrame:
     """``PIECES``: the bytes of runs to sort; of runs with a hot anchor a row for each string, with two hashes of it as ``anchor`` and
-    ``data``. Of equal strings of a slice only the earliest goes on; the others are repeated (no ``data``)."""
+    ``data``. Of equal strings of a slice only the earliest goes on; the others are repeated and leave as intervals (``data`` is the end)."""
     asked = judged.filter(F.col("kind") != REPEATED).groupBy("_id").agg(F.collect_list(F.struct("kind", "anchor", "start", "n")).alias("asked"))
     joined = rows.join(asked, "_id")
 
@@ -302,12 +302,17 @@ def run_bytes(rows: DataFrame, judged: DataFrame) -> DataFrame:
                 order = np.lexsort((start, ids, two, one))
                 one, two, ids, start = one[order], two[order], ids[order], start[order]
                 again = np.r_[False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])]
-                kind = np.where(again, REPEATED, HOT).astype(np.int32)
                 first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
-                real = ~again | (ids != ids[first]) | (start != start[first])  # not the same start of a repeated row
-                data = [None if r else x.tobytes() for r, x in zip(again[real].tolist(), two[real])]
+                later = again & ((ids != ids[first]) | (start != start[first]))  # not the same start of a repeated row
+                # repeats of the slice leave as intervals, one for starts that follow each other
+                doc, at, stop = _merged(ids[later], start[later], start[later] + 1)
+                spread = mixed(doc.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), REPEATED, np.int32)), pa.array(spread), pa.array(doc), pa.array(at),
+                                                  pa.array([x.tobytes() for x in stop.astype(np.int64)], pa.binary())], names=PIECE_NAMES)
+                lead = ~again
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind[real]), pa.array(one[real].view(np.int64)), pa.array(ids[real]), pa.array(start[real]), pa.array(data, pa.binary())], names=PIECE_NAMES)
+                    [pa.array(np.full(lead.sum(), HOT, np.int32)), pa.array(one[lead].view(np.int64)), pa.array(ids[lead]), pa.array(start[lead]),
+                     pa.array([x.tobytes() for x in two[lead]], pa.binary())], names=PIECE_NAMES)
 
     return joined.mapInArrow(run, PIECES)
 
@@ -331,7 +336,8 @@ def sorted_repeats(pieces: DataFrame) -> DataFrame:
             kind = table.column("kind").to_numpy()
             done = table.filter(pa.array(kind == REPEATED))
             if done.num_rows:
-                yield told(done.column("_id").to_numpy(), done.column("start").to_numpy())
+                ends = np.frombuffer(b"".join(done.column("data").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (done.column("_id").to_numpy(), done.column("start").to_numpy(), ends)], names=["_id", "start", "stop"])
             hot = table.filter(pa.array(kind == HOT))
             if hot.num_rows:
                 two = np.frombuffer(b"".join(hot.column("data").to_pylist()), np.uint64)
