@@ -317,7 +317,7 @@ def support_augment(spark, sf):
 
 
 # --- resampling and selection ------------------------------------------------------------------------
-REPS, SEED = 6, 20
+REPS, SEED = 20, 20
 SLOPE_START = {1: ("quantity", "price"), 2: ("discount", "onset"), 3: ("tax", "onset_age", "tax*onset_age")}
 
 

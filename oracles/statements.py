@@ -117,7 +117,7 @@ S["support_augment"] = with_(PREPARED, classify("prepared", "lab", C1), [
 WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.cluster=d.cluster AND p.group_name=l.group_name)"""
 
 # --- resampling ---------------------------------------------------------------------------------------
-REPS, SEED = 6, 20
+REPS, SEED = 20, 20
 
 
 def split_cte(src="tr", reps=REPS, seed=SEED, name="split", quota="q"):
