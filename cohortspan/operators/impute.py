@@ -25,7 +25,7 @@ from ..session import materialize
 #: Rows looking for neighbours that one task compares with a block; a block that more of them need is read by several tasks.
 TARGETS_PER_TASK = 5_000
 #: Boxes that are joined to one of the next level.
-FANOUT = 16
+FANOUT = 32
 #: Cuts of each column that decide which rows lie close together.
 CUTS = 15
 
@@ -139,20 +139,20 @@ def grown(pool: DataFrame, columns: list[str], id_column: str, model: ImputeMode
     level = rows.groupBy(F.col("_block").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("_gaps").alias("first"), F.max("_gaps").alias("last"), *sides)
     level, levels = materialize(level.withColumn("part", F.shiftright("node", 32)).withColumn("place", F.col("node").bitwiseAND(F.lit((1 << 32) - 1))), "boxes"), []
     joined = [f(f"{n}{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("low", F.min), ("high", F.max))]
+    most = level.agg(F.max("part").alias("part"), F.max("place").alias("place")).first()
+    part, place = most["part"] or 0, most["place"] or 0
     while True:
-        size_ = level.agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("part"), F.max("place").alias("place")).first()
-        last = size_["n"] <= 1
         # blocks of a partition are joined first, then partitions
-        inside = (size_["place"] or 0) > 0
-        at = (F.col("part"), F.floor(F.col("place") / FANOUT)) if inside else (F.floor(F.col("part") / FANOUT), F.lit(0).cast("long"))
+        at = (F.col("part"), F.floor(F.col("place") / FANOUT)) if place else (F.floor(F.col("part") / FANOUT), F.lit(0).cast("long"))
         parent = F.shiftleft(at[0], 32) + at[1]
         levels.append(level.select(F.lit(len(levels)).alias("level"), "node", parent.alias("parent"), "n", (F.col("first") != F.col("last")).alias("mixed"),
                                    *[f"{s}{i}" for i in range(len(columns)) for s in ("low", "high")]))
-        if last:
+        if not part and not place:
             break
-        level = materialize(level.groupBy(at[0].alias("part"), at[1].alias("place")).agg(
+        level = level.groupBy(at[0].alias("part"), at[1].alias("place")).agg(
             F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), *joined
-        ).withColumn("node", F.shiftleft("part", 32) + F.col("place")), "boxes")
+        ).withColumn("node", F.shiftleft("part", 32) + F.col("place"))
+        part, place = (part, place // FANOUT) if place else (part // FANOUT, 0)
     return Tree(rows.drop("_gaps"), materialize(reduce(DataFrame.unionByName, levels), "tree"), len(levels) - 1)
 
 
