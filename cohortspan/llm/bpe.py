@@ -29,7 +29,7 @@ from cohortspan.llm.common import NO_ID, given_back, given_id, numbered, slices
 
 #: Bytes of text encoded together.
 SLICE_BYTES = 2 << 20
-#: Longest piece (characters) whose ids a task remembers, and how many it remembers between slices; it forgets them when it ends.
+#: Longest piece (characters) whose ids a task remembers, and how many it remembers at most.
 MEMO_BYTES, MEMO_LIMIT = 64, 100_000
 
 
@@ -202,7 +202,7 @@ class Bpe:
 
 def shared(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[[], Bpe]:
     """Gives tasks their ``Bpe``. The vocabulary, a file of the driver and of fixed size, is broadcast; a Python worker
-    builds its encoder once, beside its copy of the vocabulary, and later tasks find it there."""
+    builds its encoder once, beside its copy of the vocabulary, and later tasks find it there with what it remembers."""
     with open(ranks_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast((f.read(), pattern, []))
 
@@ -227,7 +227,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 [batch.column("_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())],
                 names=["_id", "n_tokens", "ids"],
             )
-        bpe.memo.clear()
 
     out = numbered(docs, id_col, text_col).mapInArrow(given_back(run), "_id long, n_tokens long, ids binary")
     return out.select(given_id("_id").alias(id_col), "n_tokens", "ids")
