@@ -134,3 +134,37 @@ def test_constant_column_scales_to_null(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "a double")
     out = transform.apply_scale(df, transform.fit_scale(df, {"a": "plain"}))
     assert out.filter(F.col("a").isNotNull()).isEmpty()
+
+
+def test_trees_for_sets_of_gaps_find_the_true_neighbours(spark, monkeypatch):
+    """Rows that lack the widest column are ordered by the widest that they have; each pair is compared in one tree."""
+    monkeypatch.setattr(impute, "PAIRS", 1)
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(scale=1000, size=400), rng.integers(0, 40, 400), rng.integers(0, 3, 400)]).astype(float)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "subject_id bigint, a double, b double, c double")
+    model = impute.fit(df, COLS, max_block=20)
+    pool = df.filter(impute.missing_cells(COLS) <= 0.8 * 3)
+    trees = impute._trees(df, pool, COLS, "subject_id", model, True)
+    met = [pair for _, pairs in trees for pair in pairs]
+    assert len(trees) >= 3 and len(met) == len(set(met))
+    # a target without the widest column meets few blocks
+    tree, pairs = next((t, p) for t, p in trees if ("010", "010") in p)
+    asked = pool.filter("a IS NULL AND c IS NULL").select("subject_id", *COLS).withColumn("_reach", F.lit(1.0))
+    assert impute._routed(asked, COLS, tree, 10, "_reach", pairs).count() < asked.count() * tree.rows.select("_block").distinct().count() / 3
+    got = impute.knn_impute(df, COLS, max_block=20).orderBy("subject_id").select(*COLS).toPandas().to_numpy()
+    assert np.allclose(got, _brute(x))
+
+
+def test_equal_distances_leave_a_block_k_at_a_time(spark, monkeypatch):
+    rows = [(i, 1.0, 1.0 if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "subject_id bigint, a double, b double")
+    sent = []
+    searched = impute._searched
+    monkeypatch.setattr(impute, "_searched", lambda *a: sent.append(searched(*a)) or sent[-1])
+    got = impute.neighbours(df, ["a", "b"], max_block=300).toPandas().groupby("subject_id").neighbour_id.apply(list)
+    for i in range(0, 300, 3):
+        assert got[i] == [j for j in range(12) if j != i][:10]
+    blocks = 2  # one for each set of gaps
+    assert sent[-1].count() <= 100 * 10 * blocks
