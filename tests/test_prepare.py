@@ -168,3 +168,23 @@ def test_equal_distances_leave_a_block_k_at_a_time(spark, monkeypatch):
         assert got[i] == [j for j in range(12) if j != i][:10]
     blocks = 2  # one for each set of gaps
     assert sent[-1].count() <= 100 * 10 * blocks
+
+
+def test_rows_go_down_the_tree_in_cells(spark, monkeypatch):
+    """Cells, not rows, meet the boxes; every row still gets the blocks within its own reach, and no others."""
+    monkeypatch.setattr(impute, "CELL", 20)
+    rng = np.random.default_rng(13)
+    x = rng.normal(scale=(100, 5, 1), size=(500, 3))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "subject_id bigint, a double, b double, c double")
+    model = impute.fit(df, COLS, max_block=15)
+    tree = impute.reference(df, COLS, model)
+    asked = df.filter((impute.missing_cells(COLS) > 0) & (impute.missing_cells(COLS) < 3)).withColumn("_reach", F.lit(2.0) + F.col("subject_id") % 7)
+    cells = impute._celled(asked, COLS, "subject_id", tree, model, None).cache()
+    sizes = [r["n"] for r in cells.groupBy("_cell", "_gaps").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == asked.count() and max(sizes) == 20 and len(sizes) <= asked.count() / 20 + 6
+    met = {(r.subject_id, r._block) for r in impute._routed(cells, COLS, tree, 10, "_reach").collect()}
+    assert met == {(r.subject_id, r._block) for r in impute._routed(asked, COLS, tree, 10, "_reach").collect()}
+    near = {r.subject_id for r in impute._routed(cells, COLS, tree, 10, None).collect()}
+    assert near == {r.subject_id for r in asked.collect()}
