@@ -76,3 +76,10 @@ def test_names():
     assert normalise_name("AST(SGOT)") == "ast_sgot"
     with pytest.raises(ValueError):
         name_map(["a b", "a-b"])
+
+
+def test_rows_outside_the_window_fall_together(spark):
+    """They keep their subject, as one row, whatever their features and texts."""
+    rows = [(1, "Clinic", f, v, "200") for f, v in (("lab", "7"), ("sex", "F"), ("sex", "M"), ("score", "3"), ("lab", "-"))] + [(1, "Clinic", "sex", "F", "3")]
+    cut = collapse.cells(clean.with_delta(_forms(spark, rows)), ROLES).collect()
+    assert sorted((str(r["feature_name"]), str(r["_text"]), r["_seen"]) for r in cut) == [("None", "None", 0), ("sex", "F", 1)]

@@ -188,3 +188,46 @@ def test_rows_go_down_the_tree_in_cells(spark, monkeypatch):
     assert met == {(r.subject_id, r._block) for r in impute._routed(asked, COLS, tree, 10, "_reach").collect()}
     near = {r.subject_id for r in impute._routed(cells, COLS, tree, 10, None).collect()}
     assert near == {r.subject_id for r in asked.collect()}
+
+
+def test_distances_by_matrix_product_are_off_by_no_more_than_they_say():
+    rng = np.random.default_rng(17)
+    pool = rng.normal(size=(300, 4)) * (1e5, 1, 1e-3, 1) + (1e6, 0, 0, -5)
+    pool[rng.random(pool.shape) < 0.3] = np.nan
+    values = np.vstack([pool[~np.isnan(pool[:, 0])][:40], pool[:40]])
+    values[:, 3] = np.nan
+    for rows in impute._alike(values):
+        if np.isnan(values[rows]).all():
+            continue
+        guess, slack = impute.estimates(values[rows], pool)
+        row, at = (i.ravel() for i in np.indices(guess.shape))
+        exact = impute.distances(values[rows], pool, row, at).reshape(guess.shape)
+        both = ~np.isnan(values[rows][:, None, :]) & ~np.isnan(pool[None, :, :])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            direct = np.where(both, (values[rows][:, None, :] - pool[None, :, :]) ** 2, 0).sum(axis=2) / both.sum(axis=2)
+        assert np.allclose(exact[both.any(axis=2)], direct[both.any(axis=2)], rtol=1e-12, atol=0)
+        assert np.isinf(exact[~both.any(axis=2)]).all() and np.isinf(guess[~both.any(axis=2)]).all()
+        there = np.isfinite(exact)
+        assert (np.abs(guess - exact)[there] <= np.broadcast_to(slack[:, None], exact.shape)[there]).all()
+
+
+def test_cells_take_the_cuts_of_their_tree_and_tasks_follow_rows(spark, monkeypatch):
+    df, _ = _table(spark, n=400, seed=19)
+    model = impute.fit(df, COLS, max_block=20)
+    tree = impute.reference(df, COLS, model)
+    assert tree.order and all(len(cuts) == impute.CUTS for cuts in tree.order.values())
+    asked = df.filter((impute.missing_cells(COLS) > 0) & (impute.missing_cells(COLS) < 3))
+    monkeypatch.setattr(impute.F, "percentile_approx", None)
+    cells = impute._celled(asked, COLS, "subject_id", tree, model, None)
+    assert cells.count() == asked.count()
+    assert impute._tasks(df, 1) == 1 and impute._tasks(df, 10**9) == 4
+    assert impute._routed(cells, COLS, tree, 10, None, rows=asked.count()).rdd.getNumPartitions() == 1
+
+
+def test_driver_steps_run_side_by_side(spark):
+    import threading
+
+    from cohortspan.session import at_once
+
+    meet = threading.Barrier(3, timeout=60)
+    assert at_once(spark, [lambda i=i: (meet.wait(), spark.range(i + 1).count())[1] for i in range(3)]) == [1, 2, 3]
