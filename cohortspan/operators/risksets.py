@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,10 +223,11 @@ def bin_sums(rows: Rows, unit: Unit, odd: bool, start: np.ndarray | None) -> tup
 def _pass(table: DataFrame, units: list[Unit], ways: dict[int, int], only_totals: bool) -> dict:
     """One pass over the bins: {(unit, bin): (totals, contributions)}, sub-bins of a day added up."""
     spark = table.sparkSession
-    given = spark.sparkContext.broadcast(units)  # at most SUM_BYTES
+    # at most SUM_BYTES; by value with its class, as executors need no copy of this package
+    given = spark.sparkContext.broadcast(cloudpickle.dumps(units))
 
     def run(batches):
-        mine = given.value
+        mine = cloudpickle.loads(given.value)
         for pdf in batches:
             for _, row in pdf.iterrows():
                 rows, bin_ = Rows.of(row), int(row["bin"])

@@ -1,6 +1,10 @@
 """Hold-out search over compact rows: bins of any size give one result, which is that of direct sums and pairs."""
 
+import pickle
 import random
+import subprocess
+import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -114,3 +118,20 @@ def test_held_out_metrics_match_pairs():
             pairs = weight[case, None] * ((risk[case, None] > risk[None, control]) + (risk[case, None] == risk[None, control]) / 2)
             total = weight[case].sum() * control.sum()
             assert np.isnan(auc) if not total else auc == pytest.approx(pairs.sum() / total)
+
+
+def test_units_reach_executors_that_lack_the_package(tmp_path):
+    """Passes over strata of several bins send their fits along by value."""
+    class Sent(Exception):
+        pass
+
+    def broadcast(value):
+        (tmp_path / "sent").write_bytes(pickle.dumps(value))
+        raise Sent
+
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=broadcast))
+    with pytest.raises(Sent):
+        risksets._pass(SimpleNamespace(sparkSession=spark), [risksets.Unit(1, 0, [0], np.array([4]), np.array([[0.5]]))], {1: 1}, True)
+    load = "import pickle; from pyspark import cloudpickle; x = pickle.load(open('sent', 'rb')); x = cloudpickle.loads(x) if isinstance(x, bytes) else x; print(x[0].sums)"
+    done = subprocess.run([sys.executable, "-I", "-c", load], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "3", done.stderr
