@@ -230,3 +230,53 @@ def test_driver_steps_run_side_by_side(spark):
 
     meet = threading.Barrier(3, timeout=60)
     assert at_once(spark, [lambda i=i: (meet.wait(), spark.range(i + 1).count())[1] for i in range(3)]) == [1, 2, 3]
+
+
+def test_order_of_many_wide_columns_stays_compiled(spark, monkeypatch):
+    """The JVM does not compile methods of more than 8,000 bytes; the order of the rows is as if every cut were counted."""
+    names, plans, store = [f"x{i}" for i in range(4)], [], impute.materialize
+    monkeypatch.setattr(impute, "materialize", lambda df, name: plans.append(df) or store(df, name))
+    rng = np.random.default_rng(23)
+    x = np.round(rng.normal(size=(200, 4)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "subject_id bigint, " + ", ".join(f"{n} double" for n in names))
+    cut, cuts = impute._cut(df, names, "subject_id", impute.fit(df, names), 1, "_block", None)
+    assert sorted(cuts) == [0, 1, 2, 3] and all(len(c) == 15 for c in cuts.values())
+
+    def place(r):
+        above = [sum(r[i] > m for m in cuts[i]) for i in reversed(cuts)]
+        key = sum((n >> bit & 1) << (bit * 4 + at) for at, n in enumerate(above) for bit in range(4))
+        first = next(iter(cuts))
+        return "".join("0" if np.isnan(v) else "1" for v in r), key, (not np.isnan(r[first]), r[first] if r[first] == r[first] else 0.0)
+
+    expected = sorted(range(200), key=lambda i: (*place(x[i]), i))
+    assert [r.subject_id for r in cut.orderBy("_block").collect()] == expected
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = plans[0].select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    code = [code.apply(i) for i in range(code.size())]
+    assert code and max(c._3().maxMethodCodeSize() for c in code) < 8000
+
+
+def test_pairs_of_a_row_and_itself():
+    ids, pool = np.array([5, 7, 5, 9, 11]), np.array([9, 5, 5, 8])
+    assert (impute.itself(ids, pool) == (ids[:, None] == pool[None, :])).all()
+    ids, pool = np.array([5, None, "a"], dtype=object), np.array(["a", None, 6], dtype=object)
+    assert (impute.itself(ids, pool) == (ids[:, None] == pool[None, :])).all()
+
+
+def test_estimates_without_gaps_and_rows_that_tie(spark):
+    rng = np.random.default_rng(29)
+    pool = rng.normal(size=(200, 3)) * (1e4, 1, 1e-2) + (1e6, 0, 3)
+    guess, slack = impute.estimates(pool[:30], pool)
+    exact = impute.distances(pool[:30], pool, np.zeros((30, 200), bool))
+    assert (np.abs(guess - exact) <= slack[:, None]).all()
+    # more rows at one distance than are compared exactly at first
+    rows = [(i, float(i % 2), None if i % 5 == 0 else float(i)) for i in range(500)]
+    got = impute.neighbours(spark.createDataFrame(rows, "subject_id bigint, a double, b double"), ["a", "b"], max_block=250)
+    by_id = got.orderBy("place").toPandas().groupby("subject_id").neighbour_id.apply(list)
+    for i in range(0, 500, 5):
+        assert by_id[i] == [j for j in range(i % 2, 500, 2) if j != i][:10]
