@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small_or_stored
 from .bundles import file_names, read_text, write_text
 
 FORM_SCHEMA = (
@@ -110,16 +111,23 @@ def read_audit(spark: SparkSession, path: str, schema) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def _request_line() -> Column:
+    """A form row as request text."""
+    fields = ["subject_id", "form_name", "feature_name", "feature_value", "feature_unit", "feature_delta"]
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in fields])
+
+
+def _tag_line() -> Column:
+    return F.concat(F.lit("cluster: "), F.col("cluster").cast("string"), F.lit("|||||"))
+
+
 def tag_lines(selected: DataFrame) -> DataFrame:
     """Legacy request text per subject: the stratum line, then that subject's rows in file order."""
-    fields = ["subject_id", "form_name", "feature_name", "feature_value", "feature_unit", "feature_delta"]
-    body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in fields])
     head = selected.select("subject_id", "cluster").distinct().select(
-        "subject_id", F.lit(-1).cast("bigint").alias("line_no"),
-        F.concat(F.lit("cluster: "), F.col("cluster").cast("string"), F.lit("|||||")).alias("line"),
+        "subject_id", F.lit(-1).cast("bigint").alias("line_no"), _tag_line().alias("line"),
     )
     place = F.row_number().over(Window.partitionBy("subject_id").orderBy("row_seq")).cast("bigint")
-    return head.unionByName(selected.select("subject_id", place.alias("line_no"), body.alias("line")))
+    return head.unionByName(selected.select("subject_id", place.alias("line_no"), _request_line().alias("line")))
 
 
 def parse_cluster_tag(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -129,20 +137,27 @@ def parse_cluster_tag(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def write_requests(selected: DataFrame, path: str) -> None:
-    """One folder per stratum; in its files each subject's tag line, then its rows in order."""
-    strata = selected.select("subject_id", "cluster").distinct()
-    lines = tag_lines(selected).join(strata, "subject_id").repartition("cluster", "subject_id").sortWithinPartitions("cluster", "subject_id", "line_no")
-    lines.select("cluster", "line").write.partitionBy("cluster").text(path)
+    """One folder per stratum; in its files each subject's tag line, then its rows in order.
+
+    The rows move once at most: where they lie by subject already, they are sorted and written there. The tag line goes out with the first row.
+    """
+    order = ["cluster", "subject_id", "row_seq"]
+    rows = selected.select(*order, _request_line().alias("line"))
+    first = F.row_number().over(Window.partitionBy("cluster", "subject_id").orderBy("row_seq")) == 1
+    lines = rows.withColumn("_first", first).sortWithinPartitions("cluster", "subject_id", "row_seq", F.col("_first").desc())
+    line = F.when(F.col("_first"), F.concat_ws("\n", _tag_line(), "line")).otherwise(F.col("line"))
+    lines.select("cluster", line.alias("line")).write.partitionBy("cluster").text(path)
 
 
 def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
     """Request lines with their subject (the first field) and the stratum that their file's tag lines name.
 
-    A file holds subjects of one stratum: those that ``write_requests`` writes many, a legacy file one.
+    A file holds subjects of one stratum: those that ``write_requests`` writes many, a legacy file one. Few files are a parameter table, so
+    their lines do not move.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
     tagged = parse_cluster_tag(lines)
-    strata = tagged.filter(F.col("cluster").isNotNull()).groupBy("file").agg(F.max("cluster").alias("cluster"))
+    strata = small_or_stored(tagged.filter(F.col("cluster").isNotNull()).groupBy("file").agg(F.max("cluster").alias("cluster")), "files")
     rows = tagged.drop("cluster").filter(~F.col("line").rlike(CLUSTER_TAG)).join(strata, "file")
     return rows.select(F.split("line", r"\|")[0].alias("subject_id"), "cluster", "line")
 

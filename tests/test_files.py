@@ -43,6 +43,29 @@ def test_request_files(spark):
     assert {(r["subject_id"], r["feature_value"]) for r in got} == {("7", None), ("8", "1")}
 
 
+def test_requests_are_written_from_one_pass(spark):
+    """The rows of a request are built once, whatever that takes, and a first row of several with one place follows its tag."""
+    rows = spark.createDataFrame(
+        [("7", 3, "Clinic", "trunk", "5", "u", 4, 10), ("7", 3, "Clinic", "trunk", "5", "u", 4, 10), ("7", 3, "Clinic", "fvc", None, "u", 9, 11), ("8", 3, "Clinic", "fvc", "1", "u", 2, None)],
+        REQUEST,
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    path = _path()
+    files.write_requests(rows.mapInPandas(count, rows.schema), path)
+    assert seen.value == 4
+    lines = [r["value"] for r in spark.read.text(f"{path}/cluster=3").collect()]
+    assert len(lines) == 6 and lines.count("cluster: 3|||||") == 2
+    at = lines.index("7|Clinic|trunk|5|u|4")
+    assert lines[at - 1 : at + 3] == ["cluster: 3|||||", "7|Clinic|trunk|5|u|4", "7|Clinic|trunk|5|u|4", "7|Clinic|fvc|NA|u|9"]
+    assert files.read_request_lines(spark, path).count() == 4
+
+
 def test_legacy_request_file(spark):
     rows = spark.createDataFrame([("7", 3, "Clinic", "trunk", "5", "u", 4, 10)], REQUEST)
     path = _path()
