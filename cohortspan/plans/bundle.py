@@ -1,12 +1,13 @@
 """A trained study as a stored bundle: one job trains and saves, later ones score new subjects from the bundle and their forms alone.
 
-Parts: levels and modes, moments and log offsets with their power sums, the rows that may be neighbours in their blocks with the tree of boxes,
+Parts: levels and modes, moments and log offsets with their power sums, the rows that may be neighbours in their blocks with the trees of boxes,
 stratum rules, model terms, coefficients with the inverse cross products (or information), steps of the baseline hazard, stratum means.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ _LEVELS = "feature string, level string, place int, is_mode boolean"
 _COLUMNS = "feature string, place int, kind string, minimum double, n bigint, mean double, sd double, imputed double"
 _RULES = "label int, place int, step int, feature string, op string, threshold double, levels array<string>"
 _TERMS = "cluster int, place int, term string"
+_BY_TREE = {"reference": "tree", "boxes": "tree"}
 
 
 def _rule_rows(rule_set) -> list[tuple]:
@@ -31,22 +33,28 @@ def _rule_rows(rule_set) -> list[tuple]:
     ]
 
 
-def _preparation_parts(spark: SparkSession, trained: Trained, rule_set, models) -> dict[str, DataFrame]:
+def _preparation_parts(spark: SparkSession, trained: Trained, rule_set, models) -> tuple[dict[str, DataFrame], dict]:
+    """The tables that prepare new subjects, and what is known of the trees among them."""
     prep = trained.model
     scale, knn = prep.scale, prep.knn
-    tree = impute.reference(trained.wide, prep.numerics, knn)
+    planted = impute.forest(trained.wide, prep.numerics, knn)
+    each = lambda part: reduce(DataFrame.unionByName, [part(t).withColumn("tree", F.lit(i)) for i, (_, t) in enumerate(planted.trees)])
     levels = [(c, v, i, v == prep.modes[c]) for c, found in prep.level_map.items() for i, v in enumerate(found)]
+    trees = [
+        {"leading": list(m), "top": t.top, "kinds": list(t.kinds), "order": None if t.order is None else [[i, list(cuts)] for i, cuts in t.order.items()]}
+        for m, t in planted.trees
+    ]
     return {
         "levels": spark.createDataFrame(levels, _LEVELS),
         "columns": from_rows(spark, [
             (c, i, scale.kinds[c], scale.minimum[c], scale.count[c], scale.mean[c], scale.sd[c], knn.means[c]) for i, c in enumerate(prep.numerics)
         ], _COLUMNS),
         "offsets": transform.offset_sums(trained.filled, scale),
-        "reference": tree.rows,
-        "boxes": tree.nodes,
+        "reference": each(lambda t: t.rows),
+        "boxes": each(lambda t: t.nodes),
         "rules": from_rows(spark, _rule_rows(rule_set), _RULES),
         "terms": from_rows(spark, [(c, i, t) for c, names in models.items() for i, t in enumerate(names)], _TERMS),
-    }
+    }, {"spread": list(planted.spread), "trees": trees}
 
 
 def _meta(trained: Trained, roles: Roles, columns, outcome: str) -> dict:
@@ -61,15 +69,17 @@ def _meta(trained: Trained, roles: Roles, columns, outcome: str) -> dict:
 def save_slope(spark: SparkSession, root: str, trained: Trained, roles: Roles, rule_set, models, columns=None) -> str:
     """Fit the strata's least-squares models and save all that scoring needs as a new version under ``root``."""
     fitted = score.train_slope(trained, rule_set, models, columns)
-    parts = _preparation_parts(spark, trained, rule_set, models) | {"fits": fitted.fits, "fallbacks": fitted.means}
-    return write_bundle(spark, root, parts, _meta(trained, roles, columns, "slope"))
+    parts, forest = _preparation_parts(spark, trained, rule_set, models)
+    parts |= {"fits": fitted.fits, "fallbacks": fitted.means}
+    return write_bundle(spark, root, parts, _meta(trained, roles, columns, "slope") | {"forest": forest}, by=_BY_TREE)
 
 
 def save_survival(spark: SparkSession, root: str, trained: Trained, roles: Roles, rule_set, models, columns=None) -> str:
     """The same for Cox models, whose baseline hazard is kept step by step, so that any horizon can be asked for."""
     fitted = score.train_survival(trained, rule_set, models, columns)
-    parts = _preparation_parts(spark, trained, rule_set, models) | {"fits": fitted.fits, "hazard": fitted.hazard, "fallbacks": fitted.means}
-    return write_bundle(spark, root, parts, _meta(trained, roles, columns, "survival") | {"width": fitted.width})
+    parts, forest = _preparation_parts(spark, trained, rule_set, models)
+    parts |= {"fits": fitted.fits, "hazard": fitted.hazard, "fallbacks": fitted.means}
+    return write_bundle(spark, root, parts, _meta(trained, roles, columns, "survival") | {"width": fitted.width, "forest": forest}, by=_BY_TREE)
 
 
 def _trained(bundle: Bundle) -> Trained:
@@ -85,9 +95,21 @@ def _trained(bundle: Bundle) -> Trained:
             modes[r["feature"]] = r["level"]
     knn = impute.ImputeModel(names, pick("imputed"), **bundle.meta["knn"])
     scale = transform.ScaleModel(pick("kind"), pick("minimum"), pick("n"), pick("mean"), pick("sd"))
-    top = bundle.table("boxes").agg(F.max("level")).first()[0]
     prep = transform.Preparation(names, categoricals, knn, scale, modes, level_map)
-    return Trained(None, None, None, prep, bundle.meta["median_onset"], impute.Tree(bundle.table("reference"), bundle.table("boxes"), top), bundle.table("offsets"))
+    return Trained(None, None, None, prep, bundle.meta["median_onset"], _forest(bundle), bundle.table("offsets"))
+
+
+def _forest(bundle: Bundle) -> impute.Forest | impute.Tree:
+    if "forest" not in bundle.meta:  # saved with one tree
+        top = bundle.table("boxes").agg(F.max("level")).first()[0]
+        return impute.Tree(bundle.table("reference"), bundle.table("boxes"), top)
+    said = bundle.meta["forest"]
+    of = lambda part, i: bundle.table(part).filter(F.col("tree") == i).drop("tree")
+    trees = [
+        (tuple(t["leading"]), impute.Tree(of("reference", i), of("boxes", i), t["top"], tuple(t["kinds"]), None if t["order"] is None else {k: c for k, c in t["order"]}))
+        for i, t in enumerate(said["trees"])
+    ]
+    return impute.Forest(tuple(trees), tuple(said["spread"]))
 
 
 def _roles(bundle: Bundle) -> Roles:
@@ -113,17 +135,17 @@ def _designs(bundle: Bundle, trained: Trained) -> dict:
     return {c: design.design(design.terms(m), trained.model.level_map) for c, m in _models(bundle).items()}
 
 
-def score_bundle_slope(spark: SparkSession, root: str, forms: DataFrame, version: str | None = None) -> DataFrame:
-    """Score new subjects from the newest complete bundle and their forms."""
+def score_bundle_slope(spark: SparkSession, root: str, forms: DataFrame, version: str | None = None, *, known: DataFrame | None = None) -> DataFrame:
+    """Score new subjects (not ``known``) from the newest complete bundle and their forms."""
     bundle = open_bundle(spark, root, version)
     if bundle.meta["outcome"] != "slope":
         raise ValueError(f"{bundle.path} holds {bundle.meta['outcome']} models")
     trained = _trained(bundle)
     fitted = SlopeModels(bundle.table("fits"), _designs(bundle, trained), bundle.table("fallbacks"))
-    return score.predict_slope(forms, trained, _roles(bundle), _rules(bundle), fitted, bundle.meta["columns"] or None)
+    return score.predict_slope(forms, trained, _roles(bundle), _rules(bundle), fitted, bundle.meta["columns"] or None, known=known)
 
 
-def score_bundle_survival(spark: SparkSession, root: str, forms: DataFrame, version: str | None = None) -> DataFrame:
+def score_bundle_survival(spark: SparkSession, root: str, forms: DataFrame, version: str | None = None, *, known: DataFrame | None = None) -> DataFrame:
     bundle = open_bundle(spark, root, version)
     if bundle.meta["outcome"] != "survival":
         raise ValueError(f"{bundle.path} holds {bundle.meta['outcome']} models")
@@ -131,4 +153,4 @@ def score_bundle_survival(spark: SparkSession, root: str, forms: DataFrame, vers
     fitted = SurvivalModels(
         bundle.table("fits"), bundle.table("hazard"), _designs(bundle, trained), bundle.meta["width"], bundle.table("fallbacks")
     )
-    return score.predict_probabilities(forms, trained, _roles(bundle), _rules(bundle), fitted, bundle.meta["columns"] or None)
+    return score.predict_probabilities(forms, trained, _roles(bundle), _rules(bundle), fitted, bundle.meta["columns"] or None, known=known)

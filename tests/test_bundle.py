@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from cohortspan.operators import impute
+from cohortspan.plans import bundle
 from cohortspan.sources import bundles
 from tests.test_files import _path
 
@@ -50,3 +52,13 @@ def test_scores_equal_those_of_the_training_job(spark, outcome):
     want = sorted(queries[f"score_batch_{outcome}"](spark, SF).collect(), key=key)
     got = sorted(queries[f"score_bundle_{outcome}"](spark, SF).collect(), key=key)
     assert got == want and want
+
+
+def test_scores_of_several_trees_equal_those_of_one(spark, monkeypatch):
+    """A bundle holds a tree for each set of widest columns that many pairs share; the scores do not depend on it."""
+    queries, key, put, metas = entry_points.queries(), lambda r: r["subject_id"], bundle.write_bundle, []
+    one = sorted(queries["score_bundle_slope"](spark, SF).collect(), key=key)
+    monkeypatch.setattr(impute, "PAIRS", 1)
+    monkeypatch.setattr(bundle, "write_bundle", lambda *a, **k: metas.append(a[3]) or put(*a, **k))
+    assert sorted(queries["score_bundle_slope"](spark, SF).collect(), key=key) == one and one
+    assert len(metas[0]["forest"]["trees"]) > 1

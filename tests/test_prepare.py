@@ -157,6 +157,69 @@ def test_trees_for_sets_of_gaps_find_the_true_neighbours(spark, monkeypatch):
     assert np.allclose(got, _brute(x))
 
 
+def test_a_stored_forest_serves_rows_with_any_gaps(spark, monkeypatch):
+    """New rows, also with gaps that no reference row has, meet every pair in one tree and get the mean of their true neighbours."""
+    rng = np.random.default_rng(23)
+    x = np.column_stack([rng.normal(scale=1000, size=300), rng.normal(scale=30, size=300), rng.normal(size=300)])
+    x[rng.random(300) < 0.3, 0] = np.nan
+    y = np.column_stack([rng.normal(scale=1000, size=90), rng.normal(scale=30, size=90), rng.normal(size=90)])
+    for i in range(90):
+        y[i, [(0,), (1,), (0, 2), (1, 2), (2,), (0, 1)][i % 6]] = np.nan
+    frame = lambda m, at: spark.createDataFrame([(at + i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(m)], "subject_id bigint, a double, b double, c double")
+    pool, new = frame(x, 0), frame(y, 1000)
+    model = impute.fit(pool, COLS, max_block=20)
+    want = y.copy()
+    for i, r in enumerate(y):
+        d = np.nanmean(np.where(np.isnan(r) | np.isnan(x), np.nan, (x - r) ** 2), axis=1)
+        near = x[np.argsort(np.where(np.isnan(d), np.inf, d), kind="stable")[:10]]
+        want[i] = np.where(np.isnan(r), np.where(np.isnan(near).all(axis=0), [model.means[c] for c in COLS], np.nanmean(near, axis=0)), r)
+    for pairs, trees, kinds in ((10**8, 1, 64), (1, 2, 64), (1, 2, 4)):
+        monkeypatch.setattr(impute, "PAIRS", pairs)
+        monkeypatch.setattr(impute, "KINDS", 64)
+        forest = impute.forest(pool, COLS, model)
+        assert len(forest.trees) >= trees and (trees > 1) == (len(forest.trees) > 1)
+        monkeypatch.setattr(impute, "KINDS", kinds)
+        met = [p for _, some in impute._planted(forest, new, COLS) for p in some or ()]
+        assert len(met) == len(set(met))
+        got = impute.knn_impute(new, COLS, model=model, index=forest).orderBy("subject_id").select(*COLS).toPandas().to_numpy()
+        assert np.allclose(got, want)
+
+
+def test_new_rows_are_filled_once(spark, monkeypatch):
+    """The search for neighbours of new rows is not run again by what reads its result."""
+    pool, _ = _table(spark, n=200, seed=29)
+    ready = transform.prepare_training(pool.withColumn("g", F.lit("x")), COLS, ["g"], transform.kinds_of(COLS, ("a",)))
+    seen, fill = spark.sparkContext.accumulator(0), impute.knn_impute
+
+    def counted(*a, **k):
+        df = fill(*a, **k)
+
+        def count(batches):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+
+        return df.mapInPandas(count, df.schema)
+
+    monkeypatch.setattr(impute, "knn_impute", counted)
+    new = pool.limit(30).withColumn("g", F.lit("x"))
+    assert transform.prepare_scoring(new, pool, ready.filled, ready.model).count() == 30 == seen.value
+
+
+@pytest.mark.parametrize("octave", [0, 3, 40])
+def test_power_sums_match_direct_ones(spark, octave):
+    x = np.random.default_rng(octave).gamma(2.0, 50.0, 300) - 7
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "a double").repartition(5)
+    row = transform._offset_moments(df, "a", float(x.min()), [octave]).first()
+    c = 1.5 * 2.0**octave
+    w = x - x.min() + c
+    assert row["_octave"] == octave and row["_n"] == 300
+    assert [row["_l"], row["_ll"]] == pytest.approx([np.log(w).sum(), (np.log(w) ** 2).sum()], rel=1e-12)
+    for k in range(1, transform.SERIES + 1):
+        assert [row["_p"][k - 1], row["_q"][k - 1]] == pytest.approx([((c / w) ** k).sum(), (np.log(w) * (c / w) ** k).sum()], rel=1e-11)
+    assert transform._offset_moments(df.filter("a IS NULL"), "a", 0.0, [octave]).isEmpty()
+
+
 def test_equal_distances_leave_a_block_k_at_a_time(spark, monkeypatch):
     rows = [(i, 1.0, 1.0 if i % 3 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "subject_id bigint, a double, b double")
