@@ -220,6 +220,18 @@ def bin_sums(rows: Rows, unit: Unit, odd: bool, start: np.ndarray | None) -> tup
     return np.concatenate(totals, axis=1), np.concatenate(given, axis=1)
 
 
+def _dealt(table: DataFrame, ways: dict[int, int]) -> DataFrame:
+    """The bins of the strata in ``ways``, each as often as its stratum's ways, dealt over tasks."""
+    spread = F.create_map(*[F.lit(v) for kv in ways.items() for v in kv])[F.col("cluster")]
+    wide = table.filter(F.col("cluster").isin(*ways)).withColumn("ways", spread).withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    return wide.repartition(max(1, sum(ways.values())))
+
+
+def _ways(units: list[Unit], bins_of: dict[int, list[int]], parts: int) -> dict[int, int]:
+    clusters = {u.cluster for u in units}
+    return {c: max(1, min(sum(u.cluster == c for u in units), -(-parts // (len(bins_of[c]) * len(clusters))))) for c in clusters}
+
+
 def _pass(table: DataFrame, units: list[Unit], ways: dict[int, int], only_totals: bool) -> dict:
     """One pass over the bins: {(unit, bin): (totals, contributions)}, sub-bins of a day added up."""
     spark = table.sparkSession
@@ -239,9 +251,7 @@ def _pass(table: DataFrame, units: list[Unit], ways: dict[int, int], only_totals
                     totals, sums = bin_sums(rows, unit, bin_ % 2 == 1, start)
                     yield pd.DataFrame({"unit": [u], "bin": [bin_], "totals": [totals.tobytes() if only_totals else b""], "sums": [b"" if only_totals and bin_ % 2 == 0 else sums.tobytes()]})
 
-    spread = F.create_map(*[F.lit(v) for kv in ways.items() for v in kv])[F.col("cluster")]
-    wide = table.filter(F.col("cluster").isin(*ways)).withColumn("ways", spread).withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    found = wide.repartition(max(1, sum(ways.values()))).mapInPandas(run, "unit int, bin bigint, totals binary, sums binary").collect()
+    found = _dealt(table, ways).mapInPandas(run, "unit int, bin bigint, totals binary, sums binary").collect()
     given.destroy()
     out: dict = {}
     for r in found:
@@ -253,8 +263,7 @@ def _pass(table: DataFrame, units: list[Unit], ways: dict[int, int], only_totals
 
 def newton_sums(table: DataFrame, units: list[Unit], bins_of: dict[int, list[int]], parts: int) -> list[np.ndarray]:
     """Log likelihood, gradient, information and events of every unit's fits at their coefficients."""
-    clusters = {u.cluster for u in units}
-    ways = {c: max(1, min(sum(u.cluster == c for u in units), -(-parts // (len(bins_of[c]) * len(clusters))))) for c in clusters}
+    ways = _ways(units, bins_of, parts)
     several = [k for k, u in enumerate(units) if len(bins_of[u.cluster]) > 1 or bins_of[u.cluster][0] % 2]
     result = [0.0] * len(units)
     if several:
@@ -359,12 +368,48 @@ def turns(models: dict[int, list[list[int]]], reps: int, bins_of: dict[int, list
 
 
 # --- hold-out metrics ------------------------------------------------------------------------------------------------------------------------
+CHUNK = 512
+
+
+def pairs(risk: np.ndarray, events: np.ndarray, longer: np.ndarray) -> tuple[float, int]:
+    """Of the pairs of an event (its place) and a row from its place in ``longer`` on: those where the event's risk is higher, ties half; and all.
+
+    Chunks of rows join a sorted suffix from the last one on.
+    """
+    n, comparable, right = len(risk), 0, 0.0
+    later = np.zeros(0)
+    chunk = longer // CHUNK
+    for c in range((n - 1) // CHUNK, -1, -1):
+        lo, hi = c * CHUNK, min((c + 1) * CHUNK, n)
+        some = chunk == c
+        if some.any():
+            mine, at = risk[events[some]], longer[some]
+            below, upto = np.searchsorted(later, mine), np.searchsorted(later, mine, side="right")
+            inside = np.arange(lo, hi)[None, :] >= at[:, None]
+            near = risk[None, lo:hi]
+            right += below.sum() + (upto - below).sum() / 2
+            right += (inside & (near < mine[:, None])).sum() + (inside & (near == mine[:, None])).sum() / 2
+            comparable += len(mine) * len(later) + inside.sum()
+        part = np.sort(risk[lo:hi])
+        later = np.insert(later, np.searchsorted(later, part), part)
+    return right, comparable
+
+
+def kept_share(n: np.ndarray, died: np.ndarray, followed: np.ndarray) -> np.ndarray:
+    """Share of those followed up to a day (less its events) that is not censored on it."""
+    base = followed - died
+    return np.where(base > 0, 1.0 - (n - died) / np.maximum(base, 1), 1.0)
+
+
 class HeldOut:
-    """Subjects of one test part, ordered once: all models of a repetition are scored on them."""
+    """Subjects of one test part, ordered once: all models of a repetition are scored on them.
 
-    CHUNK = 512
+    If they are a part of one, ``beyond`` is how many are followed longer than all of them; weights then start from 1, and ``kept`` is the share
+    that is still not censored after them.
+    """
 
-    def __init__(self, time: np.ndarray, status: np.ndarray, horizons: np.ndarray) -> None:
+    def __init__(self, time: np.ndarray, status: np.ndarray, horizons: np.ndarray, beyond: int = 0) -> None:
+        self.beyond = beyond
         self.order = np.lexsort((1 - status, time))
         self.time, self.status, self.horizons = time[self.order], status[self.order], horizons
         # an event compares with who is followed longer: later days, and those censored on its own
@@ -378,29 +423,14 @@ class HeldOut:
     def _weights(self) -> np.ndarray:
         days, first, n = np.unique(self.time, return_index=True, return_counts=True)
         died = np.add.reduceat(self.status, first) if len(first) else np.zeros(0)
-        base = n[::-1].cumsum()[::-1] - died
-        left = np.where(base > 0, 1.0 - (n - died) / np.maximum(base, 1), 1.0)
+        left = kept_share(n, died, n[::-1].cumsum()[::-1] + self.beyond)
+        self.kept = float(np.prod(left))
         before = np.concatenate([[1.0], np.cumprod(left)[:-1]])[np.searchsorted(days, self.time)]
         return np.divide(self.status.astype(float), before, out=np.zeros(len(before)), where=before > 0)
 
     def c_index(self, risk: np.ndarray) -> float:
-        """Share of comparable pairs in the right order, ties half; chunks of rows join a sorted suffix from the last one on."""
-        n, comparable, right = len(risk), 0, 0.0
-        later = np.zeros(0)
-        chunk = self.longer // self.CHUNK
-        for c in range((n - 1) // self.CHUNK, -1, -1):
-            lo, hi = c * self.CHUNK, min((c + 1) * self.CHUNK, n)
-            some = chunk == c
-            if some.any():
-                mine, at = risk[self.events[some]], self.longer[some]
-                below, upto = np.searchsorted(later, mine), np.searchsorted(later, mine, side="right")
-                inside = np.arange(lo, hi)[None, :] >= at[:, None]
-                near = risk[None, lo:hi]
-                right += below.sum() + (upto - below).sum() / 2
-                right += (inside & (near < mine[:, None])).sum() + (inside & (near == mine[:, None])).sum() / 2
-                comparable += len(mine) * len(later) + inside.sum()
-            part = np.sort(risk[lo:hi])
-            later = np.insert(later, np.searchsorted(later, part), part)
+        """Share of comparable pairs in the right order, ties half."""
+        right, comparable = pairs(risk, self.events, self.longer)
         return right / comparable if comparable else np.nan
 
     def aucs(self, risk: np.ndarray) -> np.ndarray:
@@ -458,9 +488,240 @@ def search_bins(table: DataFrame, models: dict[int, list[list[int]]], reps: int,
                 if out:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in CARD.split(", ")]).astype({"iauc": float})
 
-    spread = F.create_map(*[F.lit(v) for kv in ways.items() for v in kv])[F.col("cluster")]
-    wide = table.filter(F.col("cluster").isin(*ways)).withColumn("ways", spread).withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    return wide.repartition(max(1, sum(ways.values()))).mapInPandas(run, CARD)
+    return _dealt(table, ways).mapInPandas(run, CARD)
+
+
+# --- hold-out metrics over several bins ------------------------------------------------------------------------------------------------------
+#: Cuts of the scores of a test part at most, and rows per stratum that they are taken from.
+SCORE_CUTS, SAMPLE_ROWS = 64, 4_096
+
+
+def areas(risk: np.ndarray, weight: np.ndarray, mark: np.ndarray, n: np.ndarray, horizons: int) -> np.ndarray:
+    """Per horizon: weighted pairs of a case and a control with lower risk (ties half), weight of the cases, number of controls.
+
+    A row stands for ``n`` subjects that are cases (weight) from the horizon ``mark`` on and controls before it.
+    """
+    order = np.argsort(risk, kind="stable")
+    weight, mark, n = weight[order], mark[order], n[order]
+    first = np.flatnonzero(np.diff(risk[order], prepend=np.nan) != 0)
+    out = np.zeros((3, horizons))
+    for h in range(horizons):
+        case, control = np.add.reduceat(np.where(mark <= h, weight, 0.0), first), np.add.reduceat(np.where(mark > h, n, 0), first).astype(float)
+        out[:, h] = (case * (np.cumsum(control) - control / 2)).sum(), case.sum(), control.sum()
+    return out
+
+
+def _sampled(table: DataFrame, clusters: set[int]) -> dict[int, np.ndarray]:
+    """Design rows of every stratum from all its bins, for the driver to cut scores by; any cuts give the same metrics."""
+    rows = {r["cluster"]: r["n"] for r in table.filter(F.col("cluster").isin(*clusters)).groupBy("cluster").agg(F.sum("n").alias("n")).collect()}
+
+    def run(batches):
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                x = Rows.of(row).x
+                yield pd.DataFrame({"cluster": [row["cluster"]], "x": [x[:: max(1, rows[row["cluster"]] // SAMPLE_ROWS)].tobytes()], "width": [x.shape[1]]})
+
+    found: dict[int, list] = {c: [] for c in rows}
+    for r in table.filter(F.col("cluster").isin(*clusters)).mapInPandas(run, "cluster int, x binary, width int").collect():
+        found[r["cluster"]].append(np.frombuffer(r["x"], float).reshape(-1, r["width"]))
+    return {c: np.concatenate(x) for c, x in found.items()}
+
+
+def _tested(rows: Rows, unit: Unit) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per repetition: its place, the rows of its test part, and their risk; scores that agree to nine decimals count as tied."""
+    x = rows.x[:, unit.columns]
+    whole = ~np.isnan(x).any(axis=1)
+    x = np.where(whole[:, None], x, 0.0)
+    for i, rep in enumerate(unit.reps.tolist()):
+        risk = np.round(x @ unit.beta[i], 9)
+        at = np.flatnonzero(rows.tested(rep) & whole & ~np.isnan(risk))
+        yield i, at, risk[at]
+
+
+def _counted(table: DataFrame, units: list[Unit], ways: dict[int, int]) -> dict[tuple[int, int], np.ndarray]:
+    """Rows and events (2 x repetitions) of the test parts by (unit, bin)."""
+    given = table.sparkSession.sparkContext.broadcast(cloudpickle.dumps(units))
+
+    def run(batches):
+        mine = cloudpickle.loads(given.value)
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                rows = Rows.of(row)
+                for u, unit in enumerate(mine):
+                    if unit.cluster == row["cluster"] and u % row["ways"] == row["way"]:
+                        counts = np.array([(len(at), rows.status[at].sum()) for _, at, _ in _tested(rows, unit)], np.int64).T
+                        yield pd.DataFrame({"unit": [u], "bin": [int(row["bin"])], "counts": [counts.tobytes()]})
+
+    out: dict = {}
+    for r in _dealt(table, ways).mapInPandas(run, "unit int, bin bigint, counts binary").collect():
+        key, got = (r["unit"], r["bin"]), np.frombuffer(r["counts"], np.int64).reshape(2, -1)
+        out[key] = out.get(key, 0) + got
+    given.destroy()
+    return out
+
+
+_SCORED = "unit int, fit int, bucket int, bin bigint, risk binary, weight binary, mark binary, n binary, event binary, right double, comparable double, kept double"
+
+
+def _scored_parts(table: DataFrame, units: list[Unit], ways: dict[int, int], beyond: dict, cuts: dict, grid: np.ndarray) -> DataFrame:
+    """The test parts by ranges of score: rows of a bin and range, and (range -1) each bin's pairs with its rows and events by range.
+
+    An odd range holds a single score, so its rows fall together by horizon.
+    """
+    given = table.sparkSession.sparkContext.broadcast(cloudpickle.dumps((units, beyond, cuts)))
+
+    def run(batches):
+        mine, beyond_, cuts_ = cloudpickle.loads(given.value)
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                rows, bin_, held, out = Rows.of(row), int(row["bin"]), {}, []
+                for u, unit in enumerate(mine):
+                    if unit.cluster != row["cluster"] or u % row["ways"] != row["way"]:
+                        continue
+                    for i, at, risk in _tested(rows, unit):
+                        if not len(at):
+                            continue
+                        time, status = rows.time[at], rows.status[at].astype(np.int64)
+                        right = comparable = 0.0
+                        if bin_ % 2:  # part of a day: its pairs lie in other parts, too
+                            order, weight, kept = slice(None), status.astype(float), 1.0
+                        else:
+                            key = at.tobytes(), int(beyond_[u, bin_][i])
+                            if key not in held:
+                                if len(held) > 4 * BLOCK:
+                                    held.clear()
+                                held[key] = HeldOut(time, status, grid, key[1])
+                            part = held[key]
+                            order, weight, kept = part.order, part.weight, part.kept
+                            right, comparable = pairs(risk[order], part.events, part.longer)
+                        risk, status = risk[order], status[order]
+                        mark = np.searchsorted(grid, time[order]).astype(np.uint8)
+                        edges = cuts_[u][i]
+                        bucket = np.searchsorted(edges, risk) + np.searchsorted(edges, risk, side="right")
+                        ranges = 2 * len(edges) + 1
+                        sides = np.stack([np.bincount(bucket, minlength=ranges), np.bincount(bucket[status == 1], minlength=ranges)])
+                        out.append((u, i, -1, bin_, b"", b"", b"", sides.astype(np.int64).tobytes(), b"", float(right), float(comparable), kept))
+                        by = np.argsort(bucket, kind="stable")
+                        for some in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+                            k = int(bucket[some[0]])
+                            if k % 2:
+                                marks, which = np.unique(mark[some], return_inverse=True)
+                                out.append((u, i, k, bin_, np.full(len(marks), risk[some[0]]).tobytes(), np.bincount(which, weight[some]).tobytes(), marks.tobytes(), np.bincount(which).tobytes(), b"", 0.0, 0.0, 1.0))
+                            else:
+                                out.append((u, i, k, bin_, risk[some].tobytes(), weight[some].tobytes(), mark[some].tobytes(), b"", status[some].astype(np.int8).tobytes(), 0.0, 0.0, 1.0))
+                        if len(out) > 1_000:
+                            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCORED.split(", ")])
+                            out = []
+                if out:
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCORED.split(", ")])
+
+    stored = materialize(_dealt(table, ways).mapInPandas(run, _SCORED), "cv-scored")
+    given.destroy()
+    return stored
+
+
+def _range_sums(parts: DataFrame, scale: dict, horizons: int) -> DataFrame:
+    """Per range of score: its pairs of rows in different bins (or parts of a day), and what its areas need."""
+    given = parts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scale))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        scales, u, i, k = cloudpickle.loads(given.value), int(pdf["unit"].iloc[0]), int(pdf["fit"].iloc[0]), int(pdf["bucket"].iloc[0])
+        pdf = pdf.sort_values("bin", kind="stable")
+        read = lambda name, kind: np.frombuffer(b"".join(pdf[name]), kind)
+        risk, weight, mark, each = read("risk", np.float64), read("weight", np.float64), read("mark", np.uint8), pdf["mark"].str.len().to_numpy()
+        bins_ = np.repeat(pdf["bin"].to_numpy(), each)
+        weight = weight * np.repeat([scales[u, b][i] for b in pdf["bin"]], each)
+        right = 0.0
+        if k % 2:
+            n = read("n", np.int64)
+        else:
+            n, event = np.ones(len(risk), np.int64), read("event", np.int8)
+            # of a day in parts, events come first and compare with who is censored on it
+            order = np.lexsort((np.where(bins_ % 2, 1 - event, 0), bins_))
+            placed, died = bins_[order], np.concatenate([[0], np.cumsum(event[order])])
+            events = np.flatnonzero(event[order] == 1)
+            begin, end = np.searchsorted(placed, placed[events]), np.searchsorted(placed, placed[events], side="right")
+            right, _ = pairs(risk[order], events, np.where(placed[events] % 2, begin + died[end] - died[begin], end))
+        return pd.DataFrame({"unit": [u], "fit": [i], "bucket": [k], "right": [float(right)], "areas": [areas(risk, weight, mark, n, horizons).tobytes()]})
+
+    return parts.groupBy("unit", "fit", "bucket").applyInPandas(run, "unit int, fit int, bucket int, right double, areas binary")
+
+
+def score(table: DataFrame, units: list[Unit], bins_of: dict[int, list[int]], *, parts: int, size: int | None = None, months: int = 30, marks=(12, 18, 24)) -> list[tuple]:
+    """Hold-out metrics of units of strata with several bins, at their coefficients: rows of ``CARD``.
+
+    Pairs in one bin are counted there, pairs in one range of score meet there, and of all others the counts by bin and range tell the order. No test part
+    is in one task; the driver holds counts by (fit, bin, range).
+    """
+    grid = np.array([m * metrics.MONTH for m in range(months + 1)])
+    ways, size = _ways(units, bins_of, parts), size or BIN_ROWS
+    counts = _counted(table, units, ways)
+    sample = _sampled(table, {u.cluster for u in units})
+    order = [sorted(bins_of[u.cluster]) for u in units]
+    tested = [np.stack([counts[k, b] for b in order[k]]) for k in range(len(units))]  # bins x 2 x fits
+    later = [np.cumsum(c[::-1, 0], axis=0)[::-1] - c[:, 0] for c in tested]
+    beyond = {(k, b): later[k][at] for k in range(len(units)) for at, b in enumerate(order[k])}
+    cuts = []
+    for u, c in zip(units, tested):
+        x = sample[u.cluster][:, u.columns]
+        risk, n = np.round(x[~np.isnan(x).any(axis=1)] @ u.beta.T, 9), c[:, 0].sum(axis=0)
+        pieces = [min(SCORE_CUTS, -(-int(m) // size)) for m in n]
+        cuts.append([np.unique(np.quantile(r[np.isfinite(r)], np.arange(1, p) / p, method="lower")) if p > 1 and np.isfinite(r).any() else np.zeros(0) for r, p in zip(risk.T, pieces)])
+    stored = _scored_parts(table, units, ways, beyond, cuts, grid)
+    sides = [[np.zeros((len(order[k]), 2, 2 * len(cuts[k][i]) + 1), np.int64) for i in range(len(u.reps))] for k, u in enumerate(units)]
+    right, comparable = np.zeros((2, len(units), max(len(u.reps) for u in units)))
+    kept = [np.ones(c[:, 0].shape) for c in tested]
+    for r in stored.filter("bucket = -1").select("unit", "fit", "bin", "n", "right", "comparable", "kept").collect():
+        k, i, at = r["unit"], r["fit"], order[r["unit"]].index(r["bin"])
+        sides[k][i][at] += np.frombuffer(r["n"], np.int64).reshape(2, -1)
+        right[k, i] += r["right"]
+        comparable[k, i] += r["comparable"]
+        kept[k][at, i] *= r["kept"]
+    scale = {}
+    for k, bins_ in enumerate(order):
+        for at, b in enumerate(bins_):
+            if b % 2:
+                n, died = tested[k][at]
+                kept[k][at] = kept_share(n, died, n + later[k][at])
+        before = np.concatenate([np.ones((1, kept[k].shape[1])), np.cumprod(kept[k], axis=0)[:-1]])
+        for at, b in enumerate(bins_):
+            scale[k, b] = np.divide(1.0, before[at], out=np.zeros_like(before[at]), where=before[at] > 0)
+    found: dict[tuple[int, int], list] = {}
+    for r in _range_sums(stored.filter("bucket >= 0"), scale, len(grid)).collect():
+        right[r["unit"], r["fit"]] += r["right"]
+        found.setdefault((r["unit"], r["fit"]), []).append((r["bucket"], np.frombuffer(r["areas"], float).reshape(3, -1)))
+    out = []
+    for (k, i), ranges in found.items():
+        n, e = sides[k][i][:, 0], sides[k][i][:, 1]
+        single, day = np.arange(n.shape[1]) % 2 == 1, np.array(order[k]) % 2 == 1
+        longer = np.cumsum(n[::-1], axis=0)[::-1] - n
+        # in ranges of one score no rows met: ties in later bins, and among those of a day in parts
+        for other, own in ((longer, e), ((n - e)[day], e[day])):
+            right[k, i] += (own * (np.cumsum(other, axis=1) - other)).sum() + (own * other)[:, single].sum() / 2
+            comparable[k, i] += (own.sum(axis=1) * other.sum(axis=1)).sum()
+        sums = np.stack([a for _, a in sorted(ranges, key=lambda r: r[0])])
+        inside, cases, controls = sums[:, 0].sum(axis=0), sums[:, 1], sums[:, 2]
+        whole = inside + (cases * (np.cumsum(controls, axis=0) - controls)).sum(axis=0)
+        total = cases.sum(axis=0) * controls.sum(axis=0)
+        aucs = np.divide(whole, total, out=np.full(len(grid), np.nan), where=total > 0)
+        index = right[k, i] / comparable[k, i] if comparable[k, i] else np.nan
+        values = [index, *(aucs[m] for m in marks), metrics.integrate(aucs, grid, grid[-1])]
+        out.append((units[k].cluster, units[k].model, int(units[k].reps[i]), *[None if v is None or np.isnan(v) else float(v) for v in values]))
+    return out
+
+
+def score_turns(units: list[Unit], bins_of: dict[int, list[int]]) -> Iterator[list[Unit]]:
+    """The units in groups whose counts by bin and range stay within ``SUM_BYTES``."""
+    group, held = [], 0
+    for u in units:
+        cost = 8 * len(u.reps) * len(bins_of[u.cluster]) * 2 * (2 * min(SCORE_CUTS, len(bins_of[u.cluster])) + 1)
+        if group and held + cost > SUM_BYTES:
+            yield group
+            group, held = [], 0
+        group.append(u)
+        held += cost
+    if group:
+        yield group
 
 
 def stored_bins(rows: DataFrame, cuts: DataFrame, seed: int, size: int | None = None) -> tuple[DataFrame, dict[int, list[int]]]:

@@ -290,8 +290,8 @@ def cv_survival(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], le
                 reps: int, seed: int, share: float = 0.333334, bin_rows: int | None = None) -> DataFrame:
     """Hold-out concordance and AUCs per (cluster, model_id, rep).
 
-    All fits advance together over compact rows (see ``risksets``). Strata of one bin are scored there, too; test parts of larger ones go
-    through the row-wise metrics, which serve any size.
+    All fits advance together over compact rows (see ``risksets``). Strata of one bin are scored there, too; test parts of larger ones by bins
+    and ranges of score.
     """
     from . import risksets
 
@@ -320,37 +320,13 @@ def cv_survival(rows: DataFrame, models: dict[int, dict[str, list[dz.Term]]], le
     larger = []
     for units in risksets.turns({c: m for c, m in wanted.items() if c not in single}, reps, bins_of):
         for u, beta in zip(units, risksets.fit(table, units, bins_of, parts=parts)):
-            larger += [(u.cluster, names[u.cluster][u.model], int(r), b.tolist()) for r, b in zip(u.reps, beta)]
+            u.beta = beta
+        for some in risksets.score_turns(units, bins_of):
+            larger += risksets.score(table, some, bins_of, parts=parts, size=bin_rows)
+    if larger:
+        scored.append(spark.createDataFrame(larger, risksets.CARD))
     labels = spark.createDataFrame([(c, i, m) for c, ms in names.items() for i, m in enumerate(ms)], "cluster int, model int, model_id string")
     out = [df.join(F.broadcast(labels), ["cluster", "model"]).select(*FIT_KEYS, *SURVIVAL_METRICS) for df in scored]
-    if larger:
-        out.append(_large_scored(base, cuts, designs, larger, seed))
     if not out:
         return spark.createDataFrame([], "cluster int, model_id string, rep int, " + ", ".join(f"{m} double" for m in SURVIVAL_METRICS))
     return reduce(DataFrame.unionByName, out)
-
-
-def _large_scored(base: DataFrame, cuts: DataFrame, designs, fits: list[tuple], seed: int) -> DataFrame:
-    """Metrics of test parts as rows: for strata beyond one bin, whose running counts are spread over tasks."""
-    from . import metrics, survival
-
-    spark = base.sparkSession
-    width = max(1, max(len(d) for ms in designs.values() for d in ms.values()))
-    betas = spark.createDataFrame([(c, m, r, b + [0.0] * (width - len(b))) for c, m, r, b in fits], "cluster int, model_id string, rep int, beta array<double>")
-    cells = None
-    for c in {f[0] for f in fits}:
-        arr = F.array(*[
-            F.struct(F.lit(m).alias("model_id"), F.array(*[dz.expression(x) for x in d], *[F.lit(0.0)] * (width - len(d))).alias("x"))
-            for m, d in designs[c].items()
-        ])
-        hit = F.col("cluster") == F.lit(c)
-        cells = F.when(hit, arr) if cells is None else cells.when(hit, arr)
-    tested = base.join(cuts, "cluster").filter(resample.is_test(seed, F.col("rep"), "subject_id", F.col("cut_draw"), F.col("cut_tie")))
-    long = tested.select("cluster", "rep", F.col("time_event").alias("time"), "status", F.explode(cells).alias("m")).select(
-        "cluster", F.col("m.model_id").alias("model_id"), "rep", "time", "status", F.col("m.x").alias("x")
-    ).filter(~F.exists("x", lambda v: v.isNull()))
-    # a constant factor per fit changes no ranking, so the training mean need not be taken out;
-    # scores that agree to nine decimals count as tied
-    risk = F.round(survival.linear_predictor(width), 9)
-    scored = long.join(betas, FIT_KEYS).withColumn("risk", risk).select(*FIT_KEYS, "time", "status", "risk")
-    return metrics.scorecard(materialize(scored, "cv-scored"), FIT_KEYS, score="risk", time="time", status="status").select(*FIT_KEYS, *SURVIVAL_METRICS)

@@ -135,3 +135,28 @@ def test_units_reach_executors_that_lack_the_package(tmp_path):
     load = "import pickle; from pyspark import cloudpickle; x = pickle.load(open('sent', 'rb')); x = cloudpickle.loads(x) if isinstance(x, bytes) else x; print(x[0].sums)"
     done = subprocess.run([sys.executable, "-I", "-c", load], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.strip() == "3", done.stderr
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 64])
+def test_large_strata_are_scored_without_a_row_per_subject_and_fit(spark, monkeypatch, cuts):
+    """Test parts of several bins give the metrics of one bin, also where few scores are shared by many; no row-wise metrics are used."""
+    models = {c: {m: design.terms(t) for m, t in {"g": ("g",), "1": (), "a + c": ("a", "c")}.items()} for c in (1, 2)}
+    run = lambda **o: {(r.cluster, r.model_id, r.rep): list(r)[3:] for r in select.cv_survival(cohort(spark, hot=40), models, LEVELS, reps=2, seed=4, **o).collect()}
+    whole = run()
+    monkeypatch.setattr(risksets, "SCORE_CUTS", cuts)
+    monkeypatch.setattr(risksets.metrics, "scorecard", None)
+    monkeypatch.setattr(risksets, "SUM_BYTES", 30_000)
+    same(whole, run(bin_rows=9))
+
+
+def test_areas_and_pairs_match_direct_ones():
+    rng = np.random.default_rng(31)
+    risk, mark, n = rng.integers(0, 12, 200) / 4.0, rng.integers(0, 6, 200).astype(np.uint8), rng.integers(1, 4, 200)
+    weight = rng.random(200) * (rng.random(200) < 0.5)
+    wins = (risk[:, None] > risk[None]) + (risk[:, None] == risk[None]) / 2
+    for h, got in enumerate(risksets.areas(risk, weight, mark, n, 5).T):
+        case, control = np.where(mark <= h, weight, 0), np.where(mark > h, n, 0)
+        assert got == pytest.approx([case @ wins @ control, case.sum(), control.sum()])
+    events, longer = np.array([0, 5, 150]), np.array([3, 200, 160])
+    want = [(wins[e, k:].sum(), 200 - k) for e, k in zip(events, longer)]
+    assert risksets.pairs(risk, events, longer) == (sum(w for w, _ in want), sum(c for _, c in want))
