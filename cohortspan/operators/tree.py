@@ -3,14 +3,16 @@
 One pass per level serves all open nodes: rows are combined per (node, feature, value), running
 totals over the values give the left side of every threshold, and the best gain per node wins. Of two
 children only the smaller is counted; the other is what is left of their parent's counts, so a level
-reads at most half of the rows of the nodes it splits. The tree itself stays on the driver: every split must
-gain at least cp of the root's loss, so there are at most 1/cp of them.
+reads at most half of the rows of the nodes it splits. Nodes of up to ``LOCAL_ROWS`` rows are not searched level by
+level: their rows meet in one task each, which grows all that is below them by the same rules. The tree itself stays on the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from ..session import from_rows, materialize
 from .strata import condition
 from .survival import nelson_aalen
 
+#: Rows of a node below which one task grows the tree.
+LOCAL_ROWS = 200_000
+
 
 @dataclass
 class Node:
@@ -58,7 +63,9 @@ def node_loss(kind: str, n: float, s1: float, s2: float) -> float:
 
     if kind == "anova":
         return s2 - s1 * s1 / n if n else 0.0
-    return 2.0 * (-s1 * math.log(s1 / s2)) if s1 > 0 and s2 > 0 else 0.0
+    value = 2.0 * (-s1 * math.log(s1 / s2)) if s1 > 0 and s2 > 0 else 0.0
+    # rescaled time adds up to the events, so of the root only rounding is left: no share of it can tell equal gains
+    return value if abs(value) > 1e-9 * s1 else 0.0
 
 
 def cell_counts(rows: DataFrame, numerics, categoricals) -> DataFrame:
@@ -167,9 +174,119 @@ def best_splits(rows: DataFrame, numerics, categoricals, *, kind: str = "anova",
     return thresholds(best, counts, categoricals)
 
 
+def _gains(kind: str, left: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``split_gains`` of columns of (n, s1, s2) of the left side; -inf where there is none."""
+    def part(s):
+        with np.errstate(all="ignore"):
+            return s[1] * s[1] / s[0] if kind == "anova" else np.where(s[1] > 0, s[1] * np.log(s[1] / s[2]), 0.0)
+
+    total = total[:, None]
+    gain = (part(left) + part(total - left) - part(total)) * (1.0 if kind == "anova" else 2.0)
+    return np.where(np.isnan(gain), -np.inf, gain)
+
+
+class _Local:
+    """The rows of one node, ordered once by every number; nodes below it are subsets in the same orders."""
+
+    def __init__(self, values: np.ndarray, codes: np.ndarray, levels: list[list[str]], sums: np.ndarray, numerics, categoricals, kind: str, minbucket: int, loss: float) -> None:
+        self.values, self.codes, self.levels, self.sums = values, codes, levels, sums
+        self.numerics, self.categoricals, self.kind, self.minbucket, self.loss = list(numerics), list(categoricals), kind, minbucket, loss
+        order = np.argsort(values, axis=0, kind="stable")
+        # rows without a number are not counted under it
+        self.all = [order[: len(values) - np.isnan(values[:, j]).sum(), j] for j in range(values.shape[1])]
+
+    def _keys(self, rows: np.ndarray, orders: list[np.ndarray]):
+        """Per feature its place, keys in order and (n, s1, s2) of each; categories by the key of their level, with the levels."""
+        for j, order in enumerate(orders):
+            v = self.values[order, j]
+            first = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
+            if len(first) > 1:
+                yield self.numerics[j], v[first], np.add.reduceat(self.sums[:, order], first, axis=1), None
+        for j, name in enumerate(self.categoricals):
+            some = rows[self.codes[rows, j] >= 0]
+            sums = np.stack([np.bincount(self.codes[some, j], s[some], len(self.levels[j])) for s in self.sums])
+            there = np.flatnonzero(sums[0] > 0)
+            base = sums[0 if self.kind == "anova" else 2, there]
+            level = np.divide(sums[1, there], base, out=np.zeros(len(there)), where=base != 0)
+            keys, which = np.unique(level, return_inverse=True)
+            if len(keys) > 1:
+                yield name, keys, np.stack([np.bincount(which, s[there]) for s in sums]), (there, level, j)
+
+    def best(self, rows: np.ndarray, orders: list[np.ndarray]):
+        """The best split: (rank, feature, key), gain, sums of the left side, sums of both, next key, levels."""
+        found = None
+        for feature, keys, sums, levels in self._keys(rows, orders):
+            left, total = np.cumsum(sums, axis=1), sums.sum(axis=1)
+            cut = np.flatnonzero((left[0] >= self.minbucket) & (total[0] - left[0] >= self.minbucket))
+            if not len(cut):
+                continue
+            gain = _gains(self.kind, left[:, cut], total)
+            with np.errstate(invalid="ignore"):
+                rank = -(np.round(gain / self.loss, 9) if self.loss else np.round(gain, 6))
+            at = int(np.argmin(np.where(np.isneginf(gain), np.inf, rank)))
+            here = (float(rank[at]), feature, float(keys[cut[at]]))
+            if not np.isneginf(gain[at]) and (found is None or here < found[0]):
+                found = here, float(gain[at]), left[:, cut[at]], total, float(keys[cut[at] + 1]) if cut[at] + 1 < len(keys) else None, levels
+        return found
+
+    def grow(self, root: int, minsplit: int, cp: float, max_depth: int) -> list[tuple]:
+        """The nodes below ``root`` (and its split), as rows of ``_NODE``."""
+        out, waiting = [], [(root, np.arange(len(self.values)), self.all, None)]
+        mine = np.zeros(len(self.values), bool)
+        while waiting:
+            id_, rows, orders, sums = waiting.pop()
+            node = [id_, *([None] * 3 if sums is None else [int(sums[0]), float(sums[1]), float(sums[2])]), None, None, [], None]
+            out.append(node)
+            # the root was found large enough where it was made
+            split = self.best(rows, orders) if (sums is None or sums[0] >= minsplit) and id_.bit_length() - 1 < max_depth else None
+            if split is None or not split[1] >= cp * self.loss:
+                continue
+            (_, feature, key), gain, left, total, after, levels = split
+            node[4], node[7] = feature, gain
+            if levels is None:
+                node[5] = (key + after) / 2.0
+                goes = self.values[rows, self.numerics.index(feature)] < node[5]
+            else:
+                there, level, j = levels
+                chosen = there[level <= key + 1e-9 * max(abs(key), 1e-3)]
+                node[6] = sorted(self.levels[j][c] for c in chosen)
+                goes = np.isin(self.codes[rows, j], chosen)
+            for offset, (some, s) in enumerate(((rows[goes], left), (rows[~goes], total - left))):
+                if s[0] < minsplit:
+                    out.append([2 * id_ + offset, int(s[0]), float(s[1]), float(s[2]), None, None, [], None])
+                    continue
+                mine[some] = True
+                waiting.append((2 * id_ + offset, some, [o[mine[o]] for o in orders], s))
+                mine[some] = False
+        return [tuple(n) for n in out]
+
+
+_NODE = "id bigint, n bigint, s1 double, s2 double, feature string, threshold double, left_levels array<string>, gain double"
+
+
+def _grow_below(data: DataFrame, nodes: dict[int, Node], ids: list[int], numerics, categoricals, *, kind: str, minsplit: int, minbucket: int, cp: float, loss: float, max_depth: int) -> None:
+    """Grow what is below the nodes ``ids``, each in one task, into ``nodes``."""
+    numerics, categoricals = list(numerics), list(categoricals)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        coded = [pd.factorize(pdf[c]) for c in categoricals]
+        codes = np.stack([c for c, _ in coded], axis=1) if coded else np.zeros((len(pdf), 0), np.int64)
+        sums = np.stack([np.ones(len(pdf)), pdf["_a"].to_numpy(dtype=float), pdf["_b"].to_numpy(dtype=float)])
+        local = _Local(pdf[numerics].to_numpy(dtype=float), codes, [list(v) for _, v in coded], sums, numerics, categoricals, kind, minbucket, loss)
+        return pd.DataFrame(local.grow(int(pdf["node"].iloc[0]), minsplit, cp, max_depth), columns=[c.split()[0] for c in _NODE.split(", ")]).astype({"n": "Int64"})
+
+    here = data.withColumn("node", node_column(nodes)).filter(F.col("node").isin(*ids))
+    here = here.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in numerics})
+    for r in here.groupBy("node").applyInPandas(run, _NODE).collect():
+        if r["n"] is not None:
+            nodes[r["id"]] = Node(r["id"], r["n"], r["s1"], r["s2"])
+        node = nodes[r["id"]]
+        node.feature, node.threshold, node.left_levels, node.gain = r["feature"], r["threshold"], tuple(r["left_levels"]), r["gain"]
+
+
 def grow(rows: DataFrame, numerics, categoricals, *, kind: str = "anova", minsplit: int = 20, cp: float = 0.005,
          max_depth: int = 30, counted: list[tuple[int, int]] | None = None, **response) -> dict[int, Node]:
-    """Grow the tree; one job per level for all open nodes.
+    """Grow the tree; one job per level for all open nodes of more than ``LOCAL_ROWS`` rows, one for all that is below the others.
 
     ``counted`` gets, for each level, the rows that were counted and the rows of the nodes that were searched.
     """
@@ -182,7 +299,10 @@ def grow(rows: DataFrame, numerics, categoricals, *, kind: str = "anova", minspl
     loss = node_loss(kind, nodes[1].n, nodes[1].s1, nodes[1].s2)
     open_ids = [1] if nodes[1].n >= minsplit else []
     cells: DataFrame | None = None
+    below: list[int] = []
     for _ in range(max_depth):
+        below += [k for k in open_ids if nodes[k].n <= LOCAL_ROWS]
+        open_ids = [k for k in open_ids if nodes[k].n > LOCAL_ROWS]
         if not open_ids:
             break
         smaller = [min((k, k ^ 1), key=lambda c: (nodes[c].n, c)) if k > 1 else 1 for k in open_ids]
@@ -217,6 +337,8 @@ def grow(rows: DataFrame, numerics, categoricals, *, kind: str = "anova", minspl
                 nodes[child.id] = child
                 if n >= minsplit:
                     open_ids.append(child.id)
+    if below:
+        _grow_below(data, nodes, below, numerics, categoricals, kind=kind, minsplit=minsplit, minbucket=minbucket, cp=cp, loss=loss, max_depth=max_depth)
     return nodes
 
 
