@@ -520,3 +520,25 @@ def test_compact_windows_are_where_a_token_is_least():
 def test_shingles():
     assert [len(s) for s in shingle_sets(["", "a", "a b c d", "a b c d e", "a b c d e f", "a a a a a a a a"], WordHashes())] == [0, 1, 1, 1, 2, 1]
     assert shingle_sets([], WordHashes()) == []
+
+
+def test_windows_of_a_bucket_are_compared_together(monkeypatch):
+    """Pairs of windows go through few comparisons; how many at once, and windows at a document's edge, change nothing."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1000, passages.WIDTH).astype(np.uint16)
+    around = np.stack([np.where(rng.random(passages.WIDTH) < 0.02 * (i % 8), rng.integers(1, 1000, passages.WIDTH), np.roll(base, i % 3 - 1)) for i in range(40)]).astype(np.uint16)
+    around[5::7, :20], around[3::7, -44:] = 0, 0
+    ids = np.arange(40) // 2
+    x, y = around[np.repeat(np.arange(40), 40)], around[np.tile(np.arange(40), 40)]
+    hit, first, last = passages.alike(x, y)
+    for k in range(0, 1600, 3):
+        near = [bool(x[k, j] and y[k, j] and (x[k, j] == y[k, j] or (j and x[k, j] == y[k, j - 1]) or (j + 1 < passages.WIDTH and x[k, j] == y[k, j + 1]))) for j in range(passages.WIDTH)]
+        ok = [s for s in range(passages.TOKENS) if sum(near[s : s + passages.TOKENS]) >= passages.MATCHES and x[k, s : s + passages.TOKENS].all() and y[k, s : s + passages.TOKENS].all()]
+        assert bool(hit[k]) == bool(ok) and (not ok or (first[k], last[k]) == (ok[0], ok[-1]))
+    calls, alike = [], passages.alike
+    monkeypatch.setattr(passages, "alike", lambda *a: calls.append(len(a[0])) or alike(*a))
+    run = lambda: [(r, m.tolist(), a, b) for r, m, a, b in passages.bucket_matches(ids, around)]
+    whole = run()
+    assert whole and len(calls) == 1
+    monkeypatch.setattr(passages, "PAIRS", 5)
+    assert run() == whole and len(calls) > 5
